@@ -31,3 +31,28 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvefront.llm.packing import pack_documents
 
     return pack_documents(spark, table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.mixing import with_copies
+
+    mixed = with_copies(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.quality_rules import judge
+
+    judged = judge(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracles() -> dict[str, str]:
+    from solvefront.llm import mixing, quality_rules
+
+    return {"op4_mix_sources": mixing.ORACLE, "op8_line_frequency": quality_rules.ORACLE}
+
+
+ORACLE_SQL.update(_oracles())
