@@ -49,10 +49,27 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.url_filter import QUERY_RULES, filter_urls
+
+    judged = filter_urls(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), QUERY_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.ann import build_index, search
+    from solvefront.llm.common import stage
+
+    index = stage(spark, build_index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "index")
+    return search(spark, index, F.col("id") % 50 == 0)
+
+
 def _oracles() -> dict[str, str]:
-    from solvefront.llm import mixing, quality_rules
+    from solvefront.llm import mixing, quality_rules, url_filter
 
-    return {"op4_mix_sources": mixing.ORACLE, "op8_line_frequency": quality_rules.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_redirect_equivalence": url_filter.ORACLE, "op8_line_frequency": quality_rules.ORACLE}
 
 
 ORACLE_SQL.update(_oracles())
