@@ -66,6 +66,16 @@ def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, index, F.col("id") % 50 == 0)
 
 
+@query
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.common import fold
+    from solvefront.llm.ctw import score_corpus
+
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = score_corpus(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def _oracles() -> dict[str, str]:
     from solvefront.llm import mixing, quality_rules, url_filter
 
