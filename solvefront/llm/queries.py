@@ -76,6 +76,27 @@ def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+@query
+def op6_segmentation_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.common import fold
+    from solvefront.llm.langid import identify
+
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = identify(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm import quality_crf
+    from solvefront.llm.common import fold
+
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return quality_crf.score(spark, docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def _oracles() -> dict[str, str]:
     from solvefront.llm import mixing, quality_rules, url_filter
 
