@@ -97,6 +97,13 @@ def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score(spark, docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.ngram_join import join_components
+
+    return join_components(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def _oracles() -> dict[str, str]:
     from solvefront.llm import mixing, quality_rules, url_filter
 
