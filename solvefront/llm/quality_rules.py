@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """Words within 3-word windows that occur twice or more, the first included.
 
-    ``w`` must be a plain column of words.  Windows are hashed; unless all
+    ``w`` must be a bound array (see :func:`let`).  Windows are hashed; unless all
     hashes differ they are sorted with their places, neighbours of equal hash
     give the places of repeated windows, and the gaps between those give the
     words covered.  All within the row: no shuffle, O(n log n).
@@ -63,30 +63,43 @@ def normal_line(line: Column) -> Column:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text: as empty."""
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text: as empty.
+
+    Words and lines are bound once inside one struct: a filter on a result may
+    be pushed below this projection, and must not repeat the work per element.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    made = df.withColumn("_w", words(t)).withColumn("_l", worded_lines(t))
-    made = made.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        return let(repeated_words(w), lambda r: F.struct(
+            n.alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), r.alias("n_repeat_words"),
+            ((n < 50) | (r * 100 > n * 50)).alias("base_failed"),
+        ))
+
+    made = df.withColumn("_s", let(words(t), of_words))
+    dup = let(worded_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return made.withColumns({
+        "n_words": F.col("_s.n_words"), "word_chars": F.col("_s.word_chars"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_w")),
-    }).drop("_w", "_l")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return made.withColumn("base_failed", failed)
+        "n_dup_lines": dup.cast("long"),
+        "n_repeat_words": F.col("_s.n_repeat_words"), "base_failed": F.col("_s.base_failed"),
+    }).drop("_s")
 
 
 def _lines(df: DataFrame, host: str, text: str) -> DataFrame:
     """One row per worded line: line (hash with its host), context (hash of its neighbours), words, document (hash of the text)."""
-    normal = F.transform(worded_lines(F.col(text)), normal_line)
-    per = df.select(F.col(host).alias("_host"), F.xxhash64(text).alias("document"), normal.alias("_l"))
-    made = F.transform("_l", lambda x, i: F.struct(
-        F.xxhash64(F.coalesce(F.col("_host"), F.lit("\0")), x).alias("line"),
-        F.xxhash64(F.get(F.col("_l"), F.greatest(i - 1, F.lit(0))), (i == 0), F.get(F.col("_l"), i + 1)).alias("context"),
-        (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
-    ))
-    return per.select("_host", "document", F.explode(made).alias("_x")).select("_host", "document", "_x.*")
+    seed = F.coalesce(F.col(host), F.lit("\0"))
+
+    def described(lines: Column) -> Column:
+        return F.transform(lines, lambda x, i: F.struct(
+            F.xxhash64(seed, x).alias("line"),
+            F.xxhash64(F.get(lines, F.greatest(i - 1, F.lit(0))), (i == 0), F.get(lines, i + 1)).alias("context"),
+            (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
+        ))
+
+    made = let(F.transform(worded_lines(F.col(text)), normal_line), described)
+    return df.select(F.col(host).alias("_host"), F.xxhash64(text).alias("document"), F.explode(made).alias("_x")).select("_host", "document", "_x.*")
 
 
 def frequent_lines(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, context_share: float = CONTEXT_SHARE) -> DataFrame:

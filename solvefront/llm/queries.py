@@ -104,6 +104,13 @@ def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _oracles() -> dict[str, str]:
     from solvefront.llm import mixing, quality_rules, url_filter
 
