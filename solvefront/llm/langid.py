@@ -138,22 +138,22 @@ class Scorer:
                 self.values[first : first + len(part)] = got
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        """Sums over each text's words; zeros without words."""
+        """Sums over each text's words; zeros without words.  All texts' new words are learnt together, in large batches."""
         out = np.zeros((len(texts), self.values.shape[1]))
-        for k, text in enumerate(texts):
-            found = LETTERS.findall(text.lower())
-            if not found:
-                continue
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            missing = {w for w in found if w not in self.memo}
-            if missing:
-                pending = {w for w in missing if len(w) <= MEMO_CHARS}
-                self.learn(pending)
-                for w in missing - pending:
-                    out[k] += found.count(w) * self.forward_long(w)
-                found = [w for w in found if len(w) <= MEMO_CHARS]
-            out[k] += self.values[[self.memo[w] for w in found]].sum(axis=0)
+        found = [LETTERS.findall(text.lower()) for text in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo = self.memo
+        every = {w for words in found for w in words}
+        long_words = {w for w in every if len(w) > MEMO_CHARS}
+        self.learn({w for w in every if w not in memo} - long_words)
+        for k, words in enumerate(found):
+            if long_words:
+                for w in long_words.intersection(words):
+                    out[k] += words.count(w) * self.forward_long(w)
+                words = [w for w in words if len(w) <= MEMO_CHARS]
+            if words:
+                out[k] += self.values[[memo[w] for w in words]].sum(axis=0)
         return out
 
 
