@@ -24,14 +24,15 @@ MAX_TRAIN_BYTES = 64 << 20
 CHAIN = 128
 L2 = 1e-3
 STEPS = 250
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
-_CLASSES = np.zeros((256, 8), np.int32)
+#: Class of each byte: 1 to 8 in this order, 0 for the rest.
+_CLASS = np.zeros(256, np.uint8)
 for _i, _set in enumerate((
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:",
     b" \t\r\x0b\x0c", bytes(range(128, 256)),
-)):
-    _CLASSES[np.frombuffer(_set, np.uint8), _i] = 1
+), 1):
+    _CLASS[np.frombuffer(_set, np.uint8)] = _i
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,14 +43,15 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     starts = np.concatenate([[0], stops[:-1] + 1])
     doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
     blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    solid = np.concatenate([[0], np.cumsum(~blank)])
-    chars = solid[stops] - solid[starts]
+    chars = np.add.reduceat(~blank, starts, dtype=np.int64)
+    kinds = _CLASS[buf]
+    sums = np.stack([np.add.reduceat(kinds == c, starts, dtype=np.int64) for c in range(1, 9)], axis=1)
     # An empty line stays only as the single line of a text without words.
     words_in = np.bincount(doc, chars, len(texts))
     first_of = np.searchsorted(doc, np.arange(len(texts)))
     keep = chars > 0
     keep[first_of[words_in == 0]] = True
-    starts, stops, doc, chars = starts[keep], stops[keep], doc[keep], chars[keep]
+    starts, stops, doc, chars, sums = starts[keep], stops[keep], doc[keep], chars[keep], sums[keep]
     n = len(starts)
 
     # Words: hashes by position-weighted sums of their bytes, wrapping in 64 bits.
@@ -75,8 +77,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     repeat = np.zeros(n, bool)
     repeat[order[1:]] = (total[order[1:]] == total[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
 
-    sums = np.stack([np.concatenate([[0], np.cumsum(_CLASSES[buf, c])]) for c in range(8)], axis=1)
-    share = (sums[stops] - sums[starts]) / np.maximum(1, stops - starts)[:, None]
+    share = sums / np.maximum(1, stops - starts)[:, None]
     w = np.maximum(1, n_words)
     own = np.column_stack([
         np.log1p(chars), share, np.log1p(chars / w), 1 - n_distinct / w, n_same / w, repeat, long_words / w,
@@ -216,8 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if len(np.unique(y)) < 2:
         return None
     order = np.lexsort((np.array([len(t) for t in got.column("t").to_pylist()]), y))
-    texts = [got.column("t")[int(i)].as_py() for i in order]
-    x, _, sizes = line_features(texts)
+    parts, pending, used = [], [], 0
+    for k, i in enumerate(order):
+        pending.append(got.column("t")[int(i)].as_py())
+        used += len(pending[-1])
+        if used >= SLICE_BYTES or k == len(order) - 1:
+            parts.append(line_features(pending))
+            pending, used = [], 0
+    x, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     return LineField.fit(x, sizes, y[order])
 
 
