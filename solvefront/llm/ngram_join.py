@@ -1,23 +1,27 @@
 """N-gram Jaccard join: a prefix-tree join over globally ordered shingle sets.
 
-1. One pass turns each text into its set of n-word shingles (64-bit hashes),
-   a 128-bit fingerprint of the set, and adds its shingles to a fixed-size
-   count sketch.  Texts of one fingerprint are one class from here on.
-2. The sketch gives a global order, rare shingles first.  Two sets that link
-   share a shingle among their first |x| - ceil(t |x|) + 1, so candidate blocks
-   are the components of the graph of sets and the prefix shingles that two or
-   more sets share (star edges: one fewer than the sets of a shingle).
-3. Each block is joined through a trie of its sets in the reverse order, where
-   near copies share long paths.  A traversal carries the overlap of a path,
-   shared by all sets below it, and leaves a subtree when the lengths that
-   remain cannot reach the overlap needed, or when all sets below are already
-   in the asking set's component.  A block too large for one task is cut into
-   chunks, every pair of which is joined, so none of its links is lost.
+1. One pass turns each text into its set of n-word shingles (64-bit hashes)
+   and a 128-bit fingerprint of the set.  Texts of one fingerprint are one
+   class from here on.
+2. Blocks.  Sets that link differ in at most d shingles, d from the similarity
+   and the length band.  The hash space is cut into k > d segments, so at least
+   k - d segments hold the same shingles in both; of its k segments a set keeps
+   the d + 1 that hold most shingles (ties by hash), and the strongest common
+   segment is among those of both.  Sets that share a segment's content are
+   joined to chains; the chains' components are the blocks.  A shared passage
+   or a frequent shingle alone does not join two sets.
+3. Each block is joined through a trie of its sets, most frequent shingles
+   first, so near copies share long paths.  A traversal carries the overlap of
+   a path, shared by all sets below it, and leaves a subtree when the lengths
+   that remain cannot reach the overlap needed, or when all sets below are
+   already in the asking set's component.  A block too large for one task is
+   cut into chunks, every pair of which is joined, so none of its links is lost.
 4. The links found span every component; their components are the result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from solvefront.llm.common import rows_of, stage
@@ -32,8 +37,9 @@ from solvefront.llm.components import connected_components
 
 SHINGLE = 3
 NUM, DEN = 90, 100
-SKETCH_BITS = 18
-SLICE_BYTES = 4 << 20
+SLACK = 0.12
+SLICE_BYTES = 2 << 20
+SEEN = 500_000
 BLOCK_SHINGLES = 2_000_000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
@@ -94,13 +100,37 @@ def _texts(col: pa.Array) -> list[bytes]:
     return [t or b"" for t in col.cast(pa.binary()).to_pylist()]
 
 
-def rare_first(shingles: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """In the global order: by the sketch's count, then by hash."""
-    return shingles[np.lexsort((shingles, sketch[(shingles >> np.uint64(64 - bits)).astype(np.int64)]))]
+def bands(num: int = NUM, den: int = DEN, most: int = 1 << 40) -> list[int]:
+    """First size of each length band; sets that link are in one band or in neighbours."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * den // num + 1)
+    return out
+
 
+def segment_signatures(shingles: np.ndarray, starts: list[int], num: int = NUM, den: int = DEN, slack: float = SLACK) -> np.ndarray:
+    """What a set (sorted hashes) must share one of with any set it links to, other than its equals.
 
-def prefix_size(n: int, num: int = NUM, den: int = DEN) -> int:
-    return n - (n * num + den - 1) // den + 1
+    A set of band i meets its own band under i and the next one under i + 1.
+    """
+    i = bisect.bisect_right(starts, len(shingles)) - 1
+    mixed = _mix(shingles)
+    out = []
+    for g in (i, i + 1):
+        differ = (den - num) * 2 * (starts[g + 1] - 1) // (den + num)
+        if not differ:
+            continue  # only equal sets link
+        k = differ + 1 + math.ceil(slack * differ)
+        segment = ((shingles >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # in order, as the hashes are
+        first = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0]
+        count = np.diff(np.concatenate([first, [len(shingles)]]))
+        content, place = np.add.reduceat(mixed, first), segment[first]
+        if len(first) <= differ:  # empty segments are the weakest, and are needed here
+            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place)
+            content, place, count = (np.concatenate(x) for x in ((content, np.zeros(len(empty), np.uint64)), (place, empty), (count, np.zeros(len(empty), count.dtype))))
+        signature = _mix(content + _mix(place + np.uint64(g << 40)))
+        out.append(signature[np.lexsort((signature, -count))[: differ + 1]])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 class _Node:
@@ -115,11 +145,10 @@ class _Node:
 
 
 class TrieJoin:
-    """Sets in a trie with compressed paths; ``add`` links a set to those before it and returns nothing, ``find`` gives components."""
+    """Sets in a trie with compressed paths; ``add`` links a set to those before it, ``find`` gives components."""
 
-    def __init__(self, rank: dict[int, int], num: int = NUM, den: int = DEN):
-        """rank: place of each shingle in the trie's order."""
-        self.rank, self.num, self.den = rank, num, den
+    def __init__(self, num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         self.root = _Node([])
         self.sizes: list[int] = []
         self.parent: list[int] = []
@@ -141,7 +170,7 @@ class TrieJoin:
         return -(-self.num * (a + b) // (self.num + self.den))
 
     def add(self, shingles: list[int]) -> int:
-        """shingles: distinct, in the trie's order."""
+        """shingles: distinct places in the global order, ascending."""
         me = len(self.sizes)
         self.sizes.append(len(shingles))
         self.parent.append(me)
@@ -159,8 +188,7 @@ class TrieJoin:
 
     def _link(self, me: int, shingles: list[int]) -> None:
         mine = dict(zip(shingles, range(len(shingles)), strict=True))
-        n, rank = len(shingles), self.rank
-        ranks = [rank[s] for s in shingles]
+        n = len(shingles)
         stack = [(c, 0, 0, 0) for c in self.root.children.values()]
         while stack:
             node, overlap, path, passed = stack.pop()
@@ -182,9 +210,7 @@ class TrieJoin:
             if not alive:
                 continue
             if node.segment:
-                last = rank[node.segment[-1]]
-                while passed < n and ranks[passed] <= last:
-                    passed += 1
+                passed = max(passed, bisect.bisect_right(shingles, node.segment[-1]))
             if overlap + min(high - path, n - passed) < need:
                 continue
             for other in node.ends:
@@ -224,21 +250,25 @@ class TrieJoin:
             node, at = child, at + k
 
 
-def join_block(sets: list[np.ndarray], sketch: np.ndarray, bits: int, num: int = NUM, den: int = DEN) -> list[int]:
-    """Component of each set (index of its least member), by the trie join."""
-    every = rare_first(np.unique(np.concatenate(sets)), sketch, bits)[::-1].tolist()
-    rank = dict(zip(every, range(len(every)), strict=True))
-    trie = TrieJoin(rank, num, den)
+def join_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[int]:
+    """Component of each set (index of one of its members), by the trie join."""
+    every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_count = np.lexsort((every, -count))
+    rank = np.empty(len(every), np.int64)
+    rank[by_count] = np.arange(len(every))
+    ends = np.cumsum([len(x) for x in sets])
+    ordered = [np.sort(x).tolist() for x in np.split(rank[place], ends[:-1])]  # a shingle's rank stands for it
+    trie = TrieJoin(num, den)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     for i in order:
-        trie.add(rare_first(sets[i], sketch, bits)[::-1].tolist())
+        trie.add(ordered[i])
     roots = [0] * len(sets)
     for k, i in enumerate(order):
         roots[i] = order[trie.find(k)]
     return roots
 
 
-def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, bits: int = SKETCH_BITS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(key, text_hash, n_shingles, component_id) per row; component_id is the least key reachable by links.
 
     Null, empty and wordless texts have no shingles and are linked with
@@ -248,52 +278,37 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     kind = df.schema[key].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.int64)
-        nothing = None
         for b in rows_of(batches, text, SLICE_BYTES):
             sets = shingle_sets(_texts(b.column(2)), shingle)
-            hashes = np.concatenate(sets)
-            sketch += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            m = len(sets)
-            nothing = b.column(0).slice(0, 0).type
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-                names=[key, "text_hash", "n_shingles", "fp", "bucket", "count"],
-            )
-        if nothing is not None:
-            at = np.nonzero(sketch)[0]
-            m = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, nothing), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(at.astype(np.int32)), pa.array(sketch[at])],
-                names=[key, "text_hash", "n_shingles", "fp", "bucket", "count"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary())],
+                names=[key, "text_hash", "n_shingles", "fp"],
             )
 
     hashed = df.select(key, F.xxhash64(text).alias("text_hash"), text)
-    first = stage(spark, hashed.mapInArrow(digest, f"`{key}` {kind}, text_hash long, n_shingles long, fp binary, bucket int, count long"), "digests")
-    rows = first.where("fp is not null").select(key, "text_hash", "n_shingles", "fp")
-    sums = first.where("fp is null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # at most 2^bits rows
-    sketch = np.zeros(1 << bits, np.int64)
-    sketch[sums.column("bucket").to_numpy()] = sums.column("count").to_numpy()
-    sent = spark.sparkContext.broadcast(sketch)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = stage(spark, hashed.mapInArrow(digest, f"`{key}` {kind}, text_hash long, n_shingles long, fp binary"), "digests")
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = bands(num, den)
+        seen: set[int] = set()  # copies within the task are skipped, so a group of copies sends a row a task
         for b in rows_of(batches, text, SLICE_BYTES):
-            tokens, vertices, sizes = [np.zeros(0, np.uint64)], [], []
+            found, vertices = [np.zeros(0, np.uint64)], []
             for s in shingle_sets(_texts(b.column(0)), shingle):
-                if len(s):
-                    tokens.append(rare_first(s, sent.value, bits)[: prefix_size(len(s), num, den)])
-                    vertices.append(_vertex(fingerprint(s)))
-                    sizes.append(len(s))
-            each = [len(t) for t in tokens[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(vertices, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["token", "v", "n"])
+                v = _vertex(fingerprint(s))
+                if len(s) and v not in seen:
+                    seen.add(v)
+                    found.append(segment_signatures(s, starts, num, den))
+                    vertices.append(v)
+            if len(seen) > SEEN:
+                seen.clear()
+            each = [len(f) for f in found[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(vertices, np.int64), each))], names=["sig", "v"])
 
     keyed = df.where(F.col(key).isNotNull())
-    tokens = stage(spark, keyed.select(text).mapInArrow(prefixes, "token long, v long, n long").distinct(), "prefixes")
-    spread = tokens.groupBy("token").agg(F.min(F.struct("v", "n")).alias("a"), F.max(F.struct("v", "n")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    spread = stage(spark, spread.where((F.col("m") > 2) | (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)), "shared")
-    pairs = spread.where("m = 2").select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
-    stars = tokens.join(spread.where("m > 2").select("token", F.col("a.v").alias("c")), "token").select(F.col("v").alias("a"), F.col("c").alias("b"))
-    blocks = stage(spark, connected_components(spark, pairs.union(stars), name="blocks"), "blocks")
+    shared = keyed.select(text).mapInArrow(signatures, "sig long, v long")
+    before = F.lag("v").over(W.partitionBy("sig").orderBy("v"))
+    chains = shared.withColumn("u", before).where(F.col("u") != F.col("v")).select("u", "v")
+    blocks = stage(spark, connected_components(spark, chains, "u", "v", name="blocks"), "blocks")
 
     # One text per fingerprint of the blocks, with the block and its size in shingles.
     classes = stage(spark, rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).groupBy("fp").agg(F.min(F.struct(key, "text_hash")).alias("one"), F.first("n_shingles").alias("n")), "classes")
@@ -324,7 +339,7 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         a, b = [], []
         for own in by_block.values():
             own.sort(key=lambda i: fps[i])
-            for i, r in enumerate(join_block([np.frombuffer(raw[i], np.uint64) for i in own], sent.value, bits, num, den)):
+            for i, r in enumerate(join_block([np.frombuffer(raw[i], np.uint64) for i in own], num, den)):
                 if r != i:
                     a.append(fps[own[i]])
                     b.append(fps[own[r]])
