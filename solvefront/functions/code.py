@@ -142,41 +142,48 @@ def short_hash(text: str) -> str:
     return hashlib.blake2b(text.encode(), digest_size=6).hexdigest()
 
 
-@F.pandas_udf("struct<text string, method string, key string>")
-def canonical_udf(code: pd.Series) -> pd.DataFrame:
+def _canonical(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([canonical_form(c) if c is not None else (None, None, None) for c in code], columns=["text", "method", "key"])
 
 
-@F.pandas_udf("boolean")
-def compiles_udf(code: pd.Series) -> pd.Series:
+def _compiles(code: pd.Series) -> pd.Series:
     return code.map(compiles, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def entry_point_udf(test: pd.Series) -> pd.Series:
+def _entry_point(test: pd.Series) -> pd.Series:
     return test.map(entry_point, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def public_asserts_udf(tests: pd.Series) -> pd.Series:
+def _public_asserts(tests: pd.Series) -> pd.Series:
     return tests.map(public_asserts, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def public_table_udf(tests: pd.Series, entry: pd.Series) -> pd.Series:
+def _public_table(tests: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series([public_table(t, e) for t, e in zip(tests, entry, strict=True)])
 
 
-@F.pandas_udf("string")
-def short_hash_udf(text: pd.Series) -> pd.Series:
+def _short_hash(text: pd.Series) -> pd.Series:
     return text.map(short_hash, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def content_hash_udf(task: pd.DataFrame) -> pd.Series:
+def _content_hash(task: pd.DataFrame) -> pd.Series:
     return pd.Series([content_hash(r) for r in task.to_dict("records")])
 
 
+def _column(f, kind: str):
+    """A function of columns; the UDF is made when called, for a type needs a session and executors import this module without one."""
+    return lambda *columns: F.pandas_udf(f, kind)(*columns)
+
+
+canonical_udf = _column(_canonical, "struct<text string, method string, key string>")
+compiles_udf = _column(_compiles, "boolean")
+entry_point_udf = _column(_entry_point, "string")
+public_asserts_udf = _column(_public_asserts, "string")
+public_table_udf = _column(_public_table, "string")
+short_hash_udf = _column(_short_hash, "string")
+content_hash_udf = _column(_content_hash, "string")
+
+
 def blake2_unit_column(text: Column, salt: str) -> Column:
     @F.pandas_udf("double")
     def unit(t: pd.Series) -> pd.Series:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +104,42 @@ def transfer_retention(held_out: Column, transfer: Column, base_held_out: Column
     return F.when(F.abs(gain) < 1e-9, F.lit(None)).otherwise(F.try_divide(transfer - base_transfer, gain))
 
 
+AUTOMATON_LITERALS = 100_000
+
+
 def hard_coded(archive: DataFrame, literals: DataFrame, source: str = "source_excerpt", literal: str = "literal", least: int = 6) -> DataFrame:
-    """Archive rows whose source holds a task literal of at least ``least`` characters.
+    """Archive rows whose source holds a task literal of at least ``least`` characters, a row per literal.
 
-    A literal occurs only where its first ``least`` characters do, so both
-    sides meet on those in an equi-join; the containment is then exact.
+    Up to :data:`AUTOMATON_LITERALS` literals go to every executor as one
+    automaton that reads each source once, whatever their number.  Beyond
+    that, both sides meet on a literal's first characters in an equi-join.
     """
-    found = literals.select(F.trim(F.col(literal)).alias("_l")).where(F.length("_l") >= least).distinct().withColumn("_g", F.substring("_l", 1, least))
+    found = literals.select(F.trim(F.col(literal)).alias("_l")).where(F.length("_l") >= least).distinct()
+    few = [r[0] for r in found.limit(AUTOMATON_LITERALS + 1).collect()]
+    if len(few) <= AUTOMATON_LITERALS:
+        return _by_automaton(archive, few, source)
+    heads = found.withColumn("_g", F.substring("_l", 1, least))
     starts = F.transform(F.sequence(F.lit(1), F.length(source) - least + 1), lambda i: F.substring(F.col(source), i, F.lit(least)))
     grams = archive.where(F.length(source) >= least).withColumn("_g", F.explode(F.array_distinct(starts)))
-    return grams.join(found, "_g").where(F.contains(F.col(source), F.col("_l"))).drop("_g").withColumnRenamed("_l", "literal").distinct()
+    return grams.join(heads, "_g").where(F.contains(F.col(source), F.col("_l"))).drop("_g").withColumnRenamed("_l", "literal").distinct()
+
+
+def _by_automaton(archive: DataFrame, words: list[str], source: str) -> DataFrame:
+    sent = archive.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<string>")
+    def inside(text: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w in sent.value:
+            machine.add_word(w, w)
+        if not len(machine):
+            return pd.Series([[]] * len(text))
+        machine.make_automaton()
+        return text.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+
+    return archive.withColumn("literal", F.explode(inside(source)))
 
 
 def thompson_parameters(nodes: DataFrame, utility: str = "mean_utility", evals: str = "evals") -> DataFrame:
