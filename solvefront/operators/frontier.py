@@ -65,7 +65,7 @@ def frontier_records(attempts: DataFrame, by: Sequence[str] = ("task_id",), *, c
     out = rated.join(diversity(counts, by).drop("n_correct"), list(by), "left").join(curve, list(by), "left")
     out = out.withColumn("saturated", F.coalesce("saturated", F.lit(False))).withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     out = out.withColumn("pass_at_k", pass_curve(F.col("n_samples"), F.col("n_correct")))
-    qualifier = F.when(F.col("beyond_frontier"), F.format_string("no success in %d samples: rate below %.3g at %.3g%% confidence", F.col("n_samples"), F.col("exact_zero_success_bound"), F.lit(confidence * 100)))
+    qualifier = F.when(F.col("beyond_frontier"), F.format_string(f"no success in %d samples: rate below %.3g at {confidence * 100:g}%% confidence", F.col("n_samples"), F.col("exact_zero_success_bound")))
     out = out.withColumn("qualifier", qualifier)
     return with_clopper_pearson(out, "n_correct", "n_samples", confidence=confidence) if interval else out
 
