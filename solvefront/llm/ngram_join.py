@@ -15,7 +15,8 @@
    a path, shared by all sets below it, and leaves a subtree when the lengths
    that remain cannot reach the overlap needed, or when all sets below are
    already in the asking set's component.  A block too large for one task is
-   cut into chunks, every pair of which is joined, so none of its links is lost.
+   joined length band by length band, and a band too large for one task by
+   every pair of its chunks, so none of its links is lost.
 4. The links found span every component; their components are the result.
 """
 
@@ -40,6 +41,7 @@ NUM, DEN = 90, 100
 SLACK = 0.12
 SLICE_BYTES = 2 << 20
 SEEN = 500_000
+REPS = 32
 BLOCK_SHINGLES = 2_000_000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
@@ -180,23 +182,26 @@ class TrieJoin:
 
     def _same(self, node: _Node, me: int) -> bool:
         """Whether all sets below the node are known to be in this set's component."""
-        if len(node.reps) > 8:
+        if len(node.reps) > REPS:
             return False
-        roots = {self.find(r) for r in node.reps}
-        node.reps = list(roots)
-        return roots == {self.find(me)}
+        node.reps = list({self.find(r) for r in node.reps})
+        return len(node.reps) == 1 and node.reps[0] == self.find(me)
 
     def _link(self, me: int, shingles: list[int]) -> None:
         mine = dict(zip(shingles, range(len(shingles)), strict=True))
         n = len(shingles)
-        stack = [(c, 0, 0, 0) for c in self.root.children.values()]
+        # Of each open node: its children still to visit, and the overlap, length and own shingles passed on its path.
+        stack = [(self.root, self._order(self.root, mine), 0, 0, 0)]
         while stack:
-            node, overlap, path, passed = stack.pop()
+            above, left, overlap, path, passed = stack[-1]
+            node = next(left, None)
+            if node is None or self._same(above, me):
+                stack.pop()
+                continue
             self.visited += 1
             if self._same(node, me):
                 continue
-            need = self.need(n, node.low)
-            high = node.high
+            need, high = self.need(n, node.low), node.high
             alive = True
             for s in node.segment:
                 path += 1
@@ -209,23 +214,29 @@ class TrieJoin:
                     break
             if not alive:
                 continue
-            if node.segment:
-                passed = max(passed, bisect.bisect_right(shingles, node.segment[-1]))
+            passed = max(passed, bisect.bisect_right(shingles, node.segment[-1]))
             if overlap + min(high - path, n - passed) < need:
                 continue
             for other in node.ends:
                 if overlap >= self.need(n, self.sizes[other]):
                     self.union(me, other)
-            follow = [c for c in node.children.values() if c.segment[0] not in mine]
-            follow += [c for c in node.children.values() if c.segment[0] in mine]  # popped first
-            stack.extend((c, overlap, path, passed) for c in follow)
+            if node.children:
+                stack.append((node, self._order(node, mine), overlap, path, passed))
+
+    @staticmethod
+    def _order(node: _Node, mine: dict[int, int]) -> Iterator[_Node]:
+        """Children that go on with a shingle of the asking set first: its links are likeliest there."""
+        yield from (c for s, c in node.children.items() if s in mine)
+        yield from (c for s, c in node.children.items() if s not in mine)
 
     def _insert(self, me: int, shingles: list[int]) -> None:
         node, at, n = self.root, 0, len(shingles)
         while True:
             node.low, node.high = min(node.low, n), max(node.high, n)
-            if len(node.reps) <= 8:
+            if len(node.reps) <= REPS:
                 node.reps.append(me)
+                if len(node.reps) > REPS:
+                    node.reps = list({self.find(r) for r in node.reps})
             if at == n:
                 node.ends.append(me)
                 return
@@ -314,17 +325,23 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     classes = stage(spark, rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).groupBy("fp").agg(F.min(F.struct(key, "text_hash")).alias("one"), F.first("n_shingles").alias("n")), "classes")
     members = classes.withColumn("v", _vertex_column("fp")).join(blocks.withColumnRenamed("vertex", "v"), "v")
     weights = members.groupBy("root").agg(F.sum("n").alias("_weight"))
-    wanted = members.join(weights, "root").select(
-        F.col(f"one.{key}").alias(key), F.col("one.text_hash").alias("text_hash"), "fp", F.col("root").alias("block"), F.ceil(F.col("_weight") / block_shingles).alias("_chunks"))
-    wanted = stage(spark, wanted, "wanted")
+    # A large block is joined band by band: sets that link are in one band or in neighbours, so each set is in two of them.
+    edges = F.array(*[F.lit(b) for b in bands(num, den)])
+    band = F.size(F.filter(edges, lambda b: b <= F.col("n")))
+    large = F.col("_weight") > block_shingles
+    spread = members.join(weights, "root").withColumn("_band", F.explode(F.when(large, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
+    heavy = spread.groupBy("root", "_band").agg(F.sum("n").alias("_heavy"))
+    spread = spread.join(heavy, ["root", "_band"]).withColumn("_chunks", F.when(large, F.ceil(F.col("_heavy") / block_shingles)).otherwise(F.lit(1)).cast("long"))
+    spread = spread.withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_chunks") * 2))
     size = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / block_shingles))
-    chunk = F.pmod(F.xxhash64("fp"), F.greatest(F.col("_chunks") * 2, F.lit(1)))
-    # Large blocks: a task for each pair of chunks; the others: a task for several whole blocks.
+    # Small blocks: several in one task.  Large ones: a task for each band, or for each pair of a band's chunks.
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_chunks") * 2 - 1), lambda c: c != F.col("_c"))
-    tasks = F.when(F.col("_chunks") > 1, F.transform(others, lambda c: F.xxhash64(F.col("block"), F.least(c, F.col("_c")), F.greatest(c, F.col("_c"))))).otherwise(F.array(F.pmod(F.xxhash64("block"), F.lit(buckets))))
-    dealt = wanted.withColumn("_c", chunk)
-    texts = hashed.join(dealt.select(key, "text_hash", "block", tasks.alias("tasks")), [key, "text_hash"]).dropDuplicates([key, "text_hash"])
+    pairs = F.transform(others, lambda c: F.xxhash64("root", "_band", F.least(c, F.col("_c")), F.greatest(c, F.col("_c"))))
+    tasks = F.when(~large, F.array(F.pmod(F.xxhash64("root"), F.lit(buckets)))).when(F.col("_chunks") == 1, F.array(F.xxhash64("root", "_band"))).otherwise(pairs)
+    wanted = spread.groupBy(F.col(f"one.{key}").alias(key), F.col("one.text_hash").alias("text_hash"), F.col("root").alias("block")).agg(F.array_distinct(F.flatten(F.collect_list(tasks))).alias("tasks"))
+    dealt = stage(spark, wanted, "wanted")
+    texts = hashed.join(dealt, [key, "text_hash"]).dropDuplicates([key, "text_hash"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, text, SLICE_BYTES):
