@@ -142,11 +142,11 @@ _PV = "p AS (SELECT task_id, round(list_sum(list_transform(range(c, n + 1), lamb
 
 
 @query("WITH " + SQL_ATTEMPTS + ", " + _PV + """, r AS (SELECT *, row_number() OVER (ORDER BY p_value, task_id) AS r, COUNT(*) OVER () AS m FROM p)
-SELECT task_id, p_value, COALESCE(p_value <= (SELECT MAX(p_value) FROM r WHERE p_value <= r / m * 0.05), false) AS reject, round(least(1.0, MIN(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM r""")
+SELECT task_id, p_value, COALESCE(p_value <= (SELECT MAX(p_value) FROM r WHERE p_value <= r / m * 0.05), false) AS reject, round(least(1.0, MIN(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q_value FROM r""")
 def benjamini_hochberg(spark, sf):
     s = fr.rates(attempts(spark, sf), ["task_id"]).where("n_correct > 0")
     p = s.select("task_id", R(st.binomial_tail(F.col("n_correct"), F.col("n_samples"), F.lit(0.25)), 6).alias("p_value"))
-    return st.benjamini_hochberg(p).withColumn("q_value", R("q_value", 6))
+    return st.benjamini_hochberg(p).withColumn("q_value", R("q_value", 9))
 
 
 @query()
