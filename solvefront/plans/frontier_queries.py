@@ -102,9 +102,20 @@ def log_binomial(spark, sf):
     return table(spark, sf, "part").select("p_partkey", R(st.log_binomial(F.col("p_partkey") + F.col("p_size"), F.col("p_size")), 5).alias("v"))
 
 
-@query()
+def _horner_sql(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+_TAIL = lambda p: _horner_sql(f"sqrt(-2 * ln({p}))", st.ACKLAM_C) + " / " + _horner_sql(f"sqrt(-2 * ln({p}))", (*st.ACKLAM_D, 1.0))
+_MIDDLE = _horner_sql("(q * q)", st.ACKLAM_A) + " * q / " + _horner_sql("(q * q)", (*st.ACKLAM_B, 1.0))
+
+
+@query(f"WITH x AS (SELECT p_partkey, p_size / 51.0::DOUBLE AS p, p_size / 51.0::DOUBLE - 0.5 AS q FROM part) SELECT p_partkey, round(CASE WHEN p < 0.02425 THEN {_TAIL('p')} WHEN p <= 1 - 0.02425 THEN {_MIDDLE} ELSE -({_TAIL('(1 - p)')}) END, 8) AS z FROM x")
 def normal_quantile(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", st.normal_quantile(F.col("p_size") / 51.0).alias("z"))
+    return table(spark, sf, "part").select("p_partkey", R(st.normal_quantile(F.col("p_size") / 51.0)).alias("z"))
 
 
 @query("WITH " + SQL_INDEXED + " SELECT task_id, species, MIN(i) AS first_seen_index, arg_min(tokens, i) AS tokens FROM idx WHERE passed GROUP BY ALL")
@@ -123,7 +134,9 @@ def budget_truncation(spark, sf):
     return bu.take_affordable(indexed(attempts(spark, sf)), ["task_id"], ["i"], "tokens", F.lit(5000)).select("task_id", "i", "spent", "exhausted")
 
 
-@query()
+@query("WITH " + SQL_INDEXED + """, c AS (SELECT task_id, list(tokens::DOUBLE ORDER BY i) AS c FROM idx GROUP BY 1),
+r AS (SELECT task_id, list_reduce(list_transform(c, lambda x: {'s': x, 't': 0::BIGINT, 'r': 0::BIGINT}), lambda a, x: {'s': CASE WHEN a.s + x.s <= 5000 THEN a.s + x.s ELSE a.s END, 't': CASE WHEN a.s + x.s <= 5000 THEN a.t + 1 ELSE a.t END, 'r': CASE WHEN a.s + x.s <= 5000 THEN a.r ELSE a.r + 1 END}, {'s': 0.0::DOUBLE, 't': 0::BIGINT, 'r': 0::BIGINT}) AS x FROM c)
+SELECT task_id, x.s AS spent, x.t AS taken, x.r AS refused FROM r""")
 def budget_reject_and_continue(spark, sf):
     return bu.charge_in_order(indexed(attempts(spark, sf)), ["task_id"], "i", "tokens", 5000.0)
 
@@ -217,9 +230,15 @@ def ci_coverage_simulation(spark, sf):
     return si.ci_coverage(spark, n=100, replicates=100)
 
 
-@query()
+_ZIPF = [1.0 / (i + 1) for i in range(12)]
+_CUMULATIVE = [sum(_ZIPF[: i + 1]) / sum(_ZIPF) for i in range(11)]
+
+
+@query(f"""WITH d AS (SELECT id // 150 AS rep, len(list_filter({_CUMULATIVE!r}::DOUBLE[], lambda c: ('0x' || substr(md5('chao:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE > c)) AS s FROM range(30000) t(id)),
+k AS (SELECT rep, s, COUNT(*) AS k FROM d GROUP BY ALL), e AS (SELECT rep, COUNT(*) AS o, COUNT(*) FILTER (k = 1) AS f1, COUNT(*) FILTER (k = 2) AS f2 FROM k GROUP BY 1), v AS (SELECT *, o + f1 * (f1 - 1) / (2.0::DOUBLE * (f2 + 1)) AS e FROM e)
+SELECT COUNT(*) AS replicates, round(AVG(o), 6) AS mean_observed, round(AVG(e), 6) AS mean_estimate, round(AVG((e <= 12 + 1e-9)::INT), 6) AS not_above_truth, round(AVG((e >= o - 1e-9)::INT), 6) AS at_least_observed FROM v""")
 def chao1_lower_bound_simulation(spark, sf):
-    return si.chao1_lower_bound(spark)
+    return si.chao1_lower_bound(spark).select("replicates", *[R(c, 6).alias(c) for c in ("mean_observed", "mean_estimate", "not_above_truth", "at_least_observed")])
 
 
 @query()

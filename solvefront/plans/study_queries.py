@@ -190,7 +190,7 @@ def op_counts(spark, sf):
     return m.select("user_id", F.explode("op_counts").alias("op", "n"))
 
 
-@query()
+@query("SELECT op, class, rationale, contested FROM (VALUES " + ", ".join(f"('{op}', '{kind}', 'built in', {str(op in tr.CONTESTED).lower()})" for kind, ops in (("preserving", tr.PRESERVING), ("expanding", tr.EXPANDING)) for op in ops) + ") v(op, class, rationale, contested)")
 def operation_registry(spark, sf):
     return tr.registry(spark)
 
@@ -255,7 +255,7 @@ def merged_traces(spark, sf):
     return tr.merge_traces(_trace(spark, sf).withColumn("sub", F.col("op")), ["user_id"]).select("user_id", F.col("seq").cast("bigint").alias("seq"), "op")
 
 
-@query()
+@query("WITH f AS (SELECT DISTINCT role AS arm, conv_id, turn FROM conversations) SELECT arm, COUNT(*) AS files, COUNT(*) FILTER (turn % 3 < 2) AS emitted, COUNT(*) FILTER (turn % 3 = 0) AS parses, COUNT(*) FILTER (turn % 3 = 0) AS runnable FROM f GROUP BY 1")
 def prose_calls(spark, sf):
     body = F.when(F.col("turn") % 3 == 0, F.lit('```json\n{"name": "editor", "arguments": {"command": "create", "path": "a", "file_text": "x"}}\n```')).when(F.col("turn") % 3 == 1, F.lit('{"name": "bash", broken}')).otherwise(F.col("text"))
     return tr.prose_calls(table(spark, sf, "conversations").select(F.col("role").alias("arm"), F.concat_ws("-", "conv_id", "turn").alias("file"), body.alias("text")))
@@ -320,7 +320,7 @@ def suite_hash(spark, sf):
     return se.suite_hash(_splits(spark, sf), ["family"])
 
 
-@query()
+@query("""SELECT p_partkey, sha256('{"entry_point": "f", "family": "' || p_brand || '", "prompt": "' || p_name || '", "public_tests": "p", "setup": "", "task_id": "' || p_partkey || '", "tests": "t"}') AS hash FROM part""")
 def content_hash(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.struct(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("family"), F.col("p_name").alias("prompt"), F.lit("t").alias("tests"), F.lit("p").alias("public_tests"), F.lit("f").alias("entry_point"), F.lit("").alias("setup")).alias("t"))
     return p.select("p_partkey", co.content_hash_udf("t").alias("hash"))
