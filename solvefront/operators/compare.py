@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,3 +150,15 @@ def thompson_parameters(nodes: DataFrame, utility: str = "mean_utility", evals:
     kept = finite.crossJoin(F.broadcast(some)).where((F.col("_any") == 0) | (F.col(utility) > 0)).drop("_any")  # one row against all
     total = F.aggregate(evals, F.lit(0.0), lambda a, x: a + x)
     return kept.withColumn("alpha", total + 1).withColumn("beta", F.size(evals) - total + 1)
+
+
+def thompson_draw(posteriors: DataFrame, node: str, seed: int = 0) -> DataFrame:
+    """Add theta, a draw from each node's posterior seeded by the node, and ``chosen`` on the largest; ties by hash of the node."""
+    @F.pandas_udf("double")
+    def draw(name: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
+        seeds = [np.random.default_rng([seed, *str(n).encode()]) for n in name]
+        return pd.Series([g.beta(a, b) for g, a, b in zip(seeds, alpha, beta, strict=True)])
+
+    drawn = posteriors.withColumn("theta", draw(F.col(node), "alpha", "beta"))
+    best = drawn.agg(F.max_by(F.col(node), F.struct("theta", -F.xxhash64(node))).alias("_best"))
+    return drawn.crossJoin(F.broadcast(best)).withColumn("chosen", F.col(node) == F.col("_best")).drop("_best")  # one row against all

@@ -212,3 +212,20 @@ def test_simulations(spark):
 def test_exact_draw_is_stable():
     assert simulate.mock_draw(0, "m", "t", 0.5, 1, 0.5, [1.0, 2.0]) == simulate.mock_draw(0, "m", "t", 0.5, 1, 0.5, [1.0, 2.0])
     assert simulate.mock_draw(0, "m", "t", 0.5, 1, 0.0, [1.0]) == (False, -1)
+
+
+def test_thompson(spark):
+    schema = "id string, mean_utility double, evals array<double>"
+    some = spark.createDataFrame([("a", 0.0, [0.0, 0.0]), ("b", 0.9, [1.0, 1.0, 0.0]), ("c", float("nan"), [1.0])], schema)
+    post = compare.thompson_parameters(some).collect()
+    assert [(r.id, r.alpha, r.beta) for r in post] == [("b", 3.0, 2.0)]
+    none = spark.createDataFrame([("a", 0.0, [0.0, 0.0]), ("d", 0.0, [0.0])], schema)
+    drawn = compare.thompson_draw(compare.thompson_parameters(none), "id").collect()
+    assert {r.id for r in drawn} == {"a", "d"} and sum(r.chosen for r in drawn) == 1
+    assert max(drawn, key=lambda r: r.theta).chosen
+
+
+def test_broken_tasks_and_timeouts(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "task_id string")
+    got = {r.task_id: r.timeout_s for r in readers.without_broken(df, ["b"], {"c": 60.0}).collect()}
+    assert got == {"a": 20.0, "c": 60.0}
