@@ -42,6 +42,7 @@ SLACK = 0.12
 SLICE_BYTES = 2 << 20
 SEEN = 500_000
 REPS = 32
+FILTER_BITS = 1 << 26
 BLOCK_SHINGLES = 2_000_000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
@@ -341,12 +342,22 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     tasks = F.when(~large, F.array(F.pmod(F.xxhash64("root"), F.lit(buckets)))).when(F.col("_chunks") == 1, F.array(F.xxhash64("root", "_band"))).otherwise(pairs)
     wanted = spread.groupBy(F.col(f"one.{key}").alias(key), F.col("one.text_hash").alias("text_hash"), F.col("root").alias("block")).agg(F.array_distinct(F.flatten(F.collect_list(tasks))).alias("tasks"))
     dealt = stage(spark, wanted, "wanted")
-    texts = hashed.join(dealt, [key, "text_hash"]).dropDuplicates([key, "text_hash"])
+
+    # Only texts that may be wanted are cut into sets again: a bitmap of fixed size, summed on the executors, says which.
+    bit = F.pmod(F.xxhash64(key, "text_hash"), F.lit(FILTER_BITS))
+    marks = dealt.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).toArrow()
+    marked = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, x in zip(marks.column("bucket").to_pylist(), marks.column("bits").to_pylist(), strict=True):
+        marked[k * 4096 : (k + 1) * 4096] = np.frombuffer(x, np.uint8)
+    sent = spark.sparkContext.broadcast(marked)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(batches, text, SLICE_BYTES):
-            sets = shingle_sets(_texts(b.column(0)), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["block", "tasks", "fp", "shingles"])
+        for whole in batches:
+            at = whole.column(3).to_numpy()
+            some = whole.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for b in rows_of(iter([some]), text, SLICE_BYTES):
+                sets = shingle_sets(_texts(b.column(2)), shingle)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "text_hash", "fp", "shingles"])
 
     def link(t: pa.Table) -> pa.Table:
         by_block: dict[int, list[int]] = {}
@@ -362,7 +373,8 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
                     b.append(fps[own[r]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    ready = texts.select(text, "block", "tasks").mapInArrow(sets_of, "block long, tasks array<long>, fp binary, shingles binary")
+    cut = hashed.where(F.col(key).isNotNull()).select(key, "text_hash", text, bit.alias("bit")).mapInArrow(sets_of, f"`{key}` {kind}, text_hash long, fp binary, shingles binary")
+    ready = cut.join(dealt, [key, "text_hash"]).dropDuplicates([key, "text_hash"])
     links = ready.withColumn("task", F.explode("tasks")).select("block", "fp", "shingles", "task").groupBy("task").applyInArrow(link, "a binary, b binary")
     roots = connected_components(spark, stage(spark, links, "links"), name="linked")
     placed = classes.select("fp", F.col(f"one.{key}").alias("_k")).join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "_k")
