@@ -302,7 +302,7 @@ def split_filter(spark, sf):
 @query()
 def split_assignment_blake2(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("task_id"), F.col("p_brand").alias("family"))
-    return se.assign_splits(p, co.blake2_unit_column(F.col("task_id"), "cbs-v1"), train=0.6, held_out=0.2)
+    return se.assign_splits(p, co.blake2_unit_column(F.col("task_id"), "split-1"), train=0.6, held_out=0.2)
 
 
 _TASKS = f"tasks AS (SELECT p_partkey::VARCHAR AS task_id, sha256(p_name) AS hash, {_SPLIT} AS split, p_brand, p_partkey, p_size FROM part)"

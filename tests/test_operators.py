@@ -1,5 +1,6 @@
 """Rules of the operators on small literal tables."""
 
+import hashlib
 import json
 import random
 
@@ -118,11 +119,13 @@ def test_manifest_diff(spark):
     assert {tuple(r) for r in selection.manifest_diff(frozen, now).collect()} == {("a", "missing"), ("b", "changed_hash"), ("c", "changed_split"), ("d", "added")}
 
 
-def test_toy_split_golden():
-    ratio = lambda t: (u := co.blake2_unit(t, "cbs-v1"))  # noqa: E731, F841
-    units = {t: ratio(t) for t in simulate.TOY}
-    train = {"toy/is_palindrome", "toy/count_vowels", "toy/gcd", "toy/impossible_parity"}
-    assert max(units[t] for t in train) < min(units[t] for t in simulate.TOY if t not in train)
+def test_blake2_unit(spark):
+    digest = hashlib.blake2b(b"salt\0toy/gcd", digest_size=8).digest()
+    assert co.blake2_unit("toy/gcd", "salt") == int.from_bytes(digest, "little") / 2**64
+    df = spark.createDataFrame([(f"t{i}", "f" if i % 5 else "moved") for i in range(400)], "task_id string, family string")
+    rows = selection.assign_splits(df, co.blake2_unit_column(F.col("task_id"), "salt"), train=0.6, held_out=0.2, transfer_families=["moved"]).collect()
+    assert {r.split for r in rows if r.family == "moved"} == {"transfer"}
+    assert 0.5 < sum(r.split == "train" for r in rows if r.family == "f") / 320 < 0.7
 
 
 def test_literals(spark):
