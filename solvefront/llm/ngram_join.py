@@ -10,8 +10,9 @@
    segment is among those of both.  Sets that share a segment's content are
    joined to chains; the chains' components are the blocks.  A shared passage
    or a frequent shingle alone does not join two sets.
-3. Each block is joined through a trie of its sets, most frequent shingles
-   first, so near copies share long paths.  A traversal carries the overlap of
+3. Within a block, sets are grouped by their rarest shingles, counted in the
+   block, and each group is joined through a trie of its sets, most frequent
+   shingles first, so near copies share long paths.  A traversal carries the overlap of
    a path, shared by all sets below it, and leaves a subtree when the lengths
    that remain cannot reach the overlap needed, or when all sets below are
    already in the asking set's component.  A block too large for one task is
@@ -262,21 +263,52 @@ class TrieJoin:
             node, at = child, at + k
 
 
+def prefix_groups(ranks: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[list[int]]:
+    """Sets that share one of their rarest shingles, directly or through others, in groups of two or more.
+
+    ranks: each set's places in an order with rare shingles last, ascending.
+    A set of n links only to sets that share one of its n - ceil(n num / den) + 1
+    rarest shingles, the same holds for the other set, so links stay within groups.
+    """
+    sizes = np.array([len(r) for r in ranks])
+    kept = sizes - (sizes * num + den - 1) // den + 1
+    tokens = np.concatenate([r[len(r) - k :] for r, k in zip(ranks, kept.tolist(), strict=True)])
+    owner = np.repeat(np.arange(len(ranks)), kept)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    meet = np.nonzero(tokens[1:] == tokens[:-1])[0]
+    parent = list(range(len(ranks)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in np.unique(np.stack([owner[meet], owner[meet + 1]], axis=1), axis=0).tolist():
+        parent[find(b)] = find(a)
+    groups: dict[int, list[int]] = {}
+    for x in range(len(ranks)):
+        groups.setdefault(find(x), []).append(x)
+    return [g for g in groups.values() if len(g) > 1]
+
+
 def join_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[int]:
-    """Component of each set (index of one of its members), by the trie join."""
+    """Component of each set (index of one of its members): prefix groups by the block's own counts, a trie join in each."""
     every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     by_count = np.lexsort((every, -count))
     rank = np.empty(len(every), np.int64)
     rank[by_count] = np.arange(len(every))
     ends = np.cumsum([len(x) for x in sets])
-    ordered = [np.sort(x).tolist() for x in np.split(rank[place], ends[:-1])]  # a shingle's rank stands for it
-    trie = TrieJoin(num, den)
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    for i in order:
-        trie.add(ordered[i])
-    roots = [0] * len(sets)
-    for k, i in enumerate(order):
-        roots[i] = order[trie.find(k)]
+    ordered = [np.sort(x) for x in np.split(rank[place], ends[:-1])]  # a shingle's rank stands for it, frequent ones first
+    roots = list(range(len(sets)))
+    for group in prefix_groups(ordered, num, den):
+        trie = TrieJoin(num, den)
+        group.sort(key=lambda i: len(sets[i]))
+        for i in group:
+            trie.add(ordered[i].tolist())
+        for k, i in enumerate(group):
+            roots[i] = group[trie.find(k)]
     return roots
 
 
