@@ -6,10 +6,13 @@ Krichevsky-Trofimov estimate is mixed half and half with the product of its
 children, down the tree; as the estimate of a block depends on counts alone,
 the weights of the whole corpus follow from its (depth + 1)-byte counts.
 
-The tree keeps contexts that hold at least ``min_share`` of the training
-bytes, so at most 1 / min_share contexts a depth whatever the corpus; a node's
-other children are one more child, which pools them.  This bounds what is
-collected and broadcast without leaving a byte out of the counts.
+Contexts seen ``min_count`` times or more are kept, however many there are; a
+node's other children are one more child, which pools them.  The tree is never
+in one place: grams are dealt by the latest ``SPLIT`` bytes of their context
+and sorted, so each task holds whole subtrees and sums their block weights; the
+levels above (as many contexts as pairs of bytes occur) are mixed on the driver
+and broadcast.  Each distinct gram is scored once, and texts meet the scores of
+their grams batch by batch.
 
 Texts are scored with the frozen predictive mixture.  Each text starts after
 ``depth`` separators (byte 255, which UTF-8 never uses) and ends with one.
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 from solvefront.llm.common import rows_of, stage
 
 DEPTH = 5
-MIN_SHARE = 2.0**-15
+MIN_COUNT = 2
+#: Levels from here down are built where the grams are.
+SPLIT = 3
 TOP_SHARE = 2.0**-17
 SEPARATOR = 255
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 32 << 20
+CHUNK = 200_000
 FLUSH = 150_000
-FLUSH_GRAMS = 1_500_000
+HELD_GRAMS = 1_500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -54,47 +61,91 @@ def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return buf, at, starts
 
 
-def corpus_statistics(df: DataFrame, text: str = "text", *, depth: int = DEPTH) -> DataFrame:
-    """Partial counts (code, word, n): (depth + 1)-byte grams as integers, words as bytes, an empty word per text end.
+def _codes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """(depth + 1)-byte grams as integers: the context's latest byte highest, the symbol lowest."""
+    code = np.zeros(len(at), np.int64)
+    for d in [*range(1, depth + 1), 0]:
+        code = (code << 8) | buf[at - d]
+    return code
 
-    Sums per partition, so few rows a partition leave it; the caller adds them up.
-    """
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Partial counts (word, c): words as bytes, an empty word per text end; the caller adds them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted codes and their counts, slice by slice
 
-        def put_grams():
-            codes, counts = merge_counts(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.nulls(len(codes), pa.binary()), pa.array(counts)], names=["code", "word", "n"])
-
-        def put_words():
-            return pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["code", "word", "n"])
+        def put():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
 
         for b in rows_of(batches, text, SLICE_BYTES):
-            texts = _bytes(b.column(0))
-            for t in texts:
+            for t in _bytes(b.column(0)):
                 found.update(t.split())
                 found[b""] += 1
                 if len(found) > FLUSH:
-                    yield put_words()
+                    yield put()
                     found.clear()
-            buf, at, _ = _stream(texts, depth)
-            code = np.zeros(len(at), np.uint64)
-            for d in range(depth, -1, -1):
-                code = (code << np.uint64(8)) | buf[at - d]
-            held.append(np.unique(code, return_counts=True))
-            if sum(len(c) for c, _ in held) > 2 * FLUSH_GRAMS:
-                held[:] = [merge_counts(held)]
-                if len(held[0][0]) > FLUSH_GRAMS:
-                    yield put_grams()
-        if held:
-            yield put_grams()
         if found:
-            yield put_words()
+            yield put()
+
+    return df.select(text).mapInArrow(run, "word binary, c long")
+
+
+def batched(df: DataFrame, is_training: Column, key: str, text: str) -> DataFrame:
+    """(batch, uid, key, text, train): rows numbered, in batches of about ``BATCH_BYTES``."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = TaskContext.get().partitionId() << 40
+        uid, used = start, 0
+        for b in rows_of(batches, "text", SLICE_BYTES):
+            n = b.num_rows
+            batch = start + used // BATCH_BYTES
+            used += b.column(1).nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), pa.array(np.arange(uid, uid + n)), *b.columns], names=["batch", "uid", "key", "text", "train"])
+            uid += n
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
+    return rows.mapInArrow(run, f"batch long, uid long, key {kind}, text string, train boolean")
+
+
+def batch_grams(rows: DataFrame, depth: int) -> DataFrame:
+    """(batch, code, n): all grams of a batch with their counts in training texts (0 if only others hold them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def put():
+            codes, counts = merge_counts(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), now)), pa.array(codes), pa.array(counts)], names=["batch", "code", "n"])
+
+        for b in rows_of(batches, "text", SLICE_BYTES):
+            ids = b.column(0).to_numpy()
+            for lo, hi in zip(cuts := [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)], cuts[1:]):
+                if held and ids[lo] != now:
+                    yield put()
+                    held, size = [], 0
+                now = ids[lo]
+                part = b.slice(lo, hi - lo)
+                train = part.column(2).to_numpy(zero_copy_only=False)
+                texts = _bytes(part.column(1))
+                for use in (True, False):
+                    chosen = [t for t, x in zip(texts, train, strict=True) if x == use]
+                    if chosen:
+                        buf, at, _ = _stream(chosen, depth)
+                        codes, counts = np.unique(_codes(buf, at, depth), return_counts=True)
+                        held.append((codes, counts if use else np.zeros(len(codes), np.int64)))
+                        size += len(codes)
+                if size > 2 * HELD_GRAMS:
+                    held = [merge_counts(held)]
+                    size = len(held[0][0])
+                    if size > HELD_GRAMS:
+                        yield put()
+                        held, size = [], 0
+        if held:
+            yield put()
 
-    return df.select(text).mapInArrow(run, "code long, word binary, n long")
+    return rows.select("batch", "text", "train").mapInArrow(run, "batch long, code long, n long")
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +194,7 @@ def symbol_logs(p_one: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ContextTree:
-    """Frozen predictive tree: ``step[node, byte]`` leads to the child, leaves to themselves; ``logs[node, symbol]`` is ln p at a leaf."""
+    """The frozen predictive tree in one place, for small counts: ``step[node, byte]`` leads to the child, leaves to themselves; ``logs[node, symbol]`` is ln p at a leaf."""
 
     depth: int
     step: np.ndarray
@@ -216,21 +267,164 @@ class ContextTree:
         return np.add.reduceat(out, starts)
 
 
-def fit_tree(grams: DataFrame, *, depth: int = DEPTH, min_share: float = MIN_SHARE) -> ContextTree:
-    """From staged (code, n).  At most 256 / min_share rows a depth come to the driver."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    each = F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx")) for d in range(depth + 1)])
-    entries = grams.select(F.explode(each).alias("x"), F.col("code").bitwiseAND(F.lit(255)).alias("sym"), "n").groupBy("x.d", "x.ctx", "sym").agg(F.sum("n").alias("n"))
-    held = entries.groupBy("d", "ctx").agg(F.sum("n").alias("_all")).where((F.col("_all") >= F.lit(total * min_share)) | (F.col("d") == 0)).select("d", "ctx")
-    counts: list[dict[int, np.ndarray]] = [{} for _ in range(depth + 1)]
-    counts[0][0] = np.zeros(256)
-    found = entries.join(held, ["d", "ctx"]).select("d", "ctx", "sym", "n").toArrow()
-    for d, ctx, sym, n in zip(*(found.column(c).to_pylist() for c in ("d", "ctx", "sym", "n")), strict=True):
-        counts[d].setdefault(ctx, np.zeros(256))[sym] = n
-    return ContextTree.fit(counts)
+def _entries(ids: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's group among equal ids, and each group's first row; ``order`` sorts the ids."""
+    ordered = ids[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    group = np.empty(len(ids), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
 
 
-def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: str = "doc_id", text: str = "text", *, depth: int = DEPTH, min_share: float = MIN_SHARE, top_share: float = TOP_SHARE) -> DataFrame:
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def _mix(zeros: np.ndarray, ones: np.ndarray, kept_zeros: np.ndarray, kept_ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From counts, those of kept children and their summed block weights: block weight, share of the own estimate, estimate of the pooled child."""
+    rest = zeros - kept_zeros, ones - kept_ones
+    own, split = log_kt(zeros, ones), below + log_kt(*rest)
+    return np.logaddexp(own, split) - math.log(2), 1 / (1 + np.exp(np.clip(split - own, -700, 700))), _estimate(*rest)
+
+
+def _subtrees(code: np.ndarray, n: np.ndarray, depth: int, low: int, min_count: int, above=None):
+    """Whole subtrees from level ``low`` down; ``code`` is sorted and unique.
+
+    Without ``above``: per entry (context of ``low - 1`` bytes * 256 + node) its
+    zeros, ones, those of kept children and their summed block weights.  With
+    ``above`` (entry ids, probability so far, weight left, pooled estimate): ln
+    p of each row's symbol.  The eight levels of the byte's decision tree do not
+    meet, so each is done alone; a node is 1 and the byte's leading bits.
+    """
+    sym = code & 255
+    levels = range(low, depth + 1)
+    rows = np.arange(len(code))
+    orders, kept = {}, {}
+    for d in levels:
+        ctx = code >> 8 * (depth + 1 - d)
+        orders[d] = rows if d == depth else np.argsort((ctx << 8) | sym, kind="stable")
+        group, _ = _entries(ctx, rows)
+        kept[d] = np.bincount(group, n)[group] >= min_count
+    top = code >> 8 * (depth + 2 - low)
+    top_order = np.argsort((top << 8) | sym, kind="stable")
+    logs, out = np.zeros(len(code)), []
+    for level in range(8):
+        node = (1 << level) | (sym >> (8 - level))
+        one = (sym >> (7 - level)) & 1 == 1
+        made = {}
+
+        def gather(group, size, d):
+            """Counts and block weights of the kept entries of level d by the group their first rows are in."""
+            g, first, zeros, ones, weight = made[d][:5]
+            live = kept[d][first]
+            return [np.bincount(group[first], np.where(live, x, 0.0), size) for x in (zeros, ones, weight)]
+
+        for d in reversed(levels):
+            group, first = _entries(((code >> 8 * (depth + 1 - d)) << 8) | node, orders[d])
+            zeros, ones = np.bincount(group, np.where(one, 0, n), len(first)), np.bincount(group, np.where(one, n, 0), len(first))
+            if d == depth:
+                made[d] = (group, first, zeros, ones, log_kt(zeros, ones), None, None)
+            else:
+                made[d] = (group, first, zeros, ones, *_mix(zeros, ones, *gather(group, len(first), d + 1)))
+        if above is None:
+            ids = (top << 8) | node
+            group, first = _entries(ids, top_order)
+            zeros, ones = np.bincount(group, np.where(one, 0, n), len(first)), np.bincount(group, np.where(one, n, 0), len(first))
+            out.append((ids[first], zeros, ones, *gather(group, len(first), low)))
+            continue
+        i = np.searchsorted(above[0], (top << 8) | node)
+        done, left, rest = (x[i] for x in above[1:])
+        p, going = np.empty(len(code)), np.ones(len(code), bool)
+        for d in levels:
+            stop = going & ~kept[d]
+            p[stop] = (done + left * rest)[stop]
+            going &= kept[d]
+            group, _, zeros, ones, _, stay, pooled = made[d]
+            own = _estimate(zeros, ones)[group]
+            if d == depth:
+                p[going] = (done + left * own)[going]
+            else:
+                done, left, rest = done + left * stay[group] * own, left * (1 - stay[group]), pooled[group]
+        logs += np.log(np.clip(np.where(one, p, 1 - p), 1e-12, 1))
+    return logs if above is not None else [np.concatenate(x) for x in zip(*out)]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], depth: int, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (code, n) in arrays of ``CHUNK`` rows or more, cut between contexts of ``low`` bytes."""
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, want = 0, CHUNK
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size < want:
+            continue
+        code, n = (np.concatenate(x) for x in zip(*held))
+        ctx = code >> 8 * (depth + 1 - low)
+        cut = int(np.searchsorted(ctx, ctx[-1]))
+        if cut:
+            yield code[:cut], n[:cut]
+        held = [(code[cut:], n[cut:])]
+        size = len(code) - cut
+        want = max(CHUNK, 2 * size)
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _upper_levels(ids, zeros, ones, kept_zeros, kept_ones, below, low: int, min_count: int):
+    """Mix the levels above ``low``: entry ids of level low - 1, probability so far, weight left, estimate of the pooled child."""
+    made = []
+    for d in range(low - 1, -1, -1):
+        weight, stay, pooled = _mix(zeros, ones, kept_zeros, kept_ones, below)
+        root = ids & 255 == 1
+        seen = (zeros + ones)[root]
+        live = seen[np.searchsorted((ids >> 8)[root], ids >> 8)] >= min_count if d else np.ones(len(ids), bool)
+        up = ((ids >> 16) << 8) | (ids & 255)
+        made.append((ids, zeros, ones, stay, pooled, live, up))
+        ids, parent = np.unique(up, return_inverse=True)
+        total = lambda x, on=None: np.bincount(parent, x if on is None else np.where(on, x, 0.0), len(ids))  # noqa: E731, B023
+        zeros, ones, kept_zeros, kept_ones, below = total(zeros), total(ones), total(zeros, live), total(ones, live), total(weight, live)
+    at = None
+    for ids, zeros, ones, stay, pooled, live, up in reversed(made):
+        if at is None:
+            done, left, rest = np.zeros(len(ids)), np.ones(len(ids)), pooled
+        else:
+            i = np.searchsorted(at[0], up)
+            done, left, rest = (x[i] for x in at[1:])
+        at = (
+            ids, np.where(live, done + left * stay * _estimate(zeros, ones), done + left * rest),
+            np.where(live, left * (1 - stay), 0.0), pooled,
+        )
+    return at
+
+
+def gram_logs(spark: SparkSession, grams: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
+    """(code, ln_p): the predictive mixture at each gram, from staged (code, n); n may be 0.
+
+    Twice over the same sorted grams: bottom-up to what the upper levels need,
+    which is at most 255 rows a pair of bytes, and top-down from their result.
+    """
+    low = min(SPLIT, depth)
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n in _chunks(batches, depth, low):
+            found = _subtrees(code, n, depth, low, min_count)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "zeros", "ones", "kept_zeros", "kept_ones", "below"])
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n in _chunks(batches, depth, low):
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(_subtrees(code, n, depth, low, min_count, above.value))], names=["code", "ln_p"])
+
+    dealt = grams.select("code", "n").repartition(F.shiftright("code", 8 * (depth + 1 - low))).sortWithinPartitions("code")
+    sums = ["zeros", "ones", "kept_zeros", "kept_ones", "below"]
+    parts = dealt.mapInArrow(up, "id long, zeros double, ones double, kept_zeros double, kept_ones double, below double")
+    table = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in sums]).toArrow().sort_by("id")
+    upper = [table.column(c).to_numpy() for c in ["id", *sums]]
+    above = spark.sparkContext.broadcast(_upper_levels(*upper, low, min_count) if len(upper[0]) else None)
+    return dealt.mapInArrow(down, "code long, ln_p double")
+
+
+def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: str = "doc_id", text: str = "text", *, depth: int = DEPTH, min_count: int = MIN_COUNT, top_share: float = TOP_SHARE) -> DataFrame:
     """Add n_bytes, score (log10), bits_per_byte, and the smoothed word unigram base: n_tokens, n_known, train_tokens, base_score.
 
     A-Z count as lower case.  Null texts are empty: one end token.  Words that
@@ -240,42 +434,53 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
     the tree predicts evenly and every word is unknown.  Repeated rows are
     scored each; an empty table stays empty; a null key is as good as any.
     """
-    train = stage(spark, corpus_statistics(df.where(is_training), text, depth=depth), "partial-counts")
-    grams = stage(spark, train.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    vocabulary = stage(spark, train.where("code is null").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    rows = stage(spark, batched(df, is_training, key, text), "batched")
+    held = stage(spark, batch_grams(rows, depth), "batch-grams")
+    grams = stage(spark, held.groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    logs_of = stage(spark, gram_logs(spark, grams, depth=depth, min_count=min_count), "gram-logs")
+    looked_up = held.select("batch", "code").join(logs_of, "code")
+    vocabulary = stage(spark, word_counts(rows.where("train")).groupBy("word").agg(F.sum("c").alias("c")), "words")
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = vocabulary.where(F.col("c") >= F.lit(max(1.0, tokens * top_share)))
     listed = frequent.toArrow()
     top = dict(zip(listed.column("word").to_pylist(), listed.column("c").to_pylist(), strict=True))
-    model = spark.sparkContext.broadcast((fit_tree(grams, depth=depth, min_share=min_share), top))
+    known_words = spark.sparkContext.broadcast(top)
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"uid long, `{key}` {kind}, n_bytes long, score double, n_tokens long, _known long, _base double, words array<binary>, counts array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = model.value
-        logs = {w: math.log10(c + 0.5) for w, c in known.items()}
-        uid = TaskContext.get().partitionId() << 40
-        for b in rows_of(batches, text, SLICE_BYTES):
-            texts = _bytes(b.column(1))
+    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
+        logs = {w: math.log10(c + 0.5) for w, c in known_words.value.items()}
+        codes, ln_p = found.column("code").to_numpy(), found.column("ln_p").to_numpy()
+        order = np.argsort(codes)
+        codes, ln_p = codes[order], ln_p[order]
+        del found, order
+        out = []
+        for b in rows_of(iter(docs.select(["uid", "key", "text"]).to_batches()), "text", SLICE_BYTES):
+            texts = _bytes(b.column(2))
+            buf, at, starts = _stream(texts, depth)
+            wanted = _codes(buf, at, depth)
+            order = np.argsort(wanted)  # neighbours in the table are searched one after another
+            each = np.empty(len(wanted))
+            each[order] = ln_p[np.searchsorted(codes, wanted[order])]
+            scores = np.add.reduceat(each, starts)
             n_tokens, n_known, base, rest, rest_n = [], [], [], [], []
             for t in texts:
-                found = Counter(t.split())
-                found[b""] += 1
-                near = [(w, n) for w, n in found.items() if w in logs]
-                n_tokens.append(found.total())
+                words = Counter(t.split())
+                words[b""] += 1
+                near = [(w, n) for w, n in words.items() if w in logs]
+                n_tokens.append(words.total())
                 n_known.append(sum(n for _, n in near))
                 base.append(math.fsum(n * logs[w] for w, n in near))
-                far = [(w, n) for w, n in found.items() if w not in logs]
+                far = [(w, n) for w, n in words.items() if w not in logs]
                 rest.append([w for w, _ in far])
                 rest_n.append([n for _, n in far])
-            ids = pa.array(np.arange(uid, uid + len(texts)))
-            uid += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [ids, b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tree.score(texts) / math.log(10)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64()))],
+            out.append(pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(scores / math.log(10)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64()))],
                 names=["uid", key, "n_bytes", "score", "n_tokens", "_known", "_base", "words", "counts"],
-            )
+            ))
+        return pa.Table.from_batches(out)
 
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"uid long, `{key}` {kind}, n_bytes long, score double, n_tokens long, _known long, _base double, words array<binary>, counts array<long>"
-    scored = stage(spark, df.select(key, text).mapInArrow(run, schema), "scored")
+    scored = stage(spark, rows.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(score, schema), "scored")
     tail = scored.select("uid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     joined = tail.join(vocabulary, "word", "left")
     sums = joined.groupBy("uid").agg(

@@ -358,6 +358,32 @@ def test_scores(spark, docs, empty):
     assert untrained.n_known == 0 and untrained.score == pytest.approx(-10 * 8 * math.log10(2), rel=1e-5)
 
 
+def whole_tree(texts, depth=ctw.DEPTH, min_count=ctw.MIN_COUNT):
+    """The tree of all contexts seen ``min_count`` times, in one place."""
+    counts = [{} for _ in range(depth + 1)]
+    counts[0][0] = np.zeros(256)
+    buf, at, _ = ctw._stream(texts, depth)
+    for i in at.tolist():
+        for d in range(depth + 1):
+            counts[d].setdefault(int.from_bytes(bytes(buf[i - d : i]), "big"), np.zeros(256))[buf[i]] += 1
+    return ctw.ContextTree.fit([{c: n for c, n in x.items() if not d or n.sum() >= min_count} for d, x in enumerate(counts)])
+
+
+def test_rare_contexts_count_however_large_the_corpus(spark, monkeypatch):
+    """A passage seen three times in 170 kB, less than 2^-15 of the bytes, is predicted as the whole tree does."""
+    monkeypatch.setattr(ctw, "CHUNK", 1000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 120))) for i in range(300)]
+    rows += [(1000 + i, "zyxq jvkw qqxz") for i in range(3)] + [(2000, "zyxq jvkw qqxz"), (2001, "zyqq unseen é"), (2002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ctw.score_corpus(spark, df, F.col("doc_id") < 2000).collect()}
+    tree = whole_tree([low(t) for i, t in rows if i < 2000])
+    expected = tree.score([low(t) for _, t in rows]) / math.log(10)
+    assert [got[i] for i, _ in rows] == pytest.approx(list(expected), rel=1e-4)
+    cut = whole_tree([low(t) for i, t in rows if i < 2000], min_count=2.0**-15 * sum(len(low(t)) + 1 for i, t in rows if i < 2000))
+    assert got[2000] > cut.score([low(rows[-3][1])])[0] / math.log(10) + 1
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 10.0, 1e6])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
