@@ -20,8 +20,9 @@ REJECT_BELOW = 0.5
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the line frequencies of their source reject."""
-    return quality_rules.judge(spark, docs).where("kept").select(docs.columns)
+    """Documents that neither the base rules nor the line frequencies of their source reject, without their frequent lines."""
+    kept = quality_rules.clean(spark, docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

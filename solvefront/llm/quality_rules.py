@@ -121,17 +121,23 @@ def frequent_lines(spark: SparkSession, df: DataFrame, host: str = "source", tex
     return stage(spark, kept.select("line", "documents"), "frequent")
 
 
-def depleted_documents(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, min_left: float = MIN_LEFT, **limits) -> DataFrame:
-    """(_host, document) of texts that keep less than ``min_left`` of their words once frequent lines are removed."""
+def cut_documents(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """(_host, document, cut, depleted) of texts with frequent lines: their hashes, and whether less than ``min_left`` of the words is left without them."""
     frequent = frequent_lines(spark, df, host, text, **limits).select("line", F.lit(True).alias("_cut"))
     marked = _lines(df, host, text).join(frequent, "line", "left")
     left = F.sum("words") - F.sum(F.when(F.col("_cut"), F.col("words")).otherwise(F.lit(0)))
-    sums = marked.groupBy("_host", "document").agg(F.sum("words").alias("_all"), left.alias("_left"))
-    return sums.where(F.col("_left") < F.col("_all") * F.lit(float(min_left))).select("_host", "document")
+    sums = marked.groupBy("_host", "document").agg(F.sum("words").alias("_all"), left.alias("_left"), F.collect_set(F.when(F.col("_cut"), F.col("line"))).alias("cut"))
+    return sums.where(F.size("cut") > 0).select("_host", "document", "cut", (F.col("_left") < F.col("_all") * F.lit(float(min_left))).alias("depleted"))
+
+
+def _without(text: Column, host: Column, cut: Column) -> Column:
+    """The text without its lines whose hashes are in ``cut``; the others stay as they are, in order."""
+    seed = F.coalesce(host, F.lit("\0"))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut, F.xxhash64(seed, normal_line(x)))), "\n")
 
 
 def judge(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """Add the statistics and ``kept``: neither failed by the base rules nor depleted.
+    """Add the statistics and ``kept``: neither failed by the base rules nor depleted; and ``cleaned``: the text without frequent lines.
 
     Rows with a null host form a host of their own.  Null, empty and wordless
     texts fail the base rules.  Repeated rows get equal verdicts.  An empty
@@ -139,12 +145,20 @@ def judge(spark: SparkSession, df: DataFrame, host: str = "source", text: str =
     added ones are replaced.  The verdicts per text are staged, so the planner
     knows their size and broadcasts them only below its threshold.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"]
     rest = df.drop(*made)
-    gone = stage(spark, depleted_documents(spark, rest, host, text, **limits), "depleted").select(F.col("_host").alias("_gone_host"), F.col("document").alias("_gone"))
+    found = stage(spark, cut_documents(spark, rest, host, text, **limits), "cut").select(F.col("_host").alias("_cut_host"), F.col("document").alias("_cut_document"), "cut", "depleted")
     hashed = with_statistics(rest.withColumn("_document", F.xxhash64(text)), text)
-    joined = hashed.join(gone, (F.col("_document") == F.col("_gone")) & F.col(host).eqNullSafe(F.col("_gone_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_document", "_gone", "_gone_host")
+    joined = hashed.join(found, (F.col("_document") == F.col("_cut_document")) & F.col(host).eqNullSafe(F.col("_cut_host")), "left")
+    cleaned = F.when(F.col("cut").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(host), F.col("cut")))
+    verdict = joined.withColumns({"kept": ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)), "cleaned": cleaned})
+    return verdict.drop("_document", "_cut_document", "_cut_host", "cut", "depleted")
+
+
+def clean(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The kept documents, in the columns of ``df``, with frequent lines removed from their text."""
+    kept = judge(spark, df, host, text, **limits).where("kept")
+    return kept.select([F.col("cleaned").alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 ORACLE = r"""

@@ -167,6 +167,20 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(60)) and all(got[200 + i] for i in range(40))
 
 
+def test_frequent_lines_are_removed(spark):
+    """Documents that keep most words stay, without the menu line; other lines, blank ones included, as they were."""
+    import corpus_pipeline
+
+    own = lambda i: "\n".join(" ".join(f"U{i}x{j}k{k}" for k in range(10)) for j in range(6))
+    rows = [(i, f"{own(i)}\n\n  Home |  News\n{own(i + 500)}", "en", "h", 0) for i in range(40)]
+    rows += [(100, f"{own(900)}\nhome | news\n{own(901)}", "en", "other", 0)]
+    df = spark.createDataFrame(rows, DOCS + ", n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.quality_rules_stage(spark, df, "").collect()}
+    assert len(got) == 41 and got[100].text == rows[-1][1]
+    for i in range(40):
+        assert got[i].text == f"{own(i)}\n\n{own(i + 500)}" and got[i].n_chars == len(got[i].text)
+
+
 # --- n-gram join ---------------------------------------------------------------------------------------------
 
 
