@@ -408,6 +408,12 @@ def canonical_text(spark, sf):
     return table(spark, sf, "documents").where(~F.contains("text", F.lit("#"))).select("doc_id", tx.canonical_text(F.col("text")).alias("canon"))
 
 
+@query()
+def canonical_text_whole(spark, sf):
+    """All documents, those with comments too; the SQL of canonical_text leaves them out."""
+    return table(spark, sf, "documents").select("doc_id", tx.canonical_text(F.col("text")).alias("canon"))
+
+
 @query()
 def entry_points(spark, sf):
     t = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("assert f"), (F.col("p_size") % 4).cast("string"), F.lit("(1) == 2\nassert g(2) == 3\nassert g(3) == 4")).alias("t"))

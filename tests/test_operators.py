@@ -232,3 +232,19 @@ def test_broken_tasks_and_timeouts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "task_id string")
     got = {r.task_id: r.timeout_s for r in readers.without_broken(df, ["b"], {"c": 60.0}).collect()}
     assert got == {"a": 20.0, "c": 60.0}
+
+
+def test_whole_canonical_text(spark, tiny):
+    """Every document, comments removed unless a quote stands before the sign."""
+    import re
+
+    import __spark_entry__ as entry_module
+
+    def canon(text):
+        lines = (re.sub(r"[ \t\n\x0b\f\r]+$", "", re.sub(r"(?<!['\"])#.*$", "", x)) for x in re.split(r"\r\n|\r|\n", text))
+        return "\n".join(x for x in lines if x)
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = {r.doc_id: r.canon for r in entry_module.queries()["canonical_text_whole"](spark, tiny).collect()}
+    assert any("#" in (t or "") for t in docs.values())
+    assert got == {i: None if t is None else canon(t) for i, t in docs.items()}
