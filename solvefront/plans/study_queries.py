@@ -88,6 +88,13 @@ def hard_coded_literals(spark, sf):
     return cm.hard_coded(table(spark, sf, "documents").select("doc_id", F.col("text").alias("source_excerpt")), lits).select("doc_id", "literal")
 
 
+@query()
+def hard_coded_literals_whole(spark, sf):
+    """Benchmark texts that stand whole in a document."""
+    lits = table(spark, sf, "benchmark").select(F.col("text").alias("literal"))
+    return cm.hard_coded(table(spark, sf, "documents").select("doc_id", F.col("text").alias("source_excerpt")), lits).select("doc_id", "literal")
+
+
 @query("WITH n AS (SELECT l_suppkey, AVG(l_discount) AS u, SUM(l_quantity) AS t, COUNT(*) AS k FROM lineitem GROUP BY 1) SELECT l_suppkey, t + 1 AS alpha, k - t + 1 AS beta FROM n WHERE u > 0")
 def thompson_posterior(spark, sf):
     nodes = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("mean_utility"), F.collect_list("l_quantity").alias("evals"))
@@ -375,6 +382,11 @@ def fence_extraction(spark, sf):
     return _fenced(spark, sf).select("doc_id", tx.extract_code(F.col("c")).alias("code"))
 
 
+@query()
+def fence_extraction_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.extract_code(F.col("text")).alias("code"))
+
+
 @query(r"SELECT doc_id, right(text, 800) AS tail, greatest(1, length(text) // 4)::BIGINT AS tokens, regexp_replace(source || '/' || lang, '[^\p{L}\p{N}\-_.]', '_', 'g') AS slug FROM documents")
 def text_functions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.tail(F.col("text")).alias("tail"), tx.token_estimate(F.col("text")).alias("tokens"), tx.slug(F.concat_ws("/", "source", "lang")).alias("slug"))
@@ -388,7 +400,7 @@ def public_half(spark, sf):
 @query("WITH c AS (SELECT doc_id, left(text, 10) AS c, doc_id % 7 = 0 AS t, CASE WHEN doc_id % 2 = 0 THEN 'OK!' ELSE '' END AS o, doc_id % 3 AS e FROM documents) SELECT doc_id, CASE WHEN trim(c) = '' THEN 'empty_candidate' WHEN t THEN 'timeout' WHEN o = 'OK!' AND e = 0 THEN 'ok' WHEN o = 'OK!' THEN 'marker_but_nonzero_exit' WHEN e <> 0 THEN 'test_failed' ELSE 'no_success_marker' END AS reason FROM c")
 def verdict_lattice(spark, sf):
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", tx.verdict(F.left("text", F.lit(10)), d % 7 == 0, F.when(d % 2 == 0, "OK!").otherwise(""), d % 3, "OK!").alias("reason"))
+    return table(spark, sf, "documents").select("doc_id", tx.verdict(F.col("text"), d % 7 == 0, F.when(d % 2 == 0, "OK!").otherwise(""), d % 3, "OK!").alias("reason"))
 
 
 @query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'import os' || chr(10) || chr(10) ELSE '' END || left(text, 20) || chr(10) || chr(10) || 'assert 1' || chr(10) || chr(10) || 'print(''OK!'')' AS program FROM documents")
@@ -396,10 +408,15 @@ def program_assembly(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.assemble_program(F.when(F.col("doc_id") % 2 == 0, "import os").otherwise(""), F.left("text", F.lit(20)), F.lit("assert 1"), "OK!").alias("program"))
 
 
+@query()
+def program_assembly_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.assemble_program(F.when(F.col("doc_id") % 2 == 0, "import os").otherwise(""), F.col("text"), F.lit("assert 1"), "OK!").alias("program"))
+
+
 @query()
 def canonical_species(spark, sf):
     d = F.col("doc_id")
-    code = F.when(d % 2 == 0, F.concat(F.lit("def f(x"), (d % 5).cast("string"), F.lit("):\n    return x"), (d % 5).cast("string"), F.lit(" + 1\n"))).otherwise(F.left("text", F.lit(200)))
+    code = F.when(d % 2 == 0, F.concat(F.lit("def f(x"), (d % 5).cast("string"), F.lit("):\n    return x"), (d % 5).cast("string"), F.lit(" + 1\n"))).otherwise(F.col("text"))
     return co.with_canonical_form(table(spark, sf, "documents").select("doc_id", code.alias("code"))).select("doc_id", "canon.method", "canon.key", co.compiles_udf("code").alias("compiles"))
 
 
