@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +45,25 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Sealed:
+    """A table under private column names, so that an operator's own columns cannot meet the caller's."""
+
+    df: DataFrame
+    names: tuple[str, ...]
+
+    def name(self, column: str) -> str:
+        return f"_in_{self.names.index(column)}"
+
+    def open(self, df: DataFrame) -> DataFrame:
+        """The caller's columns again, in order; whatever was added goes."""
+        return df.select([F.col(f"_in_{i}").alias(c) for i, c in enumerate(self.names)])
+
+
+def sealed(df: DataFrame) -> Sealed:
+    return Sealed(df.toDF(*[f"_in_{i}" for i in range(len(df.columns))]), tuple(df.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,14 +1,12 @@
 """Quality rules: cross-document line frequency, in DataFrame operations alone.
 
 Lines are normalised (lower case, single spaces, ends cut) and hashed with
-their host.  A line above its host's limit of distinct documents is removed,
-and a document of which too little is left is rejected.
-
-A line that keeps its neighbours wherever it occurs is part of a copied
-document, which near-duplicate removal reduces to one; rejecting it here would
-lose all copies.  So a frequent line counts as boilerplate only if no single
-pair of neighbouring lines makes up more than ``context_share`` of the
-documents that hold it.
+their host.  Per host and line the distinct documents are counted; lines above
+the limit are removed, and a document of which too little is left is rejected.
+Exact copies of a text within a host are one document here: otherwise a text
+would become boilerplate by being copied, and near-duplicate removal, which
+keeps one of them, would never see it.  The limit is a number of documents, so
+it acts alike at every size of a host.
 """
 
 from __future__ import annotations
@@ -16,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import WORD_PATTERN, let, stage
+from solvefront.llm.common import WORD_PATTERN, let, sealed, stage
 
-MIN_DOCS = 10
-HOST_SHARE = 0.01
-CONTEXT_SHARE = 0.2
+MAX_DOCS = 10
 MIN_LEFT = 0.25
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
@@ -62,6 +59,11 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
+def line_hash(host: Column, normal: Column) -> Column:
+    """The identity of a normalised line within its host; a null host is a host of its own."""
+    return F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")), normal)
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text: as empty.
 
@@ -73,92 +75,92 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     def of_words(w: Column) -> Column:
         n = F.size(w).cast("long")
         return let(repeated_words(w), lambda r: F.struct(
-            n.alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), r.alias("n_repeat_words"),
+            n.alias("n_words"), r.alias("n_repeat_words"),
             ((n < 50) | (r * 100 > n * 50)).alias("base_failed"),
         ))
 
     made = df.withColumn("_s", let(words(t), of_words))
     dup = let(worded_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return made.withColumns({
-        "n_words": F.col("_s.n_words"), "word_chars": F.col("_s.word_chars"),
+        "n_words": F.col("_s.n_words"), "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": dup.cast("long"),
         "n_repeat_words": F.col("_s.n_repeat_words"), "base_failed": F.col("_s.base_failed"),
     }).drop("_s")
 
 
-def _lines(df: DataFrame, host: str, text: str) -> DataFrame:
-    """One row per worded line: line (hash with its host), context (hash of its neighbours), words, document (hash of the text)."""
-    seed = F.coalesce(F.col(host), F.lit("\0"))
+def _document(host: str, text: str) -> Column:
+    return F.xxhash64(F.col(host).isNull(), F.coalesce(F.col(host), F.lit("")), text)
 
-    def described(lines: Column) -> Column:
-        return F.transform(lines, lambda x, i: F.struct(
-            F.xxhash64(seed, x).alias("line"),
-            F.xxhash64(F.get(lines, F.greatest(i - 1, F.lit(0))), (i == 0), F.get(lines, i + 1)).alias("context"),
-            (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"),
-        ))
 
-    made = let(F.transform(worded_lines(F.col(text)), normal_line), described)
-    return df.select(F.col(host).alias("_host"), F.xxhash64(text).alias("document"), F.explode(made).alias("_x")).select("_host", "document", "_x.*")
+def document_lines(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """(document, line, words), staged: the distinct lines of each distinct text of a host, and their words.
+
+    Texts are read and cut once, one row per line; equal lines of a text and
+    exact copies are summed before the shuffle and after it, so a text with k
+    copies has k times its words, in every line alike.
+    """
+    cut = df.where(F.col(text).isNotNull()).select(F.col(host).alias("_host"), _document(host, text).alias("document"), F.explode(F.split(text, "\n")).alias("_line"))
+    normal = cut.select("_host", "document", normal_line(F.col("_line")).alias("_normal")).where("_normal != ''")
+    n = F.length("_normal") - F.length(F.translate("_normal", " ", "")) + 1
+    rows = normal.select("document", line_hash(F.col("_host"), F.col("_normal")).alias("line"), n.cast("long").alias("words"))
+    return stage(spark, rows.groupBy("document", "line").agg(F.sum("words").alias("words")), "lines")
 
 
-def frequent_lines(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, context_share: float = CONTEXT_SHARE) -> DataFrame:
-    """(line, documents): lines above the limit of their host, ``min_docs`` or ``host_share`` of its rows, whichever is more.
+def frequent_lines(spark: SparkSession, lines: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(line, documents), staged: lines in more than ``max_docs`` distinct documents of their host."""
+    return stage(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_docs), "frequent")
 
-    First a plain count per line drops all that occur too rarely, on one
-    integer key with partial sums; the distinct documents and contexts are
-    then counted for the few lines that are left.  Both are staged.
+
+def cut_documents(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """(document, cut, depleted), staged: texts with frequent lines, the hashes of these, and whether less than ``min_left`` of the words is left without them.
+
+    A line that half of all documents hold is one row on the frequent side of
+    the join, whose other side adaptive execution splits.
     """
-    lines = _lines(df, host, text)
-    often = stage(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_docs).select("line"), "often")
-    per_text = lines.join(often, "line", "left_semi").groupBy("_host", "line", "document").agg(F.min("context").alias("context"))
-    per_context = per_text.groupBy("_host", "line", "context").agg(F.count(F.lit(1)).alias("n"))
-    per_line = per_context.groupBy("_host", "line").agg(F.sum("n").alias("documents"), F.max("n").alias("_most"))
-    hosts = df.groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("_rows"))
-    judged = per_line.join(hosts, per_line["_host"].eqNullSafe(hosts["_h"]))
-    limit = F.greatest(F.lit(float(min_docs)), F.col("_rows") * F.lit(float(host_share)))
-    kept = judged.where((F.col("documents") > limit) & (F.col("_most") <= F.col("documents") * F.lit(float(context_share))))
-    return stage(spark, kept.select("line", "documents"), "frequent")
-
-
-def cut_documents(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, min_left: float = MIN_LEFT, **limits) -> DataFrame:
-    """(_host, document, cut, depleted) of texts with frequent lines: their hashes, and whether less than ``min_left`` of the words is left without them."""
-    frequent = frequent_lines(spark, df, host, text, **limits).select("line", F.lit(True).alias("_cut"))
-    marked = _lines(df, host, text).join(frequent, "line", "left")
-    left = F.sum("words") - F.sum(F.when(F.col("_cut"), F.col("words")).otherwise(F.lit(0)))
-    sums = marked.groupBy("_host", "document").agg(F.sum("words").alias("_all"), left.alias("_left"), F.collect_set(F.when(F.col("_cut"), F.col("line"))).alias("cut"))
-    return sums.where(F.size("cut") > 0).select("_host", "document", "cut", (F.col("_left") < F.col("_all") * F.lit(float(min_left))).alias("depleted"))
+    lines = document_lines(spark, df, host, text)
+    frequent = frequent_lines(spark, lines, max_docs=max_docs).select("line", F.lit(True).alias("_cut"))
+    marked = lines.join(frequent, "line", "left")
+    sums = marked.groupBy("document").agg(
+        F.sum("words").alias("_all"), F.sum(F.when(F.col("_cut").isNull(), F.col("words"))).alias("_left"), F.collect_list(F.when(F.col("_cut"), F.col("line"))).alias("cut"),
+    )
+    depleted = F.coalesce("_left", F.lit(0)) < F.col("_all") * F.lit(float(min_left))
+    return stage(spark, sums.where(F.size("cut") > 0).select("document", "cut", depleted.alias("depleted")), "cut")
 
 
 def _without(text: Column, host: Column, cut: Column) -> Column:
-    """The text without its lines whose hashes are in ``cut``; the others stay as they are, in order."""
-    seed = F.coalesce(host, F.lit("\0"))
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut, F.xxhash64(seed, normal_line(x)))), "\n")
+    """The text without its lines whose hashes are in ``cut``; the others, blank ones included, stay as they are, in order."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut, line_hash(host, normal_line(x)))), "\n")
 
 
 def judge(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """Add the statistics and ``kept``: neither failed by the base rules nor depleted; and ``cleaned``: the text without frequent lines.
+    """Add the statistics and ``kept``: neither failed by the base rules nor depleted.
 
     Rows with a null host form a host of their own.  Null, empty and wordless
     texts fail the base rules.  Repeated rows get equal verdicts.  An empty
     table stays empty.  Other columns pass through; columns named like the
-    added ones are replaced.  The verdicts per text are staged, so the planner
-    knows their size and broadcasts them only below its threshold.
+    added ones are replaced.  Only depleted texts are joined, after the text
+    itself is no longer needed, so no text is shuffled.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rest = df.drop(*made)
-    found = stage(spark, cut_documents(spark, rest, host, text, **limits), "cut").select(F.col("_host").alias("_cut_host"), F.col("document").alias("_cut_document"), "cut", "depleted")
-    hashed = with_statistics(rest.withColumn("_document", F.xxhash64(text)), text)
-    joined = hashed.join(found, (F.col("_document") == F.col("_cut_document")) & F.col(host).eqNullSafe(F.col("_cut_host")), "left")
-    cleaned = F.when(F.col("cut").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(host), F.col("cut")))
-    verdict = joined.withColumns({"kept": ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)), "cleaned": cleaned})
-    return verdict.drop("_document", "_cut_document", "_cut_host", "cut", "depleted")
+    depleted = cut_documents(spark, rest, host, text, **limits).where("depleted").select(F.col("document").alias("_gone"))
+    joined = with_statistics(rest.withColumn("_document", _document(host, text)), text).join(depleted, F.col("_document") == F.col("_gone"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_document", "_gone")
 
 
 def clean(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The kept documents, in the columns of ``df``, with frequent lines removed from their text."""
-    kept = judge(spark, df, host, text, **limits).where("kept")
-    return kept.select([F.col("cleaned").alias(text) if c == text else F.col(c) for c in df.columns])
+    """The kept rows of ``df``, frequent lines removed from their text, all other columns as they were whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables as in :func:`judge`.
+    """
+    box = sealed(df)
+    host, text = box.name(host), box.name(text)
+    found = cut_documents(spark, box.df, host, text, **limits).withColumnRenamed("document", "_gone")
+    passed = with_statistics(box.df, text).where(~F.col("base_failed")).select(*box.df.columns, _document(host, text).alias("_document"))
+    joined = passed.join(found, F.col("_document") == F.col("_gone"), "left").where(~F.coalesce("depleted", F.lit(False)))
+    shorter = F.when(F.col("cut").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(host), F.col("cut")))
+    return box.open(joined.withColumn(text, shorter))
 
 
 ORACLE = r"""
@@ -176,16 +178,8 @@ stat AS (
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, COALESCE(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN rep USING (rid)),
 norm AS (SELECT rid, source, text, list_transform(l, lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'))) AS n FROM d),
-line AS (
-  SELECT source, text, n[i] AS line, i = 1 AS top, n[greatest(i - 1, 1)] AS prev, n[i + 1] AS nxt, len(string_split(n[i], ' ')) AS words
-  FROM (SELECT source, text, n, unnest(range(1, len(n) + 1)) AS i FROM norm)),
-per_text AS (SELECT source, line, text, min(row(prev, top, nxt)) AS ctx, COUNT(DISTINCT row(prev, top, nxt)) AS n_ctx FROM line GROUP BY ALL),
-per_ctx AS (SELECT source, line, ctx, COUNT(*) AS n FROM per_text GROUP BY ALL),
-per_line AS (SELECT source, line, SUM(n) AS docs, MAX(n) AS most FROM per_ctx GROUP BY ALL),
-hosts AS (SELECT source AS h, COUNT(*) AS rows_ FROM documents GROUP BY ALL),
-frequent AS (
-  SELECT p.source, p.line FROM per_line p JOIN hosts ON p.source IS NOT DISTINCT FROM h
-  WHERE docs > greatest(10.0, rows_ * 0.01::DOUBLE) AND most <= docs * 0.2::DOUBLE),
+line AS (SELECT source, text, n[i] AS line, len(string_split(n[i], ' ')) AS words FROM (SELECT source, text, n, unnest(range(1, len(n) + 1)) AS i FROM norm)),
+frequent AS (SELECT source, line FROM line GROUP BY source, line HAVING COUNT(DISTINCT text) > 10),
 depleted AS (
   SELECT l.source, l.text FROM line l LEFT JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source
   GROUP BY l.source, l.text

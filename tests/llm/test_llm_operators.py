@@ -156,29 +156,40 @@ def test_statistics(spark, docs, empty):
     assert quality_rules.judge(spark, empty).count() == 0
 
 
-def test_boilerplate_goes_and_copies_stay(spark):
-    line = " ".join(f"menu{i}" for i in range(60))
-    own = lambda i: " ".join(f"u{i}x{k}" for k in range(10))
-    body = "\n".join(" ".join(f"c{j}k{k}" for k in range(12)) for j in range(6))
-    rows = [(i, f"{own(i)}\n{line}\n{own(i + 1000)[:20]}", "en", "h") for i in range(40)]  # mostly a menu
-    rows += [(100 + i, body + ("" if i < 20 else f"\nedit{i}"), "en", "h") for i in range(60)]  # copies and near copies
-    rows += [(200 + i, "\n".join(own(5000 + i * 10 + j) for j in range(6)), "en", "h") for i in range(40)]  # clean
-    got = {r.doc_id: r.kept for r in quality_rules.judge(spark, spark.createDataFrame(rows, DOCS)).collect()}
-    assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(60)) and all(got[200 + i] for i in range(40))
-
-
-def test_frequent_lines_are_removed(spark):
-    """Documents that keep most words stay, without the menu line; other lines, blank ones included, as they were."""
-    import corpus_pipeline
-
-    own = lambda i: "\n".join(" ".join(f"U{i}x{j}k{k}" for k in range(10)) for j in range(6))
-    rows = [(i, f"{own(i)}\n\n  Home |  News\n{own(i + 500)}", "en", "h", 0) for i in range(40)]
-    rows += [(100, f"{own(900)}\nhome | news\n{own(901)}", "en", "other", 0)]
-    df = spark.createDataFrame(rows, DOCS + ", n_chars long")
-    got = {r.doc_id: r for r in corpus_pipeline.quality_rules_stage(spark, df, "").collect()}
-    assert len(got) == 41 and got[100].text == rows[-1][1]
-    for i in range(40):
-        assert got[i].text == f"{own(i)}\n\n{own(i + 500)}" and got[i].n_chars == len(got[i].text)
+def own_line(i, k=10):
+    return " ".join(f"U{i}x{j}" for j in range(k))
+
+
+def test_a_footer_of_three_lines_goes(spark):
+    """Every line of a block that many documents of a host share is removed; one with too little left is rejected."""
+    footer = [" ".join(f"foot{j}w{k}" for k in range(8)) for j in range(3)]
+    rows = [(i, "\n".join([own_line(i, 60), *footer]), "en", "h") for i in range(60)]  # 60 own words, 24 of the footer
+    rows += [(100 + i, "\n".join([own_line(1000 + i, 6), *footer, *[f"{x} " for x in footer]]), "en", "h") for i in range(12)]  # 6 own words
+    rows += [(200, "\n".join([own_line(200, 60), *footer]), "en", "other"), (201, None, "en", "h"), (202, "", "en", None)]
+    df = spark.createDataFrame(rows, DOCS)
+    lines = quality_rules.document_lines(spark, df)
+    assert sorted(r.documents for r in quality_rules.frequent_lines(spark, lines).collect()) == [72] * 3
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark, df).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(12)) and got[200] and not got[201] and not got[202]
+    texts = {r.doc_id: r.text for r in quality_rules.clean(spark, df).collect()}
+    assert texts == {i: own_line(i, 60) for i in range(60)} | {200: rows[-3][1]}
+
+
+def test_distinct_documents_are_counted(spark):
+    """Copies of a text are one document: a text of fifty copies stays, a line in ten documents stays, in eleven it goes."""
+    rows = [(i, f"{own_line(7, 60)}\nthe end", "en", "h") for i in range(50)]
+    rows += [(100 + i, f"{own_line(100 + i, 60)}\nten times", "en", "h") for i in range(10)] * 2
+    rows += [(200 + i, f"{own_line(200 + i, 60)}\n\n  Eleven\tTIMES \nlast {i}", "en", "h") for i in range(11)]
+    got = {r.doc_id: r.text for r in quality_rules.clean(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k: v for k, v in got.items() if k < 200} == {r[0]: r[1] for r in rows if r[0] < 200}
+    assert {k: v for k, v in got.items() if k >= 200} == {200 + i: f"{own_line(200 + i, 60)}\n\nlast {i}" for i in range(11)}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    rows = [(i, own_line(i, 60) + "\nmenu", "en", "h", "k", 5, 6, 7) for i in range(12)]
+    df = spark.createDataFrame(rows, DOCS + ", kept string, n_words int, document int, cut int")
+    got = quality_rules.clean(spark, df)
+    assert got.columns == df.columns and {tuple(r)[4:] for r in got.collect()} == {("k", 5, 6, 7)} and got.first().text.count("\n") == 0
 
 
 # --- n-gram join ---------------------------------------------------------------------------------------------
