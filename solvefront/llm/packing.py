@@ -110,24 +110,23 @@ def token_pieces(
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
     schema += ", ids array<int>" if keep_ids else ""
     kind = pa.int64() if df.schema[key].dataType.simpleString() == "bigint" else None
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
         for b in rows_of(batches, text, SLICE_BYTES):
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            row, start, length, crc, total, cut = [], [], [], [], [], []
-            for i, ids in enumerate(enc.encode(texts)):
-                ids += end
-                for at in range(0, len(ids), 4 * window):
-                    part = ids[at : at + 4 * window]
-                    row.append(i)
-                    start.append(at >> 2)
-                    length.append(len(part) >> 2)
-                    crc.append(zlib.crc32(part))
-                    total.append(len(ids) >> 2)
-                    if keep_ids:
-                        cut.append(np.frombuffer(part, "<u4").astype(np.int32))
+            flat, bounds = enc.ids(b.column(1))
+            flat = np.insert(flat, bounds[1:], np.uint32(end_id)).astype("<u4")
+            bounds = bounds + np.arange(len(bounds))
+            size = np.diff(bounds)
+            pieces = -(-size // window)
+            row = np.repeat(np.arange(len(size)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, size[row] - start)
+            total = size[row]
+            at = bounds[row] + start
+            parts = [flat[lo:hi] for lo, hi in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            crc = [zlib.crc32(x) for x in parts]
+            cut = [x.astype(np.int32) for x in parts] if keep_ids else []
             keys = b.column(0).take(pa.array(row, pa.int32()))
             out = [keys.cast(kind) if kind else keys, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             names = [key, "start", "length", "ids_crc32", "doc_tokens"]

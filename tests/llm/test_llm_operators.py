@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +55,37 @@ def test_token_counts(docs, empty):
     assert tokenization.token_counts(empty).count() == 0
 
 
-def test_encoder_on_odd_text():
-    texts = ["a b c", "x\x1cy\x85z", "don't DON'T we're I'll'd", "İstanbul ß ½ ×", "é ́a", "<|startoftext|>a<|endoftext|>", "|<|>|", "a" * 300, "\r\n\t a", "½²x9", "a_b-c.d", "ﬁ ẞ", "''s 's"]
-    enc = tokenization.ChunkEncoder("word_bpe_49k.json")
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == library(texts)
+ODD = ["a b c", "x\x1cy\x85z", "don't DON'T we're I'll'd", "İstanbul ß ½ ×", "é ́a", "<|startoftext|>a<|endoftext|>", "|<|>|", "a" * 300, "\r\n\t a", "½²x9", "a_b-c.d", "ﬁ ẞ", "''s 's"]
+
+
+def encoded(enc, texts):
+    flat, bounds = enc.ids(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(flat, bounds[1:-1])]
+    assert enc.counts(pa.array(texts, pa.string())).tolist() == list(map(len, got))
+    return got
+
+
+def test_encoder_on_odd_text(monkeypatch):
+    enc = tokenization.BatchEncoder("word_bpe_49k.json")
+    assert enc.plain and encoded(enc, [*ODD, None, ""]) == library([*ODD, None, ""])
+    rng = np.random.default_rng(1)
+    pieces = ["'", "'s", "'re", "'ve", "'ll", "'d", "l", "s", "T", "ve", "É", "ÿ", "÷", "ß", "7", "42", ".", "--", "\n", " ", " ", "\t", "Word", "antidisestablishment", "漢", "<", "é", "\x0b"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(4000)]
+    assert encoded(enc, texts) == library(texts)
+    monkeypatch.setattr(tokenization, "WINDOW_BYTES", 50)  # many windows a text, and a table that forgets
+    monkeypatch.setattr(tokenization.WordTable.shrink, "__defaults__", (40,))
+    texts = texts[:300] + ["".join(texts[:200]), "x" * 500, " ".join(["of"] * 400)]
+    assert encoded(tokenization.BatchEncoder("word_bpe_49k.json"), texts) == library(texts)
+    sliced = pa.array(["skipped", *texts]).slice(1)
+    assert enc.counts(sliced).tolist() == [len(x) for x in library(texts)]
+
+
+def test_other_tokenizers_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    enc = tokenization.BatchEncoder("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(tokenization.resolve("byte_bpe_50k.json"))
+    assert not enc.plain and encoded(enc, ODD) == [e.ids for e in lib.encode_batch(ODD, add_special_tokens=False)]
 
 
 def test_packing(spark, docs, empty):
@@ -93,6 +121,19 @@ def test_minimum_bin_slack_finds_the_nearest_sum():
     assert len(bins) == len(offsets) == 500
 
 
+def test_padding_is_near_the_least_possible():
+    """Against the sum of lengths: within one sequence for short pieces, 3 % for lengths up to a whole window (where no packing reaches the sum)."""
+    rng = np.random.default_rng(11)
+    for most, slack in ((64, 0), (500, 0), (4096, 0.03)):
+        lengths = rng.integers(1, most + 1, 1500)
+        bins, offsets = packing.minimum_bin_slack(lengths, 4096)
+        filled = np.bincount(bins, lengths)
+        assert filled.max() <= 4096 and len(filled) <= -(-lengths.sum() // 4096) * (1 + slack) + 1
+        for b in range(len(filled)):
+            own = np.argsort(offsets[bins == b])
+            assert (np.cumsum(lengths[bins == b][own]) - lengths[bins == b][own]).tolist() == offsets[bins == b][own].tolist()
+
+
 # --- mixing --------------------------------------------------------------------------------------------------
 
 
