@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,10 +40,29 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def unstage(spark: SparkSession, *staged: DataFrame) -> None:
+    """Delete staged tables whose successors are staged themselves, and let Spark drop shuffles nothing refers to any more.
+
+    Spark cleans a shuffle when the driver's garbage collector finds it
+    unreachable, which may be long after the last use; hence the call.
+    """
+    for df in staged:
+        where, files = _place(spark, df._staged_at)
+        files.delete(where, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @dataclass(frozen=True)

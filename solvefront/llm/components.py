@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import stage
+from solvefront.llm.common import stage, unstage
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", *, name: str = "components") -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
     Each round rewires every vertex's larger neighbours, then its smaller
     ones, to the least it knows; the number of rounds is logarithmic in
     practice.  Rounds are staged in the shared folder, so nothing of the graph
-    is on the driver and a lost executor costs one round.  A vertex with many
+    is on the driver and a lost executor costs one round; a round's table goes
+    when the next one is written.  A vertex with many
     neighbours is the hot side of an equi-join whose other side has one row
     for it, which adaptive execution splits.  Null ends and loops are left
     out; vertices can be of any ordered type.
@@ -29,8 +30,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         large = stage(spark, large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = stage(spark, small.where("u != v").distinct(), name)
+        last, now = now, stage(spark, small.where("u != v").distinct(), name)
         before, state = state, _state(now)
+        unstage(spark, last, large)
         if before == state:
             break
     roots = now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()

@@ -1,24 +1,24 @@
 """N-gram Jaccard join: a prefix-tree join over globally ordered shingle sets.
 
-1. One pass turns each text into its set of n-word shingles (64-bit hashes)
-   and a 128-bit fingerprint of the set.  Texts of one fingerprint are one
-   class from here on.
-2. Blocks.  Sets that link differ in at most d shingles, d from the similarity
-   and the length band.  The hash space is cut into k > d segments, so at least
-   k - d segments hold the same shingles in both; of its k segments a set keeps
-   the d + 1 that hold most shingles (ties by hash), and the strongest common
-   segment is among those of both.  Sets that share a segment's content are
-   joined to chains; the chains' components are the blocks.  A shared passage
-   or a frequent shingle alone does not join two sets.
-3. Within a block, sets are grouped by their rarest shingles, counted in the
-   block, and each group is joined through a trie of its sets, most frequent
-   shingles first, so near copies share long paths.  A traversal carries the overlap of
-   a path, shared by all sets below it, and leaves a subtree when the lengths
-   that remain cannot reach the overlap needed, or when all sets below are
-   already in the asking set's component.  A block too large for one task is
-   joined length band by length band, and a band too large for one task by
-   every pair of its chunks, so none of its links is lost.
-4. The links found span every component; their components are the result.
+1. Each text becomes its set of n-word shingles (64-bit hashes); texts of one
+   set are one class from here on.
+2. Global order.  Rows (shingle, class) meet by shingle, sorted, so a task
+   streams over them and counts the classes of each.  A shingle of a single
+   class can be in no intersection and goes here; the others get a place in the
+   global order: frequent ones first, by a class of their count, then by hash.
+3. Rows meet again by class.  A set of n that links to another shares
+   ceil(n num / den) shingles with it; a set with fewer shared shingles in all
+   goes here.  Of the others, m shared shingles each, the rarest
+   m - ceil(n num / den) + 1 are the prefix, and two sets that link have a
+   prefix shingle in common.  Sets that meet in one are joined to blocks.
+4. Within a block, each prefix group is joined through a trie of its sets, most
+   frequent shingles first, so near copies share long paths.  A traversal
+   carries the overlap of a path, shared by all sets below it, and leaves a
+   subtree when the lengths that remain cannot reach the overlap needed, or
+   when all sets below are already in the asking set's component.  A block too
+   large for one task is joined length band by length band, and a band too
+   large for one task by every pair of its chunks, so none of its links is lost.
+5. The links found span every component; their components are the result.
 """
 
 from __future__ import annotations
@@ -31,19 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import rows_of, stage
+from solvefront.llm.common import rows_of, sealed, stage, unstage
 from solvefront.llm.components import connected_components
 
 SHINGLE = 3
 NUM, DEN = 90, 100
-SLACK = 0.12
 SLICE_BYTES = 2 << 20
 SEEN = 500_000
 REPS = 32
-FILTER_BITS = 1 << 26
+#: Counts above it are one class of the order, so that a run of any length streams by.
+HOT = 1 << 16
 BLOCK_SHINGLES = 2_000_000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
@@ -92,12 +91,9 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-
-
-def _vertex(fp: bytes) -> int:
-    return int.from_bytes(fp[:8], "little", signed=True)
+def class_of(shingles: np.ndarray) -> int:
+    """64-bit identity of a set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _texts(col: pa.Array) -> list[bytes]:
@@ -112,32 +108,54 @@ def bands(num: int = NUM, den: int = DEN, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def segment_signatures(shingles: np.ndarray, starts: list[int], num: int = NUM, den: int = DEN, slack: float = SLACK) -> np.ndarray:
-    """What a set (sorted hashes) must share one of with any set it links to, other than its equals.
-
-    A set of band i meets its own band under i and the next one under i + 1.
-    """
-    i = bisect.bisect_right(starts, len(shingles)) - 1
-    mixed = _mix(shingles)
-    out = []
-    for g in (i, i + 1):
-        differ = (den - num) * 2 * (starts[g + 1] - 1) // (den + num)
-        if not differ:
-            continue  # only equal sets link
-        k = differ + 1 + math.ceil(slack * differ)
-        segment = ((shingles >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # in order, as the hashes are
-        first = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0]
-        count = np.diff(np.concatenate([first, [len(shingles)]]))
-        content, place = np.add.reduceat(mixed, first), segment[first]
-        if len(first) <= differ:  # empty segments are the weakest, and are needed here
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place)
-            content, place, count = (np.concatenate(x) for x in ((content, np.zeros(len(empty), np.uint64)), (place, empty), (count, np.zeros(len(empty), count.dtype))))
-        signature = _mix(content + _mix(place + np.uint64(g << 40)))
-        out.append(signature[np.lexsort((signature, -count))[: differ + 1]])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def least_overlap(n, num: int, den: int):
+    """What a set of n shares at least with any set it links to."""
+    return -(-n * num // den)
+
+
+def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Sorted batches as arrays cut between values of the first column; a run above ``most`` comes in parts, marked True."""
+    held: list[list[np.ndarray]] = []
+    size, want, hot = 0, 0, None
+    for b in batches:
+        cols = [b.column(i).to_numpy() for i in range(b.num_columns)]
+        if not len(cols[0]):
+            continue
+        if hot is not None:
+            k = int(np.searchsorted(cols[0], hot, side="right"))
+            if k:
+                yield [c[:k] for c in cols], True
+                cols = [c[k:] for c in cols]
+            if not len(cols[0]):
+                continue
+            hot = None
+        held.append(cols)
+        size += len(cols[0])
+        if size < want:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield [c[:cut] for c in cols], False
+        held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
+        want = 2 * size if most is None else min(2 * size, most + 1)  # a long run is not copied at each batch
+        if most is not None and size > most:
+            hot = held[0][0][0]
+            yield held[0], True
+            held, size, want = [], 0, 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)], False
+
+
+def ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places in the global order: 64 - 4 log2 of the count (up to :data:`HOT`), then 56 bits of the hash."""
+    level = np.floor(4 * np.log2(np.minimum(counts, HOT))).astype(np.uint64)
+    return ((np.uint64(64) - level) << np.uint64(56) | shingles.view(np.uint64) >> np.uint64(8)).view(np.int64)
 
 
 class _Node:
+    """low: least size below; high: most shared shingles below."""
+
     __slots__ = ("segment", "children", "ends", "low", "high", "reps")
 
     def __init__(self, segment: list[int]):
@@ -173,10 +191,10 @@ class TrieJoin:
         """Least overlap at which sets of these sizes link: num (a + b) / (num + den), rounded up."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def add(self, shingles: list[int]) -> int:
-        """shingles: distinct places in the global order, ascending."""
+    def add(self, shingles: list[int], size: int | None = None) -> int:
+        """shingles: distinct places in the global order, ascending; size: of the set with the shingles no other set has."""
         me = len(self.sizes)
-        self.sizes.append(len(shingles))
+        self.sizes.append(len(shingles) if size is None else size)
         self.parent.append(me)
         self._link(me, shingles)
         self._insert(me, shingles)
@@ -191,7 +209,7 @@ class TrieJoin:
 
     def _link(self, me: int, shingles: list[int]) -> None:
         mine = dict(zip(shingles, range(len(shingles)), strict=True))
-        n = len(shingles)
+        n, size = len(shingles), self.sizes[me]
         # Of each open node: its children still to visit, and the overlap, length and own shingles passed on its path.
         stack = [(self.root, self._order(self.root, mine), 0, 0, 0)]
         while stack:
@@ -203,7 +221,7 @@ class TrieJoin:
             self.visited += 1
             if self._same(node, me):
                 continue
-            need, high = self.need(n, node.low), node.high
+            need, high = self.need(size, node.low), node.high
             alive = True
             for s in node.segment:
                 path += 1
@@ -220,7 +238,7 @@ class TrieJoin:
             if overlap + min(high - path, n - passed) < need:
                 continue
             for other in node.ends:
-                if overlap >= self.need(n, self.sizes[other]):
+                if overlap >= self.need(size, self.sizes[other]):
                     self.union(me, other)
             if node.children:
                 stack.append((node, self._order(node, mine), overlap, path, passed))
@@ -232,9 +250,9 @@ class TrieJoin:
         yield from (c for s, c in node.children.items() if s not in mine)
 
     def _insert(self, me: int, shingles: list[int]) -> None:
-        node, at, n = self.root, 0, len(shingles)
+        node, at, n, size = self.root, 0, len(shingles), self.sizes[me]
         while True:
-            node.low, node.high = min(node.low, n), max(node.high, n)
+            node.low, node.high = min(node.low, size), max(node.high, n)
             if len(node.reps) <= REPS:
                 node.reps.append(me)
                 if len(node.reps) > REPS:
@@ -245,7 +263,7 @@ class TrieJoin:
             child = node.children.get(shingles[at])
             if child is None:
                 leaf = _Node(shingles[at:])
-                leaf.low = leaf.high = n
+                leaf.low, leaf.high = size, n
                 leaf.reps, leaf.ends = [me], [me]
                 node.children[shingles[at]] = leaf
                 return
@@ -263,21 +281,19 @@ class TrieJoin:
             node, at = child, at + k
 
 
-def prefix_groups(ranks: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[list[int]]:
-    """Sets that share one of their rarest shingles, directly or through others, in groups of two or more.
+def prefix_groups(sets: list[np.ndarray], sizes: np.ndarray, num: int = NUM, den: int = DEN) -> list[list[int]]:
+    """Sets that share a prefix shingle, directly or through others, in groups of two or more.
 
-    ranks: each set's places in an order with rare shingles last, ascending.
-    A set of n links only to sets that share one of its n - ceil(n num / den) + 1
-    rarest shingles, the same holds for the other set, so links stay within groups.
+    sets: each set's shared shingles in the global order, rare ones last;
+    sizes: with those it has alone.
     """
-    sizes = np.array([len(r) for r in ranks])
-    kept = sizes - (sizes * num + den - 1) // den + 1
-    tokens = np.concatenate([r[len(r) - k :] for r, k in zip(ranks, kept.tolist(), strict=True)])
-    owner = np.repeat(np.arange(len(ranks)), kept)
+    kept = np.array([len(x) for x in sets]) - least_overlap(sizes, num, den) + 1
+    tokens = np.concatenate([x[len(x) - k :] for x, k in zip(sets, kept.tolist(), strict=True)])
+    owner = np.repeat(np.arange(len(sets)), kept)
     order = np.lexsort((owner, tokens))
     tokens, owner = tokens[order], owner[order]
     meet = np.nonzero(tokens[1:] == tokens[:-1])[0]
-    parent = list(range(len(ranks)))
+    parent = list(range(len(sets)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -288,151 +304,176 @@ def prefix_groups(ranks: list[np.ndarray], num: int = NUM, den: int = DEN) -> li
     for a, b in np.unique(np.stack([owner[meet], owner[meet + 1]], axis=1), axis=0).tolist():
         parent[find(b)] = find(a)
     groups: dict[int, list[int]] = {}
-    for x in range(len(ranks)):
+    for x in range(len(sets)):
         groups.setdefault(find(x), []).append(x)
     return [g for g in groups.values() if len(g) > 1]
 
 
-def join_block(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[int]:
-    """Component of each set (index of one of its members): prefix groups by the block's own counts, a trie join in each."""
-    every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    by_count = np.lexsort((every, -count))
-    rank = np.empty(len(every), np.int64)
-    rank[by_count] = np.arange(len(every))
-    ends = np.cumsum([len(x) for x in sets])
-    ordered = [np.sort(x) for x in np.split(rank[place], ends[:-1])]  # a shingle's rank stands for it, frequent ones first
+def join_block(sets: list[np.ndarray], sizes: np.ndarray, num: int = NUM, den: int = DEN) -> list[int]:
+    """Component of each set (index of one of its members): a trie join in each prefix group."""
     roots = list(range(len(sets)))
-    for group in prefix_groups(ordered, num, den):
+    for group in prefix_groups(sets, sizes, num, den):
         trie = TrieJoin(num, den)
-        group.sort(key=lambda i: len(sets[i]))
+        group.sort(key=lambda i: sizes[i])
         for i in group:
-            trie.add(ordered[i].tolist())
+            trie.add(sets[i].tolist(), int(sizes[i]))
         for k, i in enumerate(group):
             roots[i] = group[trie.find(k)]
     return roots
 
 
-def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(key, text_hash, n_shingles, component_id) per row; component_id is the least key reachable by links.
-
-    Null, empty and wordless texts have no shingles and are linked with
-    nothing.  Rows with a null key have a null component and lend no link.
-    Repeated rows are copies of one another.  An empty table stays empty.
-    """
-    kind = df.schema[key].dataType.simpleString()
+def digests(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, text_hash, n_shingles, v) of each row; v is the class of its set, null without shingles."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, text, SLICE_BYTES):
             sets = shingle_sets(_texts(b.column(2)), shingle)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary())],
-                names=[key, "text_hash", "n_shingles", "fp"],
-            )
+            v = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), v], names=["key", "text_hash", "n_shingles", "v"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, f"key {kind}, text_hash long, n_shingles long, v long")
 
-    hashed = df.select(key, F.xxhash64(text).alias("text_hash"), text)
-    rows = stage(spark, hashed.mapInArrow(digest, f"`{key}` {kind}, text_hash long, n_shingles long, fp binary"), "digests")
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = bands(num, den)
-        seen: set[int] = set()  # copies within the task are skipped, so a group of copies sends a row a task
+def shared_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(v, n, place): the shingles that two classes or more have, with their places in the global order; a pair may repeat."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a class goes out once a task, so a group of copies sends one set a task
         for b in rows_of(batches, text, SLICE_BYTES):
-            found, vertices = [np.zeros(0, np.uint64)], []
+            sets, classes = [np.zeros(0, np.uint64)], []
             for s in shingle_sets(_texts(b.column(0)), shingle):
-                v = _vertex(fingerprint(s))
+                v = class_of(s)
                 if len(s) and v not in seen:
                     seen.add(v)
-                    found.append(segment_signatures(s, starts, num, den))
-                    vertices.append(v)
+                    sets.append(s)
+                    classes.append(v)
             if len(seen) > SEEN:
                 seen.clear()
-            each = [len(f) for f in found[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(vertices, np.int64), each))], names=["sig", "v"])
-
-    keyed = df.where(F.col(key).isNotNull())
-    shared = keyed.select(text).mapInArrow(signatures, "sig long, v long")
-    before = F.lag("v").over(W.partitionBy("sig").orderBy("v"))
-    chains = shared.withColumn("u", before).where(F.col("u") != F.col("v")).select("u", "v")
-    blocks = stage(spark, connected_components(spark, chains, "u", "v", name="blocks"), "blocks")
-
-    # One text per fingerprint of the blocks, with the block and its size in shingles.
-    classes = stage(spark, rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).groupBy("fp").agg(F.min(F.struct(key, "text_hash")).alias("one"), F.first("n_shingles").alias("n")), "classes")
-    members = classes.withColumn("v", _vertex_column("fp")).join(blocks.withColumnRenamed("vertex", "v"), "v")
-    weights = members.groupBy("root").agg(F.sum("n").alias("_weight"))
-    # A large block is joined band by band: sets that link are in one band or in neighbours, so each set is in two of them.
+            n = np.array([len(s) for s in sets[1:]], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), n)), pa.array(np.repeat(n, n))], names=["shingle", "v", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (s, v, n), hot in runs(batches, HOT):
+            if len(s) > 1 and not hot:
+                new = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])])
+                s, v, n = s[new], v[new], n[new]
+            if hot:
+                counts = np.full(len(s), HOT)
+            else:
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                each = np.diff(np.concatenate([first, [len(s)]]))
+                counts = np.repeat(each, each)
+            some = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(n[some]), pa.array(ordered(s[some], counts[some]))], names=["v", "n", "place"])
+
+    rows = df.select(text).mapInArrow(cut, "shingle long, v long, n int")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "v").mapInArrow(count, "v long, n int, place long")
+
+
+def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(v, n, m, places, prefix): sets with enough shared shingles to link, these in order, and their rarest ones."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (v, place, n), _ in runs(batches):
+            new = np.concatenate([[True], (v[1:] != v[:-1]) | (place[1:] != place[:-1])])
+            v, place, n = v[new], place[new], n[new]
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            m = np.diff(np.concatenate([first, [len(v)]]))
+            spare = m - least_overlap(n[first].astype(np.int64), num, den)
+            chosen = np.flatnonzero(spare >= 0)
+            parts = [place[a : a + k] for a, k in zip(first[chosen].tolist(), m[chosen].tolist(), strict=True)]
+            prefix = [x[len(x) - 1 - k :] for x, k in zip(parts, spare[chosen].tolist(), strict=True)]
+            at = first[chosen]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[at]), pa.array(n[at]), pa.array(m[chosen]), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["v", "n", "m", "places", "prefix"],
+            )
+
+    rows = shared.select("v", "place", "n").repartition("v").sortWithinPartitions("v", "place")
+    return rows.mapInArrow(gather, "v long, n int, m long, places binary, prefix array<long>")
+
+
+def blocks_of(spark: SparkSession, candidates: DataFrame) -> DataFrame:
+    """(v, block): sets that meet in prefix shingles, directly or through others; sets that meet none do not occur."""
+    postings = candidates.select("v", F.explode("prefix").alias("place"))
+    least = postings.groupBy("place").agg(F.min("v").alias("least"), F.max("v").alias("_most")).where("least < _most").drop("_most")
+    edges = postings.join(least, "place").where("v != least").select("v", "least")
+    return connected_components(spark, edges, "v", "least", name="blocks").select(F.col("vertex").alias("v"), F.col("root").alias("block"))
+
+
+def deal(candidates: DataFrame, blocks: DataFrame, num: int, den: int, block_shingles: int, size: int) -> DataFrame:
+    """(block, v, n, places, task): small blocks several to a task; large ones a task for each length band, or for each pair of a band's chunks."""
+    members = candidates.select("v", "n", "m").join(blocks, "v")
+    weights = members.groupBy("block").agg(F.sum("m").alias("_weight"))
+    # Sets that link are in one band or in neighbours, so each set of a large block is in two of them.
     edges = F.array(*[F.lit(b) for b in bands(num, den)])
     band = F.size(F.filter(edges, lambda b: b <= F.col("n")))
     large = F.col("_weight") > block_shingles
-    spread = members.join(weights, "root").withColumn("_band", F.explode(F.when(large, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
-    heavy = spread.groupBy("root", "_band").agg(F.sum("n").alias("_heavy"))
-    spread = spread.join(heavy, ["root", "_band"]).withColumn("_chunks", F.when(large, F.ceil(F.col("_heavy") / block_shingles)).otherwise(F.lit(1)).cast("long"))
-    spread = spread.withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_chunks") * 2))
-    size = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / block_shingles))
-    # Small blocks: several in one task.  Large ones: a task for each band, or for each pair of a band's chunks.
+    spread = members.join(weights, "block").withColumn("_band", F.explode(F.when(large, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
+    heavy = spread.groupBy("block", "_band").agg(F.sum("m").alias("_heavy"))
+    spread = spread.join(heavy, ["block", "_band"]).withColumn("_chunks", F.when(large, F.ceil(F.col("_heavy") / block_shingles)).otherwise(F.lit(1)).cast("long"))
+    spread = spread.withColumn("_c", F.pmod(F.xxhash64("v"), F.col("_chunks") * 2))
+    buckets = max(1, math.ceil(size * 16 / block_shingles))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_chunks") * 2 - 1), lambda c: c != F.col("_c"))
-    pairs = F.transform(others, lambda c: F.xxhash64("root", "_band", F.least(c, F.col("_c")), F.greatest(c, F.col("_c"))))
-    tasks = F.when(~large, F.array(F.pmod(F.xxhash64("root"), F.lit(buckets)))).when(F.col("_chunks") == 1, F.array(F.xxhash64("root", "_band"))).otherwise(pairs)
-    wanted = spread.groupBy(F.col(f"one.{key}").alias(key), F.col("one.text_hash").alias("text_hash"), F.col("root").alias("block")).agg(F.array_distinct(F.flatten(F.collect_list(tasks))).alias("tasks"))
-    dealt = stage(spark, wanted, "wanted")
-
-    # Only texts that may be wanted are cut into sets again: a bitmap of fixed size, summed on the executors, says which.
-    bit = F.pmod(F.xxhash64(key, "text_hash"), F.lit(FILTER_BITS))
-    marks = dealt.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).toArrow()
-    marked = np.zeros(FILTER_BITS // 8, np.uint8)
-    for k, x in zip(marks.column("bucket").to_pylist(), marks.column("bits").to_pylist(), strict=True):
-        marked[k * 4096 : (k + 1) * 4096] = np.frombuffer(x, np.uint8)
-    sent = spark.sparkContext.broadcast(marked)
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = whole.column(3).to_numpy()
-            some = whole.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for b in rows_of(iter([some]), text, SLICE_BYTES):
-                sets = shingle_sets(_texts(b.column(2)), shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "text_hash", "fp", "shingles"])
+    pairs = F.transform(others, lambda c: F.xxhash64("block", "_band", F.least(c, F.col("_c")), F.greatest(c, F.col("_c"))))
+    tasks = F.when(~large, F.array(F.pmod(F.xxhash64("block"), F.lit(buckets)))).when(F.col("_chunks") == 1, F.array(F.xxhash64("block", "_band"))).otherwise(pairs)
+    return candidates.select("v", "n", "places").join(spread.select("v", "block", F.explode(tasks).alias("task")), "v")
+
+
+def links_of(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that span the components within each task and block."""
 
     def link(t: pa.Table) -> pa.Table:
         by_block: dict[int, list[int]] = {}
         for i, x in enumerate(t.column("block").to_pylist()):
             by_block.setdefault(x, []).append(i)
-        fps, raw = t.column("fp").to_pylist(), t.column("shingles").to_pylist()
+        classes, raw, sizes = t.column("v").to_numpy(), t.column("places").to_pylist(), t.column("n").to_numpy().astype(np.int64)
         a, b = [], []
         for own in by_block.values():
-            own.sort(key=lambda i: fps[i])
-            for i, r in enumerate(join_block([np.frombuffer(raw[i], np.uint64) for i in own], num, den)):
+            own.sort(key=lambda i: classes[i])
+            for i, r in enumerate(join_block([np.frombuffer(raw[i], np.int64) for i in own], sizes[own], num, den)):
                 if r != i:
-                    a.append(fps[own[i]])
-                    b.append(fps[own[r]])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    cut = hashed.where(F.col(key).isNotNull()).select(key, "text_hash", text, bit.alias("bit")).mapInArrow(sets_of, f"`{key}` {kind}, text_hash long, fp binary, shingles binary")
-    ready = cut.join(dealt, [key, "text_hash"]).dropDuplicates([key, "text_hash"])
-    links = ready.withColumn("task", F.explode("tasks")).select("block", "fp", "shingles", "task").groupBy("task").applyInArrow(link, "a binary, b binary")
-    roots = connected_components(spark, stage(spark, links, "links"), name="linked")
-    placed = classes.select("fp", F.col(f"one.{key}").alias("_k")).join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "_k")
-    least = placed.groupBy("root").agg(F.min("_k").alias("_component"))
-    found = placed.join(least, "root").select("fp", "_component")
-    out = rows.join(found, "fp", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col(key)).when(F.col(key).isNotNull(), F.col("_component"))
-    return out.select(key, "text_hash", "n_shingles", component.alias("component_id"))
-
-
-def _vertex_column(fp: str):
-    """The first eight bytes of a fingerprint as a little-endian signed integer, as :func:`_vertex` has it."""
-    out = F.lit(0).cast("long")
-    for i in range(8):
-        byte = F.conv(F.hex(F.substring(fp, i + 1, 1)), 16, 10).cast("long")
-        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
-    return out
+                    a.append(classes[own[i]])
+                    b.append(classes[own[r]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.select("block", "v", "n", "places", "task").groupBy("task").applyInArrow(link, "a long, b long")
+
+
+def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(key, text_hash, n_shingles, component_id) per row; component_id is the least key reachable by links.
+
+    Null, empty and wordless texts have no shingles and are linked with
+    nothing.  Rows with a null key have a null component and lend no link.
+    Repeated rows are copies of one another.  An empty table stays empty.
+    """
+    rows = stage(spark, digests(df, key, text, shingle), "digests")
+    candidates = stage(spark, candidate_sets(shared_shingles(df.where(F.col(key).isNotNull()), text, shingle), num, den), "candidates")
+    unstage(spark)
+    size = candidates.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    blocks = stage(spark, blocks_of(spark, candidates), "blocks")
+    links = stage(spark, links_of(deal(candidates, blocks, num, den, block_shingles, size), num, den), "links")
+    unstage(spark, candidates, blocks)
+    roots = connected_components(spark, links, name="linked")
+    # The least key of each class, then of each component.
+    classes = rows.where("key is not null and v is not null").groupBy("v").agg(F.min("key").alias("_k"))
+    placed = classes.join(roots.withColumnRenamed("vertex", "v"), "v", "left").select("v", F.coalesce("root", "v").alias("root"), "_k")
+    found = placed.join(placed.groupBy("root").agg(F.min("_k").alias("_component")), "root").select("v", "_component")
+    component = F.when(F.col("n_shingles") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("_component"))
+    return rows.join(found, "v", "left").select(F.col("key").alias(key), "text_hash", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with one document of each component left: the one of the least key.
 
-    Rows without shingles and rows with a null key stay.  Of repeated rows one stays.
+    Rows without shingles and rows with a null key stay.  Of repeated rows one
+    stays.  Columns of any name pass through as they were.
     """
-    judged = stage(spark, join_components(spark, df, key, text, **options), "judged")
-    stays = judged.where((F.col(key) == F.col("component_id"))).select(key, "text_hash").distinct()
-    marked = df.withColumn("text_hash", F.xxhash64(text))
-    kept = marked.where(F.col(key).isNotNull()).join(stays, [key, "text_hash"], "left_semi").dropDuplicates([key, "text_hash"])
-    return kept.unionByName(marked.where(F.col(key).isNull())).select(df.columns)
+    box = sealed(df)
+    key, text = box.name(key), box.name(text)
+    judged = stage(spark, join_components(spark, box.df, key, text, **options), "judged")
+    stays = judged.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stay"), F.col("text_hash").alias("_stay_hash")).distinct()
+    marked = box.df.withColumn("_hash", F.xxhash64(text))
+    kept = marked.where(F.col(key).isNotNull()).join(stays, (F.col(key) == F.col("_stay")) & (F.col("_hash") == F.col("_stay_hash")), "left_semi").dropDuplicates([key, "_hash"])
+    return box.open(kept.unionByName(marked.where(F.col(key).isNull())))

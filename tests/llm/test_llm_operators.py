@@ -290,18 +290,39 @@ def test_join_edges(spark, docs, empty):
     assert ngram_join.join_components(spark, empty).count() == 0 and ngram_join.keep_one(spark, empty).count() == 0
 
 
-def test_segments_meet_for_every_link():
+def test_runs_are_whole_and_long_ones_stream():
+    """Runs come whole up to the limit; longer ones in parts, all marked, whatever the batches are."""
     rng = np.random.default_rng(9)
-    starts = ngram_join.bands(80, 100)
-    for _ in range(300):
-        size = int(rng.integers(5, 400))
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-        b = a.copy()
-        b[rng.choice(len(b), rng.integers(0, max(1, len(b) // 9 + 1)), replace=False)] = rng.integers(2**62, 2**63, dtype=np.uint64)
-        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, 5), dtype=np.uint64)]))
-        inter = len(np.intersect1d(a, b))
-        if 100 * inter >= 80 * (len(a) + len(b) - inter) and not np.array_equal(a, b):
-            assert np.intersect1d(ngram_join.segment_signatures(a, starts, 80, 100), ngram_join.segment_signatures(b, starts, 80, 100)).size
+    for size in (1, 3, 50):
+        values = np.sort(np.concatenate([rng.integers(0, 40, 200), np.full(90, 17)]))
+        other = np.arange(len(values))
+        batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + size]), pa.array(other[i : i + size])], names=["a", "b"]) for i in range(0, len(values), size)]
+        got = list(ngram_join.runs(iter(batches), 60))
+        assert np.concatenate([x[0] for x, _ in got]).tolist() == values.tolist() and np.concatenate([x[1] for x, _ in got]).tolist() == other.tolist()
+        whole = [set(x[0].tolist()) for x, hot in got if not hot]
+        assert len(set().union(*whole)) == sum(map(len, whole))
+        if size < 50:
+            assert {17} == set().union(*(set(x[0].tolist()) for x, hot in got if hot)) and 17 not in set().union(*whole)
+
+
+def test_hot_shingles_lose_no_link(spark, monkeypatch):
+    """Shingles of more classes than HOT, and blocks that are dealt in bands and chunks."""
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = {i: f"{shared} {' '.join(f'o{i}x{k}' for k in range(i % 23))}" for i in range(90)}
+    texts |= {100 + i: f"x{i} {shared} y{i}" for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for cap in (400, 2_000_000):
+        got = ngram_join.join_components(spark, df, num=90, den=100, block_shingles=cap).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 3, 90, 100)[0]
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(i, BASE if i < 3 else f"{BASE} {i} " * 3, i, "h", 1.5, -i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash long, v string, component_id double, n_shingles long")
+    got = ngram_join.keep_one(spark, df)
+    assert got.columns == df.columns
+    assert all(tuple(r) in rows for r in got.collect()) and 0 in {r.doc_id for r in got.collect()} and not {1, 2} & {r.doc_id for r in got.collect()}
 
 
 def test_trie_visits_shared_paths_once():
