@@ -2,15 +2,20 @@
 
 1. Each text becomes its set of n-word shingles (64-bit hashes); texts of one
    set are one class from here on.
-2. Global order.  Rows (shingle, class) meet by shingle, sorted, so a task
-   streams over them and counts the classes of each.  A shingle of a single
-   class can be in no intersection and goes here; the others get a place in the
-   global order: frequent ones first, by a class of their count, then by hash.
-3. Rows meet again by class.  A set of n that links to another shares
-   ceil(n num / den) shingles with it; a set with fewer shared shingles in all
-   goes here.  Of the others, m shared shingles each, the rarest
-   m - ceil(n num / den) + 1 are the prefix, and two sets that link have a
-   prefix shingle in common.  Sets that meet in one are joined to blocks.
+2. A first pass over few shingles.  In the order of their hashes, a set of n
+   has the 2 (n - ceil(n num / den)) first ones as its head; two sets that link
+   share a known number of head shingles (see :func:`head_sizes`).  Rows
+   (shingle, class) meet by shingle, sorted, so a task streams over them; a set
+   with fewer shared head shingles in all can link to nothing and goes here.
+3. Global order, over the sets left.  Rows of all their shingles meet in the
+   same way and the classes of each are counted.  A shingle of a single class
+   can be in no intersection and goes; the others get a place in the global
+   order: frequent ones first, by a class of their count, then by hash.  Rows
+   meet again by class.  A set of n that links to another shares
+   ceil(n num / den) shingles with it; one with fewer shared shingles goes.  Of
+   the others, m shared shingles each, the rarest m - ceil(n num / den) + 1 are
+   the prefix, and two sets that link have a prefix shingle in common.  Sets
+   that meet in one are joined to blocks.
 4. Within a block, each prefix group is joined through a trie of its sets, most
    frequent shingles first, so near copies share long paths.  A traversal
    carries the overlap of a path, shared by all sets below it, and leaves a
@@ -43,6 +48,9 @@ SEEN = 500_000
 REPS = 32
 #: Counts above it are one class of the order, so that a run of any length streams by.
 HOT = 1 << 16
+#: Bits for each text that the second pass wants, and at most (2^30 bits are 128 MB): beyond it the pass reads more texts than it must.
+MARK_BITS = 16
+MOST_BITS = 1 << 30
 BLOCK_SHINGLES = 2_000_000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
@@ -113,6 +121,19 @@ def least_overlap(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def head_sizes(n, num: int, den: int):
+    """(head, least shared): a set's first shingles by hash, and how many of them it shares with the heads of others if it links.
+
+    Let e(n) = n - ceil(n num / den), at least 1 where it is used as a length,
+    and a head have n - ceil(n num / den) + e(n) shingles.  Of a common set of
+    at least the larger ceil(n num / den), each head misses the last ones only,
+    so both hold its first min(e) of them; a partner has ceil(n num / den)
+    shingles or more, and e does not fall with n.
+    """
+    least = least_overlap(n, num, den)
+    return n - least + np.maximum(1, n - least), np.maximum(1, least - least_overlap(least, num, den))
+
+
 def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
     """Sorted batches as arrays cut between values of the first column; a run above ``most`` comes in parts, marked True."""
     held: list[list[np.ndarray]] = []
@@ -335,40 +356,81 @@ def digests(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, f"key {kind}, text_hash long, n_shingles long, v long")
 
 
-def shared_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(v, n, place): the shingles that two classes or more have, with their places in the global order; a pair may repeat."""
+def shingle_rows(df: DataFrame, text: str, shingle: int, *, head: tuple[int, int] | None = None, marked=None) -> DataFrame:
+    """(shingle, v, n), dealt and sorted by shingle and class: all shingles, or the heads of sets; of all texts, or those whose ``_bit`` is marked."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class goes out once a task, so a group of copies sends one set a task
-        for b in rows_of(batches, text, SLICE_BYTES):
-            sets, classes = [np.zeros(0, np.uint64)], []
-            for s in shingle_sets(_texts(b.column(0)), shingle):
-                v = class_of(s)
-                if len(s) and v not in seen:
-                    seen.add(v)
-                    sets.append(s)
-                    classes.append(v)
-            if len(seen) > SEEN:
-                seen.clear()
-            n = np.array([len(s) for s in sets[1:]], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), n)), pa.array(np.repeat(n, n))], names=["shingle", "v", "n"])
+        for whole in batches:
+            if marked is not None:
+                at = whole.column(1).to_numpy()
+                whole = whole.filter(pa.array(marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            for b in rows_of(iter([whole]), text, SLICE_BYTES):
+                sets, classes, sizes = [np.zeros(0, np.uint64)], [], []
+                for s in shingle_sets(_texts(b.column(0)), shingle):
+                    v = class_of(s)
+                    if len(s) and v not in seen:
+                        seen.add(v)
+                        sets.append(s[: int(head_sizes(len(s), *head)[0])] if head else s)
+                        classes.append(v)
+                        sizes.append(len(s))
+                if len(seen) > SEEN:
+                    seen.clear()
+                each = np.array([len(s) for s in sets[1:]], np.int64)
+                cols = np.concatenate(sets).view(np.int64), np.repeat(np.array(classes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "v", "n"])
+
+    rows = df.select(text, *(["_bit"] if marked is not None else [])).mapInArrow(cut, "shingle long, v long, n int")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "v")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingle, v, n, classes of the shingle) of shingles with two classes or more."""
+    for (s, v, n), hot in runs(batches, HOT):
+        if hot:
+            counts = np.full(len(s), HOT)
+        else:
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])])
+            s, v, n = s[new], v[new], n[new]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            each = np.diff(np.concatenate([first, [len(s)]]))
+            counts = np.repeat(each, each)
+        some = counts > 1
+        yield s[some], v[some], n[some], counts[some]
+
+
+def possible_classes(df: DataFrame, text: str, shingle: int, num: int, den: int) -> DataFrame:
+    """(v): classes whose heads share as many shingles with others' as a link takes; all that link are among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (s, v, n), hot in runs(batches, HOT):
-            if len(s) > 1 and not hot:
-                new = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])])
-                s, v, n = s[new], v[new], n[new]
-            if hot:
-                counts = np.full(len(s), HOT)
-            else:
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                each = np.diff(np.concatenate([first, [len(s)]]))
-                counts = np.repeat(each, each)
-            some = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(n[some]), pa.array(ordered(s[some], counts[some]))], names=["v", "n", "place"])
-
-    rows = df.select(text).mapInArrow(cut, "shingle long, v long, n int")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "v").mapInArrow(count, "v long, n int, place long")
+        for _, v, n, _ in _counted(batches):
+            classes, first, c = np.unique(v, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n[first]), pa.array(c)], names=["v", "n", "c"])
+
+    sums = shingle_rows(df, text, shingle, head=(num, den)).mapInArrow(count, "v long, n int, c long").groupBy("v").agg(F.first("n").alias("n"), F.sum("c").alias("c"))
+    least = lambda n: F.floor((n.cast("long") * num + den - 1) / den)
+    return sums.where(F.col("c") >= F.greatest(F.lit(1), least(F.col("n")) - least(least(F.col("n"))))).select("v")
+
+
+def shared_shingles(df: DataFrame, text: str, shingle: int, marked=None) -> DataFrame:
+    """(v, n, place): the shingles that two classes or more have, with their places in the global order; a pair may repeat."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, v, n, counts in _counted(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n), pa.array(ordered(s, counts))], names=["v", "n", "place"])
+
+    return shingle_rows(df, text, shingle, marked=marked).mapInArrow(place, "v long, n int, place long")
+
+
+def marks(spark: SparkSession, wanted: DataFrame):
+    """(bits, broadcast bitmap) over a hash of (key, text_hash): what the second pass reads; made on the executors, in pieces of 4 KB."""
+    bits = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(1 + MARK_BITS * wanted.count()))))
+    bit = F.pmod(F.xxhash64("key", "text_hash"), F.lit(bits))
+    made = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).toArrow()
+    marked = np.zeros(bits // 8, np.uint8)
+    for k, x in zip(made.column("bucket").to_pylist(), made.column("bits").to_pylist(), strict=True):
+        marked[k * 4096 : (k + 1) * 4096] = np.frombuffer(x, np.uint8)
+    return bits, spark.sparkContext.broadcast(marked)
 
 
 def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -449,7 +511,14 @@ def join_components(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     Repeated rows are copies of one another.  An empty table stays empty.
     """
     rows = stage(spark, digests(df, key, text, shingle), "digests")
-    candidates = stage(spark, candidate_sets(shared_shingles(df.where(F.col(key).isNotNull()), text, shingle), num, den), "candidates")
+    keyed = df.where(F.col(key).isNotNull())
+    possible = stage(spark, possible_classes(keyed, text, shingle, num, den), "possible")
+    one_each = rows.where("key is not null").join(possible, "v", "left_semi").groupBy("v").agg(F.min(F.struct("key", "text_hash")).alias("one")).select("one.*")
+    wanted = stage(spark, one_each, "wanted")
+    bits, marked = marks(spark, wanted)
+    unstage(spark, possible, wanted)
+    again = keyed.select(text, F.pmod(F.xxhash64(key, F.xxhash64(text)), F.lit(bits)).alias("_bit"))
+    candidates = stage(spark, candidate_sets(shared_shingles(again, text, shingle, marked), num, den), "candidates")
     unstage(spark)
     size = candidates.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     blocks = stage(spark, blocks_of(spark, candidates), "blocks")

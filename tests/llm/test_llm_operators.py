@@ -305,6 +305,23 @@ def test_runs_are_whole_and_long_ones_stream():
             assert {17} == set().union(*(set(x[0].tolist()) for x, hot in got if hot)) and 17 not in set().union(*whole)
 
 
+def test_heads_of_linked_sets_meet():
+    """Both heads of any linked pair share at least what the first pass asks for."""
+    rng = np.random.default_rng(9)
+    met = 0
+    for num in (80, 90):
+        for k in range(3000):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 150)), dtype=np.uint64))
+            b = a[rng.permutation(len(a))[: len(a) - int(rng.integers(0, len(a) // 8 + 2))]]
+            b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, len(a) // 8 + 2)), dtype=np.uint64)]))
+            inter = len(np.intersect1d(a, b))
+            if not np.array_equal(a, b) and inter and 100 * inter >= num * (len(a) + len(b) - inter):
+                met += 1
+                (p, least_a), (q, least_b) = (ngram_join.head_sizes(len(x), num, 100) for x in (a, b))
+                assert len(np.intersect1d(a[:p], b[:q])) >= max(least_a, least_b) >= 1
+    assert met > 500
+
+
 def test_hot_shingles_lose_no_link(spark, monkeypatch):
     """Shingles of more classes than HOT, and blocks that are dealt in bands and chunks."""
     monkeypatch.setattr(ngram_join, "HOT", 8)
