@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import WORD_PATTERN, stage
+from solvefront.llm.common import WORD_PATTERN, sealed, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     source's size.  Sorted by cap per weight, the capped sources are a prefix:
     source i is capped if its cap is within what its weight gets once all
     before it are capped.  So running sums find the level at which resharing
-    ends.  The windows run over one row per source.
+    ends.  The windows run over one row per source, in one task: sources are
+    configuration, and a million of them would be some 50 MB there.
     """
     per = sizes.groupBy(source).agg(F.sum(size).alias("source_size"))
     ranked = per.withColumn("_rank", F.row_number().over(W.orderBy(F.col(source).asc_nulls_last())) - 1)
@@ -79,11 +80,12 @@ def with_copies(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", text
     return joined.withColumn("copies", copies)
 
 
-def mix(spark: SparkSession, df: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves, each as often as it is taken, with the columns of ``df``."""
-    taken = with_copies(spark, df, **options)
+def mix(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mixed rows themselves, each as often as it is taken, with the columns of ``df``, whatever their names."""
+    box = sealed(df)
+    taken = with_copies(spark, box.df, key=box.name(key), text=box.name(text), source=box.name(source), **options)
     again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return taken.where("copies > 0").withColumn("_copy", again).select(df.columns)
+    return box.open(taken.where("copies > 0").withColumn("_copy", again))
 
 
 ORACLE = r"""

@@ -4,6 +4,12 @@ Every line is good or bad.  A line's features are shares and sizes of its own
 and of its two neighbours; the field's transitions tie the labels together.
 Forward-backward gives each line's marginal, and the marginals weighted by
 line length are the document's score.
+
+Only documents have labels, so those of lines are latent: first each line has
+its document's, then the lines that a fit of lines alone contradicts most take
+the other one, as long as most of the document agrees with its label, and the
+field is fitted on these.  So it sees bad blocks inside good documents and good
+lines inside bad ones, and its transitions are learnt from these.
 """
 
 from __future__ import annotations
@@ -17,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import rows_of
+from solvefront.llm.common import rows_of, sealed
 
 MAX_TRAIN_ROWS = 6_000
 MAX_TRAIN_BYTES = 64 << 20
+MAX_TEXT_BYTES = 1 << 20
+#: Share of a document's letters that keeps its label, and how often line labels are revised.
+AGREE = 0.8
+REVISIONS = 2
 CHAIN = 128
 L2 = 1e-3
 STEPS = 250
@@ -35,8 +45,8 @@ for _i, _set in enumerate((
     _CLASS[np.frombuffer(_set, np.uint8)] = _i
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lengths, lines per text).  Lines with a word count; a text without any is one empty line of length 1."""
+def own_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of the line itself, lengths, text of each line, hash of each line).  Lines with a word count; a text without any is one empty line of length 1."""
     buf = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     stops = np.nonzero(buf == 10)[0]
@@ -79,16 +89,69 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     share = sums / np.maximum(1, stops - starts)[:, None]
     w = np.maximum(1, n_words)
-    own = np.column_stack([
+    own = np.column_stack([  # N_OWN columns
         np.log1p(chars), share, np.log1p(chars / w), 1 - n_distinct / w, n_same / w, repeat, long_words / w,
     ])
-    first = np.concatenate([[True], doc[1:] != doc[:-1]]) if n else np.zeros(0, bool)
-    last = np.concatenate([doc[1:] != doc[:-1], [True]]) if n else np.zeros(0, bool)
+    return own, np.maximum(1, chars), doc, total
+
+
+N_OWN = 14
+REPEAT = 12  # column of the mark for lines equal to an earlier line
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Own features, those of the lines before and after (a line's own at the ends), and whether it is first or last."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:] = own[:-1]
     after[:-1] = own[1:]
     before[first], after[last] = own[first], own[last]
-    return np.column_stack([own, before, after, first, last]).astype(np.float64), np.maximum(1, chars), np.bincount(doc, minlength=len(texts))
+    return np.column_stack([own, before, after, first, last]).astype(np.float64)
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, lengths, lines per text)."""
+    own, length, doc, _ = own_features(texts)
+    edge = doc[1:] != doc[:-1]
+    first = np.concatenate([[True], edge]) if len(own) else np.zeros(0, bool)
+    last = np.concatenate([edge, [True]]) if len(own) else np.zeros(0, bool)
+    return with_neighbours(own, first, last), length, np.bincount(doc, minlength=len(texts))
+
+
+def slices(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in parts of about ``size`` bytes, cut behind line ends (a longer line is a part of its own)."""
+    at = 0
+    while at < len(text):
+        end = text.rfind(b"\n", at, at + size) + 1 or text.find(b"\n", at + size) + 1 or len(text)
+        yield text[at:end]
+        at = end
+
+
+def long_text_features(text: bytes, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, lengths) of one text, slice by slice, as :func:`line_features` has them for the whole."""
+    seen = np.zeros(0, np.uint64)
+    held: tuple[np.ndarray, np.ndarray] | None = None
+    before: np.ndarray | None = None
+
+    def done(own, length, before, after):
+        rows = np.vstack([before if before is not None else own[:1], own, after if after is not None else own[-1:]])
+        mark = np.zeros(len(rows), bool)
+        first, last = mark.copy(), mark.copy()
+        first[1], last[-2] = before is None, after is None
+        return with_neighbours(rows, first, last)[1:-1], length
+
+    for part in slices(text, size):
+        if not part.strip(b" \t\n\x0b\x0c\r"):
+            continue
+        own, length, _, total = own_features([part])
+        own[:, REPEAT] = np.maximum(own[:, REPEAT], np.isin(total, seen))
+        seen = np.union1d(seen, total)
+        if held is not None:
+            yield done(*held, before, own[:1])
+            before = held[0][-1:]
+        held = own, length
+    if held is None:
+        held = own_features([b""])[:2]
+    yield done(*held, before, None)
 
 
 def _word_hash(buf: np.ndarray, begin: np.ndarray, over: np.ndarray) -> np.ndarray:
@@ -120,8 +183,8 @@ def _chains(sizes: np.ndarray, longest: int | None = None) -> tuple[np.ndarray,
     return starts[of] + k * longest, np.minimum(longest, sizes[of] - k * longest)
 
 
-def forward_backward(score: np.ndarray, trans: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals per line (n x 2), expected transitions (2 x 2), and the sum of ln Z.
+def forward_backward(score: np.ndarray, trans: np.ndarray, starts: np.ndarray, sizes: np.ndarray, *, pairs: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals per line (n x 2), expected transitions (2 x 2, zero without ``pairs``), and the sum of ln Z.
 
     All chains advance together, longest first, so step t works on those that reach it.
     """
@@ -144,6 +207,8 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, starts: np.ndarray, s
     per_line = np.empty(len(score))
     per_line[np.repeat(s, z) + (np.arange(int(z.sum())) - np.repeat(np.concatenate([[0], np.cumsum(z)[:-1]]), z))] = np.repeat(log_z, z)
     marginal = np.exp(alpha + beta - per_line[:, None])
+    if not pairs:
+        return marginal, np.zeros((2, 2)), float(log_z.sum())
     inner = np.ones(len(score), bool)
     inner[s] = False
     at = np.nonzero(inner)[0]
@@ -165,67 +230,122 @@ class LineField:
         return np.column_stack([z, np.ones(len(z))])
 
     @classmethod
-    def fit(cls, x: np.ndarray, sizes: np.ndarray, label: np.ndarray, *, l2: float = L2, steps: int = STEPS, chain: int = CHAIN) -> LineField:
-        """Full-batch Adam on the penalised mean log-likelihood; every line carries its document's label.  Starts at zero: no randomness."""
-        field = cls(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros((x.shape[1] + 1, 2)), np.zeros((2, 2)))
+    def fit(cls, x: np.ndarray, sizes: np.ndarray, label: np.ndarray, length: np.ndarray | None = None, *, l2: float = L2, steps: int = STEPS, chain: int = CHAIN, revisions: int = REVISIONS, agree: float = AGREE) -> LineField:
+        """Label every line as its document, revise by a fit of each line alone, and fit the field on the labels found.  Starts at zero: no randomness."""
+        blank = lambda: (np.zeros((x.shape[1] + 1, 2)), np.zeros((2, 2)))
+        field = cls(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), *blank())
         z = field.inputs(x)
+        length = np.ones(len(x)) if length is None else length.astype(np.float64)
         y = np.repeat(label, sizes)
+        alone = cls(field.mean, field.scale, *blank())
+        by_itself = z.copy()
+        by_itself[:, N_OWN:-1] = 0  # else a line's neighbours, which have its document's label too, would speak for it
+        for _ in range(revisions):
+            alone._climb(by_itself, y, sizes, l2, steps // 2, 1)
+            y = revised(by_itself @ alone.weight, sizes, label, length, agree)
+        field._climb(z, y, sizes, l2, steps, chain)
+        return field
+
+    def _climb(self, z: np.ndarray, y: np.ndarray, sizes: np.ndarray, l2: float, steps: int, chain: int) -> None:
+        """Full-batch Adam on the penalised mean log-likelihood of line labels."""
         starts, lengths = _chains(sizes, chain)
         truth = np.zeros((len(y), 2))
         truth[np.arange(len(y)), y] = 1
         inner = np.ones(len(y), bool)
         inner[starts] = False
+        at = np.nonzero(inner)[0]
         real = np.zeros((2, 2))
-        np.add.at(real, (y[inner], y[inner]), 1)
-        theta = np.zeros(field.weight.size + 4)
+        np.add.at(real, (y[at - 1], y[at]), 1)
+        theta = np.concatenate([self.weight.ravel(), self.trans.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
-            field.weight, field.trans = theta[:-4].reshape(field.weight.shape), theta[-4:].reshape(2, 2)
-            marginal, pair, _ = forward_backward(z @ field.weight, field.trans, starts, lengths)
+            self.weight, self.trans = theta[:-4].reshape(self.weight.shape), theta[-4:].reshape(2, 2)
+            marginal, pair, _ = forward_backward(z @ self.weight, self.trans, starts, lengths)
             slope = np.concatenate([(z.T @ (truth - marginal)).ravel(), (real - pair).ravel()]) / len(starts) - l2 * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        field.weight, field.trans = theta[:-4].reshape(field.weight.shape), theta[-4:].reshape(2, 2)
-        return field
+        self.weight, self.trans = theta[:-4].reshape(self.weight.shape), theta[-4:].reshape(2, 2)
+
+    def marginals(self, text: bytes, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of good, length) of each line of one text of any length.
+
+        Features are made slice by slice; what stays is a few numbers a line.
+        """
+        parts = [(self.inputs(x) @ self.weight, length) for x, length in long_text_features(text, size)]
+        scores, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        marginal, _, _ = forward_backward(scores, self.trans, np.zeros(1, np.int64), np.array([len(scores)]), pairs=False)
+        return marginal[:, 1], length
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Length-weighted marginal of good of each text."""
-        if not texts:
-            return np.zeros(0)
-        x, length, sizes = line_features(texts)
-        starts, sizes = _chains(sizes)
-        marginal, _, _ = forward_backward(self.inputs(x) @ self.weight, self.trans, starts, sizes)
-        good = np.add.reduceat(marginal[:, 1] * length, starts) / np.add.reduceat(length.astype(np.float64), starts)
-        return np.clip(good, 0.0, 1.0)
+        out = np.zeros(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t) <= SLICE_BYTES]
+        for i in set(range(len(texts))).difference(short):
+            good, length = self.marginals(texts[i])
+            out[i] = (good * length).sum() / length.sum()
+        if short:
+            x, length, sizes = line_features([texts[i] for i in short])
+            starts, sizes = _chains(sizes)
+            marginal, _, _ = forward_backward(self.inputs(x) @ self.weight, self.trans, starts, sizes, pairs=False)
+            out[short] = np.add.reduceat(marginal[:, 1] * length, starts) / np.add.reduceat(length.astype(np.float64), starts)
+        return np.clip(out, 0.0, 1.0)
+
+
+def revised(scores: np.ndarray, sizes: np.ndarray, label: np.ndarray, length: np.ndarray, agree: float) -> np.ndarray:
+    """Line labels: the document's, but the other one for lines whose own scores say so, most certain first, while ``agree`` of the length keeps the document's."""
+    y = np.repeat(label, sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    against = (scores[:, 1] - scores[:, 0]) * np.where(y == 1, -1, 1)
+    order = np.lexsort((np.arange(len(y)), -against, doc))
+    used = np.cumsum(length[order])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    before = np.repeat(np.concatenate([[0.0], used[np.cumsum(sizes)[:-1] - 1]]), sizes)
+    total = np.repeat(np.add.reduceat(length, starts), sizes)
+    turn = order[(against[order] > 0) & (used - before <= (1 - agree) * total)]
+    y[turn] = 1 - y[turn]
+    return y
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> LineField | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, max_text: int = MAX_TEXT_BYTES) -> LineField | None:
     """Fit on at most ``max_rows`` labelled documents and ``max_bytes`` of text; None without both labels.
 
     Documents are taken whole, in the order of a hash of their key, until
-    either bound is met.  Only the chosen labels (that many rows) are
-    broadcast.  Labels that are null or not 0 or 1 are left out; of repeated
-    keys the least label counts.
+    either bound is met; labelled texts above ``max_text`` bytes are passed
+    over (they are scored like any other).  The order and the bounds are found
+    on keys and lengths; only then are the chosen texts read.  Labels that are
+    null or not 0 or 1 are left out; of repeated keys the least label and the
+    text of the least hash count.
     """
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_y"))
-    known = usable.join(docs.select(key).distinct(), key, "left_semi").withColumn("_h", F.xxhash64(F.col(key), F.lit("crf")))
-    chosen = known.orderBy("_h", key).limit(max_rows)
-    taken = docs.select(key, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t")).join(F.broadcast(chosen), key).dropDuplicates([key])
-    running = F.sum(F.length("t")).over(W.orderBy("_h", key).rowsBetween(W.unboundedPreceding, W.currentRow))
-    got = taken.withColumn("_used", running).where(F.col("_used") <= max_bytes).select("t", "_y").toArrow()
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_y"))
+    plain = docs.select(F.col(key).alias("_key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_t"))
+    hashed = plain.withColumns({"_n": F.length("_t"), "_text": F.xxhash64("_t")})
+    one = hashed.where(F.col("_n") <= max_text).groupBy("_key").agg(F.min(F.struct("_text", "_n")).alias("_one"))
+    known = one.join(usable, "_key").select("_key", "_one.*", "_y", F.xxhash64(F.col("_key"), F.lit("crf")).alias("_h"))
+    first = known.orderBy("_h", "_key").limit(max_rows)
+    running = F.sum("_n").over(W.orderBy("_h", "_key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    chosen = first.withColumn("_used", running).where(F.col("_used") <= max_bytes).select("_key", "_text", "_y", "_h")
+    got = hashed.join(F.broadcast(chosen), ["_key", "_text"]).dropDuplicates(["_key"]).select("_h", "_t", "_y").toArrow()
     y = got.column("_y").to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     if len(np.unique(y)) < 2:
         return None
-    order = np.lexsort((np.array([len(t) for t in got.column("t").to_pylist()]), y))
+    order = np.lexsort((got.column("_h").to_numpy(), np.array([len(t) for t in got.column("_t").to_pylist()]), y))
     parts, pending, used = [], [], 0
     for k, i in enumerate(order):
-        pending.append(got.column("t")[int(i)].as_py())
+        pending.append(got.column("_t")[int(i)].as_py())
         used += len(pending[-1])
         if used >= SLICE_BYTES or k == len(order) - 1:
             parts.append(line_features(pending))
             pending, used = [], 0
-    x, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
-    return LineField.fit(x, sizes, y[order])
+    x, length, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return LineField.fit(x, sizes, y[order], length)
+
+
+def keep_good(spark: SparkSession, df: DataFrame, field: LineField | None, text: str = "text", *, threshold: float) -> DataFrame:
+    """The rows of ``df`` that score ``threshold`` or more, with columns of any name as they were; all of them without a field."""
+    if field is None:
+        return df
+    box = sealed(df)
+    return box.open(score(spark, box.df, field, box.name(text), threshold=threshold).where("predicted = 1"))
 
 
 def score(spark: SparkSession, df: DataFrame, field: LineField | None, text: str = "text", *, threshold: float = 0.7) -> DataFrame:

@@ -171,6 +171,12 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(spark, docs).columns == docs.columns and mixing.mix(spark, empty).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "one two three", "s", f"k{i}", 1, 2, 3) for i in range(50)], "doc_id long, text string, source string, size string, source_size int, target int, copies int")
+    got = mixing.mix(spark, df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
+
+
 def test_taken_words_come_near_the_targets(spark):
     df = spark.createDataFrame([(i, " ".join(["w"] * (5 + i % 7)), f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
     rows = mixing.with_copies(spark, df).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
@@ -592,6 +598,44 @@ def test_classifier(spark, empty):
     assert {r.predicted for r in quality_crf.score(spark, docs, None).collect()} == {0}
 
 
+def test_bad_block_in_a_good_document(spark):
+    """Line labels are latent: a bad block in a good document gets low marginals, its neighbours high ones."""
+    rng = np.random.default_rng(3)
+    good = lambda: " ".join(rng.choice(["the", "garden", "lies", "behind", "house", "quiet", "river", "and"], 9)).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["$$$", "###", "BUY", "!!!", "NOW", "<<>>"], 7))
+    rows, labels = [], []
+    for i in range(240):
+        lines = [good() if i % 2 else bad() for _ in range(12)]
+        if i % 4 == 1:
+            lines[4:6] = [bad(), bad()]
+        rows.append((i, "\n".join(lines), "en", "s"))
+        labels.append((i, i % 2))
+    field = quality_crf.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int"))
+    lines = [*[good() for _ in range(8)], *[bad() for _ in range(3)], *[good() for _ in range(8)]]
+    p, length = field.marginals("\n".join(lines).encode())
+    assert p[8:11].max() < 0.5 < min(p[:8].min(), p[11:].min()) and len(length) == 19
+    # Transitions were learnt from line labels that change, not from documents of one label alone.
+    pure = quality_crf.LineField.fit(*[np.concatenate(x) for x in [[quality_crf.line_features([r[1].encode() for r in rows])[0]]]], np.full(240, 12), np.array([y for _, y in labels]), revisions=0)
+    assert field.trans[1, 0] - field.trans[1, 1] > pure.trans[1, 0] - pure.trans[1, 1]
+
+
+def test_long_texts_in_slices_equal_the_whole():
+    rng = np.random.default_rng(4)
+    text = b"\n".join(b" ".join(rng.choice([b"a", b"Bcd", b"#", b"12", b"", b"x!"], rng.integers(0, 6))) for _ in range(500)) + b"\n\n" + b"w" * 300
+    x, length, _ = quality_crf.line_features([text])
+    for size in (40, 200, 10_000):
+        parts = list(quality_crf.long_text_features(text, size))
+        assert np.allclose(np.concatenate([p[0] for p in parts]), x) and np.concatenate([p[1] for p in parts]).tolist() == length.tolist()
+    assert [len(p[0]) for p in quality_crf.long_text_features(b" \n ", 10)] == [1]
+
+
+def test_long_labelled_texts_leave_the_others(spark):
+    """The bound on training bytes passes over long texts instead of ending at the first."""
+    rows = [(i, "plain words here\nand here" if i % 2 else "### !!!\n$$$ %%%", "en", "s") for i in range(40)] + [(100 + i, "long line\n" * 2000, "en", "s") for i in range(5)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows], "doc_id long, quality int")
+    assert quality_crf.fit(spark.createDataFrame(rows, DOCS), labels, max_bytes=10_000, max_text=5_000) is not None
+
+
 def test_lines_of_a_batch_equal_lines_alone():
     texts = [b"a b\n\nb b b\na b", b"", b"\n\n", "É x\nÉ x".encode(), b"one"]
     x, length, sizes = quality_crf.line_features(texts)
