@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -107,8 +108,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def give_back() -> None:
+    """Return free memory to the system: a Python worker outlives its task, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks are mapped, and go as soon as they are freed
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches holding about ``max_bytes`` of ``column`` at most (one row at least)."""
+    """Slices of the batches holding about ``max_bytes`` of ``column`` at most (one row at least); free memory goes back at both ends."""
+    give_back()
+    yield from _slices(batches, column, max_bytes)
+    give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import rows_of, sealed, stage, unstage
+from solvefront.llm.common import give_back, rows_of, sealed, stage, unstage
 from solvefront.llm.components import connected_components
 
 SHINGLE = 3
 NUM, DEN = 90, 100
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SEEN = 500_000
 REPS = 32
 #: Counts above it are one class of the order, so that a run of any length streams by.
@@ -136,6 +136,7 @@ def head_sizes(n, num: int, den: int):
 
 def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
     """Sorted batches as arrays cut between values of the first column; a run above ``most`` comes in parts, marked True."""
+    give_back()
     held: list[list[np.ndarray]] = []
     size, want, hot = 0, 0, None
     for b in batches:
@@ -166,6 +167,8 @@ def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator
             held, size, want = [], 0, 0
     if size:
         yield [np.concatenate(x) for x in zip(*held, strict=True)], False
+    del held
+    give_back()
 
 
 def ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -360,25 +363,26 @@ def shingle_rows(df: DataFrame, text: str, shingle: int, *, head: tuple[int, int
     """(shingle, v, n), dealt and sorted by shingle and class: all shingles, or the heads of sets; of all texts, or those whose ``_bit`` is marked."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(1).to_numpy()
+                yield b.filter(pa.array(marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
         seen: set[int] = set()  # a class goes out once a task, so a group of copies sends one set a task
-        for whole in batches:
-            if marked is not None:
-                at = whole.column(1).to_numpy()
-                whole = whole.filter(pa.array(marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-            for b in rows_of(iter([whole]), text, SLICE_BYTES):
-                sets, classes, sizes = [np.zeros(0, np.uint64)], [], []
-                for s in shingle_sets(_texts(b.column(0)), shingle):
-                    v = class_of(s)
-                    if len(s) and v not in seen:
-                        seen.add(v)
-                        sets.append(s[: int(head_sizes(len(s), *head)[0])] if head else s)
-                        classes.append(v)
-                        sizes.append(len(s))
-                if len(seen) > SEEN:
-                    seen.clear()
-                each = np.array([len(s) for s in sets[1:]], np.int64)
-                cols = np.concatenate(sets).view(np.int64), np.repeat(np.array(classes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "v", "n"])
+        for b in rows_of(batches if marked is None else wanted(), text, SLICE_BYTES):
+            sets, classes, sizes = [np.zeros(0, np.uint64)], [], []
+            for s in shingle_sets(_texts(b.column(0)), shingle):
+                v = class_of(s)
+                if len(s) and v not in seen:
+                    seen.add(v)
+                    sets.append(s[: int(head_sizes(len(s), *head)[0])] if head else s)
+                    classes.append(v)
+                    sizes.append(len(s))
+            if len(seen) > SEEN:
+                seen.clear()
+            each = np.array([len(s) for s in sets[1:]], np.int64)
+            cols = np.concatenate(sets).view(np.int64), np.repeat(np.array(classes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "v", "n"])
 
     rows = df.select(text, *(["_bit"] if marked is not None else [])).mapInArrow(cut, "shingle long, v long, n int")
     return rows.repartition("shingle").sortWithinPartitions("shingle", "v")

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from solvefront.llm.common import rows_of
 
 #: Bytes of text handed on at once; of a window; of a call of the library; words kept per Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 WINDOW_BYTES = 2 << 20
 CALL_BYTES = 1 << 20
 JOINED_BYTES = 1 << 11
-MAX_WORDS = 1_500_000
+MAX_WORDS = 500_000
 #: Longest word, in bytes, whose bytes are its key in the table.
 KEY_BYTES = 16
 
