@@ -69,6 +69,32 @@ def _codes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
+def _pieces(texts: list[bytes], depth: int, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram codes, text of each) of texts in order, up to about ``size`` positions at a time: a long text goes in parts, whose contexts overlap."""
+    held: list[int] = []
+    used = 0
+
+    def together(some: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        buf, at, starts = _stream([texts[i] for i in some], depth)
+        return _codes(buf, at, depth), np.repeat(np.array(some), np.diff(np.concatenate([starts, [len(at)]])))
+
+    for i, t in enumerate(texts):
+        if used + len(t) + 1 > size and held:
+            yield together(held)
+            held, used = [], 0
+        if len(t) < size:
+            held.append(i)
+            used += len(t) + 1
+            continue
+        whole = bytes([SEPARATOR]) * depth + t + bytes([SEPARATOR])
+        for lo in range(0, len(t) + 1, size):
+            buf = np.frombuffer(whole[lo : lo + size + depth], np.uint8)
+            codes = _codes(buf, np.arange(depth, len(buf)), depth)
+            yield codes, np.full(len(codes), i)
+    if held:
+        yield together(held)
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Partial counts (word, c): words as bytes, an empty word per text end; the caller adds them up."""
 
@@ -131,9 +157,8 @@ def batch_grams(rows: DataFrame, depth: int) -> DataFrame:
                 texts = _bytes(part.column(1))
                 for use in (True, False):
                     chosen = [t for t, x in zip(texts, train, strict=True) if x == use]
-                    if chosen:
-                        buf, at, _ = _stream(chosen, depth)
-                        codes, counts = np.unique(_codes(buf, at, depth), return_counts=True)
+                    for found, _ in _pieces(chosen, depth):
+                        codes, counts = np.unique(found, return_counts=True)
                         held.append((codes, counts if use else np.zeros(len(codes), np.int64)))
                         size += len(codes)
                 if size > 2 * HELD_GRAMS:
@@ -434,6 +459,8 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
     the tree predicts evenly and every word is unknown.  Repeated rows are
     scored each; an empty table stays empty; a null key is as good as any.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("depth is 1 to 6: a gram of depth + 1 bytes must fit a signed 64-bit integer")
     rows = stage(spark, batched(df, is_training, key, text), "batched")
     held = stage(spark, batch_grams(rows, depth), "batch-grams")
     grams = stage(spark, held.groupBy("code").agg(F.sum("n").alias("n")), "grams")
@@ -457,12 +484,12 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
         out = []
         for b in rows_of(iter(docs.select(["uid", "key", "text"]).to_batches()), "text", SLICE_BYTES):
             texts = _bytes(b.column(2))
-            buf, at, starts = _stream(texts, depth)
-            wanted = _codes(buf, at, depth)
-            order = np.argsort(wanted)  # neighbours in the table are searched one after another
-            each = np.empty(len(wanted))
-            each[order] = ln_p[np.searchsorted(codes, wanted[order])]
-            scores = np.add.reduceat(each, starts)
+            scores = np.zeros(len(texts))
+            for wanted, owner in _pieces(texts, depth):
+                order = np.argsort(wanted)  # neighbours in the table are searched one after another
+                each = np.empty(len(wanted))
+                each[order] = ln_p[np.searchsorted(codes, wanted[order])]
+                scores += np.bincount(owner, each, len(texts))
             n_tokens, n_known, base, rest, rest_n = [], [], [], [], []
             for t in texts:
                 words = Counter(t.split())

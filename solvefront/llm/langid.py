@@ -32,7 +32,11 @@ SLICE_BYTES = 4 << 20
 MEMO_WORDS = 500_000
 MEMO_CHARS = 48
 LONG = 30
-MAX_PIECE = 16
+#: Characters of a text worked on at once; a longer text is cut between words and its parts are added up.
+PART_CHARS = 1 << 20
+#: Below it, probabilities are scaled up again.
+SMALL = 1e-100
+MOST = 1e250
 
 
 class Pieces:
@@ -52,6 +56,7 @@ class Pieces:
                 self.byte[int(piece[3:5], 16)] = i
             elif not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_unused(i)):
                 self.ids[piece] = i
+        self.longest = max(map(len, self.ids), default=1)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -70,23 +75,25 @@ class Scorer:
         """log_p: vocabulary size x languages."""
         known = pieces(vocabulary)
         self.byte = known.byte
-        self.ids = {p: i + 1 for p, i in known.ids.items() if len(p) <= MAX_PIECE}
+        self.ids = {p: i + 1 for p, i in known.ids.items()}
+        self.longest = known.longest
         self.p = np.vstack([np.zeros(log_p.shape[1]), np.exp(log_p)])  # row 0: no such piece
-        self.more: list[np.ndarray] = []
+        self.rows = len(self.p)
         self.memo: dict[str, int] = {}
         self.values = np.zeros((1024, log_p.shape[1]))
 
-    def _fallback(self, char: str) -> int:
-        """A row for a character that is no piece: the product of its bytes' probabilities."""
-        row = np.prod([self.p[self.byte[b] + 1] for b in char.encode()], axis=0)
-        self.p = np.vstack([self.p, row])
-        self.ids[char] = len(self.p) - 1
-        return len(self.p) - 1
+    def _fallback(self, char: str) -> None:
+        """A row for a character that is no piece: the product of its bytes' probabilities.  Rows are as many as characters at most."""
+        if self.rows == len(self.p):
+            self.p = np.vstack([self.p, np.zeros((max(1024, len(self.p) // 4), self.p.shape[1]))])
+        self.p[self.rows] = np.prod([self.p[self.byte[b] + 1] for b in char.encode()], axis=0)
+        self.ids[char] = self.rows
+        self.rows += 1
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Words of one length, at most :data:`LONG`: all at once."""
+        """Words of one length, at most :data:`LONG`: all at once, scaled up wherever a value gets small."""
         n = len(words[0]) + 1
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - MAX_PIECE), j)]
+        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
         get = self.ids.get
         for c in set("".join(words)):
             if c not in self.ids:
@@ -95,11 +102,22 @@ class Scorer:
         found = np.array([[get(s[i:j], 0) for i, j in spans] for s in marked], np.int32)
         alpha = np.zeros((n + 1, len(words), self.p.shape[1]))
         alpha[0] = 1
-        for k, (i, j) in enumerate(spans):
-            col = found[:, k]
-            if col.any():
-                alpha[j] += alpha[i] * self.p[col]
-        return np.log(alpha[n])
+        scale = np.zeros(alpha.shape[1:])
+        k = 0
+        for j in range(1, n + 1):
+            first = max(0, j - self.longest)
+            for i in range(first, j):
+                col = found[:, k]
+                k += 1
+                if col.any():
+                    alpha[j] += alpha[i] * self.p[col]
+            if (alpha[j] < SMALL).any():
+                by = np.where((alpha[j] < SMALL) & (alpha[j] > 0), alpha[j], 1.0)
+                # Only characters that are in no piece get so far apart that a value passes MOST; no piece starts there.
+                with np.errstate(over="ignore"):
+                    alpha[first : j + 1] = np.minimum(alpha[first : j + 1] / by, MOST)
+                scale += np.log(by)
+        return np.log(alpha[n]) + scale
 
     def forward_long(self, word: str) -> np.ndarray:
         """One word of any length, rescaled at each step so that nothing underflows."""
@@ -117,9 +135,10 @@ class Scorer:
                     a += before * self.p[row]
             if (a > 0).all():
                 scale += np.log(a)
-                window = [w / a for w in window]
+                with np.errstate(over="ignore"):
+                    window = [np.minimum(w / a, MOST) for w in window]
                 a = np.ones_like(a)
-            window = [*window[-(MAX_PIECE - 1) :], a]
+            window = [*window[-(self.longest - 1) :], a] if self.longest > 1 else [a]
         return scale
 
     def learn(self, missing: set[str]) -> None:
@@ -138,23 +157,49 @@ class Scorer:
                 self.values[first : first + len(part)] = got
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        """Sums over each text's words; zeros without words.  All texts' new words are learnt together, in large batches."""
+        """Sums over each text's words; zeros without words.  Texts are gathered up to :data:`PART_CHARS`, whose new words are learnt together."""
         out = np.zeros((len(texts), self.values.shape[1]))
-        found = [LETTERS.findall(text.lower()) for text in texts]
+        held: list[tuple[int, str]] = []
+        used = 0
+        for k, text in enumerate(texts):
+            for part in parts_of(text):
+                held.append((k, part))
+                used += len(part)
+                if used >= PART_CHARS:
+                    self._add(out, held)
+                    held, used = [], 0
+        self._add(out, held)
+        return out
+
+    def _add(self, out: np.ndarray, parts: list[tuple[int, str]]) -> None:
+        found = [LETTERS.findall(text.lower()) for _, text in parts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo = self.memo
         every = {w for words in found for w in words}
         long_words = {w for w in every if len(w) > MEMO_CHARS}
         self.learn({w for w in every if w not in memo} - long_words)
-        for k, words in enumerate(found):
+        for (k, _), words in zip(parts, found, strict=True):
             if long_words:
                 for w in long_words.intersection(words):
                     out[k] += words.count(w) * self.forward_long(w)
                 words = [w for w in words if len(w) <= MEMO_CHARS]
             if words:
                 out[k] += self.values[[memo[w] for w in words]].sum(axis=0)
-        return out
+
+
+_NO_LETTER = re.compile(r"[\W\d_]")
+
+
+def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
+    """The text in parts of about ``size``, cut where no word runs on."""
+    at = 0
+    while len(text) - at > size:
+        stop = _NO_LETTER.search(text, at + size)
+        end = stop.end() if stop else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str = "lang", *, vocabulary: str = VOCABULARY, max_rows: int = MAX_TRAIN_ROWS, smoothing: float = SMOOTHING):
@@ -175,10 +220,11 @@ def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str
         for b in rows_of(batches, text, SLICE_BYTES):
             for a, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found[a, ""] += 1  # a document
-                found.update((a, w) for w in LETTERS.findall(t.lower()))
-                if len(found) > MEMO_WORDS:
-                    yield put()
-                    found.clear()
+                for part in parts_of(t):
+                    found.update((a, w) for w in LETTERS.findall(part.lower()))
+                    if len(found) > MEMO_WORDS:
+                        yield put()
+                        found.clear()
         yield put()
 
     counted = chosen.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

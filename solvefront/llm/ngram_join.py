@@ -65,22 +65,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer words than n are one shingle, no word is none."""
-    buf = _LOWER[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)]
+def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word of some bytes in lower case."""
     solid = ~_SPACE[buf]
     edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
     begin, over = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    n_words = np.bincount(np.searchsorted(np.cumsum(sizes), begin, side="right"), minlength=len(texts))
     if not len(begin):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return begin, np.zeros(0, np.uint64)
     length = over - begin
     at = np.concatenate([[0], np.cumsum(length)[:-1]])
     place = np.arange(int(length.sum())) - np.repeat(at, length)
     turn = (place >> 12).astype(np.uint64)  # words over 4096 bytes reuse the powers, mixed with the turn
     word = np.add.reduceat((_BYTE[buf[solid]] + turn * np.uint64(0xD6E8FEB86659FD93)) * _POWER[place & 4095], at)
-    word = _mix(word + length.astype(np.uint64))
+    return begin, _mix(word + length.astype(np.uint64))
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE, window: int = SLICE_BYTES) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer words than n are one shingle, no word is none.
+
+    Words are hashed in windows of bytes, so a very long text takes some bytes a word, not some words a byte.
+    """
+    buf = _LOWER[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)]
+    begins, hashes, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while lo < len(buf):
+        hi = min(len(buf), lo + window)
+        while not _SPACE[buf[hi - 1]]:  # the last byte is a space
+            after = np.flatnonzero(_SPACE[buf[hi : hi + window]])
+            hi = hi + int(after[0]) + 1 if len(after) else min(len(buf), hi + window)
+        begin, hashed = _word_hashes(buf[lo:hi])
+        begins.append(begin + lo)
+        hashes.append(hashed)
+        lo = hi
+    begin, word = np.concatenate(begins), np.concatenate(hashes)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    n_words = np.bincount(np.searchsorted(np.cumsum(sizes), begin, side="right"), minlength=len(texts))
+    if not len(begin):
+        return [np.zeros(0, np.uint64) for _ in texts]
     windows = np.zeros(max(0, len(word) - n + 1), np.uint64)
     for i in range(n):
         windows = _mix(windows * np.uint64(3) + word[i : len(word) - n + 1 + i]) if len(windows) else windows

@@ -1,10 +1,13 @@
 """URL filters: explicit host and path rules, then redirect equivalence.
 
 A url without a rule of its own takes the decision of its aliases: urls joined
-by redirects (meta refresh), canonical links or a table of redirects, or that
-differ only in scheme, ``www.``, fragment, tracking parameters or a closing
-slash.  Components over these edges are found distributed; one that holds a
-blocked url is blocked, but an explicit allow rule stands.
+by redirects (meta refresh, a table of redirects) or canonical links.
+Components over these edges are found distributed; one that holds a blocked
+url is blocked, but an explicit allow rule stands.
+
+Urls that differ in the case of scheme or host or in the fragment are one
+vertex.  As an option, so are those that differ only in scheme, ``www.``,
+tracking parameters or a closing slash.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from solvefront.llm.common import lower_ascii, stage
 from solvefront.llm.components import connected_components
 
 Rule = tuple[str, str, str]  # host, path, verdict
-CANONICAL = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_HREF = r"[\"']?([^\"'\s>]+)"
+CANONICAL = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*" + _HREF
+REFRESH = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*" + _HREF
+#: Entities that occur in urls.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _after(url: Column) -> Column:
@@ -37,6 +44,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def vertex(url: Column) -> Column:
+    """The url with scheme and host in lower case and without fragment; null where there is no ``://``."""
+    rest = F.regexp_extract(_after(url), r"^[^/?#]*([^#]*)", 1)
+    return F.when(F.locate("://", url) > 0, F.concat(lower_ascii(F.regexp_extract(url, r"^(.*?)://", 1)), F.lit("://"), host_of(url), rest))
+
+
 def alias_key(url: Column) -> Column:
     """What urls that are trivially the same page share; null where there is no ``://``."""
     query = F.regexp_extract(_after(url), r"^[^?#]*\?([^#]*)", 1)
@@ -67,43 +80,69 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(a_url, b_url): canonical links and meta refreshes of the pages, relative ones resolved, and ``redirects`` (from_url, to_url)."""
-    here = F.col(url)
-    scheme = F.concat(F.regexp_extract(here, r"^([^:]*)://", 1), F.lit("://"))
+def decoded(href: Column) -> Column:
+    for entity, char in ENTITIES:
+        href = F.replace(href, F.lit(entity), F.lit(char))
+    return href
+
 
-    def absolute(href: Column) -> Column:
-        return (
-            F.when(href.contains("://"), href).when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(here, r"^([^:]*):", 0), href))
-            .when(F.startswith(href, F.lit("/")), F.concat(scheme, host_of(here), href))
-        )
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
 
-    found = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
-    links = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(here, F.explode(F.filter(found, lambda x: x != "")).alias("_href"))
-    edges = links.select(here.alias("a_url"), absolute(F.col("_href")).alias("b_url")).where("b_url is not null")
+
+def absolute(href: Column, base: Column) -> Column:
+    """The link as seen from ``base``: absolute only if a scheme leads it; else by host, by path, by query, or beside the page."""
+    scheme = F.concat(F.regexp_extract(base, r"^(.*?)://", 1), F.lit("://"))
+    root = F.concat(scheme, host_of(base))
+    page = F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base))
+    folder = F.regexp_extract(page, r"^(.*/)[^/]*$", 1)
+    path, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    return (
+        F.when(href.rlike(SCHEME), F.when(href.rlike(SCHEME + "//"), href))
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^(.*?:)//", 1), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, without_dots(path), rest))
+        .when(F.startswith(href, F.lit("?")), F.concat(root, page, href))
+        .when(F.startswith(href, F.lit("#")), base)
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest))
+    )
+
+
+def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
+    """(a_url, b_url): all canonical links and meta refreshes of the pages, entities decoded and relative ones resolved, and ``redirects`` (from_url, to_url)."""
+    here = F.col(url)
+    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
+    links = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.contains(here, F.lit("://"))).select(here.alias("a_url"), F.explode(F.array_distinct(found)).alias("_href"))
+    edges = links.select("a_url", decoded(F.col("_href")).alias("_href")).select("a_url", absolute(F.col("_href"), F.col("a_url")).alias("b_url")).where("b_url is not null")
     return edges.union(redirects.select("from_url", "to_url")) if redirects is not None else edges
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", redirects: DataFrame | None = None, default: str = "allow", trivial_aliases: bool = False) -> DataFrame:
     """Add host, path, rule and verdict to each page.
 
     Null urls and urls without ``://`` have empty host and path, no rule and
     no alias: the default.  Null html has no links.  Repeated pages get equal
     verdicts; an empty table stays empty; columns of these names are replaced.
+    ``trivial_aliases`` takes urls with one :func:`alias_key` for one vertex.
     """
+    key = alias_key if trivial_aliases else vertex
     rest = pages.drop("host", "path", "rule", "verdict")
     edges = alias_edges(rest, url, html, redirects)
-    # Ends of edges: keys, and whether their own url is blocked by a rule.
-    pairs = stage(spark, edges.select("a_url", "b_url", alias_key(F.col("a_url")).alias("a"), alias_key(F.col("b_url")).alias("b")), "alias-edges")
+    pairs = stage(spark, edges.select("a_url", "b_url", key(F.col("a_url")).alias("a"), key(F.col("b_url")).alias("b")), "alias-edges")
     roots = connected_components(spark, pairs, "a", "b", name="aliases")
     ends = pairs.select(F.col("a_url").alias("_u")).union(pairs.select("b_url"))
     every = rest.select(F.col(url).alias("_u")).union(ends)
-    blocked_keys = every.where(match_rule(host_of(F.col("_u")), path_of(F.col("_u")), rules)["verdict"] == "block").select(alias_key(F.col("_u")).alias("_k")).distinct()
+    blocked_keys = every.where(match_rule(host_of(F.col("_u")), path_of(F.col("_u")), rules)["verdict"] == "block").select(key(F.col("_u")).alias("_k")).distinct()
     blocked_roots = blocked_keys.join(roots, blocked_keys["_k"] == roots["vertex"], "left").select(F.coalesce("root", "_k").alias("_r")).distinct()
-    # All keys of blocked components, the key itself where it has no edge.
+    # All vertices of blocked components, the vertex itself where it has no edge; those that a rule decides need no entry.
     spread = blocked_roots.join(roots, blocked_roots["_r"] == roots["root"], "left").select(F.coalesce("vertex", "_r").alias("_blocked")).distinct()
     spread = stage(spark, spread, "blocked")
-    judged = rest.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_key": alias_key(F.col(url))})
+    judged = rest.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_key": key(F.col(url))})
     judged = judged.withColumn("_rule", match_rule(F.col("host"), F.col("path"), rules))
     out = judged.join(spread, F.col("_key") == F.col("_blocked"), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked").isNotNull(), F.lit("block")), F.lit(default))
@@ -121,23 +160,33 @@ QUERY_RULES: tuple[Rule, ...] = (
 
 ORACLE = r"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-hrefs AS (
-  SELECT url AS a_url, unnest([regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS href FROM pages),
-edges AS (SELECT a_url, CASE WHEN contains(href, '://') THEN href WHEN href LIKE '//%' THEN regexp_extract(a_url, '^([^:]*):', 0) || href
-  WHEN href LIKE '/%' THEN regexp_extract(a_url, '^[^:]*://[^/?#]*', 0) || href END AS b_url FROM hrefs WHERE href <> ''),
+tags AS (SELECT DISTINCT url AS base, unnest(regexp_extract_all(html, '<[^>]*>')) AS tag FROM pages WHERE instr(url, '://') > 0),
+links AS (
+  SELECT base, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS raw FROM tags
+  WHERE regexp_matches(tag, '(?i)^<link\b') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+  UNION ALL
+  SELECT base, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?i)^<meta\b') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+hrefs AS (SELECT base, replace(replace(replace(raw, '&#39;', chr(39)), '&quot;', '"'), '&amp;', '&') AS href,
+    regexp_extract(base, '^(.*?)://', 1) AS scheme, regexp_extract(base, '^.*?://([^/?#]*)', 1) AS site,
+    regexp_replace(COALESCE(NULLIF(regexp_extract(base, '^.*?://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '') AS folder FROM links WHERE raw <> ''),
+edges AS (SELECT base AS a_url, CASE
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(href, '//') THEN scheme || ':' || href
+    WHEN starts_with(href, '/') THEN scheme || '://' || site || href
+    WHEN starts_with(href, '?') OR starts_with(href, '#') THEN split_part(split_part(base, '#', 1), '?', 1) || href
+    ELSE scheme || '://' || site || folder || href END AS b_url FROM hrefs),
 urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a_url FROM edges UNION ALL SELECT b_url FROM edges)),
-cut AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM urls),
+cut AS (SELECT url, substr(url, 1, instr(url, '://') - 1) AS scheme, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM urls),
 parts AS (
-  SELECT url, COALESCE(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    COALESCE(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-    array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|ref=)')), '&') AS q, rest FROM cut),
+  SELECT url, scheme, rest, COALESCE(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    COALESCE(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 keyed AS (
-  SELECT url, host, path, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS k,
+  SELECT url, host, path, CASE WHEN rest IS NOT NULL THEN lower(scheme) || '://' || host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS k,
     (SELECT max(row(length(h || p), v = 'allow', h || p, v)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r FROM parts),
-links AS (SELECT x.k AS a, y.k AS b FROM edges e JOIN keyed x ON x.url = a_url JOIN keyed y ON y.url = b_url),
-reach(k) AS (SELECT k FROM keyed WHERE r[4] = 'block' UNION SELECT CASE WHEN a = k THEN b ELSE a END FROM reach JOIN links ON a = k OR b = k)
+joined AS (SELECT x.k AS a, y.k AS b FROM edges e JOIN keyed x ON x.url = a_url JOIN keyed y ON y.url = b_url),
+reach(k) AS (SELECT k FROM keyed WHERE r[4] = 'block' UNION SELECT CASE WHEN a = k THEN b ELSE a END FROM reach JOIN joined ON a = k OR b = k)
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, r[3] AS rule,
   COALESCE(r[4], CASE WHEN keyed.k IN (SELECT k FROM reach WHERE k IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages LEFT JOIN keyed ON pages.url IS NOT DISTINCT FROM keyed.url

@@ -514,7 +514,9 @@ def test_rules_and_aliases(spark):
         (6, "http://WWW.Example.org/es/1", ""), (7, "http://example.org/en/2", ""), (8, "http://example.org/en/12", ""), (9, None, None), (10, "no url", "x"), (11, "http://notexample.com?x=/de/", None), (12, "http://x.com/fr/a", None),
     ]
     df = spark.createDataFrame(rows, PAGES).withColumn("verdict", F.lit(0))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark, df, url_filter.QUERY_RULES).collect()}
+    plain = {r.page_id: r.verdict for r in url_filter.filter_urls(spark, df, url_filter.QUERY_RULES).collect()}
+    assert [plain[i] for i in (1, 2, 3, 4)] == ["block", "allow", "allow", "block"]  # only redirects and canonical links spread
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark, df, url_filter.QUERY_RULES, trivial_aliases=True).collect()}
     assert got[1] == ("a.net", "/1", None, "block") and [got[i][3] for i in (2, 3, 4)] == ["block"] * 3
     assert got[5] == ("org", "/q", "org/", "allow") and got[6] == ("www.example.org", "/es/1", "example.org/es/", "block")
     assert got[7][2:] == ("org/", "allow") and got[8][2:] == ("example.org/en/1", "block") and got[9] == got[10] == ("", "", None, "allow")
@@ -526,6 +528,30 @@ def test_rules_and_aliases(spark):
     assert url_filter.filter_urls(spark, one, []).first().verdict == "allow"
 
 
+def test_links_of_every_kind(spark):
+    base = "http://a.net/x/y?q=1#f"
+    cases = {
+        "/go?u=http://a.com/de/p2": "http://a.net/go?u=http://a.com/de/p2", "p2": "http://a.net/x/p2", "../p2": "http://a.net/p2", "../../../p2/.": "http://a.net/p2/", "./z/../w?a=..": "http://a.net/x/w?a=..",
+        "//b.net/1": "http://b.net/1", "?r=2": "http://a.net/x/y?r=2", "#top": base, "HTTPS://B.net/": "HTTPS://B.net/", "mailto:x@y.z": None, "/a/../b": "http://a.net/b", "p?u=http://c.net": "http://a.net/x/p?u=http://c.net",
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "href string")
+    assert {r.href: r.u for r in df.select("href", url_filter.absolute(F.col("href"), F.lit(base)).alias("u")).collect()} == cases
+    page = "<link rel=canonical href='p&amp;q'><link href=\"http://com/de/\" rel='canonical'><meta http-equiv=refresh content='0;url=../r'>"
+    edges = url_filter.alias_edges(spark.createDataFrame([(1, base, page), (2, None, page), (3, "none", page)], PAGES)).collect()
+    assert sorted(r.b_url for r in edges) == ["http://a.net/r", "http://a.net/x/p&q", "http://com/de/"]
+
+
+def test_verdicts_follow_edges_and_no_others(spark):
+    rows = [
+        (1, "http://clean.net/1", "<link rel=canonical href='/go?u=http://com/de/p2'>"),  # names a blocked url, links to its own host
+        (2, "http://b.net/d/1", "<link rel=canonical href='p2'>"), (3, "http://b.net/d/p2", "<meta http-equiv=refresh content='0;url=http://com/de/'>"),
+        (4, "http://B.net/d/p2#frag", None), (5, "http://www.b.net/d/p2", None), (6, "http://b.net/d/p2?utm_source=x", None),
+        (7, "http://c.net/", "<link rel=canonical href='http://c.net/'><link rel=canonical href='http://com/de/9'>"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark, spark.createDataFrame(rows, PAGES), url_filter.QUERY_RULES).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block"}
+
+
 # --- language ID ---------------------------------------------------------------------------------------------
 
 
@@ -540,7 +566,7 @@ def test_forward_sums_all_segmentations():
             return np.ones(2)
         out = np.zeros(2)
         for n in range(1, len(s) + 1):
-            if s[:n] in known.ids and n <= langid.MAX_PIECE:
+            if s[:n] in known.ids:
                 out += np.exp(log_p[known.ids[s[:n]]]) * total(s[n:])
             elif n == 1 and s[0] not in known.ids:
                 out += np.prod([np.exp(log_p[known.byte[b]]) for b in s[0].encode()], axis=0) * total(s[1:])
@@ -552,6 +578,33 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(scorer.forward_long("ab" * 5000)).all()
 
 
+def test_unseen_letters_do_not_spoil_a_text(spark):
+    """Words of 14 to 30 letters outside the vocabulary: finite, and the same by both forward passes."""
+    known = langid.pieces(langid.VOCABULARY)
+    log_p = np.full((known.size, 3), math.log(5e-9)) + np.arange(3) * 0.01
+    scorer = langid.Scorer(langid.VOCABULARY, log_p)
+    for n in (1, 13, 14, 20, 29, 30):
+        word = "".join(chr(0x1200 + 7 * i) for i in range(n))
+        assert np.isfinite(scorer.forward([word, "a" * n])).all()
+        assert scorer.forward([word])[0] == pytest.approx(scorer.forward_long(word), rel=1e-9)
+    en, de = "the cat sat on the mat with that thing ", "der hund und die katze sind nicht auf dem dach "
+    odd = "".join(chr(0x1200 + 7 * i) for i in range(22))
+    rows = [(i, en * 3 if i % 2 else de * 3, "en" if i % 2 else "de", "s") for i in range(20)] + [(90, f"{en} {odd} {en}", None, "s"), (91, odd, None, "s"), (92, f"{de} {odd}é {de}" * 3, None, "s")]
+    got = {r.doc_id: r for r in langid.identify(spark, spark.createDataFrame(rows, DOCS), F.lit(True)).collect()}
+    assert got[90].lang_pred == "en" and got[92].lang_pred == "de" and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_long_texts_in_parts():
+    text = "one two3three_four  " * 50 + "x" * 90 + " end"
+    assert all("".join(langid.parts_of(text, n)) == text and [w for p in langid.parts_of(text, n) for w in langid.LETTERS.findall(p)] == langid.LETTERS.findall(text) for n in (5, 33, 10_000))
+    for n in (7, 64):
+        assert [x.tolist() for x in ngram_join.shingle_sets([text.encode(), b"", b" a"], 3, n)] == [x.tolist() for x in ngram_join.shingle_sets([text.encode(), b"", b" a"], 3)]
+    texts = [b"ab", b"", b"abracadabra" * 9, b"c"]
+    whole = [(c, i) for codes, owner in ctw._pieces(texts, 3) for c, i in zip(codes.tolist(), owner.tolist(), strict=True)]
+    for n in (2, 10, 40):
+        assert [(c, i) for codes, owner in ctw._pieces(texts, 3, n) for c, i in zip(codes.tolist(), owner.tolist(), strict=True)] == whole
+
+
 def test_language_id(spark, empty):
     en, de = "the cat sat on the mat with that thing ", "der hund und die katze sind nicht auf dem dach "
     rows = [(i, en * 3 if i % 2 else de * 3, "en" if i % 2 else "de", "s") for i in range(20)] + [(90, None, "en", "s"), (91, "12 !!", "en", "s"), (92, "", None, "s"), (93, "katze nicht " * 20000, None, "s"), (94, "that thing", None, "s"), (95, "x" * 500, None, "s")]
