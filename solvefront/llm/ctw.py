@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import rows_of, stage
+from solvefront.llm.common import rows_of, stage, unstage
 
 DEPTH = 5
 MIN_COUNT = 2
@@ -63,10 +63,11 @@ def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _codes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """(depth + 1)-byte grams as integers: the context's latest byte highest, the symbol lowest."""
-    code = np.zeros(len(at), np.int64)
+    every = np.zeros(len(buf) - depth, np.int64)  # of all positions, so that nothing is gathered but the codes asked for
     for d in [*range(1, depth + 1), 0]:
-        code = (code << 8) | buf[at - d]
-    return code
+        every <<= 8
+        every |= buf[depth - d : len(buf) - d]
+    return every[at - depth]
 
 
 def _pieces(texts: list[bytes], depth: int, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -217,6 +218,41 @@ def symbol_logs(p_one: np.ndarray) -> np.ndarray:
     return out
 
 
+class GramTable:
+    """Open addressing from gram codes to values; every code asked for must be there."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, math.ceil(math.log2(2 * len(codes) + 1)))
+        self.shift, self.code, self.value = np.uint64(64 - int(math.log2(size))), np.full(size, -1, np.int64), np.zeros(size)
+        slot, left = self._slots(codes), np.arange(len(codes))
+        while len(left):
+            free = self.code[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1), return_index=True)
+            first = first[free[first]]
+            self.code[slot[first]], self.value[slot[first]] = codes[left[first]], values[left[first]]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        slot = self._slots(codes)
+        out = self.value[slot]
+        left = np.flatnonzero(self.code[slot] != codes)
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.code) - 1)
+            at = self.code[slot]
+            if (at < 0).any():
+                raise KeyError("a gram that was not counted")
+            out[left] = self.value[slot]
+            again = at != codes[left]
+            left, slot = left[again], slot[again]
+        return out
+
+
 @dataclass
 class ContextTree:
     """The frozen predictive tree in one place, for small counts: ``step[node, byte]`` leads to the child, leaves to themselves; ``logs[node, symbol]`` is ln p at a leaf."""
@@ -466,6 +502,7 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
     grams = stage(spark, held.groupBy("code").agg(F.sum("n").alias("n")), "grams")
     logs_of = stage(spark, gram_logs(spark, grams, depth=depth, min_count=min_count), "gram-logs")
     looked_up = held.select("batch", "code").join(logs_of, "code")
+    unstage(spark, grams)
     vocabulary = stage(spark, word_counts(rows.where("train")).groupBy("word").agg(F.sum("c").alias("c")), "words")
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = vocabulary.where(F.col("c") >= F.lit(max(1.0, tokens * top_share)))
@@ -477,30 +514,31 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
 
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
         logs = {w: math.log10(c + 0.5) for w, c in known_words.value.items()}
-        codes, ln_p = found.column("code").to_numpy(), found.column("ln_p").to_numpy()
-        order = np.argsort(codes)
-        codes, ln_p = codes[order], ln_p[order]
-        del found, order
+        table = GramTable(found.column("code").to_numpy(), found.column("ln_p").to_numpy())
+        del found
         out = []
         for b in rows_of(iter(docs.select(["uid", "key", "text"]).to_batches()), "text", SLICE_BYTES):
             texts = _bytes(b.column(2))
             scores = np.zeros(len(texts))
             for wanted, owner in _pieces(texts, depth):
-                order = np.argsort(wanted)  # neighbours in the table are searched one after another
-                each = np.empty(len(wanted))
-                each[order] = ln_p[np.searchsorted(codes, wanted[order])]
-                scores += np.bincount(owner, each, len(texts))
+                scores += np.bincount(owner, table.find(wanted), len(texts))
             n_tokens, n_known, base, rest, rest_n = [], [], [], [], []
             for t in texts:
                 words = Counter(t.split())
                 words[b""] += 1
-                near = [(w, n) for w, n in words.items() if w in logs]
+                far, far_n, known, sum_ = [], [], 0, 0.0
+                for w, n in words.items():
+                    if (log := logs.get(w)) is None:
+                        far.append(w)
+                        far_n.append(n)
+                    else:
+                        known += n
+                        sum_ += n * log
                 n_tokens.append(words.total())
-                n_known.append(sum(n for _, n in near))
-                base.append(math.fsum(n * logs[w] for w, n in near))
-                far = [(w, n) for w, n in words.items() if w not in logs]
-                rest.append([w for w, _ in far])
-                rest_n.append([n for _, n in far])
+                n_known.append(known)
+                base.append(sum_)
+                rest.append(far)
+                rest_n.append(far_n)
             out.append(pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(scores / math.log(10)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64()))],
                 names=["uid", key, "n_bytes", "score", "n_tokens", "_known", "_base", "words", "counts"],
@@ -508,6 +546,7 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
         return pa.Table.from_batches(out)
 
     scored = stage(spark, rows.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(score, schema), "scored")
+    unstage(spark, rows, held, logs_of)
     tail = scored.select("uid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     joined = tail.join(vocabulary, "word", "left")
     sums = joined.groupBy("uid").agg(
