@@ -501,8 +501,9 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
     held = stage(spark, batch_grams(rows, depth), "batch-grams")
     grams = stage(spark, held.groupBy("code").agg(F.sum("n").alias("n")), "grams")
     logs_of = stage(spark, gram_logs(spark, grams, depth=depth, min_count=min_count), "gram-logs")
-    looked_up = held.select("batch", "code").join(logs_of, "code")
     unstage(spark, grams)
+    looked_up = stage(spark, held.select("batch", "code").join(logs_of, "code"), "looked-up")
+    unstage(spark, held, logs_of)
     vocabulary = stage(spark, word_counts(rows.where("train")).groupBy("word").agg(F.sum("c").alias("c")), "words")
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = vocabulary.where(F.col("c") >= F.lit(max(1.0, tokens * top_share)))
@@ -546,7 +547,7 @@ def score_corpus(spark: SparkSession, df: DataFrame, is_training: Column, key: s
         return pa.Table.from_batches(out)
 
     scored = stage(spark, rows.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(score, schema), "scored")
-    unstage(spark, rows, held, logs_of)
+    unstage(spark, rows, looked_up)
     tail = scored.select("uid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     joined = tail.join(vocabulary, "word", "left")
     sums = joined.groupBy("uid").agg(
