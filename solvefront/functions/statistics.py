@@ -37,17 +37,29 @@ def log_binomial(n: Column, k: Column) -> Column:
     return F.when((k >= 0) & (k <= n), log_factorial(n) - log_factorial(k) - log_factorial(n - k))
 
 
+def require(df: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """The rows, failing where ``holds`` is not true: a filter, so that no choice of columns prunes it."""
+    return df.where(F.when(holds, F.lit(True)).otherwise(F.raise_error(message)))
+
+
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
-    """1 - C(n-c, k) / C(n, k), as a product; 1 where fewer than k attempts fail."""
-    steps = F.sequence(n - c + 1, n)
-    missed = F.aggregate(steps, F.lit(1.0), lambda a, i: a * (F.lit(1.0) - k / i.cast("double")))
+    """1 - C(n-c, k) / C(n, k), as a product of min(k, c) factors; 1 where fewer than k attempts fail."""
+    n, c, k = (x.cast("bigint") for x in (n, c, k))
+    product = lambda first, last, by: F.aggregate(F.sequence(first, last), F.lit(1.0), lambda a, i: a * (F.lit(1.0) - by / i.cast("double")))
+    missed = F.when(c <= k, product(n - c + 1, n, k)).otherwise(product(n - k + 1, n, c))
     legal = (k >= 1) & (k <= n) & (c >= 0) & (c <= n)
     return F.when(~legal, F.raise_error(F.lit("pass@k needs 1 <= k <= n and 0 <= c <= n"))).when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(F.lit(1.0) - missed)
 
 
-def pass_curve(n: Column, c: Column, grid: Sequence[int] = BUDGET_GRID) -> Column:
-    """map<budget, pass@budget>; budgets above n are left out."""
-    ks = F.filter(F.array(*[F.lit(k) for k in grid]), lambda k: k <= n)
+def budgets(n: Column, grid: Sequence[int] = BUDGET_GRID) -> Column:
+    """The grid's budgets up to n, and n itself."""
+    ks = F.filter(F.array(*[F.lit(int(k)).cast("bigint") for k in grid]), lambda k: (k > 0) & (k <= n))
+    return F.when(n > 0, F.array_union(ks, F.array(n.cast("bigint")))).otherwise(ks)
+
+
+def pass_curve(n: Column, c: Column, grid: Sequence[int] = BUDGET_GRID, *, own: bool = False) -> Column:
+    """map<budget, pass@budget>; budgets above n are left out; with ``own`` n itself is always one."""
+    ks = budgets(n, grid) if own else F.filter(F.array(*[F.lit(k) for k in grid]), lambda k: k <= n)
     return F.map_from_arrays(ks, F.transform(ks, lambda k: pass_at_k(n, c, k)))
 
 
@@ -118,7 +130,8 @@ def chao1(observed: Column, f1: Column, f2: Column, *, bias_corrected: bool = Tr
 
 def rarefaction_term(n: Column, count: Column, m: Column) -> Column:
     """One species' share of the expected number of species in m of n draws."""
-    gone = F.when(n - count >= m, F.exp(log_binomial(n - count, m) - log_binomial(n, m))).otherwise(F.lit(0.0))
+    ratio = log_factorial(n - count) - log_factorial(n - count - m) - (log_factorial(n) - log_factorial(n - m))  # m! cancels
+    gone = F.when(n - count >= m, F.exp(ratio)).otherwise(F.lit(0.0))
     return F.when((m <= 0) | (n <= 0), F.lit(0.0)).when(m >= n, F.lit(1.0)).otherwise(F.lit(1.0) - gone)
 
 

@@ -27,15 +27,27 @@ def valid_rows(df: DataFrame, result: str = "eval_result") -> DataFrame:
 
 
 def arm_table(df: DataFrame, by: Sequence[str] = ("arm",), *, interval: bool = True) -> DataFrame:
-    """Counts and means per arm over valid rows."""
-    rows = valid_rows(df)
+    """Counts and means per arm over valid rows, how many were infrastructure failures, and exact intervals of the shares.
+
+    An arm whose rows all failed in the infrastructure keeps its row, with n = 0.
+    """
+    valid = F.coalesce(~F.col("eval_result").isin(*INFRASTRUCTURE), F.lit(True))
+    rows = df.select(*by, "eval_result", *[F.when(valid, F.col(c)).alias(c) for c in df.columns if c not in (*by, "eval_result")], valid.alias("_valid"))
     extra = [F.count_if(F.col("pass_at_n")).alias("pass_at_n"), (F.count_if(F.col("pass_at_n")) - F.count_if(F.col("passed"))).alias("selection_headroom")] if "pass_at_n" in df.columns else []
+    if "usage" in df.columns:
+        extra.append(F.avg("usage.completion_tokens").alias("mean_completion_tokens"))
+    if "n_candidates_cfg" in df.columns:
+        extra.append(F.max("n_candidates_cfg").alias("n_candidates"))
     out = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("passed")).alias("resolved"), F.count_if(F.col("tool_calls") > 0).alias("used_tools"),
+        F.count_if("_valid").alias("n"), F.count_if(~F.col("_valid")).alias("infra_excluded"), F.count_if(F.col("passed")).alias("resolved"), F.count_if(F.col("tool_calls") > 0).alias("used_tools"),
         F.sum("tool_calls").alias("total_tool_calls"), F.sum("generations").alias("total_generations"),
-        F.count_if(F.coalesce(F.col("eval_result") != NO_PATCH, F.lit(True))).alias("nonempty"), F.count_if(F.col("eval_result") == WRONG_ARTIFACT).alias("wrong_artifact"),
+        F.count_if(F.col("_valid") & F.coalesce(F.col("eval_result") != NO_PATCH, F.lit(True))).alias("nonempty"), F.count_if(F.col("eval_result") == WRONG_ARTIFACT).alias("wrong_artifact"),
         F.avg("elapsed_s").alias("mean_elapsed_s"), *extra)
-    return with_clopper_pearson(out, "resolved", "n") if interval else out
+    if not interval:
+        return out
+    for count, prefix in (("resolved", "ci"), ("used_tools", "tools"), *([("pass_at_n", "pass_at_n")] if "pass_at_n" in df.columns else [])):
+        out = with_clopper_pearson(out, count, "n", prefix)
+    return out
 
 
 def language_pivot(df: DataFrame, languages: Sequence[str], arm: str = "arm", language: str = "language") -> DataFrame:
@@ -59,7 +71,11 @@ def against_baseline(arms: DataFrame, baseline: str, count: str = "resolved", ar
 
 
 def labelled(df: DataFrame) -> DataFrame:
-    """Add the arm's label, or model and agent where there is none."""
+    """Add the arm's label, or model and agent where there is none; best-of-N arms say their N."""
     spark = df.sparkSession
     names = spark.createDataFrame([(m, a, x) for (m, a), x in ARM_LABELS.items()], "model string, agent_src string, arm string")
-    return df.join(F.broadcast(names), ["model", "agent_src"], "left").withColumn("arm", F.coalesce("arm", F.concat_ws(" | ", "model", "agent_src")))
+    out = df.join(F.broadcast(names), ["model", "agent_src"], "left").withColumn("arm", F.coalesce("arm", F.concat_ws(" | ", "model", "agent_src")))
+    if "n_candidates_cfg" not in df.columns:
+        return out
+    best_of = F.when(F.col("n_candidates_cfg") > 1, F.concat(F.lit(" bo"), F.col("n_candidates_cfg").cast("string"))).otherwise(F.lit(""))
+    return out.withColumn("arm", F.concat("arm", best_of))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvefront.functions.statistics import pass_at_k, with_clopper_pearson
+from solvefront.functions.statistics import pass_at_k, require, with_clopper_pearson
 
 # The four rows of the placement matrix.
 ROWS = {"bounded": "bounded_search", "elicitation": "superhuman_elicitation", "genuine": "genuine_expansion", "illusory": "illusory_expansion"}
@@ -47,14 +47,21 @@ def baseline_at_budget(records: DataFrame, budget: int) -> DataFrame:
 def comparison(summaries: DataFrame, baseline: DataFrame, on: str = "task_id") -> DataFrame:
     """Gain of each summary over the baseline; a task without a baseline is an error."""
     joined = summaries.join(baseline.select(on, "s0_p_hat"), on, "left")
-    return joined.withColumn("elicitation_gain", F.col("p_hat") - F.coalesce("s0_p_hat", F.raise_error(F.concat(F.lit("no record for task "), F.col(on).cast("string")))))
+    there = require(joined, F.col("s0_p_hat").isNotNull(), F.concat(F.lit("no record for task "), F.col(on).cast("string")))
+    return there.withColumn("elicitation_gain", F.col("p_hat") - F.col("s0_p_hat"))
 
 
 def require_match(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Inner join in which a left row without a partner is an error."""
     right = right.withColumn("_there", F.lit(True))
     joined = left.join(right, on, "left")
-    return joined.withColumn(on, F.when(F.col("_there"), F.col(on)).otherwise(F.raise_error(F.concat(F.lit("no partner for "), F.col(on).cast("string"))))).drop("_there")
+    return require(joined, F.col("_there").isNotNull(), F.concat(F.lit("no partner for "), F.col(on).cast("string"))).drop("_there")
+
+
+def require_same(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join in which a row without a partner is an error on either side."""
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), on, "full")
+    return require(both, F.col("_left").isNotNull() & F.col("_right").isNotNull(), F.concat(F.lit("no partner for "), F.col(on).cast("string"))).drop("_left", "_right")
 
 
 def missing_records(tasks: DataFrame, records: DataFrame, n: int, on: str = "task_id") -> DataFrame:
@@ -63,22 +70,29 @@ def missing_records(tasks: DataFrame, records: DataFrame, n: int, on: str = "tas
 
 
 def ablation_effect(base: DataFrame, ablated: DataFrame, on: str = "task_id") -> DataFrame:
-    """(on, removed, fraction_removed, load_bearing): solves lost when an operation is off, not below 0."""
-    joined = base.select(on, F.col("n_solved").alias("b"), F.col("n_reps").alias("br")).join(ablated.select(on, F.col("n_solved").alias("a"), F.col("n_reps").alias("ar")), on)
+    """(on, removed, fraction_removed, load_bearing): solves lost when an operation is off, not below 0; a task on one side only is an error."""
+    joined = require_same(base.select(on, F.col("n_solved").alias("b")), ablated.select(on, F.col("n_solved").alias("a")), on)
     removed = F.greatest(F.lit(0), F.col("b") - F.col("a"))
     return joined.select(on, removed.alias("removed"), F.coalesce(F.try_divide(removed, F.col("b")), F.lit(0.0)).alias("fraction_removed"), (F.col("a") < F.col("b")).alias("load_bearing"))
 
 
 def crossing(records: DataFrame, evolved: DataFrame, ablated: DataFrame, k: int, of: int, on: str = "task_id", contested: Sequence[str] = ()) -> DataFrame:
-    """The four-part verdict per task.  A budget other than the record's samples is an error; no ablation: null, and not crossed."""
+    """The four-part verdict per task.
+
+    A task with a record or an evolved summary only, an ablation of another
+    task, and a budget other than the record's samples are errors; no
+    ablation: null, and not crossed.
+    """
     bar = F.lit(k / of)
     e = evolved.select(on, "n_solved", "n_reps", "budget_calls", *(["ops"] if "ops" in evolved.columns else []))
     a = ablated.select(on, F.coalesce(F.try_divide(F.col("n_solved"), F.col("n_reps")), F.lit(0.0)).alias("_ablated"))
-    j = records.select(on, "n_samples", "beyond_frontier").join(e, on).join(a, on, "left")
-    budget = F.when(F.col("n_samples") == F.col("budget_calls"), F.col("budget_calls")).otherwise(F.raise_error(F.lit("budget differs from the record's samples")))
+    known = require_same(records.select(on, "n_samples", "beyond_frontier"), e, on)
+    same = require(known, F.col("n_samples") == F.col("budget_calls"), F.lit("budget differs from the record's samples"))
+    j = same.withColumn("_task", F.lit(True)).join(a.withColumn("_off", F.lit(True)), on, "full")
+    j = require(j, F.col("_task").isNotNull(), F.concat(F.lit("ablation of another task: "), F.col(on).cast("string"))).drop("_task", "_off")
     out = j.withColumns({
         "reliable_solve": F.coalesce(F.try_divide(F.col("n_solved"), F.col("n_reps")) >= bar, F.lit(False)),
-        "compute_matched": budget <= F.col("n_samples"),
+        "compute_matched": F.col("budget_calls") <= F.col("n_samples"),
         "ablation_removes": F.col("_ablated") < bar,
         "rests_on_contested": F.arrays_overlap("ops", F.array(*[F.lit(c) for c in contested])) if "ops" in evolved.columns and contested else F.lit(False)})
     crossed = F.col("reliable_solve") & F.col("beyond_frontier") & F.col("compute_matched") & F.coalesce("ablation_removes", F.lit(False))
@@ -129,16 +143,16 @@ def _by_automaton(archive: DataFrame, words: list[str], source: str) -> DataFram
     sent = archive.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("array<string>")
-    def inside(text: pd.Series) -> pd.Series:
+    def inside(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
+        machine = ahocorasick.Automaton()  # once a task, not once a batch
         for w in sent.value:
             machine.add_word(w, w)
-        if not len(machine):
-            return pd.Series([[]] * len(text))
-        machine.make_automaton()
-        return text.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+        if len(machine):
+            machine.make_automaton()
+        for text in texts:
+            yield text.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t and len(machine) else [])
 
     return archive.withColumn("literal", F.explode(inside(source)))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from solvefront.functions.statistics import require
 from solvefront.functions.text import tool_call_candidates, unescape
 
 # Operations by class; contested ones.
@@ -32,7 +34,7 @@ def registry(spark: SparkSession, extra: Sequence[tuple[str, str, str, bool]] =
 def classify(trace: DataFrame, ops: DataFrame, op: str = "op") -> DataFrame:
     """Add class and contested; an operation that is not registered is an error."""
     joined = trace.join(F.broadcast(ops.select(op, "class", "contested")), op, "left")  # a fixed table of operations
-    return joined.withColumn("class", F.coalesce("class", F.raise_error(F.concat(F.lit("unregistered operation "), F.col(op)))))
+    return require(joined, F.col("class").isNotNull(), F.concat(F.lit("unregistered operation "), F.coalesce(F.col(op), F.lit("null"))))
 
 
 def attribution(classified: DataFrame, by: Sequence[str], op: str = "op") -> DataFrame:
@@ -99,6 +101,20 @@ def merge_traces(parts: DataFrame, by: Sequence[str], order: Sequence[str] = ("s
     return parts.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def prose_call_details(transcripts: DataFrame, arm: str = "arm", file: str = "file", text: str = "text", examples: int = 3) -> DataFrame:
+    """Per arm: runnable calls by tool, the editor's by command, and the first ``examples`` files (by name) with a runnable call."""
+    found = transcripts.select(arm, file, F.explode(tool_call_candidates(unescape(F.col(text)))).alias("_c")).where(F.try_parse_json("_c").isNotNull())
+    name, args = F.get_json_object("_c", "$.name"), F.get_json_object("_c", "$.arguments")
+    complete = [(name == tool) & (F.size(F.array_intersect(F.json_object_keys(args), F.array(*[F.lit(k) for k in need]))) == len(need)) for tool, need in REQUIRED_ARGUMENTS.items()]
+    runs = found.where(F.coalesce(reduce(lambda a, b: a | b, complete), F.lit(False))).select(arm, file, name.alias("tool"), F.when(name == "editor", F.coalesce(F.get_json_object("_c", "$.arguments.command"), F.lit("null"))).alias("command"))
+    counted = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c), F.col("n")))))
+    tools = runs.groupBy(arm, "tool").agg(F.count(F.lit(1)).alias("n")).groupBy(arm).agg(counted("tool").alias("tools_used"))
+    commands = runs.where("command is not null").groupBy(arm, "command").agg(F.count(F.lit(1)).alias("n")).groupBy(arm).agg(counted("command").alias("commands_used"))
+    ranked = runs.select(arm, file).distinct().withColumn("_n", F.row_number().over(W.partitionBy(arm).orderBy(file))).where(F.col("_n") <= examples)
+    first = ranked.groupBy(arm).agg(F.array_sort(F.collect_list(file)).alias("runnable_examples"))
+    return transcripts.select(arm).distinct().join(tools, arm, "left").join(commands, arm, "left").join(first, arm, "left")
+
+
 def prose_calls(transcripts: DataFrame, arm: str = "arm", file: str = "file", text: str = "text") -> DataFrame:
     """Per arm: files, and those that emit, parse and could run a tool call written as prose."""
     found = transcripts.select(arm, file, F.explode_outer(tool_call_candidates(unescape(F.col(text)))).alias("_c"))

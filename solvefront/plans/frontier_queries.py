@@ -33,6 +33,36 @@ def frontier_records(spark, sf):
     return r.select("task_id", "n_samples", "n_correct", R("p_hat", 6).alias("p_hat"), R("ci_low", 6).alias("ci_low"), R("ci_high", 6).alias("ci_high"), "n_distinct", R("unseen_mass", 6).alias("unseen_mass"), R("coverage", 6).alias("coverage"), "saturated", R("chao1.estimate", 6).alias("richness"))
 
 
+@query("WITH " + SQL_COUNTS + """,
+s AS (SELECT task_id, COUNT(*) AS n, COUNT(*) FILTER (passed) AS c FROM attempts GROUP BY 1),
+ks AS (SELECT task_id, n, c, unnest(list_distinct(list_append(list_filter([""" + ", ".join(map(str, st.BUDGET_GRID)) + """], lambda x: x <= n), n)))::BIGINT AS k FROM s)
+SELECT task_id, 'pass_at_k' AS curve, k, round(CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0 ELSE 1 - exp(lgamma(n - c + 1) - lgamma(n - c - k + 1) - lgamma(n + 1) + lgamma(n - k + 1)) END, 6) AS y FROM ks
+UNION ALL
+SELECT task_id, 'rarefaction', k, round(SUM(CASE WHEN k >= c THEN 1.0 WHEN c - counts.n < k THEN 1.0 ELSE 1 - exp(lgamma(c - counts.n + 1) - lgamma(c - counts.n - k + 1) - lgamma(c + 1) + lgamma(c - k + 1)) END), 6)
+FROM ks JOIN counts USING (task_id) WHERE k <= greatest(1, c) GROUP BY ALL
+UNION ALL
+SELECT task_id, 'species:' || species, n, 0.0 FROM counts""")
+def frontier_record_curves(spark, sf):
+    """The record's pass curve, rarefaction and species, in long form."""
+    r = fr.frontier_records(attempts(spark, sf), interval=False)
+    long = lambda m, name: r.select("task_id", F.explode(m).alias("k", "y")).select("task_id", name("k"), F.col("k").cast("bigint").alias("k"), R("y", 6).alias("y"))
+    species = r.select("task_id", F.explode("species_counts").alias("s", "k")).select("task_id", F.concat(F.lit("species:"), "s").alias("curve"), "k", F.lit(0.0).alias("y"))
+    return long("pass_at_k", lambda _: F.lit("pass_at_k").alias("curve")).union(long("rarefaction", lambda _: F.lit("rarefaction").alias("curve"))).union(species)
+
+
+@query("WITH " + SQL_INDEXED + """, x AS (SELECT * FROM idx WHERE i < 400),
+sp AS (SELECT task_id, species, COUNT(*) AS n FROM x WHERE passed GROUP BY ALL)
+SELECT task_id, COUNT(*) AS n_done, COUNT(*) FILTER (passed) AS n_correct, MAX(i) + 1 AS next_index, SUM(calls)::BIGINT AS calls, SUM(tokens)::BIGINT AS total_tokens, COUNT(*) FILTER (NOT passed AND exhausted) AS n_verifier_errors,
+  COALESCE((SELECT SUM(n) FROM sp WHERE sp.task_id = x.task_id), 0)::BIGINT AS species_total, COALESCE((SELECT COUNT(*) FROM sp WHERE sp.task_id = x.task_id), 0)::BIGINT AS n_species
+FROM x GROUP BY task_id""")
+def resume_fold(spark, sf):
+    """The state of logs cut at their 400th attempt, from which a run goes on."""
+    log = indexed(attempts(spark, sf)).where("i < 400").select("task_id", "i", "passed", "calls", F.col("tokens").alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), F.lit(0.0).alias("usd"), F.when(F.col("exhausted"), "timeout").alias("reason"), F.col("species").alias("species_key"), F.lit("c").alias("condition_key"))
+    got = fr.resume_state(log, "c")
+    n = F.coalesce(F.aggregate(F.map_values("species_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
+    return got.select("task_id", "n_done", "n_correct", "next_index", "usage.calls", "usage.total_tokens", "n_verifier_errors", n.alias("species_total"), F.coalesce(F.size("species_counts"), F.lit(0)).cast("bigint").alias("n_species"))
+
+
 @query("WITH " + SQL_COUNTS + " SELECT task_id, n, COUNT(*) AS f FROM counts GROUP BY ALL")
 def frequency_of_frequencies(spark, sf):
     return fr.counts_of_counts(fr.species_counts(attempts(spark, sf), ["task_id"]), ["task_id"])

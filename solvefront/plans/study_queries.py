@@ -114,22 +114,30 @@ def tasks_with_records(spark, sf):
 
 # --- arms ----------------------------------------------------------------------------------------------------
 
-_ARM = "t AS (SELECT arm, COUNT(*) AS n, COUNT(*) FILTER (passed) AS resolved, COUNT(*) FILTER (tool_calls > 0) AS used_tools, SUM(tool_calls)::BIGINT AS total_tool_calls, SUM(generations)::BIGINT AS total_generations, COUNT(*) FILTER (COALESCE(eval_result <> 'empty_patch', true)) AS nonempty, COUNT(*) FILTER (eval_result = 'error') AS wrong_artifact, AVG(elapsed_s) AS mean_elapsed_s, COUNT(*) FILTER (pass_at_n) AS pass_at_n, COUNT(*) FILTER (pass_at_n) - COUNT(*) FILTER (passed) AS selection_headroom FROM valid GROUP BY 1)"
+_ARM = "infra AS (SELECT arm AS a, COUNT(*) FILTER (NOT COALESCE(eval_result NOT IN ('incomplete', ''), true)) AS infra_excluded FROM rows_ GROUP BY 1), t AS (SELECT arm, COUNT(*) AS n, COUNT(*) FILTER (passed) AS resolved, COUNT(*) FILTER (tool_calls > 0) AS used_tools, SUM(tool_calls)::BIGINT AS total_tool_calls, SUM(generations)::BIGINT AS total_generations, COUNT(*) FILTER (COALESCE(eval_result <> 'empty_patch', true)) AS nonempty, COUNT(*) FILTER (eval_result = 'error') AS wrong_artifact, AVG(elapsed_s) AS mean_elapsed_s, COUNT(*) FILTER (pass_at_n) AS pass_at_n, COUNT(*) FILTER (pass_at_n) - COUNT(*) FILTER (passed) AS selection_headroom FROM valid GROUP BY 1)"
 
 
-@query("WITH " + SQL_ARMS + ", " + _ARM + " SELECT * REPLACE (round(mean_elapsed_s, 4) AS mean_elapsed_s) FROM t")
+@query("WITH " + SQL_ARMS + ", " + _ARM + " SELECT t.* REPLACE (round(mean_elapsed_s, 4) AS mean_elapsed_s), infra_excluded FROM t JOIN infra ON arm = a")
 def arm_table(spark, sf):
     return ar.arm_table(arm_rows(spark, sf), interval=False).withColumn("mean_elapsed_s", R("mean_elapsed_s", 4))
 
 
+@query("WITH RECURSIVE " + SQL_ARMS + ", " + _ARM + ", cp_in AS (SELECT resolved AS c, n FROM t UNION SELECT used_tools, n FROM t UNION SELECT pass_at_n, n FROM t), " + SQL_CP + """
+SELECT arm, round(x.low, 6) AS ci_low, round(x.high, 6) AS ci_high, round(y.low, 6) AS tools_low, round(y.high, 6) AS tools_high, round(z.low, 6) AS pass_at_n_low, round(z.high, 6) AS pass_at_n_high
+FROM t JOIN cp x ON x.c = resolved AND x.n = t.n JOIN cp y ON y.c = used_tools AND y.n = t.n JOIN cp z ON z.c = t.pass_at_n AND z.n = t.n""")
+def arm_intervals(spark, sf):
+    ends = [f"{p}_{e}" for p in ("ci", "tools", "pass_at_n") for e in ("low", "high")]
+    return ar.arm_table(arm_rows(spark, sf)).select("arm", *[R(c, 6).alias(c) for c in ends])
+
+
 @query("WITH " + SQL_ARMS + " SELECT arm, language, COUNT(*) FILTER (passed) AS resolved, COUNT(*) FILTER (tool_calls > 0) AS used_tools, COUNT(*) AS n FROM valid GROUP BY GROUPING SETS ((arm, language), (arm))")
 def language_totals(spark, sf):
     return ar.language_totals(arm_rows(spark, sf))
 
 
-@query("WITH " + SQL_ARMS + " SELECT arm, " + ", ".join(f"COUNT(*) FILTER (passed AND language = '{y}') AS \"{y}_resolved\", COUNT(*) FILTER (language = '{y}') AS \"{y}_n\"" for y in range(1995, 1998)) + " FROM valid GROUP BY 1")
+@query("WITH " + SQL_ARMS + " SELECT arm, " + ", ".join(f"COUNT(*) FILTER (passed AND language = '{y}') AS \"{y}_resolved\", COUNT(*) FILTER (language = '{y}') AS \"{y}_n\"" for y in range(1992, 2002)) + " FROM valid GROUP BY 1")
 def language_pivot(spark, sf):
-    return ar.language_pivot(arm_rows(spark, sf), [str(y) for y in range(1995, 1998)]).na.fill(0)
+    return ar.language_pivot(arm_rows(spark, sf), [str(y) for y in range(1992, 2002)]).na.fill(0)
 
 
 def _fisher_sql(fits: str) -> str:

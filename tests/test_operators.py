@@ -2,14 +2,16 @@
 
 import hashlib
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from solvefront.functions import code as co
+from solvefront.functions import statistics
 from solvefront.functions import text as tx
-from solvefront.operators import arms, budget, compare, selection, simulate, trace
+from solvefront.operators import arms, budget, compare, frontier, selection, simulate, trace
 from solvefront.sources import readers
 
 
@@ -265,3 +267,71 @@ def test_whole_texts_are_read(spark, tmp_path):
     assert q["fence_extraction_whole"][5].code == "b = 2"
     assert q["program_assembly_whole"][5].program.startswith(text)
     assert set(q["hard_coded_literals_whole"]) == {9}
+
+
+# --- guards and records --------------------------------------------------------------------------------------
+
+
+def test_guards_hold_whatever_is_selected(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "task_id string, x int")
+    two = spark.createDataFrame([("a", 3)], "task_id string, y int")
+    for frame in (compare.require_match(one, two, "task_id"), compare.require_same(one, two, "task_id"), compare.require_same(two, one, "task_id")):
+        with pytest.raises(Exception, match="no partner for b"):
+            frame.select("x").collect()
+    assert compare.require_match(two, one, "task_id").count() == 1
+    mixed = spark.createDataFrame([("a", "c1"), ("a", "c2")], "task_id string, condition_key string")
+    with pytest.raises(Exception, match="mixed conditions"):
+        frontier.require_one_condition(mixed, "condition_key", ["task_id"]).select("task_id").collect()
+    with pytest.raises(Exception, match="unregistered operation"):
+        trace.classify(spark.createDataFrame([("t", "nothing")], "task_id string, op string"), trace.registry(spark)).select("task_id").collect()
+
+
+def test_crossing_refuses_other_tasks(spark):
+    record = lambda t: spark.createDataFrame([(t, 10, True)], "task_id string, n_samples long, beyond_frontier boolean")
+    summary = lambda t: spark.createDataFrame([(t, 8, 10, 10)], "task_id string, n_solved long, n_reps long, budget_calls long")
+    assert compare.crossing(record("a"), summary("a"), summary("a").where("false"), 6, 10).count() == 1
+    for r, e, a in (("a", "b", "a"), ("a", "a", "b")):
+        with pytest.raises(Exception, match="no partner|another task"):
+            compare.crossing(record(r), summary(e), summary(a), 6, 10).select("reliable_solve").collect()
+    with pytest.raises(Exception, match="no partner"):
+        compare.ablation_effect(summary("a"), summary("b")).collect()
+
+
+def test_records_have_their_own_size_and_level(spark):
+    log = [("t", i, False, None, None, "timeout" if i else None, 1, 2, 3, 0.5) for i in range(3)] + [("u", i, True, f"s{i % 2}", "ast", None, 1, 2, 3, 0.5) for i in range(7)]
+    rows = spark.createDataFrame(log, "task_id string, i long, passed boolean, species string, canon_method string, reason string, calls long, prompt_tokens long, completion_tokens long, usd double")
+    got = {r.task_id: r for r in frontier.frontier_records(rows, confidence=0.5).collect()}
+    assert got["t"].exact_zero_success_bound == pytest.approx(1 - 0.5 ** (1 / 3)) and "0.206 at 50%" in got["t"].qualifier
+    assert sorted(got["t"].pass_at_k) == [1, 2, 3] and sorted(got["u"].pass_at_k) == [1, 2, 5, 7] and sorted(got["u"].rarefaction) == [1, 2, 5, 7]
+    assert got["u"].species_counts == {"s0": 4, "s1": 3} and got["u"].canonicalization_methods == {"ast": 7} and got["u"].usage.total_tokens == 35 and got["t"].n_verifier_errors == 2
+    assert got["u"].rarefaction[7] == 2 and got["u"].pass_at_k[7] == 1
+
+
+def test_resume_state(spark):
+    rows = spark.createDataFrame([("t", 0, True, "s", "c"), ("t", 1, False, None, "c"), ("u", 0, True, "s", "c")], "task_id string, i long, passed boolean, species_key string, condition_key string")
+    got = {r.task_id: r for r in frontier.resume_state(rows, "c").collect()}
+    assert (got["t"].n_done, got["t"].next_index, got["t"].n_correct, got["t"].species_counts) == (2, 2, 1, {"s": 1}) and got["u"].n_done == 1
+    with pytest.raises(Exception, match="other conditions"):
+        frontier.resume_state(rows, "d").select("task_id").collect()
+
+
+def test_arm_table_counts_infrastructure(spark):
+    rows = [("a", "resolved", True, 1, 2, 1.0), ("a", "incomplete", True, 1, 2, 9.0), ("a", "error", False, 0, 1, 3.0), ("b", "", False, 0, 0, 1.0), ("a", None, False, 0, 1, 2.0)]
+    got = {r.arm: r for r in arms.arm_table(spark.createDataFrame(rows, "arm string, eval_result string, passed boolean, tool_calls long, generations long, elapsed_s double")).collect()}
+    a = got["a"]
+    assert (a.n, a.resolved, a.infra_excluded, a.used_tools, a.nonempty, a.wrong_artifact, a.total_generations, a.mean_elapsed_s) == (3, 1, 1, 1, 3, 1, 4, 2.0)
+    assert 0 < a.ci_low < a.tools_high < 1 and got["b"].n == 0 and got["b"].infra_excluded == 1
+
+
+def test_prose_call_details(spark):
+    call = lambda name, **args: json.dumps({"name": name, "arguments": args})
+    texts = [("x", f"f{i}.md", "```json\n" + call("bash", command="ls") + "\n```") for i in range(5)] + [("x", "e.md", "```json\n" + call("editor", command="create", path="p", file_text="t") + "\n```"), ("y", "n.md", "nothing")]
+    got = {r.arm: r for r in trace.prose_call_details(spark.createDataFrame(texts, "arm string, file string, text string")).collect()}
+    assert got["x"].tools_used == {"bash": 5, "editor": 1} and got["x"].commands_used == {"create": 1} and got["x"].runnable_examples == ["e.md", "f0.md", "f1.md"] and got["y"].tools_used is None
+
+
+def test_pass_at_k_by_either_product(spark):
+    cases = [(n, c, k) for n in (1, 7, 60) for c in (0, 1, n // 2, n) for k in (1, n // 3 or 1, n)]
+    df = spark.createDataFrame(cases, "n long, c long, k long").withColumn("p", statistics.pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+    for r in df.collect():
+        assert r.p == pytest.approx(1 - math.comb(r.n - r.c, r.k) / math.comb(r.n, r.k), abs=1e-12)
