@@ -40,7 +40,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     application's file system handle closes.
     """
     path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where, files = _place(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
