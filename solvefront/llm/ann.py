@@ -2,15 +2,19 @@
 
 A unit vector, padded and turned by a fixed random rotation, is kept as the
 signs of its B coordinates and one correction scalar, its inner product with
-its own code.  A query's inner product with the code over that scalar
-estimates the cosine without bias, with an error of about
-eps * sqrt((1 - c^2) / c^2) / sqrt(B - 1).  Vectors whose estimate plus bound
-reaches the k-th best lower bound are reranked on the original vectors in
-double precision.
-
-Every row is indexed.  Queries come in blocks of bounded size, rows in shards
-of bounded size; a block meets each shard once, and each meeting returns its k
-best per query.
+its own code.  A query is turned alike and rounded to four bits a coordinate,
+kept as four bit planes; the inner product with a code is then a sum of
+population counts of packed words.  Over the correction it estimates the cosine
+without bias, with an error of about eps * sqrt((1 - c^2) / c^2) / sqrt(B - 1)
+and eps times the rounding's.  Vectors whose estimate plus bound reaches the
+k-th best lower bound are reranked on the original vectors in double precision.
+
+Every row is indexed and every query block meets every row shard in codes:
+coarse cells would save that only where vectors cluster (on the driver's
+embeddings, 0.9 of the neighbours take two thirds of all rows with 25 cells
+and more with 100).  Blocks and shards are of bounded size, as large as a task
+can hold, as each row is sent once a block and each query once a shard; a
+meeting returns its k best per query.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 BITS = 256
 EPS = 2.5
 SEED = 20240611
-QUERY_BLOCK = 4096
-SHARD_ROWS = 2048
-_TILE = 256
+QUERY_BLOCK = 16_384
+SHARD_ROWS = 8192
+_TILE = 64
+_PLANES = 4
 _ROTATIONS: dict[tuple, np.ndarray] = {}
 
 
@@ -48,13 +53,41 @@ def usable(vec: Column) -> Column:
     return F.coalesce(F.forall(vec, fine) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest parts near 1: cosines stay as they are, and no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None]) if len(vectors) else vectors
+
+
+def turned(vectors: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    unit = scaled(vectors)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True) @ rotation(vectors.shape[1], bits, seed).T
+
+
 def encode(vectors: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs and correction scalars of the rows (n x dim, double)."""
-    largest = np.abs(vectors).max(axis=1, keepdims=True)
-    unit = vectors / largest
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    turned = unit @ rotation(vectors.shape[1], bits, seed).T
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1])
+    x = turned(vectors, bits, seed)
+    return np.packbits(x > 0, axis=1), np.abs(x).sum(axis=1) / math.sqrt(x.shape[1])
+
+
+def words(packed: np.ndarray) -> np.ndarray:
+    """Packed bytes as 64-bit words, filled up with zeros."""
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def estimates(queries: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inner products of turned queries with codes of signs, the rounding's step per query); codes as words."""
+    low = queries.min(axis=1)
+    step = np.maximum(queries.max(axis=1) - low, 1e-300) / ((1 << _PLANES) - 1)
+    level = np.rint((queries - low[:, None]) / step[:, None]).astype(np.uint8)
+    sums = np.zeros((len(queries), len(codes)), np.int32)
+    for j in range(_PLANES):
+        plane = words(np.packbits(level >> j & 1, axis=1))
+        for w in range(codes.shape[1]):
+            sums += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
+    positive = low[:, None] * ones + step[:, None] * sums
+    every = low * width + step * level.sum(axis=1, dtype=np.int64)  # the rounded query's sum: roundings of either sign cancel
+    return (2 * positive - every[:, None]) / math.sqrt(width), step
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -82,21 +115,21 @@ def build_index(df: DataFrame, key: str = "vec_id", vec: str = "embedding", *, b
 
 def search_shard(query_ids, queries, ids, rows, codes, corr, k: int, eps: float, bits: int, seed: int):
     """The k nearest rows of one shard for each query of one block: (query index, row index, cosine)."""
-    dim = queries.shape[1]
-    turned = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ rotation(dim, bits, seed).T
-    width = turned.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=width).astype(np.float32) * 2 - 1
-    estimate_by = (1 / (corr * math.sqrt(width))).astype(np.float32)
-    # The smallest slack covers rounding in single precision.
-    slack = (eps * np.sqrt(np.maximum(0, 1 - corr**2)) / corr / math.sqrt(max(1, width - 1)) + 1e-5).astype(np.float32)
+    asked = turned(queries, bits, seed)
+    width = asked.shape[1]
+    packed = words(codes)
+    # The smallest slack covers rounding in double precision.
+    slack = eps * np.sqrt(np.maximum(0, 1 - corr**2)) / corr / math.sqrt(max(1, width - 1)) + 1e-9
+    rows, queries = scaled(rows), scaled(queries)
     row_norm, query_norm = np.sqrt(np.einsum("ij,ij->i", rows, rows)), np.sqrt(np.einsum("ij,ij->i", queries, queries))
     for at in range(0, len(queries), _TILE):
-        tile = turned[at : at + _TILE].astype(np.float32)
-        est = (tile @ signs.T) * estimate_by
+        est, step = estimates(asked[at : at + _TILE], packed, width)
+        est /= corr
+        off = slack + (eps / math.sqrt(12)) * step[:, None] / corr
         own = query_ids[at : at + _TILE, None] == ids[None, :]
-        low = np.where(own, -np.inf, est - slack)
+        low = np.where(own, -np.inf, est - off)
         kth = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)]
-        q, r = np.nonzero((est + slack >= kth[:, None]) & ~own)
+        q, r = np.nonzero((est + off >= kth[:, None]) & ~own)
         score = np.empty(len(q))
         for i in range(0, len(q), 1 << 16):
             qq, rr = q[i : i + (1 << 16)] + at, r[i : i + (1 << 16)]

@@ -400,6 +400,54 @@ def test_search_finds_the_nearest(spark):
     assert hits / total >= 0.9 and not {900, 950, 1000, 1050, 1100} & set(got) and got[50][0][0] == 7
 
 
+def test_estimates_come_from_packed_bits():
+    """Population counts against the unpacked signs; the rounding's error within its bound."""
+    rng = np.random.default_rng(6)
+    rows, queries = rng.standard_normal((300, 20)), rng.standard_normal((9, 20))
+    for bits in (64, 100, 256):
+        codes, corr = ann.encode(rows, bits, 1)
+        asked = ann.turned(queries, bits, 1)
+        got, step = ann.estimates(asked, ann.words(codes), asked.shape[1])
+        signs = np.unpackbits(codes, axis=1, count=bits).astype(float) * 2 - 1
+        assert (np.abs(got - asked @ signs.T / math.sqrt(bits)) <= 4 * step[:, None] / math.sqrt(12)).all()
+        cosine = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
+        assert np.abs(got.T / corr[:, None] - cosine).mean() < 1.2 / math.sqrt(bits)
+
+
+def test_search_bears_any_magnitude(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 8))
+    by = [10.0 ** (e % 7 * 50 - 150) for e in range(60)]
+    rows = [(i, (v * k).tolist()) for i, (v, k) in enumerate(zip(base, by, strict=True))]
+    index = stage(spark, ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "index")
+    got = {(r.query_id, r["rank"]): r for r in ann.search(spark, index, F.col("id") % 50 == 0).collect()}
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in (0, 50):
+        c = unit @ unit[q]
+        c[q] = -2
+        best = np.argsort(-c)[:5]
+        assert [got[q, k + 1].vec_id for k in range(5)] == best.tolist() and [got[q, k + 1].score for k in range(5)] == pytest.approx(c[best].tolist(), abs=1e-12)
+
+
+def test_recall_on_the_registered_table(spark):
+    """Against brute force on the embeddings of sf0.01: at least 0.9 of the five nearest."""
+    from solvefront.llm import queries
+
+    data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in data])
+    x = np.array([r.embedding for r in data], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op3_one_bit_codes(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        c = x @ x[ids == q][0]
+        c[ids == q] = -2
+        hits += len(got[q] & set(ids[np.argsort(-c)[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(got) and len(got) == (ids % 50 == 0).sum()
+
+
 def test_search_on_few_rows(spark):
     none = ann.build_index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert ann.search(spark, none, F.col("id") % 50 == 0).count() == 0
