@@ -108,6 +108,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+GIVE_BACK_BYTES = 8 << 20
+
+
 def give_back() -> None:
     """Return free memory to the system: a Python worker outlives its task, and what it holds counts against its executor."""
     pa.default_memory_pool().release_unused()
@@ -120,9 +123,17 @@ def give_back() -> None:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches holding about ``max_bytes`` of ``column`` at most (one row at least); free memory goes back at both ends."""
+    """Slices of the batches holding about ``max_bytes`` of ``column`` at most (one row at least); free memory goes back at both ends and now and then."""
     give_back()
-    yield from _slices(batches, column, max_bytes)
+    used = 0
+    for part in _slices(batches, column, max_bytes):
+        size = part.nbytes
+        yield part
+        used += size
+        if used >= GIVE_BACK_BYTES:
+            del part
+            give_back()
+            used = 0
     give_back()
 
 

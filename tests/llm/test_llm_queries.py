@@ -42,6 +42,36 @@ def test_query(spark, tiny, name):
         assert sorted(map(repr, (tuple(r[n] for n in names) for r in rows))) == sorted(map(repr, result.fetchall()))
 
 
+#: Names that operators give to columns of their own.
+CLASHES = ("kept", "n_words", "score", "predicted", "size", "target", "copies", "source_size", "text_hash", "document", "component_id")
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_stage_on_odd_rows(spark, tiny, name, step):
+    """Nulls, empty and wordless texts, repeated rows, a long text and clashing columns: no crash, the caller's values as they were; an empty table stays empty."""
+    prose = lambda i: "\n".join(" ".join(f"word{i}x{j}k{k}" for k in range(12)) for j in range(8))
+    texts = [None, "", " \n ", prose(1), prose(1), prose(2), prose(3) + " more", "a b\n" * 40_000, "no-space" * 30_000]
+    rows = [(i, t, "en", None if i == 2 else "s", 7, *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, prose(9), "en", "s", 7, *[f"{c}-" for c in CLASHES])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    got = step(spark, docs, tiny)
+    assert step(spark, docs.where("false"), tiny).count() == 0
+    if name == "packing":
+        placed = got.collect()
+        assert sum(r.length for r in placed if r.doc_id == 0) == 1 and all(len(r.ids) == r.length <= 4096 for r in placed)
+        return
+    assert got.columns == docs.columns
+    allowed = {(r[0], *r[5:]) for r in rows}
+    kept = [tuple(r) for r in got.collect()]
+    assert kept and all((r[0], *r[5:]) in allowed for r in kept)
+    ids = [r[0] for r in kept]
+    if name == "quality_rules":
+        assert not {0, 1, 2, 7} & set(ids) and ids.count(3) == 2 and {5, 6, None} <= set(ids)
+    if name == "near_duplicates":
+        assert sorted(ids, key=str) == sorted([0, 1, 2, 3, 5, 6, 7, 8, None], key=str)
+
+
 def test_pipeline_stages(spark, tiny):
     from solvefront.llm.common import stage
 
