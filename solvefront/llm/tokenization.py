@@ -31,7 +31,7 @@ SLICE_BYTES = 2 << 20
 WINDOW_BYTES = 2 << 20
 CALL_BYTES = 1 << 20
 JOINED_BYTES = 1 << 11
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 #: Longest word, in bytes, whose bytes are its key in the table.
 KEY_BYTES = 16
 
@@ -119,10 +119,9 @@ class WordTable:
             rest[first] = False
             places, slot = places[rest], (slot[rest] + 1) & (len(self.value) - 1)
 
-    def _store(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Places of new words with these ids."""
-        m, flat = len(ids), np.concatenate(ids)
-        counts = np.fromiter(map(len, ids), np.int32, m)
+    def _store(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of new words with these numbers of ids."""
+        m = len(counts)
         while self.n + m > len(self.start):
             self.key = np.concatenate([self.key, np.zeros_like(self.key)], axis=1)
             self.start, self.count, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.met))
@@ -135,8 +134,8 @@ class WordTable:
         self.n, self.n_ids = self.n + m, self.n_ids + len(flat)
         return at
 
-    def add(self, low: np.ndarray, high: np.ndarray, ids: list[np.ndarray]) -> None:
-        at = self._store(ids)
+    def add(self, low: np.ndarray, high: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+        at = self._store(flat, counts)
         self.key[0, at], self.key[1, at] = low, high
         size = len(self.value)
         while self.n > size // 2:
@@ -146,8 +145,14 @@ class WordTable:
             at = np.flatnonzero(self.count[: self.n] * (self.key[0, : self.n] > 0))
         self._enter(at)
 
-    def add_odd(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        self.odd.update(zip(words, self._store(ids).tolist(), strict=True))
+    def add_odd(self, words: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
+        self.odd.update(zip(words, self._store(flat, counts).tolist(), strict=True))
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words in order, and how many each has."""
+        count = self.count[places].astype(np.int64)
+        before = np.cumsum(count) - count
+        return self.ids[np.repeat(self.start[places] - before, count) + np.arange(int(count.sum()))], count
 
     def shrink(self, most: int = MAX_WORDS) -> None:
         """Drop the half met least recently once there are more than ``most`` words."""
@@ -156,16 +161,22 @@ class WordTable:
         stay = np.flatnonzero(self.met[: self.n] >= np.median(self.met[: self.n]))
         if len(stay) > most:
             stay = stay[:0]
-        old, odd = self.__dict__.copy(), {p: w for w, p in self.odd.items()}
+        keyed = self.key[0, stay] > 0
+        named = {p: w for w, p in self.odd.items()}
+        plain, odd = stay[keyed], stay[~keyed]
+        low, high = self.key[0, plain], self.key[1, plain]
+        words, window = [named[p] for p in odd.tolist()], self.window
+        kept = self.ids_of(plain), self.ids_of(odd)
         self.__init__()
-        self.window = old["window"]
-        ids = [old["ids"][s : s + c] for s, c in zip(old["start"][stay].tolist(), old["count"][stay].tolist(), strict=True)]
-        keyed = old["key"][0, stay] > 0
-        if keyed.any():
-            self.add(old["key"][0, stay][keyed], old["key"][1, stay][keyed], [x for x, k in zip(ids, keyed, strict=True) if k])
-        kept = [(odd[p], x) for p, x in zip(stay.tolist(), ids, strict=True) if p in odd]
-        if kept:
-            self.add_odd([w for w, _ in kept], [x for _, x in kept])
+        self.window = window
+        if len(plain):
+            self.add(low, high, *kept[0])
+        if words:
+            self.add_odd(words, *kept[1])
+
+
+def joined_ids(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 
 
 class BatchEncoder:
@@ -202,8 +213,8 @@ class BatchEncoder:
             at = end
         return out
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token: several are joined by spaces into one text, and their ids parted at word ends."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each has) of pre-tokens: several are joined by spaces into one text, and their ids parted at word ends."""
         joined, now, used = [], [], 0
         for w in words:
             now.append(w)
@@ -216,8 +227,8 @@ class BatchEncoder:
         flat = np.concatenate(self.library(joined))
         ends = np.flatnonzero(self.word_end[flat]) + 1
         if len(ends) != len(words) or ends[-1] != len(flat):
-            return self.library(words)
-        return np.split(flat, ends[:-1])
+            return joined_ids(self.library(words))
+        return flat, np.diff(ends, prepend=0)
 
     def _window(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte of each pre-token of a window, and its place in the table; ``breaks`` are first bytes of rows."""
@@ -281,7 +292,7 @@ class BatchEncoder:
         if len(missing):
             words = [data[begin[i] : begin[i] + length[i]].tobytes() for i in missing]
             new = list(dict.fromkeys(words))
-            table.add_odd(new, self.library([w.decode() for w in new]))
+            table.add_odd(new, *joined_ids(self.library([w.decode() for w in new])))
             place[missing] = [table.odd[w] for w in words]
         plain = np.flatnonzero(~is_odd)
         if len(plain):
@@ -297,7 +308,7 @@ class BatchEncoder:
                 head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 new = order[head]
                 words = [low[at[i] : at[i] + size[i]].tobytes().decode() for i in new]
-                table.add(first[new], second[new], self.words(words))
+                table.add(first[new], second[new], *self.words(words))
                 found[gone] = table.find(first[gone], second[gone])
             place[plain] = found
         table.met[place] = table.window
@@ -363,8 +374,7 @@ class BatchEncoder:
                 if len(row):
                     sums = np.bincount(row - row[0], count)
                     n[row[0] : row[0] + len(sums)] += sums.astype(np.int64)
-                    before = np.cumsum(count) - count
-                    parts.append(self.table.ids[np.repeat(self.table.start[place] - before, count) + np.arange(int(count.sum()))])
+                    parts.append(self.table.ids_of(place)[0])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(n)])
 
     def texts(self, col: pa.Array) -> Iterator[np.ndarray]:
