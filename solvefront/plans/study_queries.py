@@ -82,15 +82,8 @@ def archive_gap_and_retention(spark, sf):
     return s.select("s_suppkey", cm.overfitting_gap(F.col("s_acctbal") / 10000, held).alias("gap"), R(cm.transfer_retention(held, F.col("s_acctbal") / 10000, F.lit(0.2), F.lit(0.1))).alias("retention"))
 
 
-@query("WITH l AS (SELECT DISTINCT trim(left(text, 24)) AS literal FROM benchmark WHERE length(trim(left(text, 24))) >= 6) SELECT doc_id, literal FROM documents JOIN l ON contains(text, literal)")
+@query("WITH l AS (SELECT DISTINCT trim(text) AS literal FROM benchmark WHERE length(trim(text)) >= 6) SELECT doc_id, literal FROM documents JOIN l ON contains(text, literal)")
 def hard_coded_literals(spark, sf):
-    lits = table(spark, sf, "benchmark").select(F.left("text", F.lit(24)).alias("literal"))
-    return cm.hard_coded(table(spark, sf, "documents").select("doc_id", F.col("text").alias("source_excerpt")), lits).select("doc_id", "literal")
-
-
-@query()
-def hard_coded_literals_whole(spark, sf):
-    """Benchmark texts that stand whole in a document."""
     lits = table(spark, sf, "benchmark").select(F.col("text").alias("literal"))
     return cm.hard_coded(table(spark, sf, "documents").select("doc_id", F.col("text").alias("source_excerpt")), lits).select("doc_id", "literal")
 
@@ -254,10 +247,10 @@ def _verifier(spark, sf):
     return c.where("turn % 2 = 0").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("error")), c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("prompt"))
 
 
-@query("WITH " + _VM + " SELECT session_id, seq, feedback FROM c")
+@query("WITH " + _VM.replace("1, 6", "1, 24") + " SELECT session_id, seq, feedback FROM c")
 def conditioned_feedback(spark, sf):
     v, m = _verifier(spark, sf)
-    return tr.conditioned(v, m, head=6).select("session_id", "seq", "feedback")
+    return tr.conditioned(v, m).select("session_id", "seq", "feedback")
 
 
 @query("WITH " + _VM.replace("1, 6", "1, 24") + " SELECT session_id, seq, CASE WHEN feedback THEN 'execution_feedback' ELSE 'test_guided_selection' END AS op FROM c UNION ALL SELECT session_id, seq, 'single_call' FROM m")
@@ -377,12 +370,12 @@ def id_allow_list(spark, sf):
 
 # --- text and code -------------------------------------------------------------------------------------------
 
-_FENCED = "CASE WHEN doc_id % 3 = 0 THEN 'x' || chr(10) || '```python' || chr(10) || 'a = ' || doc_id || chr(10) || '```' || chr(10) || '```' || chr(10) || 'b' WHEN doc_id % 3 = 1 THEN '  y ' || doc_id || '  ' ELSE left(text, 50) END"
+_FENCED = "CASE WHEN doc_id % 3 = 0 THEN 'x' || chr(10) || '```python' || chr(10) || 'a = ' || doc_id || chr(10) || '```' || chr(10) || '```' || chr(10) || 'b' WHEN doc_id % 3 = 1 THEN '  ' || text || '  ' ELSE text END"
 
 
 def _fenced(spark, sf):
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "text", F.when(d % 3 == 0, F.concat(F.lit("x\n```python\na = "), d.cast("string"), F.lit("\n```\n```\nb"))).when(d % 3 == 1, F.concat(F.lit("  y "), d.cast("string"), F.lit("  "))).otherwise(F.left("text", F.lit(50))).alias("c"))
+    return table(spark, sf, "documents").select("doc_id", "text", F.when(d % 3 == 0, F.concat(F.lit("x\n```python\na = "), d.cast("string"), F.lit("\n```\n```\nb"))).when(d % 3 == 1, F.concat(F.lit("  "), F.col("text"), F.lit("  "))).otherwise(F.col("text")).alias("c"))
 
 
 @query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a = ' || doc_id || chr(10) || chr(10) || 'b' ELSE regexp_replace(" + _FENCED + r", '^\s+|\s+$', '', 'g') END AS code FROM documents")
@@ -411,13 +404,8 @@ def verdict_lattice(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.verdict(F.col("text"), d % 7 == 0, F.when(d % 2 == 0, "OK!").otherwise(""), d % 3, "OK!").alias("reason"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'import os' || chr(10) || chr(10) ELSE '' END || left(text, 20) || chr(10) || chr(10) || 'assert 1' || chr(10) || chr(10) || 'print(''OK!'')' AS program FROM documents")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'import os' || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10) || 'assert 1' || chr(10) || chr(10) || 'print(''OK!'')' AS program FROM documents")
 def program_assembly(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.assemble_program(F.when(F.col("doc_id") % 2 == 0, "import os").otherwise(""), F.left("text", F.lit(20)), F.lit("assert 1"), "OK!").alias("program"))
-
-
-@query()
-def program_assembly_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.assemble_program(F.when(F.col("doc_id") % 2 == 0, "import os").otherwise(""), F.col("text"), F.lit("assert 1"), "OK!").alias("program"))
 
 
@@ -428,14 +416,8 @@ def canonical_species(spark, sf):
     return co.with_canonical_form(table(spark, sf, "documents").select("doc_id", code.alias("code"))).select("doc_id", "canon.method", "canon.key", co.compiles_udf("code").alias("compiles"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '(^|[^''\"])#.*$', '\\1'), '\\s+$', '')), lambda x: x <> ''), chr(10)) AS canon FROM documents WHERE NOT contains(text, '#')")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '(^|[^''\"])#.*$', '\\1'), '\\s+$', '')), lambda x: x <> ''), chr(10)) AS canon FROM documents")
 def canonical_text(spark, sf):
-    return table(spark, sf, "documents").where(~F.contains("text", F.lit("#"))).select("doc_id", tx.canonical_text(F.col("text")).alias("canon"))
-
-
-@query()
-def canonical_text_whole(spark, sf):
-    """All documents, those with comments too; the SQL of canonical_text leaves them out."""
     return table(spark, sf, "documents").select("doc_id", tx.canonical_text(F.col("text")).alias("canon"))
 
 

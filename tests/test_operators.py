@@ -247,7 +247,7 @@ def test_whole_canonical_text(spark, tiny):
         return "\n".join(x for x in lines if x)
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
-    got = {r.doc_id: r.canon for r in entry_module.queries()["canonical_text_whole"](spark, tiny).collect()}
+    got = {r.doc_id: r.canon for r in entry_module.queries()["canonical_text"](spark, tiny).collect()}
     assert any("#" in (t or "") for t in docs.values())
     assert got == {i: None if t is None else canon(t) for i, t in docs.items()}
 
@@ -261,12 +261,12 @@ def test_whole_texts_are_read(spark, tmp_path):
     docs = [(1, blank + "x = 1"), (3, "c = 3\n" * 60 + "d = ("), (5, text), (7, "the passage opens alike, then it goes on"), (9, "the passage opens alike, then it parts")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "the passage opens alike, then it parts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    q = {n: {r.doc_id: r for r in entry_module.queries()[n](spark, str(tmp_path)).collect()} for n in ("verdict_lattice", "canonical_species", "fence_extraction_whole", "program_assembly_whole", "hard_coded_literals_whole")}
+    q = {n: {r.doc_id: r for r in entry_module.queries()[n](spark, str(tmp_path)).collect()} for n in ("verdict_lattice", "canonical_species", "fence_extraction_whole", "program_assembly", "hard_coded_literals")}
     assert q["verdict_lattice"][1].reason == "test_failed"
     assert not q["canonical_species"][3].compiles
     assert q["fence_extraction_whole"][5].code == "b = 2"
-    assert q["program_assembly_whole"][5].program.startswith(text)
-    assert set(q["hard_coded_literals_whole"]) == {9}
+    assert q["program_assembly"][5].program.startswith(text)
+    assert set(q["hard_coded_literals"]) == {9}
 
 
 # --- guards and records --------------------------------------------------------------------------------------
