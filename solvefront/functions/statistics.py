@@ -142,13 +142,18 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
-def incomplete_beta(a, b, x) -> np.ndarray:
+def log_beta(a, b) -> np.ndarray:
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(np.add(a, b))
+
+
+def incomplete_beta(a, b, x, known_log_beta: np.ndarray | None = None) -> np.ndarray:
     """Regularised incomplete beta function by the modified Lentz continued fraction."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    scale = log_beta(a, b) if known_log_beta is None else known_log_beta
     flip = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+        front = np.exp(p * np.log(y) + q * np.log1p(-y) - scale) / p
     tiny = 1e-300
     keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
     c, d = np.ones_like(y), 1 / keep(1 - (p + q) * y / (p + 1))
@@ -167,10 +172,10 @@ def incomplete_beta(a, b, x) -> np.ndarray:
 def inverse_incomplete_beta(a, b, p) -> np.ndarray:
     """x with I_x(a, b) = p, by bisection."""
     a, b, p = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, p)))
-    low, high = np.zeros(a.shape), np.ones(a.shape)
+    low, high, scale = np.zeros(a.shape), np.ones(a.shape), log_beta(a, b)
     for _ in range(60):
         mid = (low + high) / 2
-        below = incomplete_beta(a, b, mid) < p
+        below = incomplete_beta(a, b, mid, scale) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
     return (low + high) / 2
 
@@ -226,31 +231,101 @@ def with_clopper_pearson(df: DataFrame, c: str, n: str, prefix: str = "ci", conf
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    """Add reject and q_value per group of ``by`` (none: one family of hypotheses, which is one window)."""
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    order = group.orderBy(F.col(p))
-    m = F.count(F.lit(1)).over(group)
-    ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_m", m)
-    last = F.max(F.when(F.col(p) <= F.col("_r") / F.col("_m") * F.lit(alpha), F.col("_r"))).over(group)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(group.orderBy("_r").rowsBetween(W.currentRow, W.unboundedFollowing)))
-    return ranked.withColumn("reject", F.coalesce(F.col("_r") <= last, F.lit(False))).withColumn("q_value", q).drop("_r", "_m")
+    """Add reject and q_value per group of ``by`` (none: one family of hypotheses).
+
+    Equal p-values share the last of their ranks.  Ranks come from counts per
+    distinct p in buckets of its logarithm: the only window over a whole
+    family has a row per bucket, some 70,000 at most.  A null p is no
+    hypothesis: it does not count, and has reject false and a null q.
+    """
+    g = [f"_g{k}" for k in range(len(by))]
+    each = df.where(F.col(p).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, g, strict=True)], F.col(p).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    bucket = F.when(F.col("_p") > 0, F.floor(F.log2("_p") * 64)).otherwise(F.lit(-(1 << 17)))
+    each = each.withColumn("_b", bucket)
+    inner, family = W.partitionBy(*g, "_b").orderBy("_p"), W.partitionBy(*g)
+    before = family.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = each.groupBy(*g, "_b").agg(F.sum("_k").alias("_n"))
+    starts = sums.select(*g, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(family).alias("_m"))
+    ranked = _join_null_safe(each, starts, [*g, "_b"]).withColumn("_r", F.col("_start") + F.sum("_k").over(inner))
+    ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_r")).withColumn("_ok", F.col("_p") <= F.col("_r") / F.col("_m") * F.lit(alpha))
+    after = family.orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+    ends = ranked.groupBy(*g, "_b").agg(F.min("_v").alias("_low"), F.max(F.when(F.col("_ok"), F.col("_p"))).alias("_top"))
+    ends = ends.select(*g, "_b", F.min("_low").over(after).alias("_later"), F.max("_top").over(family).alias("_top"))
+    here = F.min("_v").over(inner.rowsBetween(W.currentRow, W.unboundedFollowing))
+    found = _join_null_safe(ranked, ends, [*g, "_b"]).withColumn("q_value", F.least(F.lit(1.0), here, F.col("_later")))
+    found = found.select(*g, "_p", F.coalesce(F.col("_p") <= F.col("_top"), F.lit(False)).alias("reject"), "q_value")
+    same = F.col(p).cast("double") == F.col("_p")
+    for c, n in zip(by, g, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return df.join(found, same, "left").drop(*g, "_p").withColumn("reject", F.coalesce("reject", F.lit(False)))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet; the keys stay once."""
+    other = right.withColumnsRenamed({c: f"{c}_right" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_right"))
+    return left.join(other, same).drop(*[f"{c}_right" for c in on])
+
+
+def fisher_arrays(a, b, c, d, absolute_tolerance: bool = False) -> np.ndarray:
+    """Two-sided exact tests of 2x2 tables.
+
+    The tables with the seen margins rise in probability up to the mode and
+    fall after it, so those no likelier than the one seen are two tails.  Each
+    tail's first table is found by halving, and its sum by the ratio of
+    neighbours, which ends where terms no longer matter.
+    """
+    a, b, c, d = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, c, d)))
+    known = ~(np.isnan(a) | np.isnan(b) | np.isnan(c) | np.isnan(d))
+    if np.any(known & (np.minimum(np.minimum(a, b), np.minimum(c, d)) < 0)):
+        raise ValueError("counts must not be negative")
+    row, col, total = a + b, a + c, a + b + c + d
+    out = np.where(known, 1.0, np.nan)
+    use = known & (row > 0) & (row < total) & (col > 0) & (col < total)  # an empty margin gives 1
+    if not use.any():
+        return out
+    a, row, col, total = a[use], row[use], col[use], total[use]
+    rest = total - row
+    fixed = sum(_log_gamma(v + 1) for v in (row, rest, col, total - col)) - _log_gamma(total + 1)
+    log_p = lambda x: fixed - sum(_log_gamma(v + 1) for v in (x, row - x, col - x, rest - col + x))
+    low, high = np.maximum(0, row + col - total), np.minimum(row, col)
+    mode = np.clip(np.floor((row + 1) * (col + 1) / (total + 2)), low, high)
+    seen = log_p(a)
+    limit = np.log(np.exp(seen) + 1e-12) if absolute_tolerance else seen + 1e-9
+    summed = np.zeros(a.shape)
+    for end, sign in ((low, -1), (high, 1)):
+        near, far = mode.copy(), end + sign  # near: likelier than the limit, far: not (or beyond the end)
+        while np.any(np.abs(far - near) > 1):
+            wide = np.abs(far - near) > 1
+            mid = np.where(wide, np.trunc((near + far) / 2), near)
+            small = wide & (log_p(mid) <= limit)
+            near, far = np.where(wide & ~small, mid, near), np.where(small, mid, far)
+        x, inside = np.clip(far, low, high), (far >= low) & (far <= high)
+        term = np.where(inside, np.exp(log_p(x)), 0.0)
+        tail = term.copy()
+        while np.any(term > tail * 1e-17):
+            up = (row - x) * (col - x) / ((x + 1) * (rest - col + x + 1)) if sign > 0 else x * (rest - col + x) / ((row - x + 1) * (col - x + 1))
+            term = term * np.maximum(up, 0.0)
+            tail, x = tail + term, np.clip(x + sign, low, high)
+        summed += tail
+    out[use] = np.where(log_p(mode) <= limit, 1.0, np.minimum(1.0, summed))
+    return out
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column, *, absolute_tolerance: bool = False) -> Column:
-    """Two-sided exact test of a 2x2 table; an empty margin gives 1.
+    """Two-sided exact test of a 2x2 table; an empty margin gives 1, an unknown count null.
 
     Tables no likelier than the one seen are summed, with a relative tolerance
     of 1e-9; ``absolute_tolerance`` sums those within an absolute 1e-12
     instead, which inflates very small values.
     """
-    row, col, total = a + b, a + c, a + b + c + d
-    log_p = lambda x: log_binomial(row, x) + log_binomial(total - row, col - x) - log_binomial(total, col)
-    seen = F.exp(log_p(a))
-    fits = (lambda v: v <= seen + F.lit(1e-12)) if absolute_tolerance else (lambda v: v <= seen * F.lit(1 + 1e-9))
-    xs = F.sequence(F.greatest(F.lit(0).cast("long"), row + col - total), F.least(row, col))
-    summed = F.aggregate(F.filter(F.transform(xs, lambda x: F.exp(log_p(x))), fits), F.lit(0.0), lambda s, v: s + v)
-    empty = (row == 0) | (row == total) | (col == 0) | (col == total)
-    return F.when(empty, F.lit(1.0)).otherwise(F.least(F.lit(1.0), summed))
+    @F.pandas_udf("double")
+    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(fisher_arrays(*(v.to_numpy(float, na_value=np.nan) for v in (a, b, c, d)), absolute_tolerance))
+
+    return test(a, b, c, d)
 
 
 def bootstrap_interval(values: Sequence[float], statistic: Callable | None = None, *, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float, float]:

@@ -9,16 +9,10 @@ from pyspark.sql import functions as F
 
 from solvefront.functions.statistics import fisher_exact, with_clopper_pearson
 
-# Outcomes of the grading harness, and what the study calls its arms.
+# Outcomes of the grading harness.
 INFRASTRUCTURE = ("incomplete", "")
 WRONG_ARTIFACT = "error"
 NO_PATCH = "empty_patch"
-ARM_LABELS = {
-    ("Qwen/Qwen2.5-Coder-7B-Instruct", "measured_default_agent/src"): "7B x auto",
-    ("Qwen/Qwen2.5-Coder-7B-Instruct", "toolcheck_agent_src"): "7B x required",
-    ("Qwen/Qwen2.5-Coder-14B-Instruct-AWQ", "measured_default_agent/src"): "14B x auto",
-    ("Qwen/Qwen2.5-Coder-14B-Instruct-AWQ", "toolcheck_agent_src"): "14B x required",
-}
 
 
 def valid_rows(df: DataFrame, result: str = "eval_result") -> DataFrame:
@@ -70,11 +64,10 @@ def against_baseline(arms: DataFrame, baseline: str, count: str = "resolved", ar
     return rest.select(arm, count, "n", p.alias("p_value"))
 
 
-def labelled(df: DataFrame) -> DataFrame:
-    """Add the arm's label, or model and agent where there is none; best-of-N arms say their N."""
-    spark = df.sparkSession
-    names = spark.createDataFrame([(m, a, x) for (m, a), x in ARM_LABELS.items()], "model string, agent_src string, arm string")
-    out = df.join(F.broadcast(names), ["model", "agent_src"], "left").withColumn("arm", F.coalesce("arm", F.concat_ws(" | ", "model", "agent_src")))
+def labelled(df: DataFrame, labels: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    """Add the arm's label from ``labels`` (model, agent, label), or model and agent where there is none; best-of-N arms say their N."""
+    names = df.sparkSession.createDataFrame(list(labels), "model string, agent_src string, arm string")
+    out = df.join(F.broadcast(names), ["model", "agent_src"], "left").withColumn("arm", F.coalesce("arm", F.concat_ws(" | ", "model", "agent_src")))  # the caller's list
     if "n_candidates_cfg" not in df.columns:
         return out
     best_of = F.when(F.col("n_candidates_cfg") > 1, F.concat(F.lit(" bo"), F.col("n_candidates_cfg").cast("string"))).otherwise(F.lit(""))

@@ -183,9 +183,12 @@ def ledger_rollup(spark, sf):
     return bu.ledger(_charges(spark, sf))
 
 
-@query()
+@query("WITH " + _PATHS + """, x AS (SELECT unnest([list_aggregate(string_split(path, '/')[1:k], 'string_agg', '/') for k in range(1, len(string_split(path, '/')) + 1)]) AS account, calls, tokens FROM paths),
+b AS (SELECT account, len(string_split(account, '/')) AS level, SUM(calls)::BIGINT AS calls, SUM(tokens)::BIGINT AS tokens FROM x GROUP BY ALL)
+SELECT p.account, p.level::INT AS level, p.calls, p.tokens, k.account AS child, k.calls AS child_calls, k.tokens AS child_tokens FROM b p LEFT JOIN b k ON k.level = p.level + 1 AND starts_with(k.account, p.account || '/')""")
 def ledger_snapshot(spark, sf):
-    return bu.snapshot(bu.ledger(_charges(spark, sf)))
+    made = bu.snapshot(bu.ledger(_charges(spark, sf)))
+    return made.select("account", "level", "calls", "tokens", F.explode_outer("children").alias("k")).select("account", "level", "calls", "tokens", F.col("k.account").alias("child"), F.col("k.calls").alias("child_calls"), F.col("k.tokens").alias("child_tokens"))
 
 
 @query("WITH " + _PATHS + """, leaf AS (SELECT path, SUM(calls) AS spent FROM paths GROUP BY 1), mid AS (SELECT string_split(path, '/')[2] AS m, SUM(calls) AS spent FROM paths GROUP BY 1)
@@ -255,9 +258,12 @@ def effective_weights(spark, sf):
     return t.select("p_partkey", R(F.get(si.effective_weights(F.array(F.lit(4.0), F.lit(2.0), F.lit(1.0)), F.col("p_size") / 25.0), F.lit(0))).alias("first"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT id // 300 AS rep, true_p, (('0x' || substr(md5('ci:' || true_p || ':' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < true_p)::INT AS hit
+  FROM range(120000) t(id), (SELECT unnest([0.0, 0.001, 0.01, 0.1, 0.5, 0.9]::DOUBLE[]) AS true_p)),
+h AS (SELECT true_p, rep, SUM(hit)::BIGINT AS c FROM d GROUP BY ALL), cp_in AS (SELECT DISTINCT c, 300::BIGINT AS n FROM h), """ + SQL_CP + """
+SELECT true_p, round(AVG((true_p BETWEEN low - 1e-12 AND high + 1e-12)::INT), 6) AS coverage, round(AVG(high - low), 6) AS mean_width, round(3 * sqrt(0.95::DOUBLE * 0.05::DOUBLE / 400), 6) AS mc_tolerance FROM h JOIN cp USING (c) GROUP BY 1""")
 def ci_coverage_simulation(spark, sf):
-    return si.ci_coverage(spark, n=100, replicates=100)
+    return si.ci_coverage(spark).select("true_p", *[R(c, 6).alias(c) for c in ("coverage", "mean_width", "mc_tolerance")])
 
 
 _ZIPF = [1.0 / (i + 1) for i in range(12)]
@@ -271,9 +277,14 @@ def chao1_lower_bound_simulation(spark, sf):
     return si.chao1_lower_bound(spark).select("replicates", *[R(c, 6).alias(c) for c in ("mean_observed", "mean_estimate", "not_above_truth", "at_least_observed")])
 
 
-@query()
+@query("""WITH RECURSIVE toy AS (SELECT * FROM (VALUES ('toy/sum_list', 0.60::DOUBLE), ('toy/is_palindrome', 0.45), ('toy/count_vowels', 0.35), ('toy/gcd', 0.25), ('toy/unique_sorted', 0.50), ('toy/impossible_parity', 0.0)) v(task_id, p)),
+h AS (SELECT task_id, p, COUNT(*) FILTER (('0x' || substr(md5('0:p:' || task_id || ':' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p) AS c, 400::BIGINT AS n FROM toy, range(400) t(i) GROUP BY ALL),
+cp_in AS (SELECT DISTINCT c, n FROM h), """ + SQL_CP + """,
+k AS (SELECT COUNT(*) AS n_tasks, COUNT(*) FILTER (p BETWEEN low - 1e-12 AND high + 1e-12) AS recovered FROM h JOIN cp USING (c, n)),
+t AS (SELECT *, list_sum(list_transform(range(n_tasks - recovered, n_tasks + 1), lambda j: exp(lgamma(n_tasks + 1) - lgamma(j + 1) - lgamma(n_tasks - j + 1) + j * ln(0.05) + (n_tasks - j) * ln(0.95)))) AS v FROM k)
+SELECT n_tasks, recovered, round(v, 6) AS p_value, v >= 0.01 AS ok FROM t""")
 def pipeline_validation(spark, sf):
-    return si.pipeline_validation(si.toy_tasks(spark))
+    return si.pipeline_validation(si.toy_tasks(spark)).withColumn("p_value", R("p_value", 6))
 
 
 @query("WITH " + SQL_INDEXED + " SELECT task_id, i FROM (SELECT task_id, i, COALESCE(MAX(CASE WHEN species = '0.01|0.01' THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM idx) WHERE done = 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from solvefront.operators import frontier as fr
 from solvefront.operators import selection as se
 from solvefront.operators import simulate as si
 from solvefront.operators import trace as tr
-from solvefront.plans.bindings import SQL_ARMS, SQL_ATTEMPTS, SQL_CP, SQL_INDEXED, arm_rows, attempts, indexed, table
+from solvefront.plans.bindings import SQL_ARMS, SQL_ATTEMPTS, SQL_CP, SQL_INDEXED, arm_rows, attempts, indexed, shared_path, table
 from solvefront.plans.registry import query
 
 R = lambda c, d=8: F.round(c, d)
@@ -159,18 +160,24 @@ def benjamini_hochberg(spark, sf):
 
 @query()
 def bootstrap_exact(spark, sf):
-    rates_ = attempts(spark, sf).groupBy("system", "task_id").agg(F.avg(F.col("passed").cast("int")).alias("rate"))
-    return st.bootstrap_by_group(rates_, "system", "rate", resamples=500)
+    return st.bootstrap_by_group(_solve_rates(spark, sf), "system", "rate")
 
 
-@query("""WITH x AS (SELECT l_linestatus AS system, l_quantity AS v, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id FROM lineitem),
-w AS (SELECT *, unnest(range(1, 21)) AS b FROM x), u AS (SELECT *, ('0x' || substr(md5(b || ':' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM w),
-k AS (SELECT system, b, v, list_sum(list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: CASE WHEN u >= list_sum(list_transform(range(0, j + 1), lambda i: exp(-1) / factorial(i::INT))) THEN 1 ELSE 0 END)) AS n FROM u),
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+def _solve_rates(spark, sf):
+    return attempts(spark, sf).groupBy("system", "task_id").agg(F.avg(F.col("passed").cast("int")).alias("rate"))
+
+
+@query("WITH " + SQL_ATTEMPTS + ", x AS (SELECT system, task_id, AVG(passed::INT) AS v FROM attempts GROUP BY ALL), w AS (SELECT *, unnest(range(1, 10001)) AS b FROM x), " + f"""
+u AS (SELECT *, ('0x' || substr(md5(b || ':' || task_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM w),
+k AS (SELECT system, b, v, {" + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in _POISSON)} AS n FROM u),
 mm AS (SELECT system, b, SUM(n * v) / SUM(n) AS mean FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY mean) AS r FROM mm)
-SELECT system, round(MIN(mean) FILTER (r = 1), 6) AS low, round(MIN(mean) FILTER (r = 19), 6) AS high FROM r GROUP BY 1""")
+SELECT system, round(MIN(mean) FILTER (r = 251), 6) AS low, round(MIN(mean) FILTER (r = 9750), 6) AS high FROM r GROUP BY 1""")
 def bootstrap_hashed(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("system"), F.col("l_quantity").alias("v"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("_id"))
-    return st.bootstrap_hashed(rows, "system", "v", resamples=20).select("system", R("low", 6).alias("low"), R("high", 6).alias("high"))
+    rows = _solve_rates(spark, sf).withColumn("_id", F.col("task_id"))
+    return st.bootstrap_hashed(rows, "system", "rate", resamples=10_000).select("system", R("low", 6).alias("low"), R("high", 6).alias("high"))
 
 
 # --- traces --------------------------------------------------------------------------------------------------
@@ -223,7 +230,8 @@ def tool_messages_total(spark, sf):
     return tr.tool_messages(h.withColumn("seen", F.lit(0)), role="user").select("conv_id", "n_tool")
 
 
-@query()
+@query("""WITH h AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) AS r FROM conversations WHERE role IN ('system', 'user'))
+SELECT c.conv_id, sha256(COALESCE('[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY r) FILTER (r <= 2) || ']', '[]')) AS conversation FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN h ON h.conv_id = c.conv_id GROUP BY 1""")
 def conversation_ids(spark, sf):
     h = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
     return h.select("conv_id", tr.conversation_id().alias("conversation"))
@@ -430,16 +438,11 @@ def entry_points(spark, sf):
 # --- sources and sinks, streams ------------------------------------------------------------------------------
 
 
-def _place(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/solvefront-{name}-{uuid.uuid4().hex}"
-
-
 @query("WITH " + SQL_INDEXED + " SELECT task_id, i, passed, tokens AS prompt_tokens FROM idx")
 def sample_log_round_trip(spark, sf):
     from solvefront.sources.readers import read_samples, write_samples
 
-    path = _place(spark, "samples")
+    path = shared_path(spark, "samples")
     rows = indexed(attempts(spark, sf)).select(F.col("task_id").cast("string").alias("task_id"), F.col("i").cast("bigint").alias("i"), "passed", F.col("tokens").alias("prompt_tokens"), F.lit("c").alias("condition_key"))
     write_samples(rows, path)
     return read_samples(spark, path).select(F.col("task_id").cast("bigint").alias("task_id"), F.col("i").cast("int").alias("i"), "passed", "prompt_tokens")
@@ -449,7 +452,7 @@ def sample_log_round_trip(spark, sf):
 def archive_round_trip(spark, sf):
     from solvefront.sources.readers import read_archive, write_json
 
-    path = _place(spark, "archive")
+    path = shared_path(spark, "archive")
     write_json(table(spark, sf, "supplier").select(F.struct(F.col("s_suppkey").cast("string").alias("variant_id")).alias("entry"), F.col("s_acctbal").alias("train_solve_rate")), path)
     return read_archive(spark, path).select(F.col("entry.variant_id").cast("bigint").alias("s_suppkey"), F.col("train_solve_rate").alias("s_acctbal"))
 
@@ -459,7 +462,7 @@ def streamed_daily_counts(spark, sf):
     from solvefront.streaming.jobs import drain, event_stream, windowed_counts
 
     stream = event_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
-    out = drain(windowed_counts(stream), spark, f"w{uuid.uuid4().hex}", "complete", _place(spark, "stream"))
+    out = drain(windowed_counts(stream), spark, f"w{uuid.uuid4().hex}", "complete", shared_path(spark, "stream"))
     return out.select("event_type", "n", F.col("window.start").cast("timestamp_ntz").alias("day"))
 
 

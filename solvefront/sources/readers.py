@@ -15,7 +15,7 @@ SAMPLES = "i bigint, t double, passed boolean, reason string, calls bigint, prom
 RECORDS = "task_id string, model_id string, split string, family string, n_samples bigint, n_correct bigint, p_hat double, p_ci_low double, p_ci_high double, beyond_frontier boolean, n_distinct_solutions bigint, species_counts map<string,bigint>, good_turing_unseen_mass double, sample_coverage double, pass_at_k map<string,double>, rarefaction map<string,double>, usage struct<calls:bigint,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,usd:double>, n_verifier_errors bigint, n_budget_exhausted bigint, metadata map<string,string>"
 ARCHIVE = "entry struct<variant_id:string,generation:bigint,parent_id:string,description:string,source_excerpt:string>, train_solve_rate double, held_out_solve_rate double, transfer_solve_rate double, metadata map<string,string>"
 ARMS = "instance_id string, model string, agent_src string, language string, eval_result string, passed boolean, error string, usage struct<calls:bigint,prompt_tokens:bigint,completion_tokens:bigint>, trace_op_counts struct<single_call:bigint,tool_call:bigint,self_consistency:bigint>, solution_len bigint, elapsed_s double, n_candidates_cfg bigint, pass_at_n boolean, n_passing_candidates bigint, per_candidate_eval array<string>"
-BENCHMARKS = {
+SUITES = {
     "humaneval": "task_id string, prompt string, canonical_solution string, test string, entry_point string",
     "mbpp": "task_id string, prompt string, code string, test_list array<string>, test_imports array<string>, source_file string, test string",
     "polyglot": "instance_id string, language string, problem_statement string",
@@ -23,16 +23,26 @@ BENCHMARKS = {
 }
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that are not blank.
+
+    ``line`` orders a file's lines: where the split it was read from starts,
+    and its place in the split.  A file is cut into splits like any other
+    table's, so no task holds a whole log.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value").where(F.trim("value") != "")
+
+
 def read_samples(spark: SparkSession, path: str, *, by: Sequence[str] = ("task_id",)) -> DataFrame:
     """Attempt log: per file, rows before the first that does not parse; of a repeated index the first line stays.
 
     A torn line is where a run died, so nothing after it is trusted; the next
-    run draws those indices again.  ``line`` is the place in the file.
+    run draws those indices again.  ``line`` orders the lines of a file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", SAMPLES, {"mode": "PERMISSIVE"})).withColumn("bad", F.col("r.i").isNull())
-    first_bad = F.min(F.when(F.col("bad"), F.col("line"))).over(W.partitionBy("file"))
-    good = parsed.withColumn("_stop", first_bad).where(F.col("_stop").isNull() | (F.col("line") < F.col("_stop"))).select("file", "line", "r.*")
+    parsed = _numbered_lines(spark, path).withColumn("r", F.from_json("value", SAMPLES, {"mode": "PERMISSIVE"}))
+    stops = parsed.where(F.col("r.i").isNull()).groupBy(F.col("file").alias("_file")).agg(F.min("line").alias("_stop"))
+    good = parsed.join(stops, F.col("file") == F.col("_file"), "left").where(F.col("_stop").isNull() | (F.col("line") < F.col("_stop"))).select("file", "line", "r.*")
     once = F.row_number().over(W.partitionBy("file", "condition_key", *by, "i").orderBy("line"))
     return good.withColumn("_n", once).where("_n = 1").drop("_n")
 
@@ -44,10 +54,8 @@ def write_samples(df: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Frontier records, the last of each task: later files, then later lines, win."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
-    rows = lines.select("file", "line", F.from_json("value", RECORDS).alias("r")).select("file", "line", "r.*")
-    last = F.row_number().over(W.partitionBy("task_id").orderBy(F.desc("file"), F.desc("line")))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "file", "line")
+    rows = _numbered_lines(spark, path).select("file", "line", F.from_json("value", RECORDS).alias("r"))
+    return rows.groupBy("r.task_id").agg(F.max_by("r", F.struct("file", "line")).alias("r")).select("r.*")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +77,10 @@ def read_arm(spark: SparkSession, path: str) -> DataFrame:
         "*", F.coalesce("trace_op_counts.tool_call", F.lit(0)).alias("tool_calls"), F.coalesce("trace_op_counts.single_call", F.lit(0)).alias("generations"))
 
 
-def read_benchmark(spark: SparkSession, path: str, family: str, ids: DataFrame | None = None, *, multiline: bool | None = None) -> DataFrame:
-    """Rows of a benchmark file (JSON lines, or an array for mbpp and polyglot), limited to ``ids`` by a semi-join."""
+def read_suite(spark: SparkSession, path: str, family: str, ids: DataFrame | None = None, *, multiline: bool | None = None) -> DataFrame:
+    """Rows of a suite's file (JSON lines, or an array for mbpp and polyglot), limited to ``ids`` by a semi-join."""
     array = family in ("mbpp", "polyglot") if multiline is None else multiline
-    rows = spark.read.schema(BENCHMARKS[family]).option("multiLine", array).json(path)
+    rows = spark.read.schema(SUITES[family]).option("multiLine", array).json(path)
     if family == "swebench":
         rows = rows.withColumns({c: F.from_json(c, "array<string>") for c in ("FAIL_TO_PASS", "PASS_TO_PASS")})
     key = "task_id" if "task_id" in rows.columns else "instance_id"
@@ -80,7 +88,7 @@ def read_benchmark(spark: SparkSession, path: str, family: str, ids: DataFrame |
 
 
 def to_tasks(rows: DataFrame, family: str) -> DataFrame:
-    """Benchmark rows as tasks: prompt, tests, entry point, weaker public tests."""
+    """Rows of a suite as tasks: prompt, tests, entry point, weaker public tests."""
     from solvefront.functions.code import entry_point_udf, public_asserts_udf, public_table_udf
 
     if family in ("humaneval", "humanevalplus"):
@@ -133,7 +141,8 @@ def merge(base: dict, over: dict) -> dict:
 
 def coerce(text: str) -> Any:
     """true, false, null, whole and decimal numbers from their text; else the text."""
-    words = {"true": True, "false": False, "null": None, "none": None}
+    words = {"true": True, "false": False, "null": None, "none": None, "~": None}
+    text = text.strip()
     if text.lower() in words:
         return words[text.lower()]
     for kind in (int, float):

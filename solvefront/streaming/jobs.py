@@ -67,6 +67,30 @@ def stateful_budget(charges: DataFrame, cap: float, key: str = "account", order:
     return charges.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} long, accepted boolean", "spent double", "append", "NoTimeout")
 
 
+def epoch_totals(calls: DataFrame, epochs: DataFrame, time: str = "ts", delay: str = "10 minutes", key: str = "session_id") -> DataFrame:
+    """Totals per epoch (epoch, starts, ends): a call counts in the epoch it began in, however late it arrives within ``delay``.
+
+    That is what waiting for calls in flight before a reset achieves: none is
+    lost, none counts in the next epoch.  ``epochs`` is a static table of the
+    same key, so the join keeps no state.
+    """
+    late = calls.withWatermark(time, delay)
+    inside = (late[key] == epochs[key]) & (late[time] >= epochs["starts"]) & (late[time] < epochs["ends"])
+    return late.join(epochs, inside).groupBy(epochs[key], "epoch").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
+
+
+def periodic_snapshot(totals: DataFrame, path: str, checkpoint: str, every: str | None = "120 seconds"):
+    """Write the whole running result to path/snapshot=<batch> at each trigger; nothing is reset by it.
+
+    ``every`` None takes all that is there and ends.  A batch that is run again replaces its own folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot={number}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str, seconds: int = 120) -> DataFrame:
     """Run all that is there into a table in memory, for tests and small results."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

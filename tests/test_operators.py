@@ -89,8 +89,8 @@ def test_valid_rows_keep_missing_results(spark):
 
 
 def test_arm_labels_and_pivot(spark):
-    df = spark.createDataFrame([("Qwen/Qwen2.5-Coder-7B-Instruct", "toolcheck_agent_src"), ("m", "a")], "model string, agent_src string")
-    assert {r.arm for r in arms.labelled(df).collect()} == {"7B x required", "m | a"}
+    df = spark.createDataFrame([("big", "tools"), ("m", "a")], "model string, agent_src string")
+    assert {r.arm for r in arms.labelled(df, [("big", "tools", "big with tools")]).collect()} == {"big with tools", "m | a"}
 
 
 def test_ledger_and_caps(spark):
@@ -203,7 +203,7 @@ def test_config(tmp_path):
 
 def test_swebench_lists(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"instance_id": "i", "FAIL_TO_PASS": "[\\"a\\", \\"b\\"]", "PASS_TO_PASS": "[]"}\n')
-    assert readers.read_benchmark(spark, str(tmp_path / "s.jsonl"), "swebench").first().FAIL_TO_PASS == ["a", "b"]
+    assert readers.read_suite(spark, str(tmp_path / "s.jsonl"), "swebench").first().FAIL_TO_PASS == ["a", "b"]
 
 
 def test_simulations(spark):

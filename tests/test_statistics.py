@@ -124,6 +124,37 @@ def test_fisher_absolute_tolerance(spark):
     assert value(spark, st.fisher_exact(*map(L, (0, 59, 59, 0)), absolute_tolerance=True)) == pytest.approx(3.3751e-13, rel=1e-3)
 
 
+def test_fisher_matches_the_whole_support():
+    rng = np.random.default_rng(5)
+    tables = rng.integers(0, 40, (200, 4)).tolist() + [[0, 0, 0, 0], [3, 0, 0, 0], [0, 9, 0, 4], [500, 480, 20, 30], [7, 7, 7, 7]]
+    got = st.fisher_arrays(*np.array(tables).T)
+    for (a, b, c, d), p in zip(tables, got, strict=True):
+        ways = [math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        seen = math.comb(a + b, a) * math.comb(c + d, c)
+        assert p == pytest.approx(sum(w for w in ways if w <= seen * (1 + 1e-9)) / sum(ways), rel=1e-9)
+    assert np.isnan(st.fisher_arrays([np.nan], [1], [1], [1])[0])
+    assert 0 < st.fisher_arrays([500_000], [500_000], [501_000], [499_000])[0] < 1  # wide support, short tails
+    with pytest.raises(ValueError):
+        st.fisher_arrays([-1], [1], [1], [1])
+
+
+def test_benjamini_hochberg_families_ties_and_nulls(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f if f else None, None if k % 9 == 0 else float(np.round(rng.random() ** 3, 2))) for f in ("", "a", "b") for k in range(60)]
+    got = st.benjamini_hochberg(spark.createDataFrame(rows, "family string, p double"), "p", by=["family"]).collect()
+    assert len(got) == len(rows)
+    for f in (None, "a", "b"):
+        ps = sorted(p for g, p in rows if g == f and p is not None)
+        m = len(ps)
+        top = max((p for k, p in enumerate(ps, 1) if p <= k / m * 0.05), default=-1)
+        for r in got:
+            if r.family == f:
+                assert r.reject == (r.p is not None and r.p <= top)
+                q = None if r.p is None else min(1, min(p * m / k for k, p in enumerate(ps, 1) if p >= r.p))
+                assert r.q_value == (None if q is None else pytest.approx(q))
+    assert st.benjamini_hochberg(spark.createDataFrame([], "p double"), "p").count() == 0
+
+
 def test_log_factorial(spark):
     for n in (0, 1, 5, 170, 100000):
         assert value(spark, st.log_factorial(L(n))) == pytest.approx(math.lgamma(n + 1), rel=1e-10, abs=1e-10)
