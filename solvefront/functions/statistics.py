@@ -73,10 +73,10 @@ def zero_success_bound(n: Column, confidence: float = 0.95) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Bin(n, p)."""
-    term = lambda i: F.exp(log_binomial(n, i) + i * F.log(p) + (n - i) * F.log1p(-p))
-    inner = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i))
-    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), inner))
+    """P(X >= k) for X ~ Bin(n, p): the incomplete beta function at p, whatever the size of n."""
+    one = F.lit(1.0)
+    inner = incomplete_beta_udf()(F.greatest(k.cast("double"), one), F.greatest((n - k + 1).cast("double"), one), p.cast("double"))
+    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(inner)
 
 
 # Rational approximation of the normal quantile (Acklam).
