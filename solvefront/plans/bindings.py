@@ -25,8 +25,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir")
     made = f"{base.rstrip('/')}/solvefront-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(made)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    return made
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)  # only what exists can be marked
+    files.deleteOnExit(path)
+    return f"{made}/data"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
