@@ -104,6 +104,35 @@ def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+@query
+def op12_main_lorentz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.periodic_runs import periodic_runs, repeated_tail
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs(docs).select("doc_id", "runs", "collapsed")
+    best = lambda a, b: F.when(a.isNull() | (b["length"] > a["length"]), b).otherwise(a)
+    # Runs come by start and period, so the first of the longest is the one wanted.
+    longest = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") == 0, F.lit("")).otherwise(F.concat(listed, F.lit("\n")))
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * _best.length) div _best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_escaped_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -112,9 +141,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from solvefront.llm import mixing, quality_rules, url_filter
+    from solvefront.llm import fill_middle, mixing, quality_rules, url_filter
 
-    return {"op4_mix_sources": mixing.ORACLE, "op5_redirect_equivalence": url_filter.ORACLE, "op8_line_frequency": quality_rules.ORACLE}
+    return {"op13_escaped_markers": fill_middle.ORACLE, "op4_mix_sources": mixing.ORACLE, "op5_redirect_equivalence": url_filter.ORACLE, "op8_line_frequency": quality_rules.ORACLE}
 
 
 ORACLE_SQL.update(_oracles())
