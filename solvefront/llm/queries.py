@@ -104,6 +104,16 @@ def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+@query
+def op11_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvefront.llm.pii import KINDS, extract, written
+
+    found = extract(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query
 def op12_main_lorentz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvefront.llm.periodic_runs import periodic_runs, repeated_tail
