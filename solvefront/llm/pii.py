@@ -36,6 +36,9 @@ BATCH_BYTES = 1 << 20
 HASH_BYTES = 1 << 20
 MOST_BITS = 1 << 26
 SHOWN = 40
+#: Texts in the first part whose fillers are counted, and how each part grows.
+FIRST_PART = 4096
+PART_GROWTH = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -236,8 +239,8 @@ def seeds_and_slots(df: DataFrame, text: str) -> DataFrame:
     return keyed.mapInArrow(work, T.StructType([keyed.schema[c] for c in others] + T._parse_datatype_string(FOUND).fields))
 
 
-def filler_counts(spark: SparkSession, texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(pattern, fillers): the different tokens in the slots of the wanted patterns, over all texts.
+def _hits(spark: SparkSession, texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(pattern, instance): the tokens in the slots of the wanted patterns.
 
     A bitmap of bounded size, broadcast, tells most other patterns apart where
     texts are cut; the join that follows removes the rest, however many patterns are wanted.
@@ -264,8 +267,33 @@ def filler_counts(spark: SparkSession, texts: DataFrame, text: str, wanted: Data
                 rows = np.unique(np.concatenate(hits).view(np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["pattern", "instance"])
 
-    hits = texts.select(text).mapInArrow(work, "pattern long, instance long")
-    return hits.join(wanted, "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("fillers"))
+    found = texts.select(text).mapInArrow(work, "pattern long, instance long")
+    return found.join(wanted.select("pattern"), "pattern", "left_semi")
+
+
+def filler_counts(spark: SparkSession, texts: DataFrame, text: str, wanted: DataFrame, rows: int) -> DataFrame:
+    """(pattern, fillers, whole), staged: the different tokens in the slots of the patterns of ``wanted`` (pattern, most).
+
+    Texts are taken in growing parts, told apart by their hash.  A pattern
+    that has more than ``most`` fillers already needs no more counting: what is
+    left could only lower its confidence, so it leaves with what was found
+    (``whole`` false).  The others are counted over all texts.  So the rows in
+    play are a few for each pattern, not all occurrences of common words.
+    """
+    share = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
+    pairs, gone, low, high = None, None, 0.0, FIRST_PART / max(rows, 1)
+    while low < 1 and not wanted.isEmpty():
+        part = texts.where((share >= low) & (share < high)) if high < 1 else texts.where(share >= low)
+        hits = _hits(spark, part, text, wanted)
+        hits = stage(spark, (hits if pairs is None else hits.unionByName(pairs)).distinct(), "fillers")
+        counted = wanted.join(hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("fillers")), "pattern", "left")
+        counted = stage(spark, counted.withColumn("fillers", F.coalesce("fillers", F.lit(0))), "counted")
+        low, high = high, high * PART_GROWTH
+        out = counted.where("fillers > most" if low < 1 else "true").select("pattern", "fillers", F.lit(low >= 1).alias("whole"))
+        gone = out if gone is None else gone.unionByName(out)
+        wanted = counted.where("fillers <= most").select("pattern", "most")
+        pairs = hits.join(wanted.select("pattern"), "pattern", "left_semi")
+    return stage(spark, gone, "totals")
 
 
 def learn_patterns(
@@ -284,18 +312,20 @@ def learn_patterns(
     known = edges.groupBy("instance").agg(F.bit_or("kinds").alias("kinds")).where("kinds != 0")
     seeds = stage(spark, known.select("instance", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda k: F.getbit("kinds", k) == 1)).alias("kind"), F.lit(1.0).alias("r")), "seeds")
     several = edges.where("many").groupBy("pattern").agg(F.count(F.lit(1)).alias("several"))
-    reliable, totals, confident, had = seeds, None, None, 0
+    reliable, totals, confident, had, rows = seeds, None, None, 0, texts.count()
     for _ in range(rounds):
         support = stage(spark, edges.join(reliable, "instance").groupBy("pattern", "kind").agg(F.sum("r").alias("support"), F.min("shown").alias("shown")).where(F.col("support") >= min_support), "support")
-        wanted = support.select("pattern").distinct()
-        wanted = stage(spark, wanted if totals is None else wanted.join(totals, "pattern", "left_anti"), "wanted")
+        wanted = support.groupBy("pattern").agg(F.floor(F.max("support") / min_confidence - 1).alias("most"))
+        if totals is not None:  # counted in part only, and by what supports it now not yet enough
+            wanted = wanted.join(totals.select("pattern", F.when(F.col("whole"), F.lit(1 << 62)).otherwise(F.col("fillers")).alias("_had")), "pattern", "left").where("_had is null or _had <= most").drop("_had")
+        wanted = stage(spark, wanted, "wanted")
         if not wanted.isEmpty():
-            more = filler_counts(spark, texts, text, wanted)
-            totals = stage(spark, more if totals is None else totals.unionByName(more), "totals")
+            more = filler_counts(spark, texts, text, wanted, rows)
+            totals = more if totals is None else stage(spark, totals.join(more.select("pattern"), "pattern", "left_anti").unionByName(more), "totals")
         if totals is None:
             return None
         fillers = F.col("fillers") + F.coalesce("several", F.lit(0))
-        scored = support.join(totals, "pattern").join(several, "pattern", "left").withColumn("fillers", fillers).withColumn("confidence", F.col("support") / (F.col("fillers") + 1))
+        scored = support.join(totals.where("whole"), "pattern").drop("whole").join(several, "pattern", "left").withColumn("fillers", fillers).withColumn("confidence", F.col("support") / (F.col("fillers") + 1))
         confident = stage(spark, scored.where(F.col("confidence") >= min_confidence).drop("several"), "confident")
         now = confident.count()
         if now == had:

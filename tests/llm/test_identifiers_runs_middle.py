@@ -246,8 +246,10 @@ def test_contexts_discover_identifiers(spark):
     assert none.spans == []  # it takes the second round
 
 
-def test_confidence_against_brute_force(spark):
-    """Support and fillers of each confident pattern, counted in plain Python."""
+@pytest.mark.parametrize("first", [4096, 8])
+def test_confidence_against_brute_force(spark, monkeypatch, first):
+    """Support and fillers of each confident pattern, counted in plain Python, over all texts at once and in growing parts."""
+    monkeypatch.setattr(pii, "FIRST_PART", first)
     docs, _ = planted()
     df = stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "docs")
     slots = pii.seeds_and_slots(df, "text").select(F.explode("slots").alias("s")).select("s.*")
