@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: where a line's comment starts, of a text that does not parse.
 _COMMENT = re.compile(r"(?<!['\"])#.*$")
 
 
@@ -59,12 +60,39 @@ def protected_names(tree: ast.AST) -> set[str]:
     return names
 
 
+#: What parsing or walking a text that is no program of a workable depth raises.
+_UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError)
+
+
+def parsed(code: str) -> ast.Module | None:
+    """The syntax tree, or None where there is none: bad syntax, null bytes, nesting beyond the parser's stack."""
+    try:
+        return ast.parse(code)
+    except _UNPARSABLE:
+        return None
+
+
+def unparsed(tree: ast.AST) -> str | None:
+    """The tree's source, or None where it is nested too deeply to be walked."""
+    try:
+        return ast.unparse(ast.fix_missing_locations(tree))
+    except (*_UNPARSABLE, AttributeError):
+        return None
+
+
+def renamed(tree: ast.Module) -> ast.Module | None:
+    try:
+        return _AlphaRename(protected_names(tree)).visit(tree)
+    except (*_UNPARSABLE, AttributeError):
+        return None
+
+
 def canonical_form(code: str) -> tuple[str, str, str]:
     """(text, method, key): the renamed program, or where it does not parse its stripped text; key is the SHA-256."""
-    try:
-        tree = ast.parse(code)
-        text, method = ast.unparse(ast.fix_missing_locations(_AlphaRename(protected_names(tree)).visit(tree))), "ast"
-    except (SyntaxError, ValueError, RecursionError, AttributeError):
+    tree = parsed(code)
+    tree = None if tree is None else renamed(tree)
+    text, method = None if tree is None else unparsed(tree), "ast"
+    if text is None:
         lines = (_COMMENT.sub("", line).rstrip() for line in code.splitlines())
         text, method = "\n".join(filter(str.strip, lines)), "text"
     return text, method, hashlib.sha256(text.encode()).hexdigest()
@@ -80,18 +108,15 @@ def compiles(code: str) -> bool:
 
 def entry_point(test: str) -> str:
     """Name of the first call of a plain name, breadth first; empty if there is none."""
-    try:
-        calls = (n.func.id for n in ast.walk(ast.parse(test)) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name))
-        return next(calls, "")
-    except (SyntaxError, ValueError):
-        return ""
+    tree = parsed(test)
+    calls = (n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)) if tree else iter(())
+    return next(calls, "")
 
 
 def public_asserts(tests: str) -> str:
     """The first half of a test module's top-level asserts, rounded up, with everything that is no assert kept."""
-    try:
-        tree = ast.parse(tests)
-    except (SyntaxError, ValueError):
+    tree = parsed(tests)
+    if tree is None:
         return ""
     total = sum(isinstance(n, ast.Assert) for n in tree.body)
     left, body = max(1, -(-total // 2)), []
@@ -101,14 +126,14 @@ def public_asserts(tests: str) -> str:
             if left < 0:
                 continue
         body.append(node)
-    return ast.unparse(ast.Module(body, [])) + "\n" if total else ""
+    text = unparsed(ast.Module(body, [])) if total else None
+    return f"{text}\n" if text is not None else ""
 
 
 def public_table(tests: str, entry: str) -> str:
     """A ``check`` function whose ``inputs`` and ``results`` lists keep their first half; empty where it has no such lists of one length."""
-    try:
-        tree = ast.parse(tests)
-    except (SyntaxError, ValueError):
+    tree = parsed(tests)
+    if tree is None:
         return ""
     at = next((i for i, n in enumerate(tree.body) if isinstance(n, ast.FunctionDef) and n.name == "check"), None)
     if at is None:
@@ -124,7 +149,8 @@ def public_table(tests: str, entry: str) -> str:
         for value in found:
             value.elts = value.elts[: max(1, -(-size // 2))]
     tree.body[at].decorator_list, tree.body[at].returns = [], None
-    return f"{ast.unparse(ast.Module(tree.body[: at + 1], []))}\n\ncheck({entry})\n"
+    text = unparsed(ast.Module(tree.body[: at + 1], []))
+    return f"{text}\n\ncheck({entry})\n" if text is not None else ""
 
 
 def blake2_unit(text: str, salt: str) -> float:

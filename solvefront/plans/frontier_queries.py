@@ -50,14 +50,14 @@ def frontier_record_curves(spark, sf):
     return long("pass_at_k", lambda _: F.lit("pass_at_k").alias("curve")).union(long("rarefaction", lambda _: F.lit("rarefaction").alias("curve"))).union(species)
 
 
-@query("WITH " + SQL_INDEXED + """, x AS (SELECT * FROM idx WHERE i < 400),
+@query("WITH " + SQL_INDEXED + """, x AS (SELECT * FROM idx),
 sp AS (SELECT task_id, species, COUNT(*) AS n FROM x WHERE passed GROUP BY ALL)
 SELECT task_id, COUNT(*) AS n_done, COUNT(*) FILTER (passed) AS n_correct, MAX(i) + 1 AS next_index, SUM(calls)::BIGINT AS calls, SUM(tokens)::BIGINT AS total_tokens, COUNT(*) FILTER (NOT passed AND exhausted) AS n_verifier_errors,
   COALESCE((SELECT SUM(n) FROM sp WHERE sp.task_id = x.task_id), 0)::BIGINT AS species_total, COALESCE((SELECT COUNT(*) FROM sp WHERE sp.task_id = x.task_id), 0)::BIGINT AS n_species
 FROM x GROUP BY task_id""")
 def resume_fold(spark, sf):
-    """The state of logs cut at their 400th attempt, from which a run goes on."""
-    log = indexed(attempts(spark, sf)).where("i < 400").select("task_id", "i", "passed", "calls", F.col("tokens").alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), F.lit(0.0).alias("usd"), F.when(F.col("exhausted"), "timeout").alias("reason"), F.col("species").alias("species_key"), F.lit("c").alias("condition_key"))
+    """The state of the whole logs, from which a run goes on."""
+    log = indexed(attempts(spark, sf)).select("task_id", "i", "passed", "calls", F.col("tokens").alias("prompt_tokens"), F.lit(0).alias("completion_tokens"), F.lit(0.0).alias("usd"), F.when(F.col("exhausted"), "timeout").alias("reason"), F.col("species").alias("species_key"), F.lit("c").alias("condition_key"))
     got = fr.resume_state(log, "c")
     n = F.coalesce(F.aggregate(F.map_values("species_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
     return got.select("task_id", "n_done", "n_correct", "next_index", "usage.calls", "usage.total_tokens", "n_verifier_errors", n.alias("species_total"), F.coalesce(F.size("species_counts"), F.lit(0)).cast("bigint").alias("n_species"))

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from solvefront.plans import frontier_queries, replay_queries, study_queries  # noqa: F401
+    from solvefront.plans import frontier_queries, replay_queries, stream_queries, study_queries  # noqa: F401

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -92,10 +91,12 @@ def suite_ablation(spark, sf):
 
 @query("SELECT user_id, date_trunc('day', ts)::DATE AS epoch, COUNT(*) AS calls, SUM(event_id % 50)::BIGINT AS tokens FROM events GROUP BY ALL")
 def streamed_epochs(spark, sf):
-    from solvefront.streaming.jobs import drain, epoch_totals, event_stream
+    from solvefront.streaming.jobs import epoch_totals, event_stream, run_available, state_of
 
     e = table(spark, sf, "events")
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     epochs = e.select("user_id", day.cast("date").alias("epoch"), day.alias("starts"), (day + F.expr("interval 1 day")).alias("ends")).distinct()
     stream = event_stream(spark, f"{sf}/events.parquet*", e.schema).withColumn("tokens", F.col("event_id") % 50)
-    return drain(epoch_totals(stream, epochs, key="user_id"), spark, f"e{uuid.uuid4().hex}", "complete", shared_path(spark, "epochs"))
+    checkpoint = shared_path(spark, "epochs")
+    run_available(epoch_totals(stream, epochs, key="user_id"), "complete", checkpoint)
+    return state_of(spark, checkpoint).select("user_id", "epoch", F.col("count").alias("calls"), F.col("sum").alias("tokens"))

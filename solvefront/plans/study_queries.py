@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -420,7 +419,8 @@ def program_assembly(spark, sf):
 @query()
 def canonical_species(spark, sf):
     d = F.col("doc_id")
-    code = F.when(d % 2 == 0, F.concat(F.lit("def f(x"), (d % 5).cast("string"), F.lit("):\n    return x"), (d % 5).cast("string"), F.lit(" + 1\n"))).otherwise(F.col("text"))
+    program = F.concat(F.lit("def f(x"), (d % 5).cast("string"), F.lit("):\n    return x"), (d % 5).cast("string"), F.lit(" + 1\n"))
+    code = F.when(d % 2 == 0, F.concat(program, F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))).otherwise(F.col("text"))
     return co.with_canonical_form(table(spark, sf, "documents").select("doc_id", code.alias("code"))).select("doc_id", "canon.method", "canon.key", co.compiles_udf("code").alias("compiles"))
 
 
@@ -459,10 +459,10 @@ def archive_round_trip(spark, sf):
 
 @query("SELECT event_type, COUNT(*) AS n, date_trunc('day', ts) AS day FROM events GROUP BY ALL")
 def streamed_daily_counts(spark, sf):
-    from solvefront.streaming.jobs import drain, event_stream, windowed_counts
+    from solvefront.streaming.jobs import event_stream, run_available, state_of, windowed_counts
 
-    stream = event_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
-    out = drain(windowed_counts(stream), spark, f"w{uuid.uuid4().hex}", "complete", shared_path(spark, "stream"))
-    return out.select("event_type", "n", F.col("window.start").cast("timestamp_ntz").alias("day"))
+    checkpoint = shared_path(spark, "stream")
+    run_available(windowed_counts(event_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)), "complete", checkpoint)
+    return state_of(spark, checkpoint).select("event_type", F.col("count").alias("n"), F.col("window.start").cast("timestamp_ntz").alias("day"))
 
 

@@ -1,12 +1,10 @@
-"""Structured Streaming: running frontier, event windows, stateful traces and budgets."""
+"""Structured Streaming: running frontier, event windows, epochs, and results read from state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, path: str, schema, time: str = "ts", **options) -> DataFrame:
@@ -32,41 +30,6 @@ def sessions(events: DataFrame, key: str = "user_id", time: str = "ts", gap: str
     return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stateful_seen(events: DataFrame, key: str = "conversation", order: str = "seq") -> DataFrame:
-    """The running known length of each conversation, one long of state a conversation: the stream's form of ``trace.seen_before``.
-
-    Needs columns key, order, n_messages, ok; rows of a batch are taken in order.
-    """
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(order)
-        seen = []
-        for length, ok in zip(rows["n_messages"], rows["ok"], strict=True):
-            seen.append(known)
-            known = max(known, int(length)) + int(bool(ok))
-        state.update((known,))
-        yield pd.DataFrame({key: group[0], order: rows[order], "seen": seen})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} long, seen long", "known long", "append", "NoTimeout")
-
-
-def stateful_budget(charges: DataFrame, cap: float, key: str = "account", order: str = "seq", cost: str = "cost") -> DataFrame:
-    """Running spend per account; a charge that does not fit is refused and later ones may still fit."""
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(parts)).sort_values(order)
-        taken = []
-        for c in rows[cost]:
-            taken.append(spent + c <= cap)
-            spent += c if taken[-1] else 0.0
-        state.update((float(spent),))
-        yield pd.DataFrame({key: group[0], order: rows[order], "accepted": taken})
-
-    kind = charges.schema[key].dataType.simpleString()
-    return charges.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} long, accepted boolean", "spent double", "append", "NoTimeout")
-
-
 def epoch_totals(calls: DataFrame, epochs: DataFrame, time: str = "ts", delay: str = "10 minutes", key: str = "session_id") -> DataFrame:
     """Totals per epoch (epoch, starts, ends): a call counts in the epoch it began in, however late it arrives within ``delay``.
 
@@ -91,10 +54,40 @@ def periodic_snapshot(totals: DataFrame, path: str, checkpoint: str, every: str
     return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str, seconds: int = 120) -> DataFrame:
-    """Run all that is there into a table in memory, for tests and small results."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not q.awaitTermination(seconds):
-        q.stop()
-        raise TimeoutError(name)
-    return spark.table(name)
+def run_available(stream: DataFrame, mode: str, checkpoint: str, seconds: int = 600):
+    """Run all that is there for its state alone: the state store under the checkpoint holds the result, no sink does."""
+    return finished(stream.writeStream.outputMode(mode).format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), seconds)
+
+
+def finished(query, seconds: int = 600):
+    """Wait for a query that ends by itself; stop it and raise where it does not."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(query.id)
+    return query
+
+
+def state_of(spark: SparkSession, checkpoint: str, *, operator: int = 0, batch: int | None = None, variable: str | None = None) -> DataFrame:
+    """A stateful operator's keys and values after a batch (the last one), read from its state store; nothing is cleared by it.
+
+    The state is read in a distributed way, a task for each of its partitions,
+    while the stream runs or after it.  ``variable`` names a state of a keyed
+    processor; a map's own keys come as ``user_key``.  Aggregates are named by
+    their functions (``count``, ``sum``), repeated ones with a number.
+    """
+    read = spark.read.format("statestore").option("operatorId", operator)
+    for name, value in (("batchId", batch), ("stateVarName", variable)):
+        read = read if value is None else read.option(name, value)
+    found = read.load(checkpoint)
+    if "user_map_key" in found.columns:
+        return found.select("key.*", F.col("user_map_key").alias("user_key"), "user_map_value.*")
+    return found.select("key.*", F.col("value").cast(_told_apart(found.schema["value"].dataType)).alias("value")).select("*", "value.*").drop("value")
+
+
+def _told_apart(kind: T.StructType) -> T.StructType:
+    """The struct with numbers after names that occur again: two counts are ``count`` and ``count_2``."""
+    seen: dict[str, int] = {}
+    for f in kind.fields:
+        seen[f.name] = seen.get(f.name, 0) + 1
+        f.name = f.name if seen[f.name] == 1 else f"{f.name}_{seen[f.name]}"
+    return T.StructType(kind.fields)

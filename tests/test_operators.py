@@ -151,6 +151,16 @@ def test_canonical_form():
     assert co.entry_point("assert add(1, 2) == 3") == "add"
 
 
+def test_texts_beyond_the_parser():
+    """Unparsable by depth, by null bytes or by syntax: the stripped text, and nothing public."""
+    from solvefront.functions import code as co
+
+    for text in ("x = " + "-" * 20_000 + "1", "f = " + "lambda: " * 3000 + "1", "x = " + "+".join(["1"] * 50_000), "x\0y", "def"):
+        assert co.canonical_form(text)[1] == "text" and not co.compiles(text)
+        assert co.entry_point(text) == co.public_asserts("assert 1\n" + text) == co.public_table("def check(f):\n  inputs = [1]\n  results = [1]\n" + text, "f") == ""
+    assert co.canonical_form("x = " + "(" * 150 + "1" + ")" * 150)[:2] == ("v0 = 1", "ast")
+
+
 def test_public_tests():
     table = "def check(candidate):\n    inputs = [1, 2, 3]\n    results = [2, 3, 4]\n    for i, r in zip(inputs, results):\n        assert candidate(i) == r\n"
     out = co.public_table(table, "f")

@@ -120,8 +120,8 @@ def test_epochs_and_snapshots(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     epochs = spark.createDataFrame([("s", 1, at(0), at(10)), ("s", 2, at(10), at(20))], "session_id string, epoch int, starts timestamp, ends timestamp")
     read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = jobs.drain(jobs.epoch_totals(read(), epochs), spark, "epochs", "complete", str(tmp_path / "ck1"))
-    assert {(r.epoch, r.calls, r.tokens) for r in got.collect()} == {(1, 2, 12), (2, 1, 1)}
+    jobs.run_available(jobs.epoch_totals(read(), epochs), "complete", str(tmp_path / "ck1"))
+    assert {(r.epoch, r["count"], r["sum"]) for r in jobs.state_of(spark, str(tmp_path / "ck1")).collect()} == {(1, 2, 12), (2, 1, 1)}
     totals = read().groupBy("session_id").count()
     assert jobs.periodic_snapshot(totals, str(tmp_path / "snap"), str(tmp_path / "ck2"), every=None).awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "snap")).select("session_id", "count").collect()] == [("s", 3)]
