@@ -34,8 +34,12 @@ def ancestors(path: Column) -> Column:
 
 
 def ledger(charges: DataFrame, path: str = "path", amounts: Sequence[str] = ("calls", "tokens")) -> DataFrame:
-    """(account, level, amounts): every charge counts on its account and all above."""
-    spread = charges.withColumn("account", F.explode(ancestors(F.col(path))))
+    """(account, level, amounts): every charge counts on its account and all above.
+
+    Charges are summed by account before anything is spread to the accounts above.
+    """
+    leaves = charges.groupBy(path).agg(*[F.sum(a).alias(a) for a in amounts])
+    spread = leaves.withColumn("account", F.explode(ancestors(F.col(path))))
     return spread.groupBy("account").agg(*[F.sum(a).alias(a) for a in amounts]).withColumn("level", F.size(F.split("account", "/")))
 
 
@@ -46,6 +50,32 @@ def snapshot(balances: DataFrame, amounts: Sequence[str] = ("calls", "tokens"))
     return balances.join(kids, F.col("account") == F.col("_p"), "left").drop("_p")
 
 
+def snapshot_tree(balances: DataFrame, amounts: Sequence[str] = ("calls", "tokens")) -> DataFrame:
+    """(account, tree): each root account with its whole tree as one VARIANT, children in order of their names, however deep.
+
+    Folded from the deepest level up, one join a level, so the number of steps
+    is the depth.  Each step carries the nodes of one level as JSON text; only
+    roots are parsed.  The tree of a root is one value by what it is: ask for
+    subtrees (their balances alone, levels from 1) where accounts are too many for one.
+    """
+    depth = balances.agg(F.max("level")).first()[0] or 0
+    parent = F.regexp_replace("account", r"/[^/]*$", "")
+    label = F.to_json(F.struct(F.regexp_extract("account", r"[^/]*$", 0).alias("label"), *amounts))
+    below = None
+    for level in range(depth, 0, -1):
+        nodes = balances.where(F.col("level") == level).select("account", label.alias("_own"))
+        kids = F.lit("")
+        if below is not None:
+            nodes, kids = nodes.join(below, F.col("account") == F.col("_parent"), "left"), F.coalesce("_kids", F.lit(""))
+        tree = F.concat(F.expr("left(_own, length(_own) - 1)"), F.lit(',"children":['), kids, F.lit("]}"))
+        made = nodes.select("account", tree.alias("tree"))
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("account", "tree"))), lambda x: x["tree"])
+        below = made.groupBy(parent.alias("_parent")).agg(F.array_join(texts, ",").alias("_kids")) if level > 1 else made
+    if below is None:
+        return balances.select("account", F.lit(None).cast("variant").alias("tree"))
+    return below.select("account", F.parse_json("tree").alias("tree"))
+
+
 def affordable(requests: DataFrame, balances: DataFrame, caps: DataFrame, path: str = "path", amount: str = "calls") -> DataFrame:
     """Whether a request fits the caps of its whole chain; ``caps`` (account, cap), no row or null: no cap."""
     chain = requests.withColumn("account", F.explode(ancestors(F.col(path))))

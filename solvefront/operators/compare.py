@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvefront.functions.statistics import pass_at_k, require, with_clopper_pearson
+from solvefront.functions.statistics import inverse_incomplete_beta_udf, pass_at_k, require, with_clopper_pearson
 
 # The four rows of the placement matrix.
 ROWS = {"bounded": "bounded_search", "elicitation": "superhuman_elicitation", "genuine": "genuine_expansion", "illusory": "illusory_expansion"}
@@ -167,12 +166,14 @@ def thompson_parameters(nodes: DataFrame, utility: str = "mean_utility", evals:
 
 
 def thompson_draw(posteriors: DataFrame, node: str, seed: int = 0) -> DataFrame:
-    """Add theta, a draw from each node's posterior seeded by the node, and ``chosen`` on the largest; ties by hash of the node."""
-    @F.pandas_udf("double")
-    def draw(name: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        seeds = [np.random.default_rng([seed, *str(n).encode()]) for n in name]
-        return pd.Series([g.beta(a, b) for g, a, b in zip(seeds, alpha, beta, strict=True)])
-
-    drawn = posteriors.withColumn("theta", draw(F.col(node), "alpha", "beta"))
-    best = drawn.agg(F.max_by(F.col(node), F.struct("theta", -F.xxhash64(node))).alias("_best"))
-    return drawn.crossJoin(F.broadcast(best)).withColumn("chosen", F.col(node) == F.col("_best")).drop("_best")  # one row against all
+    """Add theta, a draw from each node's posterior, and ``chosen`` on the largest; ties go to the greater md5 of seed and node.
+
+    The draw inverts the posterior's distribution function at a uniform number
+    from the first 52 bits of that md5, so it depends on the node alone: not
+    on rows beside it, their order or their partition.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(node).cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    drawn = posteriors.withColumn("theta", inverse_incomplete_beta_udf()(F.col("alpha").cast("double"), F.col("beta").cast("double"), u)).withColumn("_tie", digest)
+    best = drawn.agg(F.max(F.struct("theta", "_tie")).alias("_best"))
+    return drawn.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("_tie") == F.col("_best._tie")).drop("_best", "_tie")  # one row against all

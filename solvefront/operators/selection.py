@@ -35,7 +35,9 @@ def split_of(unit: Column, train: float, held_out: float) -> Column:
 
 
 def assign_splits(tasks: DataFrame, unit: Column, *, train: float, held_out: float, transfer_families: Sequence[str] = ()) -> DataFrame:
-    """Split by a hash in [0, 1); tasks of a transfer family go to transfer whatever their hash."""
+    """Split by a hash in [0, 1); tasks of a transfer family go to transfer whatever their hash.  Shares below 0 or above 1 in sum are refused."""
+    if min(train, held_out) < 0 or train + held_out > 1 + 1e-9:
+        raise ValueError(f"shares must not be negative and at most 1 in sum: {train}, {held_out}")
     moved = F.coalesce(F.col("family").isin(*transfer_families), F.lit(False)) if transfer_families else F.lit(False)
     return tasks.withColumn("split", F.when(moved, "transfer").otherwise(split_of(unit, train, held_out)))
 

@@ -191,6 +191,21 @@ def ledger_snapshot(spark, sf):
     return made.select("account", "level", "calls", "tokens", F.explode_outer("children").alias("k")).select("account", "level", "calls", "tokens", F.col("k.account").alias("child"), F.col("k.calls").alias("child_calls"), F.col("k.tokens").alias("child_tokens"))
 
 
+@query("""WITH paths AS (
+  SELECT ['run', l_linestatus, l_suppkey::VARCHAR, l_returnflag] AS p, SUM(l_linenumber)::BIGINT AS calls, SUM(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1),
+l4 AS (SELECT p, '{"calls":' || calls || ',"children":[],"label":"' || p[4] || '","tokens":' || tokens || '}' AS tree, calls, tokens FROM paths),
+l3 AS (SELECT p[1:3] AS p, '{"calls":' || SUM(calls)::BIGINT || ',"children":[' || string_agg(tree, ',' ORDER BY p[4]) || '],"label":"' || p[3] || '","tokens":' || SUM(tokens)::BIGINT || '}' AS tree,
+  SUM(calls)::BIGINT AS calls, SUM(tokens)::BIGINT AS tokens FROM l4 GROUP BY p[1:3], p[3]),
+l2 AS (SELECT p[1:2] AS p, '{"calls":' || SUM(calls)::BIGINT || ',"children":[' || string_agg(tree, ',' ORDER BY p[3]) || '],"label":"' || p[2] || '","tokens":' || SUM(tokens)::BIGINT || '}' AS tree,
+  SUM(calls)::BIGINT AS calls, SUM(tokens)::BIGINT AS tokens FROM l3 GROUP BY p[1:2], p[2])
+SELECT 'run' AS account, '{"calls":' || SUM(calls)::BIGINT || ',"children":[' || string_agg(tree, ',' ORDER BY p[2]) || '],"label":"run","tokens":' || SUM(tokens)::BIGINT || '}' AS tree FROM l2""")
+def ledger_tree(spark, sf):
+    """Four levels of accounts in one value."""
+    four = F.concat_ws("/", F.lit("run"), "l_linestatus", F.col("l_suppkey").cast("string"), "l_returnflag")
+    charges = table(spark, sf, "lineitem").select(four.alias("path"), F.col("l_linenumber").cast("bigint").alias("calls"), F.col("l_quantity").cast("bigint").alias("tokens"))
+    return bu.snapshot_tree(bu.ledger(charges)).select("account", F.to_json("tree").alias("tree"))
+
+
 @query("WITH " + _PATHS + """, leaf AS (SELECT path, SUM(calls) AS spent FROM paths GROUP BY 1), mid AS (SELECT string_split(path, '/')[2] AS m, SUM(calls) AS spent FROM paths GROUP BY 1)
 SELECT path, 10::BIGINT AS calls, leaf.spent + 10 <= 1700 AND mid.spent + 10 <= 1000000 AS can_afford FROM leaf JOIN mid ON m = string_split(path, '/')[2]""")
 def affordable_chain(spark, sf):

@@ -94,6 +94,24 @@ def thompson_posterior(spark, sf):
     return cm.thompson_parameters(nodes).select("l_suppkey", "alpha", "beta")
 
 
+@query("WITH RECURSIVE " + SQL_ATTEMPTS + """, n AS (
+  SELECT task_id, COUNT(*) FILTER (passed) + 1 AS a, COUNT(*) FILTER (NOT passed) + 1 AS b, md5('7:' || task_id) AS h FROM attempts GROUP BY 1),
+u AS (SELECT *, (('0x' || substr(h, 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u FROM n),
+steps(task_id, a, b, h, u, k, lo, hi) AS (
+  SELECT task_id, a, b, h, u, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM u
+  UNION ALL
+  SELECT task_id, a, b, h, u, k + 1, CASE WHEN below < u THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below < u THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT *, list_sum(list_transform(range(a, a + b), lambda i: exp(lgamma(a + b) - lgamma(i + 1) - lgamma(a + b - i) + i * ln((lo + hi) / 2) + (a + b - 1 - i) * ln(1 - (lo + hi) / 2)))) AS below
+        FROM steps WHERE k < 40)),
+t AS (SELECT task_id, a, b, h, (lo + hi) / 2 AS theta FROM steps WHERE k = 40)
+SELECT task_id, a::DOUBLE AS alpha, b::DOUBLE AS beta, round(theta, 6) AS theta, row_number() OVER (ORDER BY theta DESC, h DESC) = 1 AS chosen FROM t""")
+def thompson_draw(spark, sf):
+    """One draw from each task's posterior of its pass rate, and the task to go on with."""
+    each = attempts(spark, sf).groupBy("task_id").agg(F.avg(F.col("passed").cast("double")).alias("mean_utility"), F.collect_list(F.col("passed").cast("double")).alias("evals"))
+    drawn = cm.thompson_draw(cm.thompson_parameters(each), "task_id", seed=7)
+    return drawn.select("task_id", "alpha", "beta", R("theta", 6).alias("theta"), "chosen")
+
+
 @query("WITH " + SQL_ATTEMPTS + ", r AS (SELECT task_id, COUNT(*) AS n FROM attempts GROUP BY 1) SELECT s_suppkey AS task_id FROM supplier WHERE s_suppkey NOT IN (SELECT task_id FROM r WHERE n >= 600)")
 def missing_records(spark, sf):
     return cm.missing_records(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("task_id")), fr.rates(attempts(spark, sf), ["task_id"]), 600)
@@ -179,6 +197,25 @@ def bootstrap_hashed(spark, sf):
     return st.bootstrap_hashed(rows, "system", "rate", resamples=10_000).select("system", R("low", 6).alias("low"), R("high", 6).alias("high"))
 
 
+@query("WITH " + SQL_ATTEMPTS + """, x AS (SELECT system, task_id, AVG(passed::INT) AS v FROM attempts GROUP BY ALL),
+r AS (SELECT system, v, row_number() OVER (PARTITION BY system ORDER BY task_id) - 1 AS r FROM x),
+g AS (SELECT system, COUNT(*) AS n, AVG(v) AS point, ('0x' || substr(md5('0:0:' || system), 1, 7))::BIGINT AS s FROM x GROUP BY 1),
+d AS (SELECT system, n, s, b, unnest(range(n)) AS j FROM (SELECT *, unnest(range(10000)) AS b FROM g)),
+x1 AS (SELECT *, (b * 48271 + j * 69621 + s) % 2147483647 AS x FROM d),
+x2 AS (SELECT *, (x * x % 2147483647 + b * 16807 + s) % 2147483647 AS y FROM x1),
+x3 AS (SELECT *, (y * y % 2147483647 + j * 39373) % 2147483647 AS z FROM x2),
+k AS (SELECT system, b, ((z * z % 2147483647 * 742938285 + z) % 2147483647) * n // 2147483647 AS r FROM x3),
+m AS (SELECT system, b, AVG(v) AS mean FROM k JOIN r USING (system, r) GROUP BY ALL),
+o AS (SELECT system, mean, row_number() OVER (PARTITION BY system ORDER BY mean) AS place FROM m)
+SELECT g.system, round(ANY_VALUE(point), 6) AS point, round(MIN(mean) FILTER (place = 251), 6) AS low, round(MIN(mean) FILTER (place = 9750), 6) AS high, ANY_VALUE(n) AS draws FROM o JOIN g USING (system) GROUP BY 1""")
+def bootstrap_multinomial(spark, sf):
+    """The interval of each system's mean solve rate from 10,000 resamples, without a copy of a row."""
+    from solvefront.functions.resampling import bootstrap_sums
+
+    found = bootstrap_sums(_solve_rates(spark, sf), "system", ["rate"], "task_id")
+    return found.select("system", *[R(c, 6).alias(c) for c in ("point", "low", "high")], "draws")
+
+
 # --- traces --------------------------------------------------------------------------------------------------
 
 _OPS = "ops AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'single_call' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'best_of_n' WHEN 'error' THEN 'execution_feedback' ELSE 'temperature_schedule' END AS op FROM events)"
@@ -323,13 +360,34 @@ def split_assignment_blake2(spark, sf):
 _TASKS = f"tasks AS (SELECT p_partkey::VARCHAR AS task_id, sha256(p_name) AS hash, {_SPLIT} AS split, p_brand, p_partkey, p_size FROM part)"
 
 
-@query("WITH " + _TASKS + ", f AS (SELECT * FROM tasks WHERE p_partkey % 10 <> 0), c AS (SELECT task_id, CASE WHEN p_size = 3 THEN 'x' ELSE hash END AS hash, CASE WHEN p_size = 4 THEN 'train' ELSE split END AS split FROM tasks WHERE p_partkey % 11 <> 0), j AS (SELECT COALESCE(f.task_id, c.task_id) AS task_id, [CASE WHEN c.task_id IS NULL THEN 'missing' END, CASE WHEN f.task_id IS NULL THEN 'added' END, CASE WHEN f.task_id IS NOT NULL AND c.task_id IS NOT NULL AND f.hash <> c.hash THEN 'changed_hash' END, CASE WHEN f.task_id IS NOT NULL AND c.task_id IS NOT NULL AND f.split <> c.split THEN 'changed_split' END] AS p FROM f FULL JOIN c ON f.task_id = c.task_id), u AS (SELECT task_id, unnest(p) AS problem FROM j) SELECT * FROM u WHERE problem IS NOT NULL")
+_DRIFT = "WITH " + _TASKS + ", f AS (SELECT * FROM tasks WHERE p_partkey % 10 <> 0), c AS (SELECT task_id, CASE WHEN p_size = 3 THEN 'x' ELSE hash END AS hash, CASE WHEN p_size = 4 THEN 'train' ELSE split END AS split FROM tasks WHERE p_partkey % 11 <> 0), j AS (SELECT COALESCE(f.task_id, c.task_id) AS task_id, [CASE WHEN c.task_id IS NULL THEN 'missing' END, CASE WHEN f.task_id IS NULL THEN 'added' END, CASE WHEN f.task_id IS NOT NULL AND c.task_id IS NOT NULL AND f.hash <> c.hash THEN 'changed_hash' END, CASE WHEN f.task_id IS NOT NULL AND c.task_id IS NOT NULL AND f.split <> c.split THEN 'changed_split' END] AS p FROM f FULL JOIN c ON f.task_id = c.task_id), u AS (SELECT task_id, unnest(p) AS problem FROM j) SELECT * FROM u WHERE problem IS NOT NULL"
+
+
+@query(_DRIFT)
 def manifest_diff(spark, sf):
     t = _splits(spark, sf)
     current = t.where("p_partkey % 11 <> 0").withColumn("hash", F.when(F.col("p_size") == 3, "x").otherwise(F.col("hash"))).withColumn("split", F.when(F.col("p_size") == 4, "train").otherwise(F.col("split")))
     return se.manifest_diff(t.where("p_partkey % 10 <> 0"), current)
 
 
+@query(_DRIFT)
+def manifest_freeze(spark, sf):
+    """Drift from a split that was frozen, frozen again with its rows in another order, and kept against other content."""
+    from solvefront.sources import manifests
+
+    t = _splits(spark, sf)
+    path, ratios = shared_path(spark, "manifest"), manifests.SplitRatios(0.6, 0.2, 0.2)
+    kept = t.where("p_partkey % 10 <> 0")
+    current = t.where("p_partkey % 11 <> 0").withColumn("hash", F.when(F.col("p_size") == 3, "x").otherwise(F.col("hash"))).withColumn("split", F.when(F.col("p_size") == 4, "train").otherwise(F.col("split")))
+    manifests.freeze(spark, kept, path, ratios, salt="split-1")
+    manifests.freeze(spark, kept.orderBy(F.desc("task_id")), path, ratios, salt="split-1")
+    try:
+        manifests.freeze(spark, current, path, ratios, salt="split-1")
+    except manifests.FrozenSplitError:
+        return manifests.verify(spark, current, path)
+    raise AssertionError("another content took a frozen place")
+
+
 @query("WITH " + _TASKS + " SELECT p_brand AS family, sha256(string_agg(task_id || chr(0) || hash || chr(0) || split || chr(1), '' ORDER BY task_id)) AS suite_hash, COUNT(*) AS n_tasks FROM tasks GROUP BY 1")
 def suite_hash(spark, sf):
     return se.suite_hash(_splits(spark, sf), ["family"])
