@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from solvefront.operators.scans import running_sum
 
 #: The order in which dimensions are tested.
 DIMENSIONS = ("calls", "prompt_tokens", "completion_tokens", "total_tokens", "usd")
@@ -102,22 +108,52 @@ def overall_report(matches: DataFrame, task: str = "task_id") -> DataFrame:
     return matches.agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(~F.col("matched")).alias("n_unmatched"), F.array_sort(F.collect_list(F.when(~F.col("matched"), F.col(task)))).alias("unmatched"))
 
 
-def take_affordable(samples: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, cap: Column) -> DataFrame:
+def take_affordable(samples: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, cap: Column, **options) -> DataFrame:
     """Stop at the first sample that does not fit: add ``spent`` and ``exhausted`` (that sample and all after it).
 
     Costs are not negative, so the running sum decides; a null cap is none.
+    An account of any size is scanned by ranges of its order.
     """
-    running = F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return samples.withColumn("spent", running).withColumn("exhausted", F.coalesce(F.col("spent") > cap, F.lit(False)))
+    return running_sum(samples, by, order, F.col(cost), "spent", **options).withColumn("exhausted", F.coalesce(F.col("spent") > cap, F.lit(False)))
 
 
 def charge_in_order(samples: DataFrame, by: Sequence[str], order: str, cost: str, cap: float) -> DataFrame:
-    """Reject-and-continue: a sample that does not fit is refused and later ones may still fit; an ordered fold per account."""
-    costs = samples.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("refused"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["spent"] + x["c"] <= F.lit(float(cap))
-        return F.struct((a["spent"] + F.when(fits, x["c"]).otherwise(F.lit(0.0))).alias("spent"), (a["taken"] + fits.cast("long")).alias("taken"), (a["refused"] + (~fits).cast("long")).alias("refused"))
+    """Reject-and-continue: a sample that does not fit is refused and later ones may still fit.
 
-    return costs.withColumn("r", F.aggregate("s", start, step)).select(*by, "r.*")
+    Each decision needs all before it, so an account is folded in one task,
+    but as a stream: rows come sorted, in Arrow batches, and only the account's
+    sums are carried from batch to batch.  Equal places are taken by cost; a null cost is refused.
+    """
+    keys = samples.select(*by, F.col(order).alias("_order"), F.col(cost).cast("double").alias("_cost"))
+    rows = keys.repartition(*by).sortWithinPartitions(*by, "_order", "_cost")
+    schema = T.StructType([*(samples.schema[c] for c in by), *T._parse_datatype_string("spent double, taken bigint, refused bigint").fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, spent, taken, refused = None, 0.0, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*account.columns, pa.array([spent]), pa.array([taken], pa.int64()), pa.array([refused], pa.int64())], names=[*by, "spent", "taken", "refused"])
+
+        for batch in batches:
+            names = batch.select(list(by))
+            changes = np.zeros(batch.num_rows, bool)
+            for column in names.columns:
+                now, last = column.slice(1), column.slice(0, max(0, len(column) - 1))
+                same = pc.fill_null(pc.equal(now, last), False).to_numpy(zero_copy_only=False) | (now.is_null().to_numpy(zero_copy_only=False) & last.is_null().to_numpy(zero_copy_only=False))
+                changes[1:] |= ~same
+            starts = [0, *np.flatnonzero(changes).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(starts, starts[1:]):
+                if account is None or not account.equals(names.slice(a, 1)):
+                    if account is not None:
+                        yield closed()
+                    account, spent, taken, refused = names.slice(a, 1), 0.0, 0, 0
+                for c in batch.column("_cost").slice(a, b - a).to_pylist():
+                    if c is not None and spent + c <= cap:
+                        spent += c
+                        taken += 1
+                    else:
+                        refused += 1
+        if account is not None:
+            yield closed()
+
+    return rows.mapInArrow(fold, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvefront.functions.statistics import inverse_incomplete_beta_udf, pass_at_k, require, with_clopper_pearson
+from solvefront.operators.windows import windows_like
 
 # The four rows of the placement matrix.
 ROWS = {"bounded": "bounded_search", "elicitation": "superhuman_elicitation", "genuine": "genuine_expansion", "illusory": "illusory_expansion"}
@@ -118,24 +119,31 @@ def transfer_retention(held_out: Column, transfer: Column, base_held_out: Column
     return F.when(F.abs(gain) < 1e-9, F.lit(None)).otherwise(F.try_divide(transfer - base_transfer, gain))
 
 
-AUTOMATON_LITERALS = 100_000
+#: UTF-8 bytes of all literals up to which one automaton of them goes to every executor.
+AUTOMATON_BYTES = 8 << 20
 
 
 def hard_coded(archive: DataFrame, literals: DataFrame, source: str = "source_excerpt", literal: str = "literal", least: int = 6) -> DataFrame:
     """Archive rows whose source holds a task literal of at least ``least`` characters, a row per literal.
 
-    Up to :data:`AUTOMATON_LITERALS` literals go to every executor as one
+    Literals of :data:`AUTOMATON_BYTES` in all go to every executor as one
     automaton that reads each source once, whatever their number.  Beyond
-    that, both sides meet on a literal's first characters in an equi-join.
+    that each literal is known by its rarest piece of ``least`` characters:
+    sources' pieces that are some literal's meet these in an equi-join, and
+    what meets is compared whole.  Literals with one beginning have other pieces, so no key is hot.
     """
     found = literals.select(F.trim(F.col(literal)).alias("_l")).where(F.length("_l") >= least).distinct()
-    few = [r[0] for r in found.limit(AUTOMATON_LITERALS + 1).collect()]
-    if len(few) <= AUTOMATON_LITERALS:
-        return _by_automaton(archive, few, source)
-    heads = found.withColumn("_g", F.substring("_l", 1, least))
-    starts = F.transform(F.sequence(F.lit(1), F.length(source) - least + 1), lambda i: F.substring(F.col(source), i, F.lit(least)))
-    grams = archive.where(F.length(source) >= least).withColumn("_g", F.explode(F.array_distinct(starts)))
-    return grams.join(heads, "_g").where(F.contains(F.col(source), F.col("_l"))).drop("_g").withColumnRenamed("_l", "literal").distinct()
+    size = found.agg(F.sum(F.octet_length("_l"))).first()[0] or 0
+    if size <= AUTOMATON_BYTES:
+        return _by_automaton(archive, [r[0] for r in found.collect()], source)
+    starts = F.transform(F.sequence(F.lit(1), F.length("_l") - least + 1), lambda i: F.substring(F.col("_l"), i, F.lit(least)))
+    pieces = found.select("_l", F.explode(F.array_distinct(starts)).alias("_piece"))
+    counts = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = pieces.join(counts, "_piece").groupBy("_l").agg(F.min_by("_piece", F.struct("_n", F.xxhash64("_piece"))).alias("window"))
+    # Sources go by their digest until a literal's piece has met one, so a long source is not copied for each piece.
+    sources = archive.withColumn("_key", F.md5(F.col(source)))
+    met = windows_like(sources.where("_key is not null"), source, ["_key"], keyed, "window").join(keyed, "window").select("_key", "_l").distinct()
+    return sources.join(met, "_key").where(F.contains(source, F.col("_l"))).select(*archive.columns, F.col("_l").alias("literal"))
 
 
 def _by_automaton(archive: DataFrame, words: list[str], source: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from solvefront.functions.statistics import require
 from solvefront.functions.text import tool_call_candidates, unescape
+from solvefront.operators.scans import known_length, running_number
+from solvefront.operators.windows import windows_like
 
 # Operations by class; contested ones.
 PRESERVING = ("single_call", "format_extract", "best_of_n", "majority_vote", "self_consistency", "rerank", "test_guided_selection", "temperature_schedule", "prompt_template")
@@ -44,17 +46,13 @@ def attribution(classified: DataFrame, by: Sequence[str], op: str = "op") -> Dat
         F.array_sort(F.collect_set(F.when(expanding, F.col(op)))).alias("expanding_ops"), F.array_sort(F.collect_set(F.when(F.col("contested"), F.col(op)))).alias("contested_ops"))
 
 
-def seen_before(events: DataFrame, by: Sequence[str], order: Sequence[str], length: str = "n_messages", ok: str = "ok") -> DataFrame:
+def seen_before(events: DataFrame, by: Sequence[str], order: Sequence[str], length: str = "n_messages", ok: str = "ok", **options) -> DataFrame:
     """Add ``seen``: how many messages of the conversation were known before each call.
 
     A call of history length L makes max(seen, L) known, and its own reply one
-    more if it succeeded.  With S the running count of successes this is
-    S before + max(0, running max of L - S before), two windows and no loop.
+    more if it succeeded.  A conversation of any size is scanned by ranges.
     """
-    before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    counted = events.withColumn("_s", F.coalesce(F.sum(F.col(ok).cast("long")).over(before), F.lit(0)))
-    peak = F.max(F.col(length) - F.col("_s")).over(before)
-    return counted.withColumn("seen", F.col("_s") + F.greatest(F.lit(0), F.coalesce(peak, F.lit(0)))).drop("_s")
+    return known_length(events, by, order, F.col(length), F.col(ok), "seen", **options)
 
 
 def tool_messages(events: DataFrame, messages: str = "messages", seen: str = "seen", role: str = "tool") -> DataFrame:
@@ -81,13 +79,19 @@ def run_summary(events: DataFrame, ok: str = "status = 200") -> DataFrame:
 
 
 def conditioned(verifier: DataFrame, model: DataFrame, session: str = "session_id", seq: str = "seq", error: str = "error", prompt: str = "prompt", head: int = 24) -> DataFrame:
-    """Add ``feedback``: a later model call of the session quotes the first ``head`` characters of the error."""
+    """Add ``feedback``: a later model call of the session quotes the first ``head`` characters of the error.
+
+    Prompts' windows that may be some error's head, each with the last call of
+    its session that has it, meet the errors on session and head: one
+    equi-join.  Shorter errors are heads of their own length; blank ones condition nothing.
+    """
     needle = F.substring(F.trim(F.coalesce(F.col(error), F.lit(""))), 1, head)
     v = verifier.withColumn("_needle", needle)
-    m = model.select(F.col(session).alias("_session"), F.col(seq).alias("_seq"), F.col(prompt).alias("_prompt"))
-    hit = (F.col(session) == F.col("_session")) & (F.col("_seq") > F.col(seq)) & F.contains(F.col("_prompt"), F.col("_needle")) & (F.col("_needle") != "")
-    quoted = v.join(m, hit, "left_semi").select(session, seq).distinct().withColumn("feedback", F.lit(True))
-    return verifier.join(quoted, [session, seq], "left").withColumn("feedback", F.coalesce("feedback", F.lit(False)))
+    heads = v.where("_needle != ''").select("_needle")
+    calls = model.select(F.col(session).alias("_session"), F.col(seq).alias("_seq"), F.col(prompt).alias("_prompt"))
+    last = windows_like(calls, "_prompt", ["_session", "_seq"], heads, "_needle").groupBy("_session", "window").agg(F.max("_seq").alias("_last"))
+    joined = v.join(last, (F.col(session) == F.col("_session")) & (F.col("_needle") == F.col("window")), "left")
+    return joined.withColumn("feedback", F.coalesce(F.col("_last") > F.col(seq), F.lit(False))).drop("_needle", "_session", "window", "_last")
 
 
 def event_trace(verifier: DataFrame, model: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
@@ -96,9 +100,9 @@ def event_trace(verifier: DataFrame, model: DataFrame, session: str = "session_i
     return v.unionByName(model.select(session, seq, F.lit("single_call").alias("op")))
 
 
-def merge_traces(parts: DataFrame, by: Sequence[str], order: Sequence[str] = ("sub", "seq")) -> DataFrame:
+def merge_traces(parts: DataFrame, by: Sequence[str], order: Sequence[str] = ("sub", "seq"), **options) -> DataFrame:
     """Renumber concatenated traces from 0."""
-    return parts.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+    return running_number(parts.withColumnsRenamed({"seq": "_seq"}), by, ["_seq" if c == "seq" else c for c in order], "seq", **options).drop("_seq")
 
 
 def prose_call_details(transcripts: DataFrame, arm: str = "arm", file: str = "file", text: str = "text", examples: int = 3) -> DataFrame:

@@ -1,17 +1,19 @@
 """Rules of the operators on small literal tables."""
 
+import datetime as dt
 import hashlib
 import json
 import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from solvefront.functions import code as co
 from solvefront.functions import statistics
 from solvefront.functions import text as tx
-from solvefront.operators import arms, budget, compare, frontier, selection, simulate, trace
+from solvefront.operators import arms, budget, compare, frontier, scans, selection, simulate, trace, windows
 from solvefront.sources import readers
 
 
@@ -110,6 +112,27 @@ def test_reject_and_continue(spark):
     assert (r.spent, r.taken, r.refused) == (5.0, 2, 2)
 
 
+def test_reject_and_continue_over_many_batches(spark):
+    """Accounts larger than a batch, several in one, null ones and null costs: equal to the plain fold."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c"]), j, i, rng.choice([None, 0.5, 1.0, 3.0, 40.0])) for i in range(900) for j in (1, 2)] + [("z", 1, 5, 7.0), ("z", 1, 5, 6.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, j int, i int, c double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {(r.k, r.j): (r.spent, r.taken, r.refused) for r in budget.charge_in_order(df, ["k", "j"], "i", "c", 50.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for k, j, _, c in sorted(rows, key=lambda r: (r[2], -1 if r[3] is None else r[3])):
+        spent, taken, refused = want.get((k, j), (0.0, 0, 0))
+        fits = c is not None and spent + c <= 50
+        want[k, j] = (spent + c, taken + 1, refused) if fits else (spent, taken, refused + 1)
+    assert got == want
+    assert budget.charge_in_order(df.where("false"), ["k", "j"], "i", "c", 50.0).count() == 0
+
+
 def test_match_report(spark):
     df = spark.createDataFrame([(1, "a", 100, 0), (1, "b", 96, 0), (2, "a", 100, 0), (2, "b", 90, 0), (3, "a", 5, 5)], "task_id int, system string, calls int, tokens int")
     assert {r.task_id: r.matched for r in budget.match_report(df).collect()} == {1: True, 2: False, 3: True}
@@ -134,11 +157,20 @@ def test_literals(spark):
     archive = spark.createDataFrame([(1, "x = 'abcdef123'"), (2, "nothing"), (3, None)], "id int, source_excerpt string")
     lits = spark.createDataFrame([(" abcdef ",), ("not",), ("thingsx",)], "literal string")
     assert [(r.id, r.literal) for r in compare.hard_coded(archive, lits).collect()] == [(1, "abcdef")]
-    old, compare.AUTOMATON_LITERALS = compare.AUTOMATON_LITERALS, 0
-    try:
-        assert [(r.id, r.literal) for r in compare.hard_coded(archive, lits).collect()] == [(1, "abcdef")]
-    finally:
-        compare.AUTOMATON_LITERALS = old
+
+
+def test_literals_of_one_beginning_both_ways(spark, monkeypatch):
+    """Every literal has the same first forty characters; the automaton and the join by rarest pieces find the same rows."""
+    head = "the very same beginning of each of these "
+    lits = [f"{head}{i:04d}{'é漢'[i % 2]}😀 tail" for i in range(300)] + ["abcdef", "fedcba  spaced"]
+    texts = [f"x{lits[i]}y{lits[(7 * i) % 300]}" for i in range(0, 300, 3)] + [head * 50, "abcdefedcba", None, "", "xx fedcba  spaced", "long " * 60_000 + lits[5]]
+    archive = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")], "id int, source_excerpt string, window string")
+    literals = spark.createDataFrame([(f" {x} ",) for x in lits] + [("short",), (None,)], "literal string")
+    by_machine = sorted((r.id, r.literal, r.window) for r in compare.hard_coded(archive, literals).collect())
+    monkeypatch.setattr(compare, "AUTOMATON_BYTES", 0)
+    by_join = sorted((r.id, r.literal, r.window) for r in compare.hard_coded(archive, literals).collect())
+    plain = sorted((i, x, "s") for i, t in [*enumerate(texts), (0, texts[0])] for x in lits if t and x in t)
+    assert by_machine == by_join == plain
 
 
 def test_canonical_form():
@@ -282,6 +314,54 @@ def test_whole_texts_are_read(spark, tmp_path):
 # --- guards and records --------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("one_key", [True, False])
+def test_scans_by_ranges_equal_windows(spark, one_key):
+    """Sums, numbers and known lengths by ranges of thirty rows, a key holding all rows or several, null keys and values among them."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("k" if one_key else rng.choice([None, "a", "b", "b", "b"]), start + dt.timedelta(seconds=rng.randrange(400) ** 2), i, rng.choice([None, 1, 2, 9]), rng.randrange(30), rng.random() < 0.4) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i int, cost int, length int, ok boolean")
+    for order in (["i"], ["ts", "i"]):
+        w = Window.partitionBy("k").orderBy(*order)
+        assert scans.ranged(df, ["k"], order, 30).select("k", scans.RANGE).distinct().count() > 15
+        got = scans.running_sum(df, ["k"], order, F.col("cost"), "x", range_rows=30)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, df.withColumn("x", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).collect()))
+        got = scans.running_number(df, ["k"], order, "x", range_rows=30)
+        assert {(r.i, r.x) for r in got.collect()} == {(r.i, r.x) for r in df.withColumn("x", F.row_number().over(w) - 1).collect()}
+        seen = {r.i: r.seen for r in trace.seen_before(df, ["k"], order, "length", range_rows=30).collect()}
+        known: dict = {}
+        for r in sorted(df.collect(), key=lambda r: tuple(r[c] for c in order)):
+            assert seen[r.i] == known.get(r.k, 0)
+            known[r.k] = max(known.get(r.k, 0), r.length) + r.ok
+    assert scans.ranged(df, ["k"], ["k"], 30).select(scans.RANGE).distinct().count() == 1
+    assert scans.running_sum(df.where("false"), ["k"], ["i"], F.col("cost"), "x").count() == 0
+
+
+def test_ranges_of_one_key_are_several_tasks(spark):
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = scans.running_number(df, ["k"], ["i"], "x", range_rows=100).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
+def test_feedback_by_windows(spark):
+    """Heads of every length, quotes before and after, across a piece of a long prompt, in other sessions."""
+    heads = ["x", "ab", "E: wörld 😀 failed at line 123 of it", "  padded error that is long enough ", " ", None, "E: wörld 😀 failed at li", "never quoted at all, not once"]
+    errors = [(s, 2 * i, h) for s in ("a", "b") for i, h in enumerate(heads)]
+    filler = "q" * (windows.PIECE - 10)
+    prompts = [("a", 1, "x"), ("a", 3, "zabz"), ("a", 5, filler + "E: wörld 😀 failed at line"), ("a", 9, None), ("a", 7, "padded error that is lo"), ("b", 20, "padded error that is long"), ("b", 1, "ab x"), ("b", 30, ""), ("b", 31, "E: wörld 😀 failed at li!")]
+    v = spark.createDataFrame(errors, "session_id string, seq int, error string")
+    m = spark.createDataFrame(prompts, "session_id string, seq int, prompt string")
+    got = {(r.session_id, r.seq): r.feedback for r in trace.conditioned(v, m).collect()}
+    need = lambda e: (e or "").strip(" ")[:24]
+    want = {(s, q): any(ps == s and pq > q and p and need(e) in p for ps, pq, p in prompts) if need(e) else False for s, q, e in errors}
+    assert got == want and sum(want.values()) >= 5
+    assert trace.conditioned(v.where("false"), m).count() == 0 and not trace.conditioned(v, m.where("false")).where("feedback").count()
+
+
 def test_guards_hold_whatever_is_selected(spark):
     one = spark.createDataFrame([("a", 1), ("b", 2)], "task_id string, x int")
     two = spark.createDataFrame([("a", 3)], "task_id string, y int")
