@@ -12,20 +12,21 @@ tracking parameters or a closing slash.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvefront.llm.common import lower_ascii, stage
+from solvefront.llm.common import lower_ascii, rows_of, sealed, stage
 from solvefront.llm.components import connected_components
 
 Rule = tuple[str, str, str]  # host, path, verdict
-_HREF = r"[\"']?([^\"'\s>]+)"
-CANONICAL = r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*" + _HREF
-REFRESH = r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*" + _HREF
-#: Entities that occur in urls.
-ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: The target of a refresh: after its seconds and ``url=``, quoted or to the end.
+REFRESH_TARGET = re.compile(r"""\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+PARSE_BYTES = 4 << 20
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -80,12 +81,6 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def decoded(href: Column) -> Column:
-    for entity, char in ENTITIES:
-        href = F.replace(href, F.lit(entity), F.lit(char))
-    return href
-
-
 def without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` segments resolved."""
     parts = F.split(path, "/")
@@ -113,12 +108,74 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
+class LinkParser(HTMLParser):
+    """Canonical links, refreshes and the first base of a page, in document order.
+
+    Comments, scripts, styles and the texts of titles and text areas hold no
+    tags.  Attributes are read whole, by name; of a repeated one the first
+    counts; values have their entities decoded.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.base: str | None = None
+        self.found: list[str] = []
+        self.inside: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.inside:
+            return
+        if tag in ("title", "textarea"):
+            self.inside = tag
+            return
+        if tag not in ("base", "link", "meta"):
+            return
+        said: dict[str, str] = {}
+        for name, value in attrs:
+            said.setdefault(name, value or "")
+        href = said.get("href", "").strip(" \t\n\r\f")
+        if tag == "base" and href and self.base is None:
+            self.base = href
+        elif tag == "link" and href and "canonical" in said.get("rel", "").lower().split():
+            self.found.append(href)
+        elif tag == "meta" and said.get("http-equiv", "").strip().lower() == "refresh":
+            target = next((g for g in REFRESH_TARGET.match(said.get("content", "")).groups() if g), "").strip(" \t\n\r\f")
+            if target:
+                self.found.append(target)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in ("title", "textarea"):
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.inside:
+            self.inside = None
+
+
+def page_links(html: str) -> tuple[str | None, list[str]]:
+    """(base, links) of a page, links once each."""
+    parser = LinkParser()
+    parser.feed(html)
+    parser.close()
+    return parser.base, list(dict.fromkeys(parser.found))
+
+
+def linked(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(page, base, link), a row for each link; pages are parsed in Arrow batches."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, "html", PARSE_BYTES):
+            rows = [(u, base, link) for u, (base, links) in ((u, page_links(h)) for u, h in zip(batch.column("page").to_pylist(), batch.column("html").to_pylist(), strict=True)) for link in links]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["page", "base", "link"])
+
+    return pages.select(F.col(url).alias("page"), F.col(html).alias("html")).mapInArrow(work, "page string, base string, link string")
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(a_url, b_url): all canonical links and meta refreshes of the pages, entities decoded and relative ones resolved, and ``redirects`` (from_url, to_url)."""
-    here = F.col(url)
-    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
-    links = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.contains(here, F.lit("://"))).select(here.alias("a_url"), F.explode(F.array_distinct(found)).alias("_href"))
-    edges = links.select("a_url", decoded(F.col("_href")).alias("_href")).select("a_url", absolute(F.col("_href"), F.col("a_url")).alias("b_url")).where("b_url is not null")
+    """(a_url, b_url): all canonical links and meta refreshes of the pages, resolved against the page's base, and ``redirects`` (from_url, to_url)."""
+    links = linked(pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.contains(F.col(url), F.lit("://"))), url, html)
+    based = links.withColumn("base", F.coalesce(absolute(F.col("base"), F.col("page")), F.col("page")))
+    edges = based.select(F.col("page").alias("a_url"), absolute(F.col("link"), F.col("base")).alias("b_url")).where("b_url is not null").distinct()
     return edges.union(redirects.select("from_url", "to_url")) if redirects is not None else edges
 
 
@@ -131,7 +188,10 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], *,
     ``trivial_aliases`` takes urls with one :func:`alias_key` for one vertex.
     """
     key = alias_key if trivial_aliases else vertex
-    rest = pages.drop("host", "path", "rule", "verdict")
+    made = ("host", "path", "rule", "verdict")
+    box = sealed(pages.drop(*[c for c in made if c not in (url, html)]))
+    rest, names = box.df, [c for c in box.names if c not in made]
+    url, html = box.name(url), box.name(html)
     edges = alias_edges(rest, url, html, redirects)
     pairs = stage(spark, edges.select("a_url", "b_url", key(F.col("a_url")).alias("a"), key(F.col("b_url")).alias("b")), "alias-edges")
     roots = connected_components(spark, pairs, "a", "b", name="aliases")
@@ -146,7 +206,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], *,
     judged = judged.withColumn("_rule", match_rule(F.col("host"), F.col("path"), rules))
     out = judged.join(spread, F.col("_key") == F.col("_blocked"), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked").isNotNull(), F.lit("block")), F.lit(default))
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_key", "_blocked")
+    kept = [F.col(box.name(c)).alias(c) for c in names]
+    return out.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
 
 
 #: The rules of the registered query.
@@ -160,17 +221,38 @@ QUERY_RULES: tuple[Rule, ...] = (
 
 ORACLE = r"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-tags AS (SELECT DISTINCT url AS base, unnest(regexp_extract_all(html, '<[^>]*>')) AS tag FROM pages WHERE instr(url, '://') > 0),
+clean AS (
+  SELECT DISTINCT url, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script[^>]*>|$)|<style\b.*?(</style[^>]*>|$)|<title\b.*?(</title[^>]*>|$)|<textarea\b.*?(</textarea[^>]*>|$)', ' ', 'g') AS html
+  FROM pages WHERE instr(url, '://') > 0 AND regexp_matches(html, '(?i)canonical|refresh')),
+tags AS (
+  SELECT url, t.i, t.tag, regexp_extract_all(t.tag, '([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS names,
+    regexp_extract_all(t.tag, '([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 2) AS vals
+  FROM (SELECT url, unnest(list_transform(regexp_extract_all(html, '(?is)<(?:base|link|meta)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda x, i: {'i': i, 'tag': x})) AS t FROM clean)),
+said AS (
+  SELECT url, i, lower(regexp_extract(tag, '^<(\w+)', 1)) AS kind,
+    list_transform(['href', 'rel', 'http-equiv', 'content'], lambda k: vals[list_position(list_transform(names, lambda n: lower(n)), k)]) AS v FROM tags),
+bare AS (
+  SELECT url, i, kind, list_transform(v, lambda x: trim(replace(replace(replace(replace(replace(
+    CASE WHEN regexp_matches(x, '^["'']') THEN x[2:-2] ELSE x END, '&#39;', chr(39)), '&quot;', '"'), '&#x2F;', '/'), '&#47;', '/'), '&amp;', '&'))) AS v FROM said),
+based AS (SELECT url, arg_min(v[1], i) AS base_href FROM bare WHERE kind = 'base' AND v[1] <> '' GROUP BY 1),
 links AS (
-  SELECT base, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS raw FROM tags
-  WHERE regexp_matches(tag, '(?i)^<link\b') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+  SELECT url, v[1] AS raw FROM bare WHERE kind = 'link' AND list_contains(regexp_split_to_array(lower(v[2]), '\s+'), 'canonical')
   UNION ALL
-  SELECT base, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
-  WHERE regexp_matches(tag, '(?i)^<meta\b') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-hrefs AS (SELECT base, replace(replace(replace(raw, '&#39;', chr(39)), '&quot;', '"'), '&amp;', '&') AS href,
+  SELECT url, regexp_extract(regexp_replace(v[4], '(?is)^\s*[0-9.]*\s*[;,]?\s*(url\s*=\s*)?', ''), '(?s)^(?:["'']([^"'']*)|)', 1)
+    || CASE WHEN regexp_matches(regexp_replace(v[4], '(?is)^\s*[0-9.]*\s*[;,]?\s*(url\s*=\s*)?', ''), '^["'']') THEN '' ELSE regexp_replace(v[4], '(?is)^\s*[0-9.]*\s*[;,]?\s*(url\s*=\s*)?', '') END
+  FROM bare WHERE kind = 'meta' AND lower(v[3]) = 'refresh'),
+seen AS (
+  SELECT links.url AS page, raw AS href, CASE
+    WHEN base_href IS NULL THEN links.url
+    WHEN regexp_matches(base_href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN base_href
+    WHEN starts_with(base_href, '//') THEN regexp_extract(links.url, '^(.*?:)//', 1) || base_href
+    WHEN starts_with(base_href, '/') THEN regexp_extract(links.url, '^.*?://[^/?#]*', 0) || base_href
+    ELSE regexp_extract(links.url, '^.*?://[^/?#]*', 0) || regexp_replace(COALESCE(NULLIF(regexp_extract(links.url, '^.*?://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '') || base_href END AS base
+  FROM links LEFT JOIN based ON based.url = links.url),
+hrefs AS (SELECT page, base, href,
     regexp_extract(base, '^(.*?)://', 1) AS scheme, regexp_extract(base, '^.*?://([^/?#]*)', 1) AS site,
-    regexp_replace(COALESCE(NULLIF(regexp_extract(base, '^.*?://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '') AS folder FROM links WHERE raw <> ''),
-edges AS (SELECT base AS a_url, CASE
+    regexp_replace(COALESCE(NULLIF(regexp_extract(base, '^.*?://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '') AS folder FROM seen WHERE href <> ''),
+edges AS (SELECT page AS a_url, CASE
     WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
     WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     WHEN starts_with(href, '//') THEN scheme || ':' || href

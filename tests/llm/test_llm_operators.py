@@ -600,6 +600,47 @@ def test_verdicts_follow_edges_and_no_others(spark):
     assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block"}
 
 
+#: (html of a page at http://p<i>.net/d/x, whether it links to something blocked)
+LINKED = [
+    ('<link rel="canonical" href="http://a.net/x?href=http://b.com/de/y">', False),
+    ('<meta http-equiv="refresh" content="0;url=http://a.net/x?url=http://b.com/de/y">', False),
+    ('<link rel="canonical" href="http://a.net/1" data-href="http://b.com/de/y">', False),
+    ('<!-- <link rel="canonical" href="http://b.com/de/y"> --><p>canonical</p>', False),
+    ("<script>var s = '<link rel=\"canonical\" href=\"http://b.com/de/y\">';</script>", False),
+    ('<link rel="canonical" href="http://a.com/it\'s"><link rel=canonical href="http://a.net/2">', False),
+    ('<base href="http://b.com/de/"><link rel="canonical" href="y">', True),
+    ('<base target=_top><base href="http://b.com/de/"><base href="http://a.net/"><meta content="3; URL=\'y\'" http-equiv=Refresh>', True),
+    ('<link title="a > b" rel="alternate Canonical" href=http://b.com/de/y>', True),
+    ('<link href="http://a.net/3" rel="canonical" href="http://b.com/de/y">', False),
+    ('<title><link rel=canonical href="http://b.com/de/y"></title>', False),
+    ('<link rel="stylesheet" href="http://b.com/de/y" title="canonical">', False),
+    ('<link rel="not-canonical" href="http://b.com/de/y">', False),
+    ('<LINK REL=canonical HREF="http://b.com/de/&amp;y"/>', True),
+    ("<meta http-equiv='refresh' content='5'><meta name=refresh content='0;url=http://b.com/de/y'>", False),
+    ('<link rel=canonical href="">', False), ('<link rel=canonical', False), ("<!-- never closed <link rel=canonical href='http://b.com/de/y'>", False),
+    ("<link rel=canonical href=http://a.com/it's>", False),
+]
+
+
+def test_links_are_parsed_whole_and_the_twin_agrees(spark):
+    import duckdb
+
+    rows = [(i, f"http://p{i}.net/d/x", h) for i, (h, _) in enumerate(LINKED)]
+    rows += [(90, "http://b.com/de/y", None), (91, "http://a.net/x?href=http://b.com/de/y", ""), (92, "http://a.com/it's", "x")]
+    df = spark.createDataFrame([(*r, "own", "own") for r in rows], PAGES + ", _key string, _blocked string")
+    got = url_filter.filter_urls(spark, df, url_filter.QUERY_RULES)
+    assert got.columns[:5] == df.columns and {r["_key"] for r in got.collect()} == {"own"}
+    verdicts = {r.page_id: r.verdict for r in got.collect()}
+    assert [verdicts[i] for i in range(len(LINKED))] == ["block" if bad else "allow" for _, bad in LINKED]
+    assert (verdicts[90], verdicts[91], verdicts[92]) == ("block", "allow", "allow")
+    links = {r.a_url: r.b_url for r in url_filter.alias_edges(df.where("page_id = 18")).collect()}
+    assert links == {"http://p18.net/d/x": "http://a.com/it's"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: r[4] for r in con.execute(url_filter.ORACLE).fetchall()} == verdicts
+
+
 # --- language ID ---------------------------------------------------------------------------------------------
 
 
