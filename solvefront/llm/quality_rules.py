@@ -5,8 +5,9 @@ their host.  Per host and line the distinct documents are counted; lines above
 the limit are removed, and a document of which too little is left is rejected.
 Exact copies of a text within a host are one document here: otherwise a text
 would become boilerplate by being copied, and near-duplicate removal, which
-keeps one of them, would never see it.  The limit is a number of documents, so
-it acts alike at every size of a host.
+keeps one of them, would never see it.  The limit is a share of the host's
+documents with a floor: small hosts need some documents to show boilerplate,
+and a large one does not lose a heading because it is large.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from solvefront.llm.common import WORD_PATTERN, let, sealed, stage
 
+#: A line stays that is in so many documents of its host, or in this share of them.
 MAX_DOCS = 10
+MAX_SHARE = 0.01
 MIN_LEFT = 0.25
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -93,8 +96,12 @@ def _document(host: str, text: str) -> Column:
     return F.xxhash64(F.col(host).isNull(), F.coalesce(F.col(host), F.lit("")), text)
 
 
+def host_hash(host: Column) -> Column:
+    return F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")))
+
+
 def document_lines(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """(document, line, words), staged: the distinct lines of each distinct text of a host, and their words.
+    """(host, document, line, words), staged: the distinct lines of each distinct text of a host, and their words; all but words are hashes.
 
     Texts are read and cut once, one row per line; equal lines of a text and
     exact copies are summed before the shuffle and after it, so a text with k
@@ -103,23 +110,30 @@ def document_lines(spark: SparkSession, df: DataFrame, host: str = "source", tex
     cut = df.where(F.col(text).isNotNull()).select(F.col(host).alias("_host"), _document(host, text).alias("document"), F.explode(F.split(text, "\n")).alias("_line"))
     normal = cut.select("_host", "document", normal_line(F.col("_line")).alias("_normal")).where("_normal != ''")
     n = F.length("_normal") - F.length(F.translate("_normal", " ", "")) + 1
-    rows = normal.select("document", line_hash(F.col("_host"), F.col("_normal")).alias("line"), n.cast("long").alias("words"))
-    return stage(spark, rows.groupBy("document", "line").agg(F.sum("words").alias("words")), "lines")
+    rows = normal.select(host_hash(F.col("_host")).alias("host"), "document", line_hash(F.col("_host"), F.col("_normal")).alias("line"), n.cast("long").alias("words"))
+    return stage(spark, rows.groupBy("host", "document", "line").agg(F.sum("words").alias("words")), "lines")
 
 
-def frequent_lines(spark: SparkSession, lines: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(line, documents), staged: lines in more than ``max_docs`` distinct documents of their host."""
-    return stage(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_docs), "frequent")
+def frequent_lines(spark: SparkSession, lines: DataFrame, *, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(line, documents), staged: lines in more distinct documents of their host than ``max_docs`` and than ``max_share`` of those that have a line.
+
+    A hot host is summed in parts before its documents are counted; hosts' counts are one row each.
+    """
+    hosts = lines.groupBy("host", "document").agg(F.first(F.lit(1)).alias("one")).groupBy("host").agg(F.sum("one").alias("_all"))
+    counted = lines.groupBy("line").agg(F.first("host").alias("host"), F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_docs)
+    return stage(spark, counted.join(hosts, "host").where(F.col("documents") > F.col("_all") * F.lit(float(max_share))).select("line", "documents"), "frequent")
 
 
-def cut_documents(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def cut_documents(
+    spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", *, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
+) -> DataFrame:
     """(document, cut, depleted), staged: texts with frequent lines, the hashes of these, and whether less than ``min_left`` of the words is left without them.
 
     A line that half of all documents hold is one row on the frequent side of
     the join, whose other side adaptive execution splits.
     """
     lines = document_lines(spark, df, host, text)
-    frequent = frequent_lines(spark, lines, max_docs=max_docs).select("line", F.lit(True).alias("_cut"))
+    frequent = frequent_lines(spark, lines, max_docs=max_docs, max_share=max_share).select("line", F.lit(True).alias("_cut"))
     marked = lines.join(frequent, "line", "left")
     sums = marked.groupBy("document").agg(
         F.sum("words").alias("_all"), F.sum(F.when(F.col("_cut").isNull(), F.col("words"))).alias("_left"), F.collect_list(F.when(F.col("_cut"), F.col("line"))).alias("cut"),
@@ -129,8 +143,32 @@ def cut_documents(spark: SparkSession, df: DataFrame, host: str = "source", text
 
 
 def _without(text: Column, host: Column, cut: Column) -> Column:
-    """The text without its lines whose hashes are in ``cut``; the others, blank ones included, stay as they are, in order."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut, line_hash(host, normal_line(x)))), "\n")
+    """The text without its lines whose hashes are in ``cut``; the others, blank ones included, stay as they are, in order.
+
+    Lines and cut hashes are sorted together, a cut hash before the lines that
+    have it, so the lines to go are the rest of each group that a cut hash
+    begins: n log n within the row, however many lines are cut.
+    """
+
+    def of_lines(lines: Column) -> Column:
+        own = F.transform(lines, lambda x, i: F.struct(line_hash(host, normal_line(x)).alias("h"), i.alias("i")))
+        gone = F.transform(cut, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("i")))
+
+        def of_sorted(s: Column) -> Column:
+            first = lambda k: (k == 0) | (F.get(s, k)["h"] != F.get(s, k - 1)["h"])
+
+            def of_starts(b: Column) -> Column:
+                groups = F.transform(b, lambda k, g: F.struct(k.alias("from"), F.coalesce(F.get(b, g + 1), F.size(s)).alias("to")))
+                begun = F.filter(groups, lambda x: F.get(s, x["from"])["i"] == -1)
+                places = F.flatten(F.transform(begun, lambda x: F.transform(F.slice(s, x["from"] + 2, x["to"] - x["from"] - 1), lambda y: y["i"])))
+                kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+                return let(kept, lambda left: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+            return let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), first), of_starts)
+
+        return let(F.sort_array(F.concat(own, gone)), of_sorted)
+
+    return let(F.split(text, "\n"), of_lines)
 
 
 def judge(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
@@ -143,10 +181,12 @@ def judge(spark: SparkSession, df: DataFrame, host: str = "source", text: str =
     itself is no longer needed, so no text is shuffled.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    rest = df.drop(*made)
-    depleted = cut_documents(spark, rest, host, text, **limits).where("depleted").select(F.col("document").alias("_gone"))
-    joined = with_statistics(rest.withColumn("_document", _document(host, text)), text).join(depleted, F.col("_document") == F.col("_gone"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_document", "_gone")
+    box = sealed(df.drop(*[c for c in made if c not in (host, text)]))
+    host, text = box.name(host), box.name(text)
+    depleted = cut_documents(spark, box.df, host, text, **limits).where("depleted").select(F.col("document").alias("_gone"))
+    joined = with_statistics(box.df.withColumn("_document", _document(host, text)), text).join(depleted, F.col("_document") == F.col("_gone"), "left")
+    passed = [F.col(box.name(c)).alias(c) for c in box.names if c not in made]
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).select(*passed, *made)
 
 
 def clean(spark: SparkSession, df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
@@ -179,7 +219,9 @@ stat AS (
   FROM d LEFT JOIN rep USING (rid)),
 norm AS (SELECT rid, source, text, list_transform(l, lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'))) AS n FROM d),
 line AS (SELECT source, text, n[i] AS line, len(string_split(n[i], ' ')) AS words FROM (SELECT source, text, n, unnest(range(1, len(n) + 1)) AS i FROM norm)),
-frequent AS (SELECT source, line FROM line GROUP BY source, line HAVING COUNT(DISTINCT text) > 10),
+host AS (SELECT source, COUNT(DISTINCT text) AS n FROM line WHERE line <> '' GROUP BY source),
+often AS (SELECT source, line, COUNT(DISTINCT text) AS n FROM line GROUP BY source, line HAVING COUNT(DISTINCT text) > 10),
+frequent AS (SELECT o.source, o.line FROM often o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE o.n > h.n * 0.01::DOUBLE),
 depleted AS (
   SELECT l.source, l.text FROM line l LEFT JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source
   GROUP BY l.source, l.text

@@ -547,6 +547,68 @@ def test_log_gamma():
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
 
 
+# --- cross-document lines, in long texts and against the twin --------------------------------------------------------
+
+
+def test_depleted_documents_and_the_twin(spark, tmp_path):
+    """Boilerplate of a small host and of a large one, on either side of the floor and of the share; null hosts, copies, blank lines."""
+    import duckdb
+
+    body = lambda i: " ".join(f"own{i}w{k}" for k in range(55))
+    part = lambda name, k: "\n".join(f"{name} LINE  {j} " + "pad " * 60 for j in range(k))
+    rows = []
+    for host, n in (("small", 40), ("large", 1500), (None, 30)):
+        for i in range(n):
+            rest = part("often", 5) if i < 14 else part("seldom", 5) if i < 24 else ""  # 14 of 1,500 are under one in a hundred
+            rows.append((len(rows), body(len(rows)) + "\n\n" + rest, "en", host))
+    rows += [(9000 + i, rows[0][1], "en", "small") for i in range(30)] + [(9100, None, "en", "small"), (9101, "", "en", None)]
+    df = stage(spark, spark.createDataFrame(rows, DOCS), "hosts")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge(spark, df).collect()}
+    gone = {i for i, (_, _, failed, kept) in got.items() if not kept and not failed}
+    base = {i for i, v in got.items() if v[2]}
+    assert base == {r[0] for r in rows if len(WORDS.findall(r[1] or "")) < 50 or got[r[0]][1] * 2 > got[r[0]][0]}
+    assert got[40][3] == got[40 + 1500 - 1][3] or got[40][2]
+    df.drop("lang").withColumn("n_chars", F.lit(0)).coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    result = con.execute(quality_rules.ORACLE)
+    names = [d[0] for d in result.description]
+    twin = {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("n_words", "n_repeat_words", "base_failed", "kept")) for r in result.fetchall()}
+    assert twin == got
+    assert gone or base
+
+
+def test_verdicts_of_line_frequency(spark):
+    """Texts that are mostly lines of twelve documents of a small host go, those of a large host stay, and the base rules have no part in it."""
+    line = lambda name, j: " ".join(f"{name}{j}x{k}" for k in range(30))
+    rows = [(i, "\n".join([line("own", i), *(line("shared", j) for j in range(4))]), "en", "small") for i in range(12)]
+    rows += [(100 + i, "\n".join([line("mine", i), *([line("shared", j) for j in range(4)] if i < 12 else [line("rest", i)])]), "en", "large") for i in range(1300)]
+    rows += [(5000 + i, line("alone", i) + "\n" + line("more", i), "en", "small") for i in range(12)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge(spark, df).collect()}
+    assert {got[i] for i in range(12)} == {(False, False)} and {v for i, v in got.items() if i >= 100} == {(False, True)}
+    assert {r.kept for r in quality_rules.judge(spark, df, max_share=1.0).collect()} == {True}
+    assert not any(r.kept for r in quality_rules.judge(spark, df, max_share=0.0).where("doc_id < 112").collect())
+
+
+def test_many_frequent_lines_in_a_long_text(spark):
+    """64,000 of a text's lines go in little more than their share of the time that 4,000 take; what stays is as it was."""
+    import time
+
+    took = {}
+    for n in (4_000, 64_000):
+        shared = [f"shared{j}a shared{j}b shared{j}c" for j in range(n)]
+        own = lambda d: [f"own{d}x{j}a own{d}x{j}b" for j in range(2 * n)]  # noqa: E731,B023
+        texts = ["\n".join(x for pair in zip(own(d)[:n], shared, own(d)[n:]) for x in (*pair, "")) for d in range(11)]  # noqa: B023
+        df = stage(spark, spark.createDataFrame([(d, t, "en", "h") for d, t in enumerate(texts)], DOCS), "long")
+        start = time.perf_counter()
+        got = {r.doc_id: r.text for r in quality_rules.clean(spark, df).collect()}
+        took[n] = time.perf_counter() - start
+        want = {d: "\n".join(x for x in t.split("\n") if not x.startswith("shared")) for d, t in enumerate(texts)}
+        assert got == want
+    assert took[64_000] < 2 * 16 * took[4_000]
+
+
 # --- urls ----------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"
