@@ -159,8 +159,8 @@ def _without(text: Column, host: Column, cut: Column) -> Column:
 
             def of_starts(b: Column) -> Column:
                 groups = F.transform(b, lambda k, g: F.struct(k.alias("from"), F.coalesce(F.get(b, g + 1), F.size(s)).alias("to")))
-                begun = F.filter(groups, lambda x: F.get(s, x["from"])["i"] == -1)
-                places = F.flatten(F.transform(begun, lambda x: F.transform(F.slice(s, x["from"] + 2, x["to"] - x["from"] - 1), lambda y: y["i"])))
+                begun = F.filter(groups, lambda x: (F.get(s, x["from"])["i"] == -1) & (x["to"] > x["from"] + 1))
+                places = F.flatten(F.transform(begun, lambda x: F.transform(F.sequence(x["from"] + 1, x["to"] - 1), lambda k: F.get(s, k)["i"])))
                 kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
                 return let(kept, lambda left: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 

@@ -592,11 +592,11 @@ def test_verdicts_of_line_frequency(spark):
 
 
 def test_many_frequent_lines_in_a_long_text(spark):
-    """64,000 of a text's lines go in little more than their share of the time that 4,000 take; what stays is as it was."""
+    """4,000 of a text's lines go in about their share of the time that 1,000 take; what stays is as it was."""
     import time
 
     took = {}
-    for n in (4_000, 64_000):
+    for n in (1_000, 4_000):
         shared = [f"shared{j}a shared{j}b shared{j}c" for j in range(n)]
         own = lambda d: [f"own{d}x{j}a own{d}x{j}b" for j in range(2 * n)]  # noqa: E731,B023
         texts = ["\n".join(x for pair in zip(own(d)[:n], shared, own(d)[n:]) for x in (*pair, "")) for d in range(11)]  # noqa: B023
@@ -606,7 +606,7 @@ def test_many_frequent_lines_in_a_long_text(spark):
         took[n] = time.perf_counter() - start
         want = {d: "\n".join(x for x in t.split("\n") if not x.startswith("shared")) for d, t in enumerate(texts)}
         assert got == want
-    assert took[64_000] < 2 * 16 * took[4_000]
+    assert took[4_000] < 2 * 4 * took[1_000]
 
 
 # --- urls ----------------------------------------------------------------------------------------------------
