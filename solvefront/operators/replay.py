@@ -116,17 +116,20 @@ def suite_ablation(full: DataFrame, ablated: DataFrame, on: str = "task_id") ->
     return effect.groupBy(F.col("pair.operation").alias("operation")).agg(F.count(F.lit(1)).alias("n_tasks"), F.sum("removed").alias("removed"), F.count_if("load_bearing").alias("load_bearing_tasks"))
 
 
-def intercepted_attempts(model_calls: DataFrame, verifier_calls: DataFrame, session: str = "session_id") -> DataFrame:
+def intercepted_attempts(model_calls: DataFrame, verifier_calls: DataFrame, session: str = "session_id", sequence: str | None = None) -> DataFrame:
     """One attempt per session of an intercepted run: calls, tokens, the last verdict, and when it began and how long it took.
 
     ``model_calls`` (session, ts, prompt_tokens, completion_tokens, status),
     ``verifier_calls`` (session, ts, passed).  Failed calls count in n_calls only.
+    Of the last checks at one instant the one of the greatest ``sequence``, a
+    column of the checks, counts; without such a column they pass only if all do.
     """
+    last = F.struct("ts", F.col(sequence) if sequence else ~F.coalesce("passed", F.lit(False)))
     good = F.col("status").between(200, 299)
     calls = model_calls.groupBy(session).agg(
         F.count(F.lit(1)).alias("n_calls"), F.count_if(good).alias("calls"), *[F.coalesce(F.sum(F.when(good, F.coalesce(c, F.lit(0)))), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")],
         F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-    checks = verifier_calls.groupBy(session).agg(F.count(F.lit(1)).alias("n_checks"), F.max_by("passed", "ts").alias("passed"), F.min("ts").alias("_vfirst"), F.max("ts").alias("_vlast"))
+    checks = verifier_calls.groupBy(session).agg(F.count(F.lit(1)).alias("n_checks"), F.max_by("passed", last).alias("passed"), F.min("ts").alias("_vfirst"), F.max("ts").alias("_vlast"))
     both = calls.join(checks, session, "full").withColumns({"created_at": F.least("_first", "_vfirst"), "_end": F.greatest("_last", "_vlast")})
     seconds = (F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(1e6)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_calls", "calls", "prompt_tokens", "completion_tokens", "n_checks")}

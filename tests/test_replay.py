@@ -66,6 +66,19 @@ def test_intercepted_attempts(spark):
     assert (got["only"].calls, got["only"].n_checks, got["only"].elapsed_s) == (0, 1, 0.0)
 
 
+def test_checks_at_one_instant(spark):
+    """The greatest sequence number decides; without one, all of the tied checks must have passed."""
+    at = dt.datetime(2024, 1, 1)
+    calls = spark.createDataFrame([], "session_id string, ts timestamp, prompt_tokens bigint, completion_tokens bigint, status int")
+    rows = [("a", at, 1, False), ("a", at, 2, True), ("b", at, 2, False), ("b", at, 1, True), ("c", at, 1, True), ("c", at, 2, True)]
+    checks = spark.createDataFrame(rows, "session_id string, ts timestamp, n int, passed boolean")
+    for parts in (1, 3):
+        ranked = rp.intercepted_attempts(calls, checks.repartition(parts), sequence="n")
+        assert {r.session_id: r.passed for r in ranked.collect()} == {"a": True, "b": False, "c": True}
+        plain = rp.intercepted_attempts(calls, checks.repartition(parts))
+        assert {r.session_id: (r.passed, r.n_checks) for r in plain.collect()} == {"a": (False, 2), "b": (False, 2), "c": (True, 2)}
+
+
 def test_agent_and_backends(spark):
     def agent(row, seed):
         return [{"task_id": row["task_id"], "seed": seed, "k": k} for k in range(2)]
