@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from solvefront.llm.common import rows_of, sealed
 
 MAX_TRAIN_ROWS = 6_000
 MAX_TRAIN_BYTES = 64 << 20
+MAX_TRAIN_LINES = 200_000
 MAX_TEXT_BYTES = 1 << 20
+MAX_TEXT_LINES = 20_000
 #: Share of a document's letters that keeps its label, and how often line labels are revised.
 AGREE = 0.8
 REVISIONS = 2
@@ -232,20 +235,28 @@ class LineField:
     @classmethod
     def fit(cls, x: np.ndarray, sizes: np.ndarray, label: np.ndarray, length: np.ndarray | None = None, *, l2: float = L2, steps: int = STEPS, chain: int = CHAIN, revisions: int = REVISIONS, agree: float = AGREE) -> LineField:
         """Label every line as its document, revise by a fit of each line alone, and fit the field on the labels found.  Starts at zero: no randomness."""
-        blank = lambda: (np.zeros((x.shape[1] + 1, 2)), np.zeros((2, 2)))
-        field = cls(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), *blank())
-        z = field.inputs(x)
+        columns = range(x.shape[1])
+        mean = x.mean(axis=0, dtype=np.float64)
+        field = cls(mean, np.maximum([x[:, j].std(dtype=np.float64) for j in columns], 1e-6), np.zeros((len(mean) + 1, 2)), np.zeros((2, 2)))
+        # In single precision and column by column: four bytes a feature, and no copy of all of them.
+        z = np.ones((len(x), len(mean) + 1), np.float32, order="F")
+        for j in columns:
+            z[:, j] = np.clip((x[:, j] - field.mean[j]) / field.scale[j], -6, 6)
         length = np.ones(len(x)) if length is None else length.astype(np.float64)
         y = np.repeat(label, sizes)
-        alone = cls(field.mean, field.scale, *blank())
-        by_itself = z.copy()
-        by_itself[:, N_OWN:-1] = 0  # else a line's neighbours, which have its document's label too, would speak for it
+        # A line's own columns only, the constant among them: its neighbours, which have its document's label too, would speak for it.
+        own = z[:, :N_OWN]
+        alone = cls(field.mean[:N_OWN], field.scale[:N_OWN], np.zeros((N_OWN + 1, 2)), np.zeros((2, 2)))
         for _ in range(revisions):
-            alone._climb(by_itself, y, sizes, l2, steps // 2, 1)
-            y = revised(by_itself @ alone.weight, sizes, label, length, agree)
-        field._climb(z, y, sizes, l2, steps, chain)
+            alone._climb(own, y, sizes, l2, steps // 2, 1)
+            y = revised(alone._scores(own), sizes, label, length, agree)
+        field._climb(z[:, :-1], y, sizes, l2, steps, chain)
         return field
 
+    def _scores(self, z: np.ndarray) -> np.ndarray:
+        """State scores of standardised features (without the constant, whose weight is the last), in double precision."""
+        return (z @ self.weight[:-1].astype(np.float32)).astype(np.float64) + self.weight[-1]
+
     def _climb(self, z: np.ndarray, y: np.ndarray, sizes: np.ndarray, l2: float, steps: int, chain: int) -> None:
         """Full-batch Adam on the penalised mean log-likelihood of line labels."""
         starts, lengths = _chains(sizes, chain)
@@ -260,8 +271,13 @@ class LineField:
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
             self.weight, self.trans = theta[:-4].reshape(self.weight.shape), theta[-4:].reshape(2, 2)
-            marginal, pair, _ = forward_backward(z @ self.weight, self.trans, starts, lengths)
-            slope = np.concatenate([(z.T @ (truth - marginal)).ravel(), (real - pair).ravel()]) / len(starts) - l2 * theta
+            scores = self._scores(z)
+            if chain == 1:
+                marginal, pair = np.exp(scores - np.logaddexp(scores[:, :1], scores[:, 1:])), np.zeros((2, 2))
+            else:
+                marginal, pair, _ = forward_backward(scores, self.trans, starts, lengths)
+            off = truth - marginal
+            slope = np.concatenate([(z.T @ off.astype(np.float32)).ravel(), off.sum(axis=0), (real - pair).ravel()]) / len(starts) - l2 * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weight, self.trans = theta[:-4].reshape(self.weight.shape), theta[-4:].reshape(2, 2)
@@ -306,37 +322,44 @@ def revised(scores: np.ndarray, sizes: np.ndarray, label: np.ndarray, length: np
     return y
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, max_text: int = MAX_TEXT_BYTES) -> LineField | None:
-    """Fit on at most ``max_rows`` labelled documents and ``max_bytes`` of text; None without both labels.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, max_lines: int = MAX_TRAIN_LINES, max_text: int = MAX_TEXT_BYTES, max_text_lines: int = MAX_TEXT_LINES) -> LineField | None:
+    """Fit on at most ``max_rows`` labelled documents, ``max_bytes`` of text and ``max_lines`` lines; None without both labels.
 
     Documents are taken whole, in the order of a hash of their key, until
-    either bound is met; labelled texts above ``max_text`` bytes are passed
-    over (they are scored like any other).  The order and the bounds are found
+    one of the bounds is met; labelled texts above ``max_text`` bytes or
+    ``max_text_lines`` lines are passed over (they are scored like any other).
+    The lines bound the driver's memory, whatever their length.  The order and the bounds are found
     on keys and lengths; only then are the chosen texts read.  Labels that are
     null or not 0 or 1 are left out; of repeated keys the least label and the
     text of the least hash count.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_y"))
-    plain = docs.select(F.col(key).alias("_key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_t"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    plain = docs.select(F.col(key).alias("_key"), F.encode(whole, "UTF-8").alias("_t"), n_lines.alias("_lines"))
     hashed = plain.withColumns({"_n": F.length("_t"), "_text": F.xxhash64("_t")})
-    one = hashed.where(F.col("_n") <= max_text).groupBy("_key").agg(F.min(F.struct("_text", "_n")).alias("_one"))
+    one = hashed.where((F.col("_n") <= max_text) & (F.col("_lines") <= max_text_lines)).groupBy("_key").agg(F.min(F.struct("_text", "_n", "_lines")).alias("_one"))
     known = one.join(usable, "_key").select("_key", "_one.*", "_y", F.xxhash64(F.col("_key"), F.lit("crf")).alias("_h"))
     first = known.orderBy("_h", "_key").limit(max_rows)
-    running = F.sum("_n").over(W.orderBy("_h", "_key").rowsBetween(W.unboundedPreceding, W.currentRow))
-    chosen = first.withColumn("_used", running).where(F.col("_used") <= max_bytes).select("_key", "_text", "_y", "_h")
+    ahead = W.orderBy("_h", "_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = (F.col("_used") <= max_bytes) & (F.col("_used_lines") <= max_lines)
+    chosen = first.withColumns({"_used": F.sum("_n").over(ahead), "_used_lines": F.sum("_lines").over(ahead)}).where(within).select("_key", "_text", "_y", "_h")
     got = hashed.join(F.broadcast(chosen), ["_key", "_text"]).dropDuplicates(["_key"]).select("_h", "_t", "_y").toArrow()
     y = got.column("_y").to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     if len(np.unique(y)) < 2:
         return None
-    order = np.lexsort((got.column("_h").to_numpy(), np.array([len(t) for t in got.column("_t").to_pylist()]), y))
+    order = np.lexsort((got.column("_h").to_numpy(), pc.binary_length(got.column("_t")).to_numpy(), y))
     parts, pending, used = [], [], 0
     for k, i in enumerate(order):
         pending.append(got.column("_t")[int(i)].as_py())
         used += len(pending[-1])
         if used >= SLICE_BYTES or k == len(order) - 1:
-            parts.append(line_features(pending))
+            x, length, sizes = line_features(pending)
+            parts.append((x.astype(np.float32), length, sizes))
             pending, used = [], 0
+    del got
     x, length, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    del parts
     return LineField.fit(x, sizes, y[order], length)
 
 

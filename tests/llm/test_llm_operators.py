@@ -840,6 +840,32 @@ def test_long_labelled_texts_leave_the_others(spark):
     assert quality_crf.fit(spark.createDataFrame(rows, DOCS), labels, max_bytes=10_000, max_text=5_000) is not None
 
 
+def test_fit_is_bounded_by_lines(spark):
+    """Texts of very many short lines are passed over, and lines bound what is taken; the others are learnt from."""
+    rows = [(i, "plain words here\nand here" if i % 2 else "### !!!\n$$$ %%%", "en", "s") for i in range(40)] + [(100 + i, "ab\n" * 2000, "en", "s") for i in range(5)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows], "doc_id long, quality int")
+    field = quality_crf.fit(docs, labels, max_text_lines=1000)
+    good, bad = field.score([b"plain words here\nand here", b"### !!!\n$$$ %%%"])
+    assert bad < 0.5 < good
+    assert quality_crf.fit(docs, labels, max_text_lines=1000, max_lines=60) is not None
+    assert quality_crf.fit(docs, labels, max_text_lines=1000, max_lines=1) is None
+
+
+def test_fit_holds_few_bytes_a_feature():
+    """Beside the given features the fit holds four bytes for each, no second copy, and at most 300 a line for the chains."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.random((40_000, 44), np.float32)
+    tracemalloc.start()
+    try:
+        quality_crf.LineField.fit(x, np.full(400, 100), np.arange(400) % 2, steps=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(x) * (4 * 45 + 300)
+
+
 def test_lines_of_a_batch_equal_lines_alone():
     texts = [b"a b\n\nb b b\na b", b"", b"\n\n", "É x\nÉ x".encode(), b"one"]
     x, length, sizes = quality_crf.line_features(texts)
