@@ -10,13 +10,20 @@ from solvefront.plans.registry import query
 
 
 def shuffled_arrival(spark: SparkSession, rows: DataFrame, order: str, key: str, size: int, batches: int = 3) -> DataFrame:
-    """The rows as a stream of ``batches`` files: chunks of ``size`` rows of a key arrive in an order of their own."""
-    path = shared_path(spark, "arrival")
-    chunk = F.floor(F.col(order) / size)
-    arrives = F.pmod(F.xxhash64(F.col(key), chunk), F.lit(batches))
+    """The rows as a stream of at most ``batches`` batches: chunks of ``size`` rows of a key arrive in an order of their own.
+
+    The rows are computed once.  A batch is as many files as its rows need
+    tasks, so none holds a batch; a trigger takes as many as the largest has.
+    """
+    path, staged = shared_path(spark, "arrival"), shared_path(spark, "arriving")
+    arrives = F.pmod(F.xxhash64(F.col(key), F.floor(F.col(order) / size)), F.lit(batches))
+    rows.withColumn("_arrives", arrives).write.parquet(staged)
+    known, most, files = spark.read.parquet(staged), 1, 0
     for k in range(batches):
-        rows.where(arrives == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        known.where(F.col("_arrives") == k).drop("_arrives").write.mode("append").parquet(path)
+        before, files = files, len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        most = max(most, files - before)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(path)
 
 
 @query("WITH " + SQL_INDEXED + """, first_sight AS (
@@ -32,7 +39,7 @@ def attempt_log_stream(spark, sf):
 
     rows = indexed(attempts(spark, sf)).select(F.lit("c").alias("condition_key"), "task_id", F.col("i").cast("bigint").alias("i"), "passed", "species", "tokens")
     path = shared_path(spark, "log")
-    finished(append_attempts(spark, shuffled_arrival(spark, rows, "i", "task_id", 64), path, shared_path(spark, "log-checkpoint"), also=("tokens",)))
+    finished(append_attempts(spark, shuffled_arrival(spark, rows, "i", "task_id", 64), path, shared_path(spark, "log-checkpoint"), also=("tokens",)), None)
     samples = read_log(spark, path).groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_samples"), F.max("i").alias("last"), F.count_if("passed").alias("n_correct"), F.sum("tokens").alias("tokens"),
     )
@@ -60,5 +67,5 @@ def streamed_traces(spark, sf):
     )
     out, checkpoint = shared_path(spark, "traces"), shared_path(spark, "traces-checkpoint")
     stream = stateful_seen(shuffled_arrival(spark, rows, "seq", "conv_id", 2), "conv_id")
-    finished(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finished(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), None)
     return spark.read.parquet(out).select("conv_id", "seq", "seen")

@@ -59,9 +59,11 @@ def run_available(stream: DataFrame, mode: str, checkpoint: str, seconds: int =
     return finished(stream.writeStream.outputMode(mode).format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), seconds)
 
 
-def finished(query, seconds: int = 600):
-    """Wait for a query that ends by itself; stop it and raise where it does not."""
-    if not query.awaitTermination(seconds):
+def finished(query, seconds: int | None = 600):
+    """Wait for a query that ends by itself; stop it and raise where it does not within ``seconds`` (None: however long it takes)."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(query.id)
     return query

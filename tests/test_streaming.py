@@ -47,6 +47,34 @@ def test_traces_of_shuffled_arrival(spark, tmp_path):
     assert sum(r.held for r in jobs.state_of(spark, str(tmp_path / "ck"), variable="at", batch=0).collect()) > 0
 
 
+def test_no_task_writes_a_whole_batch(spark):
+    """A batch of arrivals is as many files as its rows have tasks, and there are three batches all the same."""
+    from solvefront.plans.stream_queries import shuffled_arrival
+
+    rows = spark.range(4000, numPartitions=8).select((F.col("id") % 40).alias("key"), F.floor(F.col("id") / 40).alias("seq"))
+    stream = shuffled_arrival(spark, rows, "seq", "key", 2)
+    place = stream._jdf.queryExecution().analyzed().toString().split("[")[1].split("]")[0].removeprefix("file:")
+    assert len([n for n in os.listdir(place) if n.endswith(".parquet")]) >= 6
+    query = jobs.finished(stream.writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).start())
+    written = spark.table("arrivals")
+    assert written.count() == 4000 == written.distinct().count()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+
+
+def test_species_are_asked_once_a_batch():
+    fold = object.__new__(attempt_log.FirstSeen)
+    fold.passed, fold.species, fold.order, fold.columns, fold.told = "passed", "species", "i", ["i", "passed", "species"], set()
+    asked, held = [], {("b",): (0,)}
+
+    class Sightings:
+        containsKey = staticmethod(lambda k: asked.append(k) or k in held)
+        updateValue = staticmethod(held.__setitem__)
+
+    fold.sightings = Sightings
+    made = [fold.fold((0,), {"i": i, "passed": s != "x", "species": s})[1][-1] for i, s in enumerate(["a", "b", "x", None, "a", "b", "c", "a"])]
+    assert made == [True, False, False, False, False, False, True, False] and asked == [("a",), ("b",), ("c",)]
+
+
 def test_expired_conversations_leave_the_store(spark, tmp_path):
     schema = CALLS + ", ts timestamp"
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
