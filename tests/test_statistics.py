@@ -1,6 +1,7 @@
 """Golden values and invariants of the numeric core."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -165,3 +166,21 @@ def test_bootstrap_repeats():
     assert st.bootstrap_interval(values, resamples=200) == st.bootstrap_interval(values, resamples=200)
     with pytest.raises(ValueError):
         st.bootstrap_interval([])
+
+
+def test_bootstrap_draws_as_arrays_what_randrange_draws(monkeypatch):
+    """The interval is the plain loop's to the last bit, and no number is drawn by a call of its own."""
+    def plain(values, stat, resamples, seed):
+        draw, n = random.Random(seed).randrange, len(values)
+        found = sorted(stat([values[draw(n)] for _ in range(n)]) for _ in range(resamples))
+        return stat(values), found[max(0, int((1 - 0.95) / 2 * resamples))], found[min(resamples - 1, int((1 - (1 - 0.95) / 2) * resamples) - 1)]
+
+    mean, rng = (lambda xs: sum(xs) / len(xs)), np.random.default_rng(1)
+    cases = [(v, stat, resamples, seed) for n, resamples in ((1, 40), (2, 300), (7, 900), (1000, 80), (70_000, 5)) for seed in (0, 5) for v, stat in (
+        ((rng.integers(0, 9, n) / 9).tolist(), None), (rng.normal(0, 1e6, n).tolist(), None), (rng.integers(0, 9, n).tolist(), None), ([0.1] * n, None),
+        ([float("inf")] + [1.0] * (n - 1), None), ([(k, 1) for k in range(n)], max), ([1e308] * n, None),
+    )]
+    expected = [plain(v, stat or mean, resamples, seed) for v, stat, resamples, seed in cases]
+    monkeypatch.setattr(random.Random, "randrange", None)
+    for (v, stat, resamples, seed), e in zip(cases, expected, strict=True):
+        assert st.bootstrap_interval(v, stat, resamples=resamples, seed=seed) == e
