@@ -39,11 +39,20 @@ def read_samples(spark: SparkSession, path: str, *, by: Sequence[str] = ("task_i
 
     A torn line is where a run died, so nothing after it is trusted; the next
     run draws those indices again.  ``line`` orders the lines of a file.
+
+    Rows are dealt by what tells attempts apart, never by file alone, and to
+    two tasks or more for each split, so none holds more than splits do.
     """
-    parsed = _numbered_lines(spark, path).withColumn("r", F.from_json("value", SAMPLES, {"mode": "PERMISSIVE"}))
+    lines = _numbered_lines(spark, path)
+    parsed = lines.withColumn("r", F.from_json("value", SAMPLES, {"mode": "PERMISSIVE"}))
     stops = parsed.where(F.col("r.i").isNull()).groupBy(F.col("file").alias("_file")).agg(F.min("line").alias("_stop"))
-    good = parsed.join(stops, F.col("file") == F.col("_file"), "left").where(F.col("_stop").isNull() | (F.col("line") < F.col("_stop"))).select("file", "line", "r.*")
-    once = F.row_number().over(W.partitionBy("file", "condition_key", *by, "i").orderBy("line"))
+    # The broadcast table has a row for each torn file.
+    good = parsed.join(F.broadcast(stops), F.col("file") == F.col("_file"), "left").where(F.col("_stop").isNull() | (F.col("line") < F.col("_stop"))).select("file", "line", "r.*")
+    attempt = ["file", "condition_key", *by, "i"]
+    tasks = 2 * lines.rdd.getNumPartitions()
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        good = good.repartition(tasks, *attempt)
+    once = F.row_number().over(W.partitionBy(*attempt).orderBy("line"))
     return good.withColumn("_n", once).where("_n = 1").drop("_n")
 
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -173,6 +174,27 @@ def test_literals_of_one_beginning_both_ways(spark, monkeypatch):
     assert by_machine == by_join == plain
 
 
+def test_a_log_is_no_task(spark, tmp_path):
+    """One file's rows go to many tasks, whatever the size of what they are joined with; a torn line still ends the file."""
+    lines = [json.dumps({"i": i % 900, "passed": True, "condition_key": "c", "task_id": f"t{i % 3}"}) for i in range(1000)]
+    (tmp_path / "a.jsonl").write_text("\n".join([*lines, '{"i": 5', json.dumps({"i": 9999, "task_id": "t0"})]))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        places = readers.read_samples(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        few = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        many = readers.read_samples(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", few)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in places) == sum(r["count"] for r in many) == len({(i % 900, i % 3) for i in range(1000)})
+    assert len(places) > 1 and len(many) > 8
+
+
 def test_canonical_form():
     key = lambda c: co.canonical_form(c)[2]
     assert key("def f(a):\n    return a+1") == key('def f(bb):\n    """doc"""\n    return bb + 1')
