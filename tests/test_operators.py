@@ -174,6 +174,29 @@ def test_literals_of_one_beginning_both_ways(spark, monkeypatch):
     assert by_machine == by_join == plain
 
 
+def test_texts_are_worked_on_in_slices_each_once(monkeypatch):
+    """No more texts are Python objects at a time than a slice has; equal ones of a slice are parsed once; nulls stay."""
+    calls = []
+    texts = pa.array(["a" * 400, None, "b" * 400, "a" * 400, None, "c" * 5000, "", "a" * 400])
+    monkeypatch.setattr(co, "SLICE_BYTES", 1300)
+    got = co.by_slices(lambda t: calls.append(t) or len(t), texts, pa.int64())
+    assert got.to_pylist() == [400, None, 400, 400, None, 5000, 0, 400]
+    assert [t[:1] for t in calls] == ["a", "b", "c", "", "a"]
+    assert co.by_slices(len, pa.array([], pa.string()), pa.int64()).to_pylist() == []
+
+
+def test_equal_programs_are_parsed_once_a_batch(spark, tmp_path):
+    """The functions of entry_points, on rows of few different texts, against one call a row."""
+    texts = [None, "assert f(1) == 2\nassert g(2) == 3", "(", "", "x = 1"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(40)], "id int, t string").coalesce(1)
+    got = df.select("id", "t", co.entry_point_udf("t").alias("e"), co.public_asserts_udf(F.col("t")).alias("p"), co.short_hash_udf("t").alias("s"), co.compiles_udf("t").alias("c"), co.canonical_udf("t").alias("k")).collect()
+    plain = lambda f, t: None if t is None else f(t)
+    assert len(got) == 40
+    for r in got:
+        assert (r.e, r.p, r.s, r.c) == tuple(plain(f, r.t) for f in (co.entry_point, co.public_asserts, co.short_hash, co.compiles))
+        assert (None if r.k is None else tuple(r.k)) == plain(co.canonical_form, r.t)
+
+
 def test_a_log_is_no_task(spark, tmp_path):
     """One file's rows go to many tasks, whatever the size of what they are joined with; a torn line still ends the file."""
     lines = [json.dumps({"i": i % 900, "passed": True, "condition_key": "c", "task_id": f"t{i % 3}"}) for i in range(1000)]
