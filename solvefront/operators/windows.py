@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from solvefront.functions.arrow import rows_of
+
 #: Bits of the largest bitmap that is broadcast, and code points hashed at once.
 MOST_BITS = 1 << 26
 PIECE = 1 << 18
+#: Bytes of texts worked on and yielded at once.
+SLICE_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -47,7 +51,7 @@ def _bitmap(short: DataFrame, text: str) -> tuple[int, list[int], np.ndarray]:
     bits = min(MOST_BITS, 1 << max(20, (64 * facts[0]).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches, text, SLICE_BYTES):
             h = [window_hashes(p, len(p))[0] & np.uint64(bits - 1) for p in map(_points, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).astype(np.int64))], names=["bit"])
 
@@ -69,7 +73,7 @@ def windows_like(long: DataFrame, text: str, keep: Sequence[str], short: DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = shared.value
-        for batch in batches:
+        for batch in rows_of(batches, text, SLICE_BYTES):
             rows, found = [], []
             for row, value in enumerate(batch.column(text).to_pylist()):
                 seen: set[str] = set()

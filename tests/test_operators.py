@@ -197,6 +197,26 @@ def test_equal_programs_are_parsed_once_a_batch(spark, tmp_path):
         assert (None if r.k is None else tuple(r.k)) == plain(co.canonical_form, r.t)
 
 
+def test_windows_are_yielded_in_slices(spark, monkeypatch):
+    """A batch of long texts goes out in slices of bounded bytes, whose windows are those of the whole."""
+    sizes = []
+    rows = [(i, f"{i:04d}" + "x" * 96 + f"{i % 7:04d}") for i in range(200)] + [(900, None), (901, "")]
+    long = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    short = spark.createDataFrame([("x0003",), ("0199x",)], "n string")
+    grab = type(long).mapInArrow
+    monkeypatch.setattr(windows, "SLICE_BYTES", 1000)
+
+    def watched(df, work, schema, *more):
+        if "window" in str(schema):
+            sizes.extend(b.num_rows for b in work(iter(df.toArrow().to_batches())))
+        return grab(df, work, schema, *more)
+
+    monkeypatch.setattr(type(long), "mapInArrow", watched)
+    found = windows.windows_like(long, "t", ["id"], short, "n").join(short, F.col("window") == F.col("n")).select("id", "window").collect()
+    assert {(r.id, r.window) for r in found} == {(i, w) for i, t in rows for w in ("x0003", "0199x") if t and w in t}
+    assert len(sizes) > 20 and max(sizes) <= 40
+
+
 def test_a_log_is_no_task(spark, tmp_path):
     """One file's rows go to many tasks, whatever the size of what they are joined with; a torn line still ends the file."""
     lines = [json.dumps({"i": i % 900, "passed": True, "condition_key": "c", "task_id": f"t{i % 3}"}) for i in range(1000)]
