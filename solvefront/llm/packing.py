@@ -144,11 +144,12 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, key: str = "doc_id", *,
     ``pieces`` is read twice (its count, its rows), so stage it first.  Shards
     are dealt by a hash of the whole piece but its ids: a hot key, a hot length
     or a group of copies spreads, and a rerun deals alike.  Pieces equal in all
-    columns may swap places, which changes no row.  No piece: no row.
+    columns may swap places, which changes no row.  No piece: no row.  A number
+    of the piece in ``_piece`` passes through and decides nothing.
     """
     n = pieces.count()
     shards = max(1, math.ceil(n / shard_pieces))
-    digest = [c for c in pieces.columns if c != "ids"]
+    digest = [c for c in pieces.columns if c not in ("ids", "_piece")]
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*digest), F.lit(shards)))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     by = [(c, "ascending") for c in ("length", "start", "ids_crc32", key)]
@@ -164,6 +165,15 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, key: str = "doc_id", *,
 
 
 def pack_documents(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """Tokens to packed sequences: cut, stage, pack.  See the parts for nulls and repeats."""
+    """Tokens to packed sequences: cut, stage, pack.  See the parts for nulls and repeats.
+
+    Packing needs lengths only, so no Python worker gets the ids again: they
+    meet their pieces' places in a join, by a number staged with both.
+    """
     pieces = token_pieces(df, key, text, tokenizer=tokenizer, window=window, end_id=end_id, keep_ids=keep_ids)
-    return pack_pieces(spark, stage(spark, pieces, "pieces"), key, window=window)
+    if not keep_ids:
+        return pack_pieces(spark, stage(spark, pieces, "pieces"), key, window=window)
+    staged = stage(spark, pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    placed = pack_pieces(spark, staged.drop("ids"), key, window=window)
+    # Places are some 100 bytes a piece and pieces spread evenly by number: hashed, so that the ids pass by unsorted.
+    return staged.select("_piece", "ids").join(placed.hint("shuffle_hash"), "_piece").select(*pieces.columns, "sequence_id", "offset")

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 
 from solvefront.llm.common import rows_of
 
-#: Bytes of text handed on at once; of a window; of a call of the library; words kept per Python worker.
-SLICE_BYTES = 2 << 20
-WINDOW_BYTES = 2 << 20
-CALL_BYTES = 1 << 20
+#: Bytes of text handed on at once; of a window; of a call of the library; words kept per Python worker
+#: (22 MB of arrays: with a window's new words they fit 2^18 places; a million took 88 MB in each worker).
+SLICE_BYTES = 1 << 19
+WINDOW_BYTES = 1 << 19
+CALL_BYTES = 1 << 19
 JOINED_BYTES = 1 << 11
-MAX_WORDS = 1_000_000
+MAX_WORDS = 230_000
 #: Longest word, in bytes, whose bytes are its key in the table.
 KEY_BYTES = 16
 

@@ -107,6 +107,26 @@ def test_packing(spark, docs, empty):
     assert max(by_sequence.values()) <= 64 and packing.pack_documents(spark, empty).count() == 0
 
 
+def test_packing_moves_no_ids_through_python(spark, docs):
+    packed = packing.pack_documents(spark, docs, window=64)
+    grouped = [x for x in packed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInArrow" in x]
+    assert len(grouped) == 1 and not re.search(r"\bids#", grouped[0])
+    rest = [c for c in packed.columns if c != "ids"]
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
+    assert Counter(map(tuple, packed.select(rest).collect())) == Counter(map(tuple, packing.pack_documents(spark, docs, window=64, keep_ids=False).collect()))
+
+
+def test_a_workers_table_of_words_stays_small():
+    table, rng = tokenization.WordTable(), np.random.default_rng(2)
+    for _ in range(30):
+        table.shrink()
+        table.window += 1
+        low = np.unique(rng.integers(1, 1 << 62, 20_000)).astype(np.uint64)
+        table.add(low, np.zeros_like(low), np.zeros(4 * len(low), np.uint32), np.full(len(low), 4))
+        assert (table.find(low, np.zeros_like(low)) >= 0).all()
+        assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) <= 32 << 20
+
+
 def test_minimum_bin_slack_finds_the_nearest_sum():
     rng = np.random.default_rng(3)
     for _ in range(50):
