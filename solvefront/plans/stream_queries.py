@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +14,26 @@ from solvefront.plans.registry import query
 def shuffled_arrival(spark: SparkSession, rows: DataFrame, order: str, key: str, size: int, batches: int = 3) -> DataFrame:
     """The rows as a stream of at most ``batches`` batches: chunks of ``size`` rows of a key arrive in an order of their own.
 
-    The rows are computed once.  A batch is as many files as its rows need
-    tasks, so none holds a batch; a trigger takes as many as the largest has.
+    The rows are computed and written once, each task's by batch; the files
+    then move to where they arrive, older batches with earlier times.  A batch
+    is as many files as its rows need tasks, so none holds a batch; a trigger
+    takes as many as the largest has.
     """
     path, staged = shared_path(spark, "arrival"), shared_path(spark, "arriving")
     arrives = F.pmod(F.xxhash64(F.col(key), F.floor(F.col(order) / size)), F.lit(batches))
-    rows.withColumn("_arrives", arrives).write.parquet(staged)
-    known, most, files = spark.read.parquet(staged), 1, 0
+    rows.withColumn("_arrives", arrives).write.partitionBy("_arrives").parquet(staged)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(at(path))
+    now, most = int(time.time() * 1000), 1
     for k in range(batches):
-        known.where(F.col("_arrives") == k).drop("_arrives").write.mode("append").parquet(path)
-        before, files = files, len(spark.read.schema(rows.schema).parquet(path).inputFiles())
-        most = max(most, files - before)
+        written = files.globStatus(at(f"{staged}/_arrives={k}/*.parquet"))
+        for status in written:
+            here = at(f"{path}/{k}-{status.getPath().getName()}")
+            if not files.rename(status.getPath(), here):
+                raise OSError(f"{here.toString()} has not arrived")
+            files.setTimes(here, now - 1000 * (batches - k), -1)
+        most = max(most, len(written))
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(path)
 
 

@@ -128,6 +128,12 @@ class Budget(InOrder):
         return ((after,), (True, after)) if after <= self.cap else (known, (False, known[0]))
 
 
+def require_plain(rows: DataFrame, columns: list[str]) -> None:
+    odd = [f.name for f in rows.schema.fields if f.name in columns and f.dataType.simpleString() not in PLAIN]
+    if odd:
+        raise TypeError(f"these columns cannot wait in state: {odd}")
+
+
 def fold_in_order(
     rows: DataFrame, kind: type[InOrder], by: list[str], order: str, needs: list[str], yields: str, *, first: int = 0, time: str | None = None,
     delay: str = "10 minutes", gap_seconds: int = 0, initial: DataFrame | None = None, **options: Any,
@@ -142,9 +148,7 @@ def fold_in_order(
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    odd = [c for c in (order, *needs) if types[c] not in PLAIN]
-    if odd:
-        raise TypeError(f"these columns cannot wait in state: {odd}")
+    require_plain(rows, [order, *needs])
     if gap_seconds and not time:
         raise ValueError("a gap needs the column of event time")
     kept = [*by, order, *[c for c in needs if c not in by]]

@@ -153,6 +153,29 @@ def test_log_of_shuffled_attempts_restart_and_lost_checkpoint(spark, tmp_path):
     assert {(r.task_id, r.next) for r in points.collect()} == {("t0", 30), ("t1", 30), ("t2", 30)}
 
 
+def test_log_with_state_in_files_or_in_the_store(spark, tmp_path):
+    rows, inbox = [*attempts(12), ("c", None, 0, True, "s", 1), ("c", None, 1, None, "s", 1)], str(tmp_path / "in")
+    places = list(range(len(rows)))
+    random.Random(7).shuffle(places)
+    files(spark, rows, ATTEMPTS, inbox, [places[:9], places[6:]])
+    logs = {}
+    for state in ("files", "store"):
+        log, ck = str(tmp_path / state), str(tmp_path / f"ck-{state}")
+        asked = {} if state == "files" else {"state": state}
+        for again in ({}, asked):  # a checkpoint goes on with what it began with
+            query = attempt_log.append_attempts(spark, stream_of(spark, ATTEMPTS, inbox), log, ck, also=("tokens",), **(again or asked))
+            jobs.finished(query)
+        logs[state] = [sorted((tuple(r) for r in attempt_log.read_log(spark, log, o).collect()), key=repr) for o in attempt_log.OUTPUTS]
+        assert os.path.isdir(f"{ck}/state") == (state == "store")  # in files, no row waits in a keyed processor
+        with pytest.raises(ValueError, match="checkpoint"):
+            attempt_log.append_attempts(spark, stream_of(spark, ATTEMPTS, inbox), log, ck, state="store" if state == "files" else "files")
+    assert logs["files"] == logs["store"] and len(logs["files"][0]) == len(rows)
+    done = attempt_log.manifests(spark, str(tmp_path / "files"))
+    assert [bool(m["held"]) for m in done] == [True, False]
+    there = [[os.path.exists(f"{tmp_path}/files/{n}") for o in attempt_log.STATE for n in m[o]] for m in done]
+    assert not any(there[0]) and there[1] and all(there[1])  # a batch's state goes when the next one's is committed
+
+
 def test_batches_run_twice_killed_or_aborted(spark, tmp_path):
     schema = spark.createDataFrame([], "condition_key string, task_id string, i long, passed boolean, species string, first_seen boolean").schema
     writer = attempt_log.AttemptLog({"path": str(tmp_path), "run": "r"}).streamWriter(schema, False)
